@@ -100,7 +100,7 @@ ORGAN_STEP = "least(100e0, a + b * (1e0 - a / 100e0))"
 
 
 def disease_fold(ps: str) -> str:
-    return fold(f"list_slice({ps}, 2, NULL)", DISEASE_STEP, pyround(f"list_extract({ps}, 1)", 3))
+    return fold(f"({ps})[2:]", DISEASE_STEP, pyround(f"list_extract({ps}, 1)", 3))
 
 
 def word(shift: int) -> str:

@@ -14,6 +14,7 @@ from hazardloom.functions.labels import score_level, severity_of_rank, severity_
 from hazardloom.functions.numbers import round_exact
 from hazardloom.operators.match import percent_text
 from hazardloom.rules import RuleBook, literal_map
+from hazardloom.session import computed_once
 
 HIGHEST_DISEASE_PROBABILITY = 0.95
 HIGHEST_ORGAN_SCORE = 100.0
@@ -119,12 +120,8 @@ def with_diseases(df: DataFrame, rules: RuleBook, matches: str = "matches", into
             d["description"].alias("description"),
         ),
     )
-    return (
-        df.withColumn("_hits", disease_hits(F.col(matches), rules))
-        .withColumn("_groups", groups)
-        .withColumn(into, ordered)
-        .drop("_hits", "_groups")
-    )
+    expanded = df.withColumn("_hits", disease_hits(F.col(matches), rules)).withColumn("_groups", groups)
+    return computed_once(expanded.withColumn(into, ordered).drop("_hits", "_groups"), [into])
 
 
 def with_organ_risks(df: DataFrame, rules: RuleBook, matches: str = "matches", into: str = "organ_risks") -> DataFrame:
@@ -151,12 +148,8 @@ def with_organ_risks(df: DataFrame, rules: RuleBook, matches: str = "matches", i
             o["alerts"].alias("alerts"),
         ),
     )
-    return (
-        df.withColumn("_hits", organ_hits(F.col(matches), rules))
-        .withColumn("_groups", groups)
-        .withColumn(into, ordered)
-        .drop("_hits", "_groups")
-    )
+    expanded = df.withColumn("_hits", organ_hits(F.col(matches), rules)).withColumn("_groups", groups)
+    return computed_once(expanded.withColumn(into, ordered).drop("_hits", "_groups"), [into])
 
 
 def organ_map(organ_risks: Column) -> Column:

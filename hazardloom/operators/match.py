@@ -41,7 +41,7 @@ def match_rules(text: Column, rules: RuleBook) -> Column:
 
 def matches_long(df: DataFrame, keys: list[str], matches: str = "matches") -> DataFrame:
     """One row per entity and matched rule."""
-    return df.select(*keys, F.inline(matches))
+    return df.select(*keys, F.inline(F.coalesce(F.col(matches), F.array())))
 
 
 def match_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame) -> DataFrame:

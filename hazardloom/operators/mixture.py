@@ -14,6 +14,7 @@ from hazardloom.functions.labels import probability_label
 from hazardloom.functions.numbers import round_exact
 from hazardloom.functions.scores import danger_level
 from hazardloom.operators.health import with_health
+from hazardloom.session import computed_once
 from hazardloom.rules import (
     CONTRAST_INTERACTION,
     MANY_ALERTS_INTERACTION,
@@ -22,6 +23,11 @@ from hazardloom.rules import (
     RuleBook,
 )
 
+RESULT_COLUMNS = [
+    "probabilities", "all_matches", "alert_sets", "best_rule", "interaction", "combined", "stats", "escalated",
+    "escalation_text", "final_probability", "explanation", "label", "combined_confidence", "most_dangerous",
+    "danger_level",
+]
 MAX_COMPONENTS = 10
 MIN_COMPONENTS = 2
 
@@ -115,7 +121,7 @@ def _sum(values: Column) -> Column:
 
 
 def _mean(values: Column) -> Column:
-    return _sum(values) / F.size(values)
+    return _sum(values) / F.nullif(F.size(values), F.lit(0))
 
 
 def interaction(best: Column, probabilities: Column, n_alert_rows: Column) -> Column:
@@ -262,4 +268,5 @@ def score_components(df: DataFrame, rules: RuleBook, health: bool = True) -> Dat
         .withColumn("most_dangerous", most_dangerous(c))
         .withColumn("danger_level", danger_level(F.col("final_probability"), F.size("all_matches"), lowest=1))
     )
+    final = computed_once(final, RESULT_COLUMNS)
     return with_health(final, rules, "all_matches") if health else final

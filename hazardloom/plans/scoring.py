@@ -30,6 +30,7 @@ from hazardloom.operators.mixture import (
     truncate_components,
 )
 from hazardloom.rules import RuleBook
+from hazardloom.session import computed_once
 
 
 def available_features(key: Column, matches: Column) -> Column:
@@ -45,9 +46,10 @@ def with_boosted(df: DataFrame, text: str, base: Column, rules: RuleBook) -> Dat
     are dropped.  Map-only.
     """
     keyed = df.withColumn("key", normalize_key(F.col(text))).where(F.col("key").isNotNull())
-    matched = keyed.withColumn("matches", match_rules(F.col("key"), rules)).withColumn("base", base)
-    floored = matched.withColumn("override", override_floor(F.col("matches")))
-    return floored.withColumn("p", boosted_probability(F.col("base"), F.col("matches"), F.col("override")))
+    matched = computed_once(keyed.withColumn("matches", match_rules(F.col("key"), rules)), ["key", "matches"])
+    floored = matched.withColumn("base", base).withColumn("override", override_floor(F.col("matches")))
+    boosted = floored.withColumn("p", boosted_probability(F.col("base"), F.col("matches"), F.col("override")))
+    return computed_once(boosted, ["base", "override", "p"])
 
 
 def score_entities(
@@ -139,7 +141,8 @@ def match_dimension(df: DataFrame, text: str, rules: RuleBook) -> DataFrame:
     """Add ``key``, ``matches`` and ``n_available`` per row (NULL key for an unusable text)."""
     keyed = df.withColumn("key", normalize_key(F.col(text)))
     matched = keyed.withColumn("matches", match_rules(F.col("key"), rules))
-    return matched.withColumn("n_available", available_features(F.col("key"), F.col("matches")))
+    counted = matched.withColumn("n_available", available_features(F.col("key"), F.col("matches")))
+    return computed_once(counted, ["key", "matches", "n_available"])
 
 
 def score_part_arrays(
@@ -180,12 +183,9 @@ def score_part_arrays(
             c["matches"].alias("matches"),
         ),
     )
-    return (
-        df.withColumn("_s1", stage_1)
-        .withColumn("_s2", stage_2)
-        .withColumn("_s3", stage_3)
-        .withColumn("components", components)
-        .drop("_s1", "_s2", "_s3")
+    staged = df.withColumn("_s1", stage_1).withColumn("_s2", stage_2).withColumn("_s3", stage_3)
+    return computed_once(
+        staged.withColumn("components", components).drop("_s1", "_s2", "_s3"), ["components"]
     )
 
 
@@ -292,6 +292,6 @@ def label_distribution(batch: DataFrame, label: str = "Label") -> DataFrame:
 
 def top_terms(df: DataFrame, text: str, k: int = 10) -> DataFrame:
     """The most frequent trimmed entries of comma lists; ties by name."""
-    terms = df.where(F.col(text) != "").select(F.explode(F.split(text, ",")).alias("term"))
-    counted = terms.select(F.trim("term").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    terms = df.select(F.explode(F.split(text, ",")).alias("term")).select(F.trim("term").alias("term"))
+    counted = terms.where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("n"))
     return counted.orderBy(F.col("n").desc(), "term").limit(k)

@@ -43,6 +43,17 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Fix the point at which costly columns are computed.
+
+    Spark moves a filter on a computed column below it by repeating the expression there,
+    so a filter on the end of a long chain would evaluate (and compile) the chain again.
+    Filters do not move below a generator, so the columns pass through a one-row one.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*columns))))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after checking the row count; otherwise leave the join to Spark."""
     if df.limit(max_rows + 1).count() <= max_rows:
