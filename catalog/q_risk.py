@@ -25,6 +25,7 @@ from hazardloom.functions.labels import severity_rank
 from hazardloom.operators import health, lookups, match, mixture
 from hazardloom.operators.match import match_rules
 from hazardloom.plans import scoring
+from hazardloom.session import spread
 from hazardloom.rules import (
     CONTRAST_INTERACTION,
     MANY_ALERTS_INTERACTION,
@@ -125,7 +126,8 @@ def organ_map(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- entities and mixtures -----------------------------------------------------------
 def scored_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score_entities(inp.parts(spark, sf), "text", WORD_RULES, probabilities=inp.class_probabilities())
+    entities = spread(inp.parts(spark, sf), "entity")
+    return scoring.score_entities(entities, "text", WORD_RULES, probabilities=inp.class_probabilities())
 
 
 def score_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +208,8 @@ def detail_plus_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.batch_route(inp.uploads(spark, sf), WORD_RULES, ["o_orderkey"], inp.text_base)
+    upload = spread(inp.uploads(spark, sf), "o_orderkey")
+    return scoring.batch_route(upload, WORD_RULES, ["o_orderkey"], inp.text_base)
 
 
 def top_terms(spark: SparkSession, sf: str) -> DataFrame:

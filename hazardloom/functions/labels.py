@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazardloom.rules import CLASS_LABELS, literal_map
+from hazardloom.rules import CLASS_LABELS, constant
 
 # --- fixed values: upper bounds of the probability labels, hit and potency floors of the
 # classes, score floors of the levels, severity ranks ---------------------------------
@@ -36,9 +36,8 @@ def derive_class(hits: Column, potency: Column) -> Column:
 
 
 def class_label(cls: Column, labels: list[str] | None = None) -> Column:
-    names = F.array(*[F.lit(name) for name in (labels or CLASS_LABELS)])
-    position = F.when(cls >= 0, cls.cast("int") + 1)
-    return F.coalesce(F.try_element_at(names, position), F.lit("UNKNOWN"))
+    names = constant(labels or CLASS_LABELS, "array<string>")
+    return F.coalesce(F.get(names, cls.cast("int")), F.lit("UNKNOWN"))
 
 
 def score_level(score: Column) -> Column:
@@ -49,10 +48,9 @@ def score_level(score: Column) -> Column:
 
 
 def severity_rank(severity: Column) -> Column:
-    ranks = literal_map({name: F.lit(rank) for name, rank in SEVERITY_RANK.items()})
+    ranks = constant(SEVERITY_RANK, "map<string, int>")
     return F.coalesce(F.try_element_at(ranks, severity), F.lit(0))
 
 
 def severity_of_rank(rank: Column) -> Column:
-    names = F.array(*[F.lit(name) for name in SEVERITY_RANK])
-    return F.when(rank > 0, F.try_element_at(names, rank))
+    return F.get(constant(list(SEVERITY_RANK), "array<string>"), rank - 1)

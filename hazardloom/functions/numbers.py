@@ -18,15 +18,15 @@ def round_exact(x: Column, digits: int) -> Column:
     scale = float(10**digits)
     p = x * F.lit(scale)
     low = F.floor(p).cast("double")
-    rest = p - low
     high_part = x * F.lit(SPLITTER) - (x * F.lit(SPLITTER) - x)
     error = (high_part * F.lit(scale) - p) + (x - high_part) * F.lit(scale)
-    up = (
-        (rest > 0.5)
-        | ((rest == 0.5) & (error > 0))
-        | ((rest == 0.5) & (error == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))
-    )
-    return F.when(up, low + 1.0).otherwise(low) / F.lit(scale)
+    apparent_tie = (p - low == 0.5) & (error != 0)
+    return F.when(apparent_tie, low + (error > 0).cast("double")).otherwise(F.rint(p)) / F.lit(scale)
+
+
+def round_exact_once(x: Column, digits: int) -> Column:
+    """:func:`round_exact` of a costly expression, evaluated once even inside a lambda."""
+    return F.get(F.transform(F.array(x), lambda v: round_exact(v, digits)), F.lit(0))
 
 
 def neg_log10_potency(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hazardloom.rules import constant
+
 # --- fixed values: the white space that trimming removes ---------------------------
 WHITESPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -28,9 +30,7 @@ def is_usable_key(text: Column) -> Column:
 
 def resolve_name(text: Column, names: dict[str, str]) -> Column:
     """Structure of a listed name (any case), otherwise the normalised text itself."""
-    from hazardloom.rules import literal_map
-
-    listed = F.try_element_at(literal_map({k: F.lit(v) for k, v in names.items()}), F.lower(strip(text)))
+    listed = F.try_element_at(constant(names, "map<string, string>"), F.lower(strip(text)))
     return normalize_key(F.coalesce(listed, text))
 
 
@@ -97,6 +97,16 @@ def count_features(text: Column) -> list[Column]:
     return columns
 
 
+def n_present_counts(text: Column) -> Column:
+    """Number of count features of a (non-NULL) text that are not zero."""
+    present = F.lit(0)
+    for name, pattern in COUNT_FEATURES.items():
+        word = pattern is None and name != "n_chars"
+        found = F.length(text) > 0 if name == "n_chars" else text.rlike(r"[A-Za-z0-9]" if word else pattern)
+        present = present + found.cast("int")
+    return present
+
+
 NGRAM_BITS = 1024
 
 

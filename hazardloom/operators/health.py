@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardloom.functions.labels import score_level, severity_of_rank, severity_rank
-from hazardloom.functions.numbers import round_exact
+from hazardloom.functions.labels import SEVERITY_RANK, score_level, severity_of_rank
+from hazardloom.functions.numbers import round_exact_once
 from hazardloom.operators.match import percent_text
-from hazardloom.rules import RuleBook, literal_map
+from hazardloom.rules import RuleBook, constant
 from hazardloom.session import computed_once
 
 HIGHEST_DISEASE_PROBABILITY = 0.95
@@ -21,59 +21,57 @@ HIGHEST_ORGAN_SCORE = 100.0
 
 
 def disease_hits(matches: Column, rules: RuleBook) -> Column:
-    """One struct per (match, disease of its alert), in match order."""
-    per_alert: dict[str, list[Column]] = {}
-    for _, alert, disease, base, severity, description in rules.diseases:
-        entry = F.struct(
-            F.lit(disease).alias("disease"),
-            F.lit(base).alias("base"),
-            F.lit(severity).alias("severity"),
-            F.lit(description).alias("description"),
-        )
+    """One struct per (match, disease of its alert), in match order.
+
+    ``d`` numbers the disease and ``e`` the rule row; names and texts are looked up by
+    them at the end, so the fold carries numbers only.
+    """
+    numbers: dict[str, int] = {}
+    per_alert: dict[str, list[dict]] = {}
+    for e, (_, alert, disease, base, _, _) in enumerate(rules.diseases):
+        entry = {"d": numbers.setdefault(disease, len(numbers)), "e": e, "base": base}
         per_alert.setdefault(alert, []).append(entry)
-    table = literal_map({alert: F.array(*entries) for alert, entries in per_alert.items()})
+    table = constant(
+        [per_alert.get(a[1], []) for a in rules.alerts], "array<array<struct<d: int, e: int, base: double>>>"
+    )
 
     def expand(m: Column) -> Column:
-        scale = F.lit(1.0) + F.lit(0.15) * (m["n"] - 1)
         return F.transform(
-            F.try_element_at(table, m["alert"]),
+            F.get(table, m["ord"] - 1),
             lambda d: F.struct(
-                d["disease"].alias("disease"),
-                F.least(d["base"] * scale, F.lit(HIGHEST_DISEASE_PROBABILITY)).alias("p"),
-                severity_rank(d["severity"]).alias("rank"),
-                d["description"].alias("description"),
-                m["alert"].alias("alert"),
+                d["d"].alias("d"),
+                d["e"].alias("e"),
+                F.least(
+                    d["base"] * (F.lit(1.0) + F.lit(0.15) * (m["n"] - 1)), F.lit(HIGHEST_DISEASE_PROBABILITY)
+                ).alias("p"),
             ),
         )
 
-    return F.flatten(F.filter(F.transform(matches, expand), lambda hits: hits.isNotNull()))
+    return F.flatten(F.transform(matches, expand))
 
 
 def organ_hits(matches: Column, rules: RuleBook) -> Column:
     """One struct per (match, tracked organ of its alert), in match order."""
-    position = {organ: i + 1 for i, organ in enumerate(rules.organs)}
-    per_alert: dict[str, list[Column]] = {}
+    position = {organ: i for i, organ in enumerate(rules.organs)}
+    per_alert: dict[str, list[dict]] = {}
     for _, alert, organ, score in rules.organ_scores:
         if organ in position:
-            entry = F.struct(
-                F.lit(position[organ]).alias("pos"), F.lit(organ).alias("organ"), F.lit(score).alias("score")
-            )
-            per_alert.setdefault(alert, []).append(entry)
-    table = literal_map({alert: F.array(*entries) for alert, entries in per_alert.items()})
+            per_alert.setdefault(alert, []).append({"o": position[organ], "score": score})
+    table = constant(
+        [per_alert.get(a[1], []) for a in rules.alerts], "array<array<struct<o: int, score: double>>>"
+    )
 
     def expand(m: Column) -> Column:
-        scale = F.lit(1.0) + F.lit(0.1) * (m["n"] - 1)
         return F.transform(
-            F.try_element_at(table, m["alert"]),
+            F.get(table, m["ord"] - 1),
             lambda o: F.struct(
-                o["pos"].alias("pos"),
-                o["organ"].alias("organ"),
-                (o["score"] * scale).alias("x"),
-                m["alert"].alias("alert"),
+                o["o"].alias("o"),
+                (o["score"] * (F.lit(1.0) + F.lit(0.1) * (m["n"] - 1))).alias("x"),
+                m["ord"].alias("a"),
             ),
         )
 
-    return F.flatten(F.filter(F.transform(matches, expand), lambda hits: hits.isNotNull()))
+    return F.flatten(F.transform(matches, expand))
 
 
 def _fold_probability(hits: Column) -> Column:
@@ -81,7 +79,7 @@ def _fold_probability(hits: Column) -> Column:
         joined = F.least(
             F.lit(1.0) - (F.lit(1.0) - a) * (F.lit(1.0) - h["p"]), F.lit(HIGHEST_DISEASE_PROBABILITY)
         )
-        return round_exact(F.when(a.isNull(), h["p"]).otherwise(joined), 3)
+        return round_exact_once(F.when(a.isNull(), h["p"]).otherwise(joined), 3)
 
     return F.aggregate(hits, F.lit(None).cast("double"), step)
 
@@ -95,29 +93,30 @@ def _fold_score(hits: Column) -> Column:
 
 def with_diseases(df: DataFrame, rules: RuleBook, matches: str = "matches", into: str = "diseases") -> DataFrame:
     """Add the diseases of each row as an array, most probable first, first-seen on ties."""
+    alert_of_row = constant([d[1] for d in rules.diseases], "array<string>")
+    disease_of_row = constant([d[2] for d in rules.diseases], "array<string>")
+    rank_of_row = constant([SEVERITY_RANK.get(d[4], 0) for d in rules.diseases], "array<int>")
+    text_of_row = constant([d[5] for d in rules.diseases], "array<string>")
     groups = F.transform(
-        F.array_distinct(F.transform("_hits", lambda h: h["disease"])),
-        lambda d: F.filter("_hits", lambda h: h["disease"] == d),
+        F.array_distinct(F.transform("_hits", lambda h: h["d"])),
+        lambda d: F.filter("_hits", lambda h: h["d"] == d),
     )
     folded = F.transform(
         "_groups",
         lambda g, i: F.struct(
             (-_fold_probability(g)).alias("minus_p"),
             i.alias("seen"),
-            g[0]["disease"].alias("disease"),
-            F.array_max(F.transform(g, lambda h: h["rank"])).alias("rank"),
-            F.array_distinct(F.transform(g, lambda h: h["alert"])).alias("alerts"),
-            g[0]["description"].alias("description"),
+            F.array_distinct(F.transform(g, lambda h: h["e"])).alias("rows"),
         ),
     )
     ordered = F.transform(
         F.array_sort(folded),
         lambda d: F.struct(
-            d["disease"].alias("disease"),
+            F.get(disease_of_row, d["rows"][0]).alias("disease"),
             (-d["minus_p"]).alias("probability"),
-            severity_of_rank(d["rank"]).alias("severity"),
-            d["alerts"].alias("alerts"),
-            d["description"].alias("description"),
+            severity_of_rank(F.array_max(F.transform(d["rows"], lambda e: F.get(rank_of_row, e)))).alias("severity"),
+            F.array_distinct(F.transform(d["rows"], lambda e: F.get(alert_of_row, e))).alias("alerts"),
+            F.get(text_of_row, d["rows"][0]).alias("description"),
         ),
     )
     expanded = df.withColumn("_hits", disease_hits(F.col(matches), rules)).withColumn("_groups", groups)
@@ -126,26 +125,27 @@ def with_diseases(df: DataFrame, rules: RuleBook, matches: str = "matches", into
 
 def with_organ_risks(df: DataFrame, rules: RuleBook, matches: str = "matches", into: str = "organ_risks") -> DataFrame:
     """Add the organ risks of each row as an array, highest first, organ order on ties."""
+    organs = constant(rules.organs, "array<string>")
+    alerts = constant([a[1] for a in rules.alerts], "array<string>")
     groups = F.transform(
-        F.array_distinct(F.transform("_hits", lambda h: h["organ"])),
-        lambda o: F.filter("_hits", lambda h: h["organ"] == o),
+        F.array_distinct(F.transform("_hits", lambda h: h["o"])),
+        lambda o: F.filter("_hits", lambda h: h["o"] == o),
     )
     folded = F.transform(
         "_groups",
         lambda g: F.struct(
-            (-round_exact(_fold_score(g), 1)).alias("minus_score"),
-            g[0]["pos"].alias("pos"),
-            g[0]["organ"].alias("organ"),
-            F.array_distinct(F.transform(g, lambda h: h["alert"])).alias("alerts"),
+            (-round_exact_once(_fold_score(g), 1)).alias("minus_score"),
+            g[0]["o"].alias("o"),
+            F.array_distinct(F.transform(g, lambda h: h["a"])).alias("alerts"),
         ),
     )
     ordered = F.transform(
         F.array_sort(F.filter(folded, lambda o: o["minus_score"] < 0)),
         lambda o: F.struct(
-            o["organ"].alias("organ"),
+            F.get(organs, o["o"]).alias("organ"),
             (-o["minus_score"]).alias("score"),
             score_level(-o["minus_score"]).alias("level"),
-            o["alerts"].alias("alerts"),
+            F.transform(o["alerts"], lambda a: F.get(alerts, a - 1)).alias("alerts"),
         ),
     )
     expanded = df.withColumn("_hits", organ_hits(F.col(matches), rules)).withColumn("_groups", groups)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardloom.functions.numbers import round_exact
+from hazardloom.functions.numbers import round_exact_once
 from hazardloom.rules import MAX_RULES, RuleBook
 
 # --- fixed values: probability floors, boost limits ---------------------------------
@@ -125,7 +125,7 @@ def discounted_boost(matches: Column) -> Column:
 def boosted_probability(base: Column, matches: Column, override: Column) -> Column:
     """Base probability raised by the floor if there is one, else by the discounted boosts."""
     raised = F.least(
-        round_exact(base + discounted_boost(matches) * (F.lit(1.0) - base), 4), F.lit(HIGHEST_PROBABILITY)
+        round_exact_once(base + discounted_boost(matches) * (F.lit(1.0) - base), 4), F.lit(HIGHEST_PROBABILITY)
     )
     return (
         F.when(override.isNotNull(), F.greatest(base, override)).when(F.size(matches) == 0, base).otherwise(raised)
@@ -135,8 +135,13 @@ def boosted_probability(base: Column, matches: Column, override: Column) -> Colu
 def alert_explanation(matches: Column, rules: RuleBook) -> Column:
     """Sentence naming up to five alerts by severity and the mechanisms of the top two."""
     ranked = F.transform(
-        F.array_sort(F.transform(matches, lambda m: F.struct((-m["severity"]).alias("s"), m["ord"], m["alert"]))),
-        lambda m: F.struct((-m["s"]).alias("severity"), m["alert"].alias("alert")),
+        F.array_sort(
+            F.transform(
+                matches,
+                lambda m: F.struct((-m["severity"]).alias("s"), m["ord"].alias("ord"), m["alert"].alias("alert")),
+            )
+        ),
+        lambda m: F.struct((-m["s"]).alias("severity"), m["ord"].alias("ord"), m["alert"].alias("alert")),
     )
     return _explanation_text(F.slice(ranked, 1, 5), rules)
 
@@ -157,7 +162,7 @@ def _explanation_text(top: Column, rules: RuleBook) -> Column:
     )
     degree = F.when(F.try_element_at(top, F.lit(1))["severity"] <= 3, "moderately").otherwise("highly")
     mechanisms = F.array_join(
-        F.transform(F.slice(top, 1, 2), lambda m: rules.alert_attribute(m["alert"], "mechanism")), "; "
+        F.transform(F.slice(top, 1, 2), lambda m: rules.alert_attribute(m["ord"], "mechanism")), "; "
     )
     sentence = F.concat(
         F.lit("This molecule contains "),
@@ -201,7 +206,7 @@ def alert_summary_rows(df: DataFrame, keys: list[str], rules: RuleBook, matches:
         F.col("alert").alias("Alert"),
         severity.alias("Severity"),
         F.col("n").alias("Count"),
-        rules.alert_attribute(F.col("alert"), "description").alias("Description"),
+        rules.alert_attribute(F.col("ord"), "description").alias("Description"),
         F.concat(F.lit("+"), percent_text(F.col("boost"))).alias("Probability Boost"),
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.functions.labels import probability_label
-from hazardloom.functions.numbers import round_exact
+from hazardloom.functions.numbers import round_exact, round_exact_once
 from hazardloom.functions.scores import danger_level
 from hazardloom.operators.health import with_health
 from hazardloom.session import computed_once
@@ -87,9 +87,9 @@ def _rule_fires(sets: Column, alert_a: str, alert_b: str) -> Column:
     a, b = F.lit(alert_a), F.lit(alert_b)
     holders = F.filter(sets, lambda s: F.array_contains(s, a) | F.array_contains(s, b))
     return (
-        (F.size(holders) >= 2)
-        & F.exists(sets, lambda s: F.array_contains(s, a))
+        F.exists(sets, lambda s: F.array_contains(s, a))
         & F.exists(sets, lambda s: F.array_contains(s, b))
+        & (F.size(holders) >= 2)
     )
 
 
@@ -151,7 +151,7 @@ def combine_probabilities(kind: Column, modifier: Column, probabilities: Column)
         .when(kind == "ADDITIVE", _mean(probabilities) * modifier)
         .otherwise(F.array_max(probabilities))
     )
-    return F.least(round_exact(combined, 4), F.lit(0.999))
+    return F.least(round_exact_once(combined, 4), F.lit(0.999))
 
 
 def alert_stats(components: Column, all_matches: Column, rules: RuleBook) -> Column:
@@ -168,7 +168,7 @@ def alert_stats(components: Column, all_matches: Column, rules: RuleBook) -> Col
         + (c["probability"] >= 0.35).cast("int"),
     )
     return F.struct(
-        _sum(F.transform(all_matches, lambda m: rules.weight_of(m["alert"]))).alias("weight"),
+        _sum(F.transform(all_matches, lambda m: rules.weight_of(m["ord"]))).alias("weight"),
         F.size(F.array_distinct(F.transform(all_matches, lambda m: m["alert"]))).alias("distinct_alerts"),
         toxic.alias("toxic_count"),
     )
@@ -239,7 +239,7 @@ def most_dangerous(components: Column) -> Column:
 
 
 def mixture_confidence(components: Column) -> Column:
-    return round_exact(_mean(F.transform(components, lambda c: c["confidence"])) * 0.9, 3)
+    return round_exact_once(_mean(F.transform(components, lambda c: c["confidence"])) * 0.9, 3)
 
 
 def score_components(df: DataFrame, rules: RuleBook, health: bool = True) -> DataFrame:

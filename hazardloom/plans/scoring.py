@@ -13,12 +13,11 @@ from hazardloom.functions.scores import (
     NO_MODEL_SCORE,
     confidence_score,
     danger_level,
-    nonzero_feature_count,
     predicted_class,
     predicted_probability,
     weighted_class_score,
 )
-from hazardloom.functions.text import count_features, hashed_ngram_bits, normalize_key, split_lines, split_parts
+from hazardloom.functions.text import hashed_ngram_bits, n_present_counts, normalize_key, split_lines, split_parts
 from hazardloom.operators.features import n_features
 from hazardloom.operators.health import disease_names, with_health
 from hazardloom.operators.match import alert_report, boosted_probability, match_rules, override_floor
@@ -35,8 +34,7 @@ from hazardloom.session import computed_once
 
 def available_features(key: Column, matches: Column) -> Column:
     """Number of non-zero features of a text without building the dense vector."""
-    counts = nonzero_feature_count(F.array(*count_features(key)))
-    return counts + F.size(hashed_ngram_bits(key)) + F.size(matches)
+    return n_present_counts(key) + F.size(hashed_ngram_bits(key)) + F.size(matches)
 
 
 def with_boosted(df: DataFrame, text: str, base: Column, rules: RuleBook) -> DataFrame:

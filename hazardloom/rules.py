@@ -10,6 +10,7 @@ Rule tables that live in Spark and may be larger go through
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -301,6 +302,8 @@ class RuleBook:
     names: dict[str, str] = field(default_factory=lambda: dict(_rows(NAMES_TEXT)))
 
     def __post_init__(self) -> None:
+        if [a[0] for a in self.alerts] != list(range(1, len(self.alerts) + 1)):
+            raise ValueError("alerts must be numbered from 1 in order")
         for table in ("alerts", "weights", "diseases", "organ_scores", "organs", "pair_rules", "names"):
             if len(getattr(self, table)) > MAX_RULES:
                 raise ValueError(f"rule table {table} exceeds {MAX_RULES} rows; keep it as a DataFrame")
@@ -343,16 +346,17 @@ class RuleBook:
         return spark.createDataFrame(rows, "ord int, name string, structure string")
 
     # --- as literals inside expressions ----------------------------------------------
-    def alert_attribute(self, alert: Column, attribute: str) -> Column:
-        """Attribute of an alert by name, as a constant-map look-up."""
+    def alert_attribute(self, ord_: Column, attribute: str) -> Column:
+        """Attribute of an alert by its number, from a constant array."""
         index = {"severity_label": 4, "description": 6, "mechanism": 7}[attribute]
-        return F.try_element_at(literal_map({a[1]: F.lit(a[index]) for a in self.alerts}), alert)
+        return F.get(constant([a[index] for a in self.alerts], "array<string>"), ord_ - 1)
 
-    def weight_of(self, alert: Column) -> Column:
-        listed = F.try_element_at(literal_map({a: F.lit(w) for a, w in self.weights.items()}), alert)
-        return F.coalesce(listed, F.lit(self.default_weight))
+    def weight_of(self, ord_: Column) -> Column:
+        """Mixture weight of an alert by its number, the default for an unlisted one."""
+        weights = [self.weights.get(a[1], self.default_weight) for a in self.alerts]
+        return F.get(constant(weights, "array<double>"), ord_ - 1)
 
 
-def literal_map(entries: dict[str, Column]) -> Column:
-    """Constant map column; Catalyst folds it to one literal."""
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*entries.values()))
+def constant(value: object, kind: str) -> Column:
+    """Constant of a nested type; one literal that Catalyst folds when it plans."""
+    return F.from_json(F.lit(json.dumps(value)), F.lit(kind))

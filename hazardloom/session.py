@@ -54,6 +54,18 @@ def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*columns))))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over the session's cores where the scan has fewer splits than that.
+
+    For CPU-bound row work on a small or unsplittable input; an input with enough splits
+    is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after checking the row count; otherwise leave the join to Spark."""
     if df.limit(max_rows + 1).count() <= max_rows:
