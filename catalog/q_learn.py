@@ -15,7 +15,7 @@ from hazardloom.operators import explain, features, metrics, ordered
 from hazardloom.operators.match import match_rules
 from hazardloom.plans import training
 from hazardloom.plans.evaluation import evaluation_tables
-from hazardloom.session import scratch_path, shared_dir
+from hazardloom.session import computed_once, scratch_path
 from hazardloom.sources import files
 
 K = 5
@@ -158,7 +158,8 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def assemble_vector(spark: SparkSession, sf: str) -> DataFrame:
     sparse = features.sparse_features(inp.parts(spark, sf), "text", WORD_RULES, ["entity"])
-    return set_entries(sparse.select("entity", features.assemble_vector(WORD_RULES).alias("features")), ["entity"])
+    dense = sparse.select("entity", features.assemble_vector(WORD_RULES).alias("features"))
+    return set_entries(computed_once(dense, ["features"]), ["entity"])
 
 
 def matrix_impute(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +179,6 @@ def model_rows(name: str):
     """Fit one candidate on the split of the vectors and score its test part."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        shared_dir(spark)
         train, test = training.split_parts(training.training_rows(inp.vectors(spark, sf), "vec_id", "cls", "embedding"))
         estimator = training.candidates(SMALL_FOREST, SMALL_BOOSTED)[name]
         model = Pipeline(stages=[estimator]).fit(train)

@@ -76,4 +76,5 @@ def order_bucket(x: Column, per_octave: int = 1024) -> Column:
     def magnitude(v: Column) -> Column:
         return F.floor(F.log2(v) * per_octave) + F.lit(offset)
 
-    return F.when(x > 0, magnitude(x)).when(x < 0, -magnitude(-x)).otherwise(F.lit(0)).cast("long")
+    bucket = F.when(x > 0, magnitude(x)).when(x < 0, -magnitude(-x))
+    return F.coalesce(bucket, F.lit(0)).cast("long")

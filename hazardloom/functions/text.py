@@ -12,6 +12,7 @@ WHITESPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 TRIM_PATTERN = rf"^{WHITESPACE}+|{WHITESPACE}+$"
+NOT_BLANK = WHITESPACE.replace("[", "[^", 1)
 
 
 def strip(text: Column) -> Column:
@@ -21,11 +22,15 @@ def strip(text: Column) -> Column:
 
 def normalize_key(text: Column) -> Column:
     """Trimmed text without line breaks; NULL when nothing usable is left."""
-    return F.nullif(F.translate(strip(text), "\n\r", ""), F.lit(""))
+    return F.when(is_usable_key(text), F.translate(strip(text), "\n\r", ""))
 
 
 def is_usable_key(text: Column) -> Column:
-    return normalize_key(text).isNotNull()
+    """Whether :func:`normalize_key` gives a key: some character is not white space.
+
+    The search stops at the first one, so a filter on it is much cheaper than one on the key.
+    """
+    return F.coalesce(text.rlike(NOT_BLANK), F.lit(False))
 
 
 def resolve_name(text: Column, names: dict[str, str]) -> Column:

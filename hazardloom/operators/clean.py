@@ -13,7 +13,7 @@ from hazardloom.functions.numbers import (
     row_nonnull_count,
     row_sum,
 )
-from hazardloom.functions.text import normalize_key
+from hazardloom.functions.text import is_usable_key, normalize_key
 from hazardloom.operators.ordered import column_medians, grouped_median
 
 # --- fixed values: the assay columns, the property columns, the background potency -----
@@ -33,7 +33,8 @@ def with_key(df: DataFrame, text: str, key: str = KEY, digest: bool = False) ->
     deduplication of long texts shuffle 64 characters instead of the text.
     """
     normal = normalize_key(F.col(text))
-    return df.withColumn(key, F.sha2(normal, 256) if digest else normal).na.drop(subset=[key])
+    usable = df.where(is_usable_key(F.col(text)))
+    return usable.withColumn(key, F.sha2(normal, 256) if digest else normal)
 
 
 def keep_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -63,9 +64,8 @@ def clean_measurements(
 
 def measurement_summary(df: DataFrame, key: str = KEY) -> DataFrame:
     """Mean potency, exact median raw value and row count per key, safe for hot keys."""
-    means = df.groupBy(key).agg(F.avg("pIC50").alias("pIC50"), F.count("pIC50").alias("n_measurements"))
-    medians = grouped_median(df, [key], "IC50_nM", "IC50_nM")
-    return means.join(medians, key).select(key, "pIC50", "IC50_nM", "n_measurements")
+    summary = grouped_median(df, [key], "IC50_nM", "IC50_nM", mean_of="pIC50", count_into="n_measurements")
+    return summary.select(key, "pIC50", "IC50_nM", "n_measurements")
 
 
 def left_enrich(base: DataFrame, measurements: DataFrame, key: str = KEY) -> DataFrame:

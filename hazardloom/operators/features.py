@@ -16,6 +16,7 @@ from hazardloom.functions.text import COUNT_FEATURES, NGRAM_BITS, count_features
 from hazardloom.operators.match import match_rules
 from hazardloom.operators.ordered import grouped_median
 from hazardloom.rules import RuleBook
+from hazardloom.session import computed_once
 
 
 def feature_names(rules: RuleBook) -> list[str]:
@@ -47,12 +48,13 @@ def sparse_features(df: DataFrame, text: str, rules: RuleBook, keep: list[str])
     """
     keyed = df.withColumn("_key", normalize_key(F.col(text)))
     found = F.when(F.col("_key").isNotNull(), match_rules(F.col("_key"), rules))
-    return keyed.select(
+    grouped = keyed.select(
         *keep,
         F.when(F.col("_key").isNotNull(), F.array(*count_features(F.col("_key")))).alias("counts"),
         hashed_ngram_bits(F.col("_key")).alias("bits"),
         found.alias("matches"),
     )
+    return computed_once(grouped, ["counts", "bits", "matches"])
 
 
 def set_cells(df: DataFrame, key: str) -> DataFrame:
@@ -74,10 +76,13 @@ def assemble_vector(rules: RuleBook) -> Column:
     """Dense vector of the three feature groups in the order of :func:`feature_names`."""
 
     def dense(positions: Column, size: int) -> Column:
-        ones = F.map_from_arrays(positions, F.transform(positions, lambda p: F.lit(1.0)))
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(ones, i), F.lit(0.0))
-        )
+        # Runs of zeros between the ascending positions; linear in the vector's length.
+        def run(p: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(positions, i - 1), F.lit(-1))
+            return F.concat(F.array_repeat(F.lit(0.0), p - before - 1), F.array(F.lit(1.0)))
+
+        last = F.coalesce(F.get(positions, F.size(positions) - 1), F.lit(-1))
+        return F.concat(F.flatten(F.transform(positions, run)), F.array_repeat(F.lit(0.0), F.lit(size - 1) - last))
 
     present = F.transform("matches", lambda m: m["ord"] - 1)
     return F.concat(F.col("counts"), dense(F.col("bits"), NGRAM_BITS), dense(present, len(rules.alerts)))
@@ -86,6 +91,8 @@ def assemble_vector(rules: RuleBook) -> Column:
 def sparse_medians(cells: DataFrame, n_rows: DataFrame) -> DataFrame:
     """Exact median per feature that is set in at least half the rows; others have median 0.
 
+    The broadcast list holds feature numbers, so at most the length of the vector.
+
     ``cells`` holds the positive cells only; ``n_rows`` is a one-row count of usable rows.
     A zero cell never becomes a row: zeros only shift the rank looked for.
     """
@@ -121,16 +128,19 @@ def feature_table(df: DataFrame, key: str, text: str, rules: RuleBook) -> DataFr
     sparse = sparse_features(df, text, rules, [key])
     usable = sparse.where(F.col("counts").isNotNull()).agg(F.count("*"))
     medians = sparse_medians(set_cells(sparse, key), usable)
-    packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median")))).scalar()
-    fallback = F.transform(
-        F.sequence(F.lit(0), F.lit(n_features(rules) - 1)),
-        lambda i: F.coalesce(F.try_element_at("_medians", i), F.lit(0.0)),
+    by_feature = F.map_from_entries(F.collect_list(F.struct("feature", "median")))
+    fallback = medians.agg(by_feature.alias("m")).select(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(n_features(rules) - 1)),
+            lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)),
+        )
     )
-    return (
+    filled = (
         sparse.withColumn("imputed", F.col("counts").isNull())
-        .withColumn("_medians", packed)
-        .select(key, "imputed", F.coalesce(assemble_vector(rules), fallback).alias("features"))
+        .withColumn("_medians", fallback.scalar())
+        .select(key, "imputed", F.coalesce(assemble_vector(rules), F.col("_medians")).alias("features"))
     )
+    return computed_once(filled, ["features"])
 
 
 def matrix_median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -142,7 +152,7 @@ def matrix_median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     long = clean.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]))
     )
-    medians = grouped_median(long, ["feature"], "value", few_groups=True)
+    medians = grouped_median(long, ["feature"], "value", max_groups=len(columns))
     packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median")))).scalar()
     missing = F.lit(True)
     for c in columns:

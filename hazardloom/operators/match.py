@@ -41,7 +41,9 @@ def match_rules(text: Column, rules: RuleBook) -> Column:
 
 def matches_long(df: DataFrame, keys: list[str], matches: str = "matches") -> DataFrame:
     """One row per entity and matched rule."""
-    return df.select(*keys, F.inline(F.coalesce(F.col(matches), F.array())))
+    # The filter keeps Spark from adding a size test on the column, which it would move
+    # below the matching and so match every text twice.
+    return df.select(*keys, F.inline(F.filter(matches, lambda m: m["n"] > 0)))
 
 
 def match_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame) -> DataFrame:

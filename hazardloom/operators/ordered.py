@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.functions.numbers import order_bucket
-from hazardloom.session import broadcast_if_small
+from hazardloom.session import BROADCAST_ROWS, small_side
 
 LIMIT_ROWS = 10_000  # up to here an ordered limit; beyond it the digest threshold
 
@@ -52,46 +52,55 @@ def running_totals(
 
 
 def grouped_median(
-    df: DataFrame, groups: list[str], value: str, into: str = "median", few_groups: bool = False
+    df: DataFrame, groups: list[str], value: str, into: str = "median", *, max_groups: int | None = None,
+    mean_of: str | None = None, count_into: str | None = None,
 ) -> DataFrame:
     """Exact median per group, missing values skipped; (a + b) / 2 for an even count.
 
     Bucket counts locate the bucket of the middle ranks; only that bucket's rows are
-    shuffled and sorted.  ``few_groups`` says that the groups are columns or features:
-    their middle buckets are then broadcast (after a size check), so rows of other
-    buckets never leave their task.
+    sorted, so a group of any size is spread over many tasks.  ``max_groups`` is a proven
+    bound on the number of groups (they are columns or features): the middle buckets, at
+    most two rows per group, are then broadcast and rows of other buckets never leave
+    their task.  ``mean_of`` adds the group mean of another column and ``count_into`` the
+    number of its values, from the same bucket rows.
     """
+    other = [F.col(mean_of)] if mean_of else []
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *groups, F.col(value), order_bucket(F.col(value)).alias("_b")
+        *groups, F.col(value), *other, order_bucket(F.col(value)).alias("_b")
     )
-    counts = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+    sums = [F.sum(mean_of).alias("_s"), F.count(mean_of).alias("_m")] if mean_of else []
+    counts = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_n"), *sums)
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    carried: list[Column] = []
+    names = ["_before", "_lo", "_hi"]
+    if mean_of:
+        total = F.sum("_m").over(whole)
+        carried = [(F.sum("_s").over(whole) / F.nullif(total, F.lit(0))).alias("_mean"), total.alias("_count")]
+        names += ["_mean", "_count"]
     middle = (
-        counts.withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_all", F.sum("_n").over(whole))
+        counts.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(whole).alias("_all"), *carried)
         .withColumn("_before", F.col("_upto") - F.col("_n"))
         .withColumn("_lo", F.expr("(_all - 1) div 2"))
         .withColumn("_hi", F.expr("_all div 2"))
         .where((F.col("_before") <= F.col("_hi")) & (F.col("_upto") > F.col("_lo")))
-        .select(*groups, "_b", "_before", "_lo", "_hi")
+        .select(*groups, "_b", *names)
     )
-    if few_groups:
-        middle = broadcast_if_small(middle)
+    if max_groups is not None and 2 * max_groups <= BROADCAST_ROWS:
+        middle = F.broadcast(middle)
     inside = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     candidates = (
-        rows.join(middle, [*groups, "_b"])
+        rows.select(*groups, value, "_b")
+        .join(middle, [*groups, "_b"])
         .groupBy(*groups, "_b", value)
-        .agg(
-            F.count("*").alias("_n"),
-            F.first("_before").alias("_before"),
-            F.first("_lo").alias("_lo"),
-            F.first("_hi").alias("_hi"),
-        )
+        .agg(F.count("*").alias("_n"), *[F.first(n).alias(n) for n in names])
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
         .where((F.col("_upto") - F.col("_n") <= F.col("_hi")) & (F.col("_upto") > F.col("_lo")))
     )
-    return candidates.groupBy(*groups).agg(((F.min(value) + F.max(value)) / 2.0).alias(into))
+    extra = [F.first("_mean").alias(mean_of)] if mean_of else []
+    if mean_of and count_into:
+        extra.append(F.first("_count").alias(count_into))
+    return candidates.groupBy(*groups).agg(((F.min(value) + F.max(value)) / 2.0).alias(into), *extra)
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,7 +108,7 @@ def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
     )
-    return grouped_median(long, ["column"], "v", few_groups=True)
+    return grouped_median(long, ["column"], "v", max_groups=len(columns))
 
 
 def digest(seed: int, key: Column) -> Column:
@@ -127,7 +136,7 @@ def digest_thresholds(df: DataFrame, groups: list[str], hashed: str, wanted: Col
     )
     rank = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(hashed))
     return (
-        rows.join(broadcast_if_small(boundary), [*groups, "_b"])
+        rows.join(small_side(boundary, "boundary"), [*groups, "_b"])
         .withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_need"))
         .select(*groups, F.col(hashed).alias("threshold"))
@@ -149,7 +158,7 @@ def stratified_split(df: DataFrame, key: str, cls: str, test_share: float = 0.2,
     hashed = df.withColumn("_digest", digest(seed, F.col(key)))
     wanted = F.floor(F.col("n") * test_share + 0.5)
     thresholds = digest_thresholds(hashed, [cls], "_digest", wanted)
-    joined = hashed.join(broadcast_if_small(thresholds), cls, "left")
+    joined = hashed.join(small_side(thresholds, "thresholds"), cls, "left")
     return joined.withColumn(
         "is_test", F.coalesce(F.col("_digest") <= F.col("threshold"), F.lit(False))
     ).drop("_digest", "threshold")

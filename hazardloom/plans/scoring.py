@@ -17,7 +17,14 @@ from hazardloom.functions.scores import (
     predicted_probability,
     weighted_class_score,
 )
-from hazardloom.functions.text import hashed_ngram_bits, n_present_counts, normalize_key, split_lines, split_parts
+from hazardloom.functions.text import (
+    hashed_ngram_bits,
+    is_usable_key,
+    n_present_counts,
+    normalize_key,
+    split_lines,
+    split_parts,
+)
 from hazardloom.operators.features import n_features
 from hazardloom.operators.health import disease_names, with_health
 from hazardloom.operators.match import alert_report, boosted_probability, match_rules, override_floor
@@ -43,7 +50,7 @@ def with_boosted(df: DataFrame, text: str, base: Column, rules: RuleBook) -> Dat
     Adds ``key``, ``matches``, ``base``, ``override`` and ``p``; rows without a usable key
     are dropped.  Map-only.
     """
-    keyed = df.withColumn("key", normalize_key(F.col(text))).where(F.col("key").isNotNull())
+    keyed = df.where(is_usable_key(F.col(text))).withColumn("key", normalize_key(F.col(text)))
     matched = computed_once(keyed.withColumn("matches", match_rules(F.col("key"), rules)), ["key", "matches"])
     floored = matched.withColumn("base", base).withColumn("override", override_floor(F.col("matches")))
     boosted = floored.withColumn("p", boosted_probability(F.col("base"), F.col("matches"), F.col("override")))

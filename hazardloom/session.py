@@ -54,6 +54,14 @@ def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*columns))))
 
 
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """A small derived table for a join: computed once into the shared folder, then checked.
+
+    Without the write, the size check and every use would compute it again.
+    """
+    return broadcast_if_small(write_and_read(df, name))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows over the session's cores where the scan has fewer splits than that.
 
