@@ -15,7 +15,7 @@ from hazardloom.operators import explain, features, metrics, ordered
 from hazardloom.operators.match import match_rules
 from hazardloom.plans import training
 from hazardloom.plans.evaluation import evaluation_tables
-from hazardloom.session import computed_once, scratch_path
+from hazardloom.session import computed_once, scratch_path, spread
 from hazardloom.sources import files
 
 K = 5
@@ -130,7 +130,8 @@ def evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- features ---------------------------------------------------------------------------
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return inp.table(spark, sf, "documents").select("doc_id", *count_features(F.col("text")))
+    docs = spread(inp.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", *count_features(F.col("text")))
 
 
 def ngram_bits(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,7 +104,8 @@ def report_fields(*names: str):
 def diminishing_boost(spark: SparkSession, sf: str) -> DataFrame:
     rows = matched(spark, sf).withColumn("override", match.override_floor(F.col("matches")))
     return rows.select(
-        "entity", match.boosted_probability(F.col("base_p"), F.col("matches"), F.col("override")).alias("p")
+        "entity",
+        match.boosted_probability(F.col("base_p"), match.discounted_boost(F.col("matches")), F.col("override")).alias("p"),
     )
 
 
@@ -173,12 +174,13 @@ def component_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pair_rule_match(spark: SparkSession, sf: str) -> DataFrame:
-    fired = mixture.fired_rules(F.col("alert_sets"), WORD_RULES)
+    fired = mixture.fired_rules(F.col("rule_sets"), WORD_RULES)
     return mixtures(spark, sf).select("mix", F.inline(fired)).select("mix", "ord", "rule", "modifier")
 
 
 def alert_set(spark: SparkSession, sf: str) -> DataFrame:
-    rows = mixtures(spark, sf).select("mix", F.posexplode("alert_sets").alias("i", "alerts"))
+    named = mixture.alert_sets(F.col("rule_sets"), WORD_RULES)
+    rows = mixtures(spark, sf).select("mix", F.posexplode(named).alias("i", "alerts"))
     return rows.select("mix", (F.col("i") + 1).alias("component"), F.array_join("alerts", "; ").alias("alerts"))
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 
 from catalog.inputs import WORD_RULES, WORDS
-from hazardloom.functions.text import COUNT_FEATURES, TRIM_PATTERN
+from hazardloom.functions.text import COUNT_FEATURES, WHITESPACE
 from hazardloom.operators.clean import ASSAYS
 
 
+TRIM_PATTERN = rf"^{WHITESPACE}+|{WHITESPACE}+$"
+
+
 def text_literal(value: object) -> str:
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
@@ -126,7 +129,7 @@ _assay_sum = " + ".join(f'coalesce("{a}", 0)' for a in ASSAYS)
 _assay_n = " + ".join(f'("{a}" IS NOT NULL)::INT' for a in ASSAYS)
 
 
-def _count_sql(name: str, pattern: str | None) -> str:
+def _count_sql(name: str, kind: str, what: str) -> str:
     words = "regexp_extract_all(text, '[A-Za-z0-9]+')"
     if name == "n_chars":
         return "length(text)"
@@ -134,10 +137,11 @@ def _count_sql(name: str, pattern: str | None) -> str:
         return f"len(list_distinct(list_transform({words}, lambda w: lower(w))))"
     if name == "longest_word":
         return f"coalesce(list_max(list_transform({words}, lambda w: length(w))), 0)"
+    pattern = "|".join(re.escape(c) for c in what) if kind == "characters" else what
     return f"len(regexp_extract_all(text, {text_literal(pattern)}))"
 
 
-COUNTS_SQL = [f"({_count_sql(n, p)})::DOUBLE" for n, p in COUNT_FEATURES.items()]
+COUNTS_SQL = [f"({_count_sql(n, *spec)})::DOUBLE" for n, spec in COUNT_FEATURES.items()]
 
 
 def grams(n: int) -> str:

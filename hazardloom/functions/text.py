@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 
 from hazardloom.rules import constant
 
-# --- fixed values: the white space that trimming removes ---------------------------
+# --- fixed values: the white space that trimming removes, as a class and as characters ----
 WHITESPACE = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-TRIM_PATTERN = rf"^{WHITESPACE}+|{WHITESPACE}+$"
+WHITESPACE_CHARS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000]
+)
 NOT_BLANK = WHITESPACE.replace("[", "[^", 1)
 
 
 def strip(text: Column) -> Column:
-    """Remove white space of every kind at both ends (SQL ``trim`` removes blanks only)."""
-    return F.regexp_replace(text, TRIM_PATTERN, "")
+    """Remove white space of every kind at both ends (plain ``trim`` removes blanks only).
+
+    Looks at the ends only, whatever the length of the text.
+    """
+    return F.btrim(text, F.lit(WHITESPACE_CHARS))
+
+
+def remove(text: Column, characters: str) -> Column:
+    """Delete every occurrence of the given characters."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def normalize_key(text: Column) -> Column:
     """Trimmed text without line breaks; NULL when nothing usable is left."""
-    return F.when(is_usable_key(text), F.translate(strip(text), "\n\r", ""))
+    return F.when(is_usable_key(text), remove(strip(text), "\n\r"))
 
 
 def is_usable_key(text: Column) -> Column:
@@ -55,49 +69,61 @@ def split_lines(text: Column, names: dict[str, str]) -> Column:
     return F.flatten(F.transform(lines, lambda line: split_parts(line, names)))
 
 
-# Count features of a text: 27 named numbers.  ``None`` stands for the special counts.
-COUNT_FEATURES: dict[str, str | None] = {
-    "n_chars": None,
-    "n_letters": r"[A-Za-z]",
-    "n_upper": r"[A-Z]",
-    "n_lower": r"[a-z]",
-    "n_digits": r"[0-9]",
-    "n_blanks": r" ",
-    "n_words": r"[A-Za-z0-9]+",
-    "n_numbers": r"[0-9]+",
-    "n_non_ascii": r"[^\x00-\x7f]",
-    "n_round_open": r"\(",
-    "n_round_close": r"\)",
-    "n_square_open": r"\[",
-    "n_square_close": r"\]",
-    "n_double_marks": r"=",
-    "n_triple_marks": r"#",
-    "n_plus": r"\+",
-    "n_minus": r"-",
-    "n_slashes": r"[/\\]",
-    "n_at": r"@",
-    "n_dots": r"\.",
-    "n_commas": r",",
-    "n_vowels": r"[AEIOUaeiou]",
-    "n_hetero": r"[NOSPnosp]",
-    "n_halogen": r"F|Cl|Br|I",
-    "n_aromatic": r"[cnos]",
-    "n_distinct_words": None,
-    "longest_word": None,
+# Count features of a text: 27 named numbers.  A feature counts single characters (given
+# as text), the characters of a class, the matches of a pattern, or is special.
+COUNT_FEATURES: dict[str, tuple[str, str]] = {
+    "n_chars": ("special", r"(?s)."),
+    "n_letters": ("class", r"[A-Za-z]"),
+    "n_upper": ("class", r"[A-Z]"),
+    "n_lower": ("class", r"[a-z]"),
+    "n_digits": ("class", r"[0-9]"),
+    "n_blanks": ("characters", " "),
+    "n_words": ("pattern", r"[A-Za-z0-9]+"),
+    "n_numbers": ("pattern", r"[0-9]+"),
+    "n_non_ascii": ("class", r"[^\x00-\x7f]"),
+    "n_round_open": ("characters", "("),
+    "n_round_close": ("characters", ")"),
+    "n_square_open": ("characters", "["),
+    "n_square_close": ("characters", "]"),
+    "n_double_marks": ("characters", "="),
+    "n_triple_marks": ("characters", "#"),
+    "n_plus": ("characters", "+"),
+    "n_minus": ("characters", "-"),
+    "n_slashes": ("characters", "/\\"),
+    "n_at": ("characters", "@"),
+    "n_dots": ("characters", "."),
+    "n_commas": ("characters", ","),
+    "n_vowels": ("class", r"[AEIOUaeiou]"),
+    "n_hetero": ("class", r"[NOSPnosp]"),
+    "n_halogen": ("pattern", r"F|Cl|Br|I"),
+    "n_aromatic": ("class", r"[cnos]"),
+    "n_distinct_words": ("special", r"[A-Za-z0-9]"),
+    "longest_word": ("special", r"[A-Za-z0-9]"),
 }
 
 
 def count_features(text: Column) -> list[Column]:
-    """The count features in their fixed order, as doubles; NULL text gives NULLs."""
+    """The count features in their fixed order, as doubles; NULL text gives NULLs.
+
+    Characters are counted by what deleting them takes off the length, which needs no
+    list of matches.
+    """
     words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+)"), F.lit(1))
     special = {
         "n_chars": F.length(text),
         "n_distinct_words": F.size(F.array_distinct(F.transform(words, F.lower))),
-        "longest_word": F.when(F.size(words) == 0, 0).otherwise(F.array_max(F.transform(words, F.length))),
+        "longest_word": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)),
     }
     columns = []
-    for name, pattern in COUNT_FEATURES.items():
-        count = special[name] if pattern is None else F.regexp_count(text, F.lit(pattern))
+    for name, (kind, what) in COUNT_FEATURES.items():
+        if kind == "special":
+            count = special[name]
+        elif kind == "characters":
+            count = F.length(text) - F.length(remove(text, what))
+        elif kind == "class":
+            count = F.length(text) - F.length(F.regexp_replace(text, what + "+", ""))
+        else:
+            count = F.regexp_count(text, F.lit(what))
         columns.append(F.when(text.isNotNull(), count.cast("double")).alias(name))
     return columns
 
@@ -105,9 +131,13 @@ def count_features(text: Column) -> list[Column]:
 def n_present_counts(text: Column) -> Column:
     """Number of count features of a (non-NULL) text that are not zero."""
     present = F.lit(0)
-    for name, pattern in COUNT_FEATURES.items():
-        word = pattern is None and name != "n_chars"
-        found = F.length(text) > 0 if name == "n_chars" else text.rlike(r"[A-Za-z0-9]" if word else pattern)
+    for kind, what in COUNT_FEATURES.values():
+        if kind == "characters":
+            found = text.contains(what[0])
+            for c in what[1:]:
+                found = found | text.contains(c)
+        else:
+            found = text.rlike(what)
         present = present + found.cast("int")
     return present
 

@@ -39,6 +39,11 @@ def match_rules(text: Column, rules: RuleBook) -> Column:
     return F.filter(candidates, lambda m: m["n"] > 0)
 
 
+def compact(matches: Column) -> Column:
+    """Rule numbers and counts only: what a mixture needs of its components' matches."""
+    return F.transform(matches, lambda m: F.struct(m["ord"].alias("ord"), m["n"].alias("n")))
+
+
 def matches_long(df: DataFrame, keys: list[str], matches: str = "matches") -> DataFrame:
     """One row per entity and matched rule."""
     # The filter keeps Spark from adding a size test on the column, which it would move
@@ -113,7 +118,10 @@ def override_floor(matches: Column) -> Column:
 
 
 def discounted_boost(matches: Column) -> Column:
-    """Boosts from the largest down, the i-th (from 0) divided by 1 + i/2, summed."""
+    """Boosts from the largest down, the i-th (from 0) divided by 1 + i/2, summed.
+
+    NULL without matches.
+    """
     ranked = F.array_sort(F.transform(matches, lambda m: F.struct((-m["boost"]).alias("b"), m["ord"].alias("o"))))
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("i"))
 
@@ -121,17 +129,18 @@ def discounted_boost(matches: Column) -> Column:
         step = -m["b"] * (F.lit(1.0) / (F.lit(1.0) + acc["i"] * 0.5))
         return F.struct((acc["total"] + step).alias("total"), (acc["i"] + 1.0).alias("i"))
 
-    return F.aggregate(ranked, start, add, lambda acc: acc["total"])
+    return F.when(F.size(matches) > 0, F.aggregate(ranked, start, add, lambda acc: acc["total"]))
 
 
-def boosted_probability(base: Column, matches: Column, override: Column) -> Column:
-    """Base probability raised by the floor if there is one, else by the discounted boosts."""
-    raised = F.least(
-        round_exact_once(base + discounted_boost(matches) * (F.lit(1.0) - base), 4), F.lit(HIGHEST_PROBABILITY)
-    )
-    return (
-        F.when(override.isNotNull(), F.greatest(base, override)).when(F.size(matches) == 0, base).otherwise(raised)
-    )
+def boosted_probability(base: Column, boost: Column, override: Column) -> Column:
+    """Base probability raised by the floor if there is one, else by the discounted boosts.
+
+    ``boost`` is :func:`discounted_boost` and ``override`` :func:`override_floor` of the
+    matches; both depend on the text only, so a dimension computes them once per text.
+    A text without matches (NULL boost) keeps its base unrounded.
+    """
+    raised = F.least(round_exact_once(base + boost * (F.lit(1.0) - base), 4), F.lit(HIGHEST_PROBABILITY))
+    return F.when(override.isNotNull(), F.greatest(base, override)).when(boost.isNull(), base).otherwise(raised)
 
 
 def alert_explanation(matches: Column, rules: RuleBook) -> Column:

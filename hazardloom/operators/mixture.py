@@ -1,8 +1,9 @@
 """Mixtures: grouping components, pair rules, combination and bounded escalation.
 
 A mixture is one row with an array of at most ten components
-``(pos, key, probability, confidence, matches)``.  The ten come first, so no later step
-meets an unbounded group, and all steps after the grouping are row expressions.
+``(pos, key, probability, confidence, matches)``, the matches being rule numbers with
+counts.  The ten come first, so no later step meets an unbounded group, and all steps
+after the grouping are row expressions.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from hazardloom.rules import (
     MODERATE_INTERACTION,
     NO_INTERACTION,
     RuleBook,
+    constant,
 )
 
 RESULT_COLUMNS = [
-    "probabilities", "all_matches", "alert_sets", "best_rule", "interaction", "combined", "stats", "escalated",
+    "probabilities", "all_matches", "rule_sets", "best_rule", "interaction", "combined", "stats", "escalated",
     "escalation_text", "final_probability", "explanation", "label", "combined_confidence", "most_dangerous",
     "danger_level",
 ]
@@ -71,20 +73,27 @@ def component_pairs(components: Column) -> Column:
     )
 
 
-def alert_sets(components: Column) -> Column:
+def rule_sets(components: Column) -> Column:
+    """Set of rule numbers per component."""
+    return F.transform(components, lambda c: F.transform(c["matches"], lambda m: m["ord"]))
+
+
+def alert_sets(sets: Column, rules: RuleBook) -> Column:
     """Sorted set of alert names per component."""
-    return F.transform(
-        components, lambda c: F.array_sort(F.array_distinct(F.transform(c["matches"], lambda m: m["alert"])))
-    )
+    names = constant([a[1] for a in rules.alerts], "array<string>")
+    return F.transform(sets, lambda s: F.array_sort(F.transform(s, lambda o: F.get(names, o - 1))))
 
 
-def _rule_fires(sets: Column, alert_a: str, alert_b: str) -> Column:
+def _rule_fires(sets: Column, rule: tuple, rules: RuleBook) -> Column:
     """Alert a in one component and alert b in another one, either way round.
 
     That holds exactly when both occur and the components holding either number two or
     more, so no pair of components has to be formed.
     """
-    a, b = F.lit(alert_a), F.lit(alert_b)
+    number = {alert[1]: alert[0] for alert in rules.alerts}
+    if rule[2] not in number or rule[3] not in number:
+        return F.lit(False)
+    a, b = F.lit(number[rule[2]]), F.lit(number[rule[3]])
     holders = F.filter(sets, lambda s: F.array_contains(s, a) | F.array_contains(s, b))
     return (
         F.exists(sets, lambda s: F.array_contains(s, a))
@@ -106,14 +115,14 @@ def _rule_struct(rule: tuple) -> Column:
 def fired_rules(sets: Column, rules: RuleBook) -> Column:
     """All fired pair rules in rule order."""
     return F.array_compact(
-        F.array(*[F.when(_rule_fires(sets, r[2], r[3]), _rule_struct(r)) for r in rules.pair_rules])
+        F.array(*[F.when(_rule_fires(sets, r, rules), _rule_struct(r)) for r in rules.pair_rules])
     )
 
 
 def best_rule(sets: Column, rules: RuleBook) -> Column:
     """The fired rule with the highest modifier above 1, the first on ties; NULL if none."""
     ranked = sorted((r for r in rules.pair_rules if r[4] > 1.0), key=lambda r: (-r[4], r[0]))
-    return F.coalesce(*[F.when(_rule_fires(sets, r[2], r[3]), _rule_struct(r)) for r in ranked])
+    return F.coalesce(*[F.when(_rule_fires(sets, r, rules), _rule_struct(r)) for r in ranked])
 
 
 def _sum(values: Column) -> Column:
@@ -169,7 +178,7 @@ def alert_stats(components: Column, all_matches: Column, rules: RuleBook) -> Col
     )
     return F.struct(
         _sum(F.transform(all_matches, lambda m: rules.weight_of(m["ord"]))).alias("weight"),
-        F.size(F.array_distinct(F.transform(all_matches, lambda m: m["alert"]))).alias("distinct_alerts"),
+        F.size(F.array_distinct(F.transform(all_matches, lambda m: m["ord"]))).alias("distinct_alerts"),
         toxic.alias("toxic_count"),
     )
 
@@ -248,8 +257,8 @@ def score_components(df: DataFrame, rules: RuleBook, health: bool = True) -> Dat
     staged = (
         df.withColumn("probabilities", F.transform(c, lambda x: x["probability"]))
         .withColumn("all_matches", F.flatten(F.transform(c, lambda x: x["matches"])))
-        .withColumn("alert_sets", alert_sets(c))
-        .withColumn("best_rule", best_rule(F.col("alert_sets"), rules))
+        .withColumn("rule_sets", rule_sets(c))
+        .withColumn("best_rule", best_rule(F.col("rule_sets"), rules))
         .withColumn(
             "interaction", interaction(F.col("best_rule"), F.col("probabilities"), F.size("all_matches"))
         )

@@ -27,7 +27,14 @@ from hazardloom.functions.text import (
 )
 from hazardloom.operators.features import n_features
 from hazardloom.operators.health import disease_names, with_health
-from hazardloom.operators.match import alert_report, boosted_probability, match_rules, override_floor
+from hazardloom.operators.match import (
+    alert_report,
+    boosted_probability,
+    compact,
+    discounted_boost,
+    match_rules,
+    override_floor,
+)
 from hazardloom.operators.mixture import (
     MAX_COMPONENTS,
     MIN_COMPONENTS,
@@ -52,9 +59,13 @@ def with_boosted(df: DataFrame, text: str, base: Column, rules: RuleBook) -> Dat
     """
     keyed = df.where(is_usable_key(F.col(text))).withColumn("key", normalize_key(F.col(text)))
     matched = computed_once(keyed.withColumn("matches", match_rules(F.col("key"), rules)), ["key", "matches"])
-    floored = matched.withColumn("base", base).withColumn("override", override_floor(F.col("matches")))
-    boosted = floored.withColumn("p", boosted_probability(F.col("base"), F.col("matches"), F.col("override")))
-    return computed_once(boosted, ["base", "override", "p"])
+    floored = (
+        matched.withColumn("base", base)
+        .withColumn("override", override_floor(F.col("matches")))
+        .withColumn("boost", discounted_boost(F.col("matches")))
+    )
+    boosted = floored.withColumn("p", boosted_probability(F.col("base"), F.col("boost"), F.col("override")))
+    return computed_once(boosted.drop("boost"), ["base", "override", "p"])
 
 
 def score_entities(
@@ -114,9 +125,9 @@ def score_mixture_rows(
 ) -> DataFrame:
     """Score mixtures given as one row per component.
 
-    Components that refer to a dimension (``match_table`` with ``match_key``, ``key``,
-    ``matches`` and ``n_available``, see :func:`match_dimension`) reuse the matches
-    computed once per dimension row; otherwise the text of each row is matched.
+    Components that refer to a dimension (``match_table`` with ``match_key``, see
+    :func:`match_dimension`) reuse what was computed once per dimension row; otherwise
+    the text of each row is matched.
     The only shuffle is on the mixture key, besides a large dimension's join.
     """
     if match_table is None:
@@ -125,11 +136,7 @@ def score_mixture_rows(
     else:
         joined = df.join(match_table, match_key, "left")
         rows = truncate_components(joined, mixture, order)
-    rows = (
-        rows.withColumn("base", base)
-        .withColumn("override", override_floor(F.col("matches")))
-        .withColumn("p", boosted_probability(F.col("base"), F.col("matches"), F.col("override")))
-    )
+    rows = rows.withColumn("p", boosted_probability(base, F.col("boost"), F.col("override")))
     fields = [
         F.col("key").alias("key"),
         round_exact(F.col("p"), 4).alias("probability"),
@@ -143,11 +150,22 @@ def score_mixture_rows(
 
 
 def match_dimension(df: DataFrame, text: str, rules: RuleBook) -> DataFrame:
-    """Add ``key``, ``matches`` and ``n_available`` per row (NULL key for an unusable text)."""
+    """Add what a component needs of its text (NULL ``key`` for an unusable text).
+
+    That is ``key``, ``matches`` (numbers and counts), ``override``, ``boost`` and
+    ``n_available``; none of it depends on the component's base probability.
+    """
     keyed = df.withColumn("key", normalize_key(F.col(text)))
-    matched = keyed.withColumn("matches", match_rules(F.col("key"), rules))
-    counted = matched.withColumn("n_available", available_features(F.col("key"), F.col("matches")))
-    return computed_once(counted, ["key", "matches", "n_available"])
+    matched = keyed.withColumn("_found", match_rules(F.col("key"), rules))
+    found = F.col("_found")
+    counted = (
+        matched.withColumn("n_available", available_features(F.col("key"), found))
+        .withColumn("override", override_floor(found))
+        .withColumn("boost", discounted_boost(found))
+        .withColumn("matches", compact(found))
+        .drop("_found")
+    )
+    return computed_once(counted, ["key", "matches", "n_available", "override", "boost"])
 
 
 def score_part_arrays(
@@ -166,14 +184,15 @@ def score_part_arrays(
         lambda c: F.struct(
             c["pos"], c["key"], c["base"], c["matches"],
             override_floor(c["matches"]).alias("override"),
+            discounted_boost(c["matches"]).alias("boost"),
             available_features(c["key"], c["matches"]).alias("available"),
         ),
     )
     stage_3 = F.transform(
         "_s2",
         lambda c: F.struct(
-            c["pos"], c["key"], c["matches"], c["available"],
-            boosted_probability(c["base"], c["matches"], c["override"]).alias("p"),
+            c["pos"], c["key"], compact(c["matches"]).alias("matches"), c["available"],
+            boosted_probability(c["base"], c["boost"], c["override"]).alias("p"),
         ),
     )
     components = F.transform(
