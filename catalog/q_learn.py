@@ -429,8 +429,8 @@ QUERIES: dict = {
         + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM x)), 6) AS {c}" for c in ("f0", "f1", "f2")) + ", 0e0 AS f3 FROM x",
     ),
     "train_forest": (model_rows("RandomForest"), None),
-    "train_boosted": (model_rows("XGBoost"), None),
-    "train_boosted_balanced": (model_rows("LightGBM"), None),
+    "train_boosted": (model_rows("BoostedTrees"), None),
+    "train_boosted_balanced": (model_rows("BalancedBoostedTrees"), None),
     "predict_proba": (predict_proba, None),
     "model_store": (model_store, None),
     "model_comparison": (model_comparison, None),

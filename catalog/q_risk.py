@@ -11,9 +11,9 @@ from catalog.sqlkit import (
     boosted,
     confidence,
     disease_fold,
-    fold,
     label,
     level,
+    mean_sum,
     ORGAN_STEP,
     override,
     pyround,
@@ -261,7 +261,7 @@ _esc_text = (
     f"|| CASE WHEN toxic_count >= 2 AND {_multi} > 0 THEN '; multi_toxic_boost=' || {_fixed(_multi, 3)} ELSE '' END"
 )
 _final_text = f"{_interaction_text} || CASE WHEN escalated > combined THEN ' ' || {_esc_text} ELSE '' END"
-_mean_conf = pyround(fold("confs", "a + b", "0e0") + " / n * 0.9e0", 3)
+_mean_conf = pyround("(" + mean_sum("confs") + ") / n * 0.9e0", 3)
 _mix_score = (
     f"SELECT f.mix, n, kind AS interaction, modifier, {_final_text} AS explanation, final_p AS final_probability, {label('final_p')} AS label, "
     f"{_mean_conf} AS combined_confidence, most_dangerous, danger AS danger_level, coalesce(d.diseases, '') AS diseases, "

@@ -80,6 +80,12 @@ def fold(items: str, step: str, start: str) -> str:
     return f"list_reduce({items}, lambda a, b: {step}, {start})"
 
 
+def mean_sum(xs: str) -> str:
+    """Sum in the fixed order of the mixture means."""
+    eight = f"((({xs}[1] + {xs}[2]) + ({xs}[3] + {xs}[4])) + (({xs}[5] + {xs}[6]) + ({xs}[7] + {xs}[8])))"
+    return f"CASE WHEN len({xs}) >= 8 THEN {fold(f'{xs}[9:]', 'a + b', eight)} ELSE {fold(xs, 'a + b', '0e0')} END"
+
+
 def override(crit: str, high: str, total: str) -> str:
     return (
         f"CASE WHEN {crit} >= 2 THEN 0.95e0 WHEN {crit} >= 1 THEN 0.8e0 WHEN {high} >= 3 THEN 0.85e0 "
@@ -224,7 +230,7 @@ CTES: dict[str, str] = {
     "FROM mixes m LEFT JOIN pair_best b USING (mix)",
     "combined": "SELECT *, least(" + pyround(
         "CASE kind WHEN 'SYNERGISTIC' THEN (1e0 - " + fold("ps", "a * (1e0 - b)", "1e0") + ") * modifier "
-        "WHEN 'ADDITIVE' THEN " + fold("ps", "a + b", "0e0") + " / n * modifier ELSE max_p END", 4
+        "WHEN 'ADDITIVE' THEN (" + mean_sum("ps") + ") / n * modifier ELSE max_p END", 4
     ) + ", 0.999e0) AS combined FROM interactions",
     "mix_stats": "SELECT mix, " + fold("list(coalesce(w.weight, 0.15e0) ORDER BY pos, ord)", "a + b", "0e0")
     + " AS weight, count(DISTINCT alert) AS distinct_alerts FROM cmatches c LEFT JOIN weights w USING (alert) GROUP BY mix",

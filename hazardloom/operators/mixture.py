@@ -130,7 +130,17 @@ def _sum(values: Column) -> Column:
 
 
 def _mean(values: Column) -> Column:
-    return _sum(values) / F.nullif(F.size(values), F.lit(0))
+    """Mean of up to ten values.
+
+    The result is rounded to few digits and often sits on a tie, so the order of addition
+    is fixed: eight or more values add the first eight in pairs, as vectorised sums do.
+    """
+    v = [F.get(values, F.lit(i)) for i in range(8)]
+    first_eight = ((v[0] + v[1]) + (v[2] + v[3])) + ((v[4] + v[5]) + (v[6] + v[7]))
+    rest = F.slice(values, F.lit(9), F.greatest(F.size(values) - 8, F.lit(0)))
+    paired = F.aggregate(rest, first_eight, lambda a, x: a + x)
+    total = F.when(F.size(values) >= 8, paired).otherwise(_sum(values))
+    return total / F.nullif(F.size(values), F.lit(0))
 
 
 def interaction(best: Column, probabilities: Column, n_alert_rows: Column) -> Column:
@@ -247,8 +257,8 @@ def most_dangerous(components: Column) -> Column:
     return F.array_max(ranked)["key"]
 
 
-def mixture_confidence(components: Column) -> Column:
-    return round_exact_once(_mean(F.transform(components, lambda c: c["confidence"])) * 0.9, 3)
+def mixture_confidence(confidences: Column) -> Column:
+    return round_exact_once(_mean(confidences) * 0.9, 3)
 
 
 def score_components(df: DataFrame, rules: RuleBook, health: bool = True) -> DataFrame:
@@ -256,6 +266,7 @@ def score_components(df: DataFrame, rules: RuleBook, health: bool = True) -> Dat
     c = F.col("components")
     staged = (
         df.withColumn("probabilities", F.transform(c, lambda x: x["probability"]))
+        .withColumn("_confidences", F.transform(c, lambda x: x["confidence"]))
         .withColumn("all_matches", F.flatten(F.transform(c, lambda x: x["matches"])))
         .withColumn("rule_sets", rule_sets(c))
         .withColumn("best_rule", best_rule(F.col("rule_sets"), rules))
@@ -273,9 +284,9 @@ def score_components(df: DataFrame, rules: RuleBook, health: bool = True) -> Dat
     final = with_override(with_escalation(staged))
     final = (
         final.withColumn("label", probability_label(F.col("final_probability")))
-        .withColumn("combined_confidence", mixture_confidence(c))
+        .withColumn("combined_confidence", mixture_confidence(F.col("_confidences")))
         .withColumn("most_dangerous", most_dangerous(c))
         .withColumn("danger_level", danger_level(F.col("final_probability"), F.size("all_matches"), lowest=1))
     )
-    final = computed_once(final, RESULT_COLUMNS)
+    final = computed_once(final.drop("_confidences"), RESULT_COLUMNS)
     return with_health(final, rules, "all_matches") if health else final

@@ -32,7 +32,7 @@ from hazardloom.operators.ordered import stratified_split
 from hazardloom.session import write_and_read
 from hazardloom.sources.files import save_model, sink_json_metrics
 
-# --- fixed values: the candidates' settings and names --------------------------------
+# --- fixed values: the candidates' settings --------------------------------
 SEED = 42
 TEST_SHARE = 0.2
 N_CLASSES = 5
@@ -67,9 +67,9 @@ def boosted_balanced(**settings) -> Estimator:
 def candidates(forest_settings: dict | None = None, boosted_settings: dict | None = None) -> dict[str, Estimator]:
     """The three candidate models by name, in comparison order."""
     return {
-        "XGBoost": boosted(**(boosted_settings or {})),
+        "BoostedTrees": boosted(**(boosted_settings or {})),
         "RandomForest": forest(**(forest_settings or {})),
-        "LightGBM": boosted_balanced(**(boosted_settings or {})),
+        "BalancedBoostedTrees": boosted_balanced(**(boosted_settings or {})),
     }
 
 
