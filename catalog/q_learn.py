@@ -61,8 +61,14 @@ def run_row(spark: SparkSession, sf: str) -> DataFrame:
         weighted(spark, sf).withColumn("ord", F.ascii("model")), "model", "f1_score", "ord"
     )
     detailed = training.detailed_metrics(rows, K)
-    head = {"n_classes": F.lit(K), "n_test": F.lit(rows.count())}
-    run = training.run_metadata(detailed, head).crossJoin(best.hint("broadcast"))
+    chosen = best.select(F.struct("best_model", "best_f1")).scalar()
+    head = {
+        "best_model": chosen["best_model"],
+        "best_f1": chosen["best_f1"],
+        "n_classes": F.lit(K),
+        "n_test": F.lit(rows.count()),
+    }
+    run = training.run_metadata(detailed, head)
     path = scratch_path(spark, "run-metadata")
     files.sink_json_metrics(run, path)
     return files.scan_json_metrics(spark, path)
@@ -336,6 +342,12 @@ _attr_text = (
     f"LEFT JOIN (SELECT vec_id, string_agg('**' || feature || '**', ', ' ORDER BY rank) AS t FROM ({_attr_rows}) WHERE side = 'protective' AND rank <= 3 GROUP BY vec_id) p USING (vec_id)"
 )
 
+# The test part of the stratified split; the properties checked hold for each of its rows.
+_test_rows = sql(
+    "SELECT {} FROM (SELECT vec_id, row_number() OVER (PARTITION BY cls ORDER BY md5('42:' || vec_id)) "
+    "<= floor(count(*) OVER (PARTITION BY cls) * 0.2e0 + 0.5e0) AS is_test FROM vecs) WHERE is_test"
+)
+
 QUERIES: dict = {
     "scan_json_metrics": (
         scan_json,
@@ -431,8 +443,10 @@ QUERIES: dict = {
     "train_forest": (model_rows("RandomForest"), None),
     "train_boosted": (model_rows("BoostedTrees"), None),
     "train_boosted_balanced": (model_rows("BalancedBoostedTrees"), None),
-    "predict_proba": (predict_proba, None),
-    "model_store": (model_store, None),
+    "predict_proba": (
+        predict_proba, _test_rows.format("vec_id, 5 AS n_classes, 1e0 AS total, true AS is_top")
+    ),
+    "model_store": (model_store, _test_rows.format("vec_id, true AS same, true AS missing_is_none")),
     "model_comparison": (model_comparison, None),
     "train_evaluate": (train_evaluate, None),
     "row_attribution_topk": (row_attribution, sql(_attr_rows)),

@@ -294,7 +294,7 @@ def _batch_sql(body: str) -> str:
         "FROM b_comps0 c JOIN b_report r USING (text) JOIN b_feat f USING (text)"
     )
     steps["comps"] = (
-        f"SELECT mix, pos, key, n_alerts, {pyround('p', 4)} AS p, {confidence('p', 'n_alerts', 'n_available', '1067')} AS conf FROM b_comps_p"
+        f"SELECT mix, pos, key, n_alerts, {label('p')} AS label, {pyround('p', 4)} AS p, {confidence('p', 'n_alerts', 'n_available', '1067')} AS conf FROM b_comps_p"
     )
     steps["cmatches"] = "SELECT c.mix, c.pos, m.* FROM comps c JOIN b_matches m ON m.text = c.key"
     names = ["rules", "weights", "diseases", "pair_rules", "names", "name_map", "uploads", "upload_parts"]
@@ -304,13 +304,13 @@ def _batch_sql(body: str) -> str:
         head[n] = CTES[n]
     head["batch"] = (
         'SELECT b.o_orderkey, CASE WHEN mode = \'Mixture\' THEN b.mixture ELSE b.smiles END AS "Input", mode AS "Mode", '
-        f"CASE mode WHEN 'Mixture' THEN {label('f.final_p')} WHEN 'Single' THEN {label('f.max_p')} ELSE 'UNKNOWN' END AS \"Label\", "
+        f"CASE mode WHEN 'Mixture' THEN {label('f.final_p')} WHEN 'Single' THEN c.label ELSE 'UNKNOWN' END AS \"Label\", "
         "CASE mode WHEN 'Mixture' THEN f.final_p WHEN 'Single' THEN f.max_p ELSE 0e0 END AS \"Probability\", "
         f"CASE mode WHEN 'Mixture' THEN {_mean_conf} WHEN 'Single' THEN confs[1] ELSE 0e0 END AS \"Confidence\", "
         "CASE mode WHEN 'Mixture' THEN f.kind ELSE 'N/A' END AS \"Interaction\", len(b.chosen)::INT AS \"N_Components\", "
         "CASE mode WHEN 'Mixture' THEN f.danger WHEN 'Single' THEN least(10, trunc(f.max_p * 10e0)::INT + f.alert_rows) ELSE 0 END::INT AS \"Danger_Level\", "
         "coalesce(d.diseases, '') AS \"Diseases\", CASE mode WHEN 'Mixture' THEN substr(f.most_dangerous, 1, 30) ELSE '' END AS \"Most_Dangerous\" "
-        "FROM b_rows b LEFT JOIN mix_final f ON f.mix = b.o_orderkey LEFT JOIN mix_top_diseases d ON d.mix = b.o_orderkey"
+        "FROM b_rows b LEFT JOIN mix_final f ON f.mix = b.o_orderkey LEFT JOIN comps c ON c.mix = b.o_orderkey AND c.pos = 1 LEFT JOIN mix_top_diseases d ON d.mix = b.o_orderkey"
     )
     return "WITH " + ",\n".join(f"{n} AS ({c})" for n, c in head.items()) + "\n" + body
 
@@ -453,7 +453,7 @@ QUERIES: dict = {
     "score_mixtures": (score_mixtures, sql(_mix_score)),
     "detail_plus_total": (
         detail_plus_total,
-        sql(f"SELECT mix, pos AS line, key AS \"SMILES\", {label('p')} AS \"Label\", p AS \"Probability\", conf AS \"Confidence\", n_alerts::VARCHAR AS \"Alerts\" FROM comps "
+        sql(f"SELECT mix, pos AS line, key AS \"SMILES\", label AS \"Label\", p AS \"Probability\", conf AS \"Confidence\", n_alerts::VARCHAR AS \"Alerts\" FROM comps "
             f"UNION ALL SELECT mix, 11, '=== COMBINED ===', {label('final_p')}, final_p, {_mean_conf}, kind FROM mix_final"),
     ),
     "batch_route": (batch, _batch_sql("SELECT * FROM batch")),

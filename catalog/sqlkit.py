@@ -210,7 +210,7 @@ CTES: dict[str, str] = {
     "comps_all": "SELECT l.mix, l.pos, l.entity, p.text AS key, a.n_available, r.n_alerts, "
     f"{boosted('l.base', 'r.boosts', 'r.override_probability')} AS p "
     "FROM lines l JOIN parts p USING (entity) JOIN report r USING (entity) JOIN available a USING (entity)",
-    "comps": f"SELECT mix, pos, entity, key, n_alerts, {pyround('p', 4)} AS p, "
+    "comps": f"SELECT mix, pos, entity, key, n_alerts, {label('p')} AS label, {pyround('p', 4)} AS p, "
     f"{confidence('p', 'n_alerts', 'n_available', '1067')} AS conf FROM comps_all "
     "QUALIFY count(*) OVER (PARTITION BY mix) >= 2",
     "cmatches": "SELECT c.mix, c.pos, m.* FROM comps c JOIN matches m USING (entity)",

@@ -51,9 +51,16 @@ def finite_or(x: Column, replacement: float | None) -> Column:
     return kept if replacement is None else F.coalesce(kept, F.lit(replacement))
 
 
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def coerce_numeric(text: Column) -> Column:
-    """Text to double; unparseable text, NaN and infinities become NULL."""
-    return finite_or(F.trim(text).try_cast("double"), None)
+    """Text to double; unparseable text, NaN and infinities become NULL.
+
+    The pattern keeps out what a cast would also accept, such as ``12d`` or ``0x1p3``.
+    """
+    trimmed = F.trim(text)
+    return finite_or(F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double")), None)
 
 
 def row_sum(columns: list[Column]) -> Column:

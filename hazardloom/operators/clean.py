@@ -15,6 +15,7 @@ from hazardloom.functions.numbers import (
 )
 from hazardloom.functions.text import is_usable_key, normalize_key
 from hazardloom.operators.ordered import column_medians, grouped_median
+from hazardloom.session import small_side
 
 # --- fixed values: the assay columns, the property columns, the background potency -----
 ASSAYS = [
@@ -108,9 +109,14 @@ def with_class(df: DataFrame) -> DataFrame:
     return df.withColumn("toxicity_class", derive_class(F.col("assay_hits"), F.col("pIC50")))
 
 
-def median_impute(df: DataFrame, columns: list[str] = PROPERTIES) -> DataFrame:
-    """Missing values of each column from the exact median of the whole column."""
-    medians = column_medians(df, columns)
+def median_impute(
+    df: DataFrame, columns: list[str] = PROPERTIES, source: DataFrame | None = None
+) -> DataFrame:
+    """Missing values of each column from the exact median of the whole column.
+
+    ``source`` is another table with the same values in these columns, if one is cheaper to read.
+    """
+    medians = column_medians(df if source is None else source, columns)
     packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "median")))).scalar()
     attached = df.withColumn("_medians", packed)
     return attached.withColumns(
@@ -141,9 +147,9 @@ def profile(df: DataFrame, value: str, flag: Column) -> DataFrame:
 
 
 def balanced_class_weights(df: DataFrame, cls: str, into: str = "weight") -> DataFrame:
-    """Add n / (k * n_c) per row; the class table has one row per class and joins by class."""
+    """Add n / (k * n_c) per row; a hot class is not shuffled while the classes are few."""
     counts = df.groupBy(cls).agg(F.count("*").alias("_nc"))
-    shares = counts.agg(F.sum("_nc").alias("n"), F.count("*").alias("k"))
-    n, k = shares.select("n").scalar(), shares.select("k").scalar()
+    everything = Window.partitionBy()  # one row per class
+    n, k = F.sum("_nc").over(everything), F.count("*").over(everything)
     weights = counts.select(cls, (n.cast("double") / (k.cast("double") * F.col("_nc"))).alias(into))
-    return df.join(weights, cls)
+    return df.join(small_side(weights, "weights"), cls)

@@ -1,8 +1,8 @@
 """Mixtures: grouping components, pair rules, combination and bounded escalation.
 
 A mixture is one row with an array of at most ten components
-``(pos, key, probability, confidence, matches)``, the matches being rule numbers with
-counts.  The ten come first, so no later step meets an unbounded group, and all steps
+``(pos, key, label, probability, confidence, matches)``, the matches being rule numbers
+with counts.  The ten come first, so no later step meets an unbounded group, and all steps
 after the grouping are row expressions.
 """
 

@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from hazardloom.operators.clean import (
     ASSAYS,
+    BACKGROUND_POTENCY,
     KEY,
     PROPERTIES,
     assay_counts,
-    background_rows,
     clean_measurements,
     fill_constants,
     fill_potency,
     keep_first,
     left_enrich,
-    lookup_fill,
     measurement_summary,
     median_impute,
-    stack,
     with_class,
     with_key,
 )
 from hazardloom.operators.ordered import sample_exact
+from hazardloom.session import write_and_read
 
 LIBRARY_SAMPLE = 5000
+COUNTS = ["tox_binary", "assay_hits", "assay_tested"]
 
 
 def clean_base(assays: DataFrame, text: str, order: list[Column], digest: bool = False) -> DataFrame:
@@ -47,13 +48,24 @@ def clean_library(
 
 
 def build_master(base: DataFrame, measurements: DataFrame, library: DataFrame) -> DataFrame:
-    """Merge cleaned inputs (unique keys), label, then impute, in that order."""
+    """Merge cleaned inputs (unique keys), label, then impute, in that order.
+
+    Stacking the library rows that the base lacks and filling base properties from the
+    library is one full outer join on the key: a row without base columns is background.
+    Every library row appears in it exactly once and the base has no properties of its
+    own, so the property medians of the result are those of the library.
+    """
     enriched = fill_potency(
-        left_enrich(base.select(KEY, "tox_binary", "assay_hits", "assay_tested", *[f"`{a}`" for a in ASSAYS]), measurements)
+        left_enrich(base.select(KEY, *COUNTS, *[f"`{a}`" for a in ASSAYS]), measurements)
+    )
+    merged = enriched.join(library.select(KEY, *PROPERTIES), KEY, "full_outer")
+    stacked = merged.withColumns(
+        {
+            **{c: F.coalesce(c, F.lit(0)) for c in COUNTS},
+            "pIC50": F.coalesce("pIC50", F.lit(BACKGROUND_POTENCY)),
+        }
     )
-    stacked = stack(enriched, background_rows(library, enriched))
-    filled = lookup_fill(stacked, library)
-    return fill_constants(median_impute(with_class(filled), PROPERTIES))
+    return fill_constants(median_impute(with_class(stacked), PROPERTIES, source=library))
 
 
 def master_from_sources(
@@ -63,10 +75,14 @@ def master_from_sources(
     library_text: str = "smiles", library_id: str, library_order: list[Column],
     sample: int | None = LIBRARY_SAMPLE, digest: bool = False,
 ) -> DataFrame:
-    """The whole preparation as one lazy plan."""
+    """The whole preparation.
+
+    The cleaned library is used by the join and by both passes of the medians, so it is
+    written once; the rest is one lazy plan partitioned on the key throughout.
+    """
     base = clean_base(assays, assay_text, assay_order, digest)
     summary = measurement_summary(
         clean_measurements(measurements, measured_text, measured_type, measured_value, wanted, digest=digest)
     )
     pool = clean_library(library, library_text, library_id, library_order, sample, digest=digest)
-    return build_master(base, summary, pool)
+    return build_master(base, summary, write_and_read(pool.select(KEY, *PROPERTIES), "library"))

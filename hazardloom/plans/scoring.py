@@ -139,6 +139,7 @@ def score_mixture_rows(
     rows = rows.withColumn("p", boosted_probability(base, F.col("boost"), F.col("override")))
     fields = [
         F.col("key").alias("key"),
+        probability_label(F.col("p")).alias("label"),
         round_exact(F.col("p"), 4).alias("probability"),
         confidence_score(F.col("p"), F.size("matches"), F.col("n_available"), F.lit(n_features(rules))).alias(
             "confidence"
@@ -200,6 +201,7 @@ def score_part_arrays(
         lambda c: F.struct(
             c["pos"].alias("pos"),
             c["key"].alias("key"),
+            probability_label(c["p"]).alias("label"),
             round_exact(c["p"], 4).alias("probability"),
             confidence_score(c["p"], F.size(c["matches"]), c["available"], F.lit(n_features(rules))).alias(
                 "confidence"
@@ -228,7 +230,7 @@ def mixture_report(scored: DataFrame, mixture: str) -> DataFrame:
         mixture,
         F.col("pos").alias("line"),
         F.col("key").alias("SMILES"),
-        probability_label(F.col("probability")).alias("Label"),
+        F.col("label").alias("Label"),
         F.col("probability").alias("Probability"),
         F.col("confidence").alias("Confidence"),
         F.size("matches").cast("string").alias("Alerts"),
@@ -287,7 +289,7 @@ def batch_route(
         *keep,
         pick(mixture_col, single_col, single_col if single else mixture_col).alias("Input"),
         "Mode",
-        pick(F.col("label"), probability_label(first["probability"]), F.lit("UNKNOWN")).alias("Label"),
+        pick(F.col("label"), first["label"], F.lit("UNKNOWN")).alias("Label"),
         pick(F.col("final_probability"), first["probability"], F.lit(0.0)).alias("Probability"),
         pick(F.col("combined_confidence"), first["confidence"], F.lit(0.0)).alias("Confidence"),
         pick(F.col("interaction.type"), F.lit("N/A"), F.lit("N/A")).alias("Interaction"),

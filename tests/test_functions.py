@@ -53,9 +53,9 @@ def test_potency_and_ratio(spark):
 
 
 def test_coerce_numeric(spark):
-    rows = [(1, "12.5"), (2, "n/a"), (3, ""), (4, None), (5, "NaN"), (6, "inf"), (7, " 3 "), (8, "1e3")]
+    rows = [(1, "12.5"), (2, "n/a"), (3, ""), (4, None), (5, "NaN"), (6, "inf"), (7, " 3 "), (8, "1e3"), (9, "12d"), (10, "-.5"), (11, "1e999")]
     got = evaluate(spark, rows, "id int, x string", numbers.coerce_numeric(F.col("x")))
-    assert [g[0] for g in got] == [12.5, None, None, None, None, None, 3.0, 1000.0]
+    assert [g[0] for g in got] == [12.5, None, None, None, None, None, 3.0, 1000.0, None, -0.5, None]
 
 
 def test_row_sum_and_count(spark):

@@ -332,6 +332,17 @@ def test_batch_routing(spark):
     assert summary["total"] == 8
 
 
+def test_component_labels_use_the_unrounded_probability(spark):
+    """0.79996 rounds to 0.8 but is still below the CRITICAL bound."""
+    df = spark.createDataFrame([(1, "CCO", None), (2, None, "CCO, O")], "id int, smiles string, mixture string")
+    base = lambda key: F.lit(0.79996)
+    out = {r["id"]: r for r in scoring.batch_route(df, RULES, ["id"], base).collect()}
+    assert (out[1]["Probability"], out[1]["Label"]) == (0.8, "HIGH RISK")
+    assert (out[2]["Probability"], out[2]["Label"]) == (0.8, "CRITICAL")  # mixtures label the rounded value
+    lines = scoring.mixture_report(scoring.score_mixture_texts(df, "mixture", RULES, base), "id").collect()
+    assert [r["Label"] for r in sorted(lines, key=lambda r: r["line"])] == ["HIGH RISK", "HIGH RISK", "CRITICAL"]
+
+
 def test_detect_columns():
     assert scoring.detect_columns(["SMILES", "smiles", "Mixture"]) == ("smiles", "Mixture")
     assert scoring.detect_columns(["mixture"]) == (None, "mixture")
