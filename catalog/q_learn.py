@@ -15,7 +15,7 @@ from hazardloom.operators import explain, features, metrics, ordered
 from hazardloom.operators.match import match_rules
 from hazardloom.plans import training
 from hazardloom.plans.evaluation import evaluation_tables
-from hazardloom.session import computed_once, scratch_path, spread
+from hazardloom.session import computed_once, scratch_path, spread, write_and_read
 from hazardloom.sources import files
 
 K = 5
@@ -230,6 +230,19 @@ def training_run(spark: SparkSession, sf: str, store: bool = False) -> training.
     )
 
 
+def score_with_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest trained on the text features of the parts scores all parts."""
+    labelled = inp.parts(spark, sf).select("entity", "text", F.pmod("p_size", F.lit(5)).cast("int").alias("cls"))
+    table = write_and_read(training.text_training_table(labelled, "entity", "text", "cls", WORD_RULES), "features")
+    run = training.train_and_evaluate(
+        table, "entity", "cls", "features", {"RandomForest": training.forest(numTrees=5, maxDepth=4)}, K
+    )
+    scored = training.score_with_model(
+        labelled.select("entity", "text"), "text", WORD_RULES, run.models[run.best], run.scaler
+    )
+    return scored.select("entity", "predicted_class", "raw_probability", "probability", "label", "confidence")
+
+
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return training_run(spark, sf).metrics
 
@@ -447,6 +460,7 @@ QUERIES: dict = {
         predict_proba, _test_rows.format("vec_id, 5 AS n_classes, 1e0 AS total, true AS is_top")
     ),
     "model_store": (model_store, _test_rows.format("vec_id, true AS same, true AS missing_is_none")),
+    "score_with_model": (score_with_model, None),
     "model_comparison": (model_comparison, None),
     "train_evaluate": (train_evaluate, None),
     "row_attribution_topk": (row_attribution, sql(_attr_rows)),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from hazardloom.functions.labels import class_label
 from hazardloom.functions.numbers import round_exact
 from hazardloom.operators.ordered import sample_exact
-from hazardloom.session import broadcast_if_small
 
 
 def contributions(df: DataFrame, features: str, weights: DataFrame, into: str = "contribution") -> DataFrame:
@@ -107,10 +106,10 @@ def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
 
 def dependence_points(df: DataFrame, key: str, features: str, importance: DataFrame, k: int = 5, sample: int = 500) -> DataFrame:
     """(feature, value, contribution) of the sampled rows for the ``k`` leading features."""
-    leading = top_features(importance, k).select("feature")
+    leading = F.broadcast(top_features(importance, k).select("feature"))  # k rows
     points = sample_exact(df, key, sample).select(
         key, F.posexplode(F.arrays_zip(F.col(features).alias("x"), F.col("contribution").alias("c"))).alias("feature", "point")
     )
-    return points.join(broadcast_if_small(leading), "feature", "left_semi").select(
+    return points.join(leading, "feature", "left_semi").select(
         key, "feature", F.col("point.x").cast("double").alias("value"), F.col("point.c").alias("contribution")
     )

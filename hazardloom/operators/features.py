@@ -120,12 +120,14 @@ def weighted_median(df: DataFrame, group: str, value: str, weight: str) -> DataF
     return middle.groupBy(group).agg(((F.min(value) + F.max(value)) / 2.0).alias("median"))
 
 
-def feature_table(df: DataFrame, key: str, text: str, rules: RuleBook) -> DataFrame:
+def feature_table(
+    df: DataFrame, key: str, text: str, rules: RuleBook, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Dense feature vector per row; rows without a usable key get the column medians.
 
     Also marks such rows in ``imputed``.
     """
-    sparse = sparse_features(df, text, rules, [key])
+    sparse = sparse_features(df, text, rules, [key, *keep])
     usable = sparse.where(F.col("counts").isNotNull()).agg(F.count("*"))
     medians = sparse_medians(set_cells(sparse, key), usable)
     by_feature = F.map_from_entries(F.collect_list(F.struct("feature", "median")))
@@ -138,7 +140,7 @@ def feature_table(df: DataFrame, key: str, text: str, rules: RuleBook) -> DataFr
     filled = (
         sparse.withColumn("imputed", F.col("counts").isNull())
         .withColumn("_medians", fallback.scalar())
-        .select(key, "imputed", F.coalesce(assemble_vector(rules), F.col("_medians")).alias("features"))
+        .select(key, *keep, "imputed", F.coalesce(assemble_vector(rules), F.col("_medians")).alias("features"))
     )
     return computed_once(filled, ["features"])
 

@@ -219,9 +219,22 @@ def score_mixture_texts(
     df: DataFrame, text: str, rules: RuleBook, base: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """Score free mixture texts (lines pooled); texts with fewer than two components give no row."""
-    listed = df.withColumn("_parts", F.slice(split_lines(F.col(text), rules.names), 1, MAX_COMPONENTS))
-    usable = listed.where(F.size("_parts") >= MIN_COMPONENTS)
-    return score_components(score_part_arrays(usable, "_parts", rules, base).drop("_parts"), rules)
+    listed = df.withColumn("_parts", split_lines(F.col(text), rules.names))
+    return score_mixture_lists(listed, "_parts", rules, base).drop("_parts")
+
+
+def score_mixture_lists(
+    df: DataFrame, parts: str, rules: RuleBook, base: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Score mixtures given as an array of component texts.
+
+    The first ten count; unusable ones among them drop out, and fewer than two usable
+    ones give no row.
+    """
+    first = F.transform(F.slice(F.col(parts), 1, MAX_COMPONENTS), normalize_key)
+    listed = df.withColumn("_usable", F.array_compact(first))
+    mixtures = listed.where(F.size("_usable") >= MIN_COMPONENTS)
+    return score_components(score_part_arrays(mixtures, "_usable", rules, base).drop("_usable"), rules)
 
 
 def mixture_report(scored: DataFrame, mixture: str) -> DataFrame:

@@ -16,8 +16,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardloom.functions.text import is_usable_key
 from hazardloom.operators.clean import balanced_class_weights
-from hazardloom.operators.features import apply_scaler, scaler_stats
+from hazardloom.operators.features import (
+    apply_scaler,
+    assemble_vector,
+    feature_table,
+    scaler_stats,
+    sparse_features,
+)
 from hazardloom.operators.metrics import (
     class_scores,
     classification_report,
@@ -29,7 +36,9 @@ from hazardloom.operators.metrics import (
     weighted_metrics,
 )
 from hazardloom.operators.ordered import stratified_split
-from hazardloom.session import write_and_read
+from hazardloom.plans.scoring import score_entities
+from hazardloom.rules import RuleBook
+from hazardloom.session import computed_once, write_and_read
 from hazardloom.sources.files import save_model, sink_json_metrics
 
 # --- fixed values: the candidates' settings --------------------------------
@@ -73,9 +82,14 @@ def candidates(forest_settings: dict | None = None, boosted_settings: dict | Non
     }
 
 
-def training_rows(df: DataFrame, key: str, cls: str, features: str) -> DataFrame:
+def text_training_table(df: DataFrame, key: str, text: str, cls: str, rules: RuleBook) -> DataFrame:
+    """Key, class and the text features of a labelled table, such as the master table."""
+    return feature_table(df, key, text, rules, (cls,)).select(key, cls, "features")
+
+
+def training_rows(df: DataFrame, key: str, cls: str, features: str, scaler: DataFrame | None = None) -> DataFrame:
     """Scaled vectors with label and ``is_test``; the scaler is fitted on all rows."""
-    scaled = apply_scaler(df, features, scaler_stats(df, features))
+    scaled = apply_scaler(df, features, scaler if scaler is not None else scaler_stats(df, features))
     rows = scaled.select(key, F.col(cls).cast("double").alias("label"), F.col("scaled"))
     return stratified_split(rows, key, "label", TEST_SHARE, SEED)
 
@@ -126,6 +140,7 @@ class TrainingRun:
     """What a training run leaves behind."""
 
     models: dict[str, PipelineModel]
+    scaler: DataFrame
     predictions: DataFrame
     metrics: DataFrame
     best: str
@@ -136,15 +151,17 @@ class TrainingRun:
 
 def train_and_evaluate(
     df: DataFrame, key: str, cls: str, features: str, estimators: dict[str, Estimator] | None = None,
-    k: int = N_CLASSES, store: str | None = None,
+    k: int = N_CLASSES, store: str | None = None, names: list[str] | None = None,
 ) -> TrainingRun:
     """Split, fit every candidate on the same train part, score the test part, pick the best.
 
-    Test predictions are written once; all metrics come from that table.  With ``store``
-    every model, the best model and the run metadata are saved under it.
+    Scaler and test predictions are written once; all metrics come from that table.  With
+    ``store`` the scaler, the feature names, every model, the best model and the run
+    metadata are saved under it.
     """
     estimators = estimators or candidates()
-    train, test = split_parts(training_rows(df, key, cls, features))
+    scaler = write_and_read(scaler_stats(df, features), "scaler")
+    train, test = split_parts(training_rows(df, key, cls, features, scaler))
     models = {name: Pipeline(stages=[estimator]).fit(train) for name, estimator in estimators.items()}
     scored = [
         predict_proba(model, test, [key, "label"]).select(
@@ -158,9 +175,9 @@ def train_and_evaluate(
     rows = [(r["model"], r["f1_score"]) for r in exact.select("model", "f1_score").collect()]  # one per model
     best, best_f1 = max(rows, key=lambda r: (r[1], -order[r[0]]))
     sizes = {"n_train": train.count(), "n_test": test.count(), "n_features": len(test.select("scaled").first()[0])}
-    run = TrainingRun(models, predictions, model_metrics(predictions, k), best, best_f1, sizes)
+    run = TrainingRun(models, scaler, predictions, model_metrics(predictions, k), best, best_f1, sizes)
     if store is not None:
-        _store(run, store, k)
+        _store(run, store, k, names or [f"f{i}" for i in range(sizes["n_features"])])
     return run
 
 
@@ -191,7 +208,25 @@ def detailed_metrics(predictions: DataFrame, k: int = N_CLASSES) -> DataFrame:
     return model_metrics(predictions, k).join(nested, "model").join(reports, "model")
 
 
-def _store(run: TrainingRun, folder: str, k: int) -> None:
+def score_with_model(
+    df: DataFrame, text: str, rules: RuleBook, model: PipelineModel, scaler: DataFrame, health: bool = True
+) -> DataFrame:
+    """Score usable texts with a trained model: features, scaling, class probabilities, then
+    :func:`hazardloom.plans.scoring.score_entities`.  No shuffle and no join."""
+    keep = df.columns
+    sparse = sparse_features(df.where(is_usable_key(F.col(text))), text, rules, keep)
+    dense = computed_once(sparse.select(*keep, assemble_vector(rules).alias("_features")), ["_features"])
+    scaled = apply_scaler(dense, "_features", scaler, "_scaled").withColumn("vector", array_to_vector("_scaled"))
+    predicted = predict_proba(model, scaled, keep)
+    return score_entities(predicted, text, rules, probabilities=F.col("scores"), health=health)
+
+
+def _store(run: TrainingRun, folder: str, k: int, names: list[str]) -> None:
+    run.paths["scaler"] = f"{folder}/scaler"
+    run.scaler.write.parquet(run.paths["scaler"])
+    run.paths["feature_names"] = f"{folder}/feature_names"
+    spark = run.scaler.sparkSession
+    spark.createDataFrame(list(enumerate(names)), "feature int, name string").write.parquet(run.paths["feature_names"])
     for name, model in run.models.items():
         run.paths[name] = f"{folder}/{name}_model"
         save_model(model, run.paths[name])
@@ -204,6 +239,8 @@ def _store(run: TrainingRun, folder: str, k: int) -> None:
         "n_features": F.lit(run.sizes["n_features"]),
         "n_train": F.lit(run.sizes["n_train"]),
         "n_test": F.lit(run.sizes["n_test"]),
+        "feature_names_file": F.lit("feature_names"),
+        "scaler_file": F.lit("scaler"),
     }
     run.paths["metadata"] = f"{folder}/training_meta"
     sink_json_metrics(run_metadata(detailed_metrics(run.predictions, k), head), run.paths["metadata"])

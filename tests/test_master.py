@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hazardloom.operators.clean import ASSAYS, KEY, PROPERTIES
 from hazardloom.plans import master, training
-from hazardloom.session import scratch_path, shared_dir
+from hazardloom.rules import RuleBook
+from hazardloom.session import scratch_path, shared_dir, write_and_read
 from hazardloom.sources import files
 
 
@@ -121,7 +122,29 @@ def test_training_run_end_to_end(spark):
     for row in run.predictions.collect():
         assert sum(row["scores"]) == pytest.approx(1.0) and len(row["scores"]) == 2
     assert files.load_model(run.paths["best"]) is not None
+    assert spark.read.parquet(run.paths["feature_names"]).count() == 2
+    assert len(spark.read.parquet(run.paths["scaler"]).first()["mean"]) == 2
     stored = files.scan_json_metrics(spark, run.paths["metadata"]).first()
     assert (stored["best_model"], stored["n_classes"], stored["n_test"]) == ("BoostedTrees", 2, 24)
     assert stored["results"]["RandomForest"]["confusion_matrix"] == [[12, 0], [0, 12]]
     assert stored["results"]["RandomForest"]["classification_report"]["macro avg"]["f1-score"] == 1.0
+
+
+def test_scoring_with_a_trained_model(spark):
+    """Texts with a ring are class 4, others class 0: the model's probabilities drive the score."""
+    rules = RuleBook.default()
+    chains = ["C" * n + tail for n in range(1, 21) for tail in ("O", "")]
+    texts = chains + [f"c1ccccc1{c}" for c in chains]
+    rows = [(i, t, 4 if t.startswith("c1") else 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, t string, c int")
+    table = write_and_read(training.text_training_table(df, "k", "t", "c", rules), "features")
+    run = training.train_and_evaluate(
+        table, "k", "c", "features", {"RandomForest": training.forest(numTrees=10, maxDepth=4)}
+    )
+    extra = spark.createDataFrame([(900, " ", 0), (901, None, 0)], df.schema)
+    scored = training.score_with_model(df.union(extra), "t", rules, run.models["RandomForest"], run.scaler).collect()
+    assert len(scored) == len(rows)
+    for r in scored:
+        assert r["predicted_class"] == r["c"]
+        assert (r["probability"] > 0.5) == (r["c"] == 4)
+        assert r["raw_probability"] > 0.5

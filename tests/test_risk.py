@@ -264,6 +264,13 @@ def test_truncation_and_usability(spark):
     assert [c["pos"] for c in next(r for r in out if r["mix"] == "eleven")["components"]] == list(range(1, 11))
 
 
+def test_mixture_lists_count_the_first_ten(spark):
+    rows = [(1, ["CCO", " ", "C=O"]), (2, [" "] * 9 + ["CCO", "C=O"]), (3, ["CCO"] * 12), (4, ["CCO"]), (5, None)]
+    df = spark.createDataFrame(rows, "id int, parts array<string>")
+    out = scoring.score_mixture_lists(df, "parts", RULES).collect()
+    assert {r["id"]: [c["key"] for c in r["components"]] for r in out} == {1: ["CCO", "C=O"], 3: ["CCO"] * 10}
+
+
 def test_rule_table_of_any_size_gives_the_same_matches(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "c1ccccc1"), (2, "CCO"), (3, "NN"), (4, "C1CO1"), (5, None)], "id int, text string")
     table = RULES.alerts_df(spark)
