@@ -91,26 +91,34 @@ def _fold_score(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0.0), step)
 
 
-def with_diseases(df: DataFrame, rules: RuleBook, matches: str = "matches", into: str = "diseases") -> DataFrame:
-    """Add the diseases of each row as an array, most probable first, first-seen on ties."""
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once and used several times in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def disease_risks(matches: Column, rules: RuleBook) -> Column:
+    """Diseases of a match array, most probable first, first-seen on ties."""
     alert_of_row = constant([d[1] for d in rules.diseases], "array<string>")
     disease_of_row = constant([d[2] for d in rules.diseases], "array<string>")
     rank_of_row = constant([SEVERITY_RANK.get(d[4], 0) for d in rules.diseases], "array<int>")
     text_of_row = constant([d[5] for d in rules.diseases], "array<string>")
-    groups = F.transform(
-        F.array_distinct(F.transform("_hits", lambda h: h["d"])),
-        lambda d: F.filter("_hits", lambda h: h["d"] == d),
-    )
-    folded = F.transform(
-        "_groups",
-        lambda g, i: F.struct(
-            (-_fold_probability(g)).alias("minus_p"),
-            i.alias("seen"),
-            F.array_distinct(F.transform(g, lambda h: h["e"])).alias("rows"),
-        ),
-    )
-    ordered = F.transform(
-        F.array_sort(folded),
+
+    def fold(hits: Column) -> Column:
+        groups = F.transform(
+            F.array_distinct(F.transform(hits, lambda h: h["d"])),
+            lambda d: F.filter(hits, lambda h: h["d"] == d),
+        )
+        return F.transform(
+            groups,
+            lambda g, i: F.struct(
+                (-_fold_probability(g)).alias("minus_p"),
+                i.alias("seen"),
+                F.array_distinct(F.transform(g, lambda h: h["e"])).alias("rows"),
+            ),
+        )
+
+    return F.transform(
+        F.array_sort(_bind(disease_hits(matches, rules), fold)),
         lambda d: F.struct(
             F.get(disease_of_row, d["rows"][0]).alias("disease"),
             (-d["minus_p"]).alias("probability"),
@@ -119,27 +127,29 @@ def with_diseases(df: DataFrame, rules: RuleBook, matches: str = "matches", into
             F.get(text_of_row, d["rows"][0]).alias("description"),
         ),
     )
-    expanded = df.withColumn("_hits", disease_hits(F.col(matches), rules)).withColumn("_groups", groups)
-    return computed_once(expanded.withColumn(into, ordered).drop("_hits", "_groups"), [into])
 
 
-def with_organ_risks(df: DataFrame, rules: RuleBook, matches: str = "matches", into: str = "organ_risks") -> DataFrame:
-    """Add the organ risks of each row as an array, highest first, organ order on ties."""
+def organ_risks(matches: Column, rules: RuleBook) -> Column:
+    """Organ risks of a match array, highest first, organ order on ties."""
     organs = constant(rules.organs, "array<string>")
     alerts = constant([a[1] for a in rules.alerts], "array<string>")
-    groups = F.transform(
-        F.array_distinct(F.transform("_hits", lambda h: h["o"])),
-        lambda o: F.filter("_hits", lambda h: h["o"] == o),
-    )
-    folded = F.transform(
-        "_groups",
-        lambda g: F.struct(
-            (-round_exact_once(_fold_score(g), 1)).alias("minus_score"),
-            g[0]["o"].alias("o"),
-            F.array_distinct(F.transform(g, lambda h: h["a"])).alias("alerts"),
-        ),
-    )
-    ordered = F.transform(
+
+    def fold(hits: Column) -> Column:
+        groups = F.transform(
+            F.array_distinct(F.transform(hits, lambda h: h["o"])),
+            lambda o: F.filter(hits, lambda h: h["o"] == o),
+        )
+        return F.transform(
+            groups,
+            lambda g: F.struct(
+                (-round_exact_once(_fold_score(g), 1)).alias("minus_score"),
+                g[0]["o"].alias("o"),
+                F.array_distinct(F.transform(g, lambda h: h["a"])).alias("alerts"),
+            ),
+        )
+
+    folded = _bind(organ_hits(matches, rules), fold)
+    return F.transform(
         F.array_sort(F.filter(folded, lambda o: o["minus_score"] < 0)),
         lambda o: F.struct(
             F.get(organs, o["o"]).alias("organ"),
@@ -148,14 +158,12 @@ def with_organ_risks(df: DataFrame, rules: RuleBook, matches: str = "matches", i
             F.transform(o["alerts"], lambda a: F.get(alerts, a - 1)).alias("alerts"),
         ),
     )
-    expanded = df.withColumn("_hits", organ_hits(F.col(matches), rules)).withColumn("_groups", groups)
-    return computed_once(expanded.withColumn(into, ordered).drop("_hits", "_groups"), [into])
 
 
-def organ_map(organ_risks: Column) -> Column:
+def organ_map(risks: Column) -> Column:
     """Organ to score as a map."""
     return F.map_from_entries(
-        F.transform(organ_risks, lambda o: F.struct(o["organ"].alias("key"), o["score"].alias("value")))
+        F.transform(risks, lambda o: F.struct(o["organ"].alias("key"), o["score"].alias("value")))
     )
 
 
@@ -185,26 +193,29 @@ def chart_rows(df: DataFrame, keys: list[str], organs: int = 10, diseases: int =
     )
 
 
-def health_summary(diseases: Column, organ_risks: Column) -> Column:
+def health_summary(diseases: Column, organs_at_risk: Column) -> Column:
     """Sentence with the three leading diseases in whole percent and the three leading organs."""
     # --- fixed values: the sentence parts ---
     top = F.transform(
         F.slice(diseases, 1, 3),
         lambda d: F.concat(d["disease"], F.lit(" ("), percent_text(d["probability"]), F.lit(")")),
     )
-    organs = F.array_join(F.transform(F.slice(organ_risks, 1, 3), lambda o: o["organ"]), ", ")
+    organs = F.array_join(F.transform(F.slice(organs_at_risk, 1, 3), lambda o: o["organ"]), ", ")
     risks = F.concat(F.lit("Top predicted health risks: "), F.array_join(top, ", "), F.lit("."))
     return (
         F.when(
             F.size(diseases) == 0,
             F.lit("No significant disease risks were identified based on structural analysis."),
         )
-        .when(F.size(organ_risks) == 0, risks)
+        .when(F.size(organs_at_risk) == 0, risks)
         .otherwise(F.concat(risks, F.lit(" Primary organs at risk: "), organs, F.lit(".")))
     )
 
 
 def with_health(df: DataFrame, rules: RuleBook, matches: str = "matches") -> DataFrame:
     """Add ``diseases``, ``organ_risks`` and ``summary``: the full health report."""
-    reported = with_organ_risks(with_diseases(df, rules, matches), rules, matches)
-    return reported.withColumn("summary", health_summary(F.col("diseases"), F.col("organ_risks")))
+    m = F.col(matches)
+    reported = df.withColumns({"diseases": disease_risks(m, rules), "organ_risks": organ_risks(m, rules)})
+    return computed_once(reported, ["diseases", "organ_risks"]).withColumn(
+        "summary", health_summary(F.col("diseases"), F.col("organ_risks"))
+    )
