@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs as inp
-from catalog.sqlkit import _assay_n, _assay_sum, confidence, label, level, nkey, pyround, rank, sql, strip, text_literal
+from catalog.sqlkit import confidence, label, level, nkey, pyround, rank, sql, strip, text_literal
 from hazardloom.functions import labels as lab
 from hazardloom.functions import numbers as num
 from hazardloom.functions import scores as sco
@@ -265,7 +265,6 @@ def scaled(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_median = 'median({c}) OVER ()'
 _lib_props = ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM library)), 9) AS {c}" for c in ("logP", "qed", '"SAS"'))
 _split = (
     "SELECT {id}, {cls}{more}, row_number() OVER (PARTITION BY {cls} ORDER BY md5('42:' || {id})) "

@@ -10,18 +10,14 @@ from catalog.inputs import WORD_RULES
 from catalog.sqlkit import (
     boosted,
     confidence,
-    disease_fold,
     label,
     level,
     mean_sum,
-    ORGAN_STEP,
     override,
     pyround,
-    rank,
     sql,
     text_literal,
 )
-from hazardloom.functions.labels import severity_rank
 from hazardloom.operators import health, lookups, match, mixture
 from hazardloom.operators.match import match_rules
 from hazardloom.plans import scoring
@@ -148,9 +144,10 @@ def single_report_row(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mixtures(spark: SparkSession, sf: str, with_report: bool = False) -> DataFrame:
-    dimension = scoring.match_dimension(inp.parts(spark, sf).select("entity", "text"), "text", WORD_RULES).drop("text")
+    parts = spread(inp.parts(spark, sf).select("entity", "text"), "entity")
+    dimension = scoring.match_dimension(parts, "text", WORD_RULES).drop("text")
     return scoring.score_mixture_rows(
-        inp.lines(spark, sf), "mix", inp.line_order(), "text", F.col("base_p"), WORD_RULES,
+        spread(inp.lines(spark, sf), "mix", "entity"), "mix", inp.line_order(), "text", F.col("base_p"), WORD_RULES,
         match_table=dimension, match_key="entity", health=with_report,
     )
 

@@ -62,16 +62,16 @@ def small_side(df: DataFrame, name: str) -> DataFrame:
     return broadcast_if_small(write_and_read(df, name))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the session's cores where the scan has fewer splits than that.
 
     For CPU-bound row work on a small or unsplittable input; an input with enough splits
-    is left as it is, without a shuffle.
+    is left as it is, without a shuffle.  The keys together should have no hot value.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, *keys)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
