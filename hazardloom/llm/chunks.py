@@ -1,25 +1,53 @@
-"""Encoding of texts chunk by chunk with a bounded memo.
+"""Encoding of texts chunk by chunk with bounded memos.
 
-A chunk is a part of a text that the tokenizer encodes alike wherever it stands, so that a
-frequent chunk is encoded once per worker.  The ids of a text are the ids of its chunks in
-order.  A text that can't be cut safely is one chunk.
+A chunk is a part of a text that the tokenizer encodes alike wherever it stands, and a
+pre-token is what the tokenizer's own pattern cuts a chunk into before the merges.  Each
+frequent chunk and pre-token is merged once per worker, by the library's model; the ids of a
+text are those of its chunks in order.  A chunk with other than plain Latin characters is
+encoded by the library whole, and so is a text that can't be cut safely.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-# Chunks one worker remembers; about 200 bytes each.
-MEMO_CHUNKS = 400_000
+# Chunks, and pre-tokens, that one worker remembers; about 200 bytes each.
+MEMO_ENTRIES = 700_000
 
 # Two white-space characters side by side, or one at an end.
 _LOOSE_SPACE = re.compile(r"\s\s|^\s|\s$")
 # Characters str.split() takes for white space and the word tokenizer doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+# Latin letters, numbers and signs on which every Unicode version agrees.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ſ"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PLAIN = re.compile("[\n !-~\xa1-\xac\xae-įı-ſ]+")
+# The patterns of the two vocabularies for plain characters.
+_WORD_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_SPACE_PARTS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+)
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+_SPACE_LETTER = chr(BYTE_LETTERS[32])
+_LAST_LETTER, _DOTTED_I, _STOPS = "\u017f", "\u0130", (",", ".")
+
+
+def byte_letters(text: str) -> str:
+    return text.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
 @lru_cache(maxsize=4)
@@ -31,56 +59,98 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def space_chunks(text: str) -> list[str]:
-    """Chunks for byte-level vocabularies: a space that stands alone begins a pre-token."""
-    if " " not in text or _LOOSE_SPACE.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
-def word_chunks(text: str) -> list[str]:
-    """Chunks for vocabularies that drop white space: the words."""
-    return [text] if _SEPARATORS.search(text) else text.split()
-
-
-class Memo:
-    """A bounded map from chunk to what ``compute`` returns for a list of chunks."""
+class Memo(dict):
+    """A bounded dict that computes what it lacks."""
 
     def __init__(self, compute):
-        self.compute, self.known = compute, {}
+        self.compute = compute
 
-    def of(self, chunk_lists: list[list[str]]) -> dict:
-        known = self.known
-        if len(known) > MEMO_CHUNKS:
-            known.clear()
-        missing = list(set().union(*chunk_lists).difference(known)) if chunk_lists else []
-        if missing:
-            known.update(zip(missing, self.compute(missing), strict=True))
-        return known
+    def __missing__(self, key):
+        value = self[key] = self.compute(key)
+        return value
 
+    def trim(self) -> None:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, path: str, split):
-        self.tokenizer, self.split = load_tokenizer(path), split
-        self.memo = Memo(self._encode)
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        lists = [self.split(t) if t else [] for t in texts]
-        known = self.memo.of(lists)
-        return [b"".join([known[c] for c in chunks]) for chunks in lists]
+class Encoder:
+    """What ``of_ids`` says of the token ids of texts, joined by ``joined``.
+
+    ``words`` tells vocabularies that drop white space, whose chunks are the words, from
+    byte-level ones, where a space that stands alone begins a chunk.
+    """
+
+    def __init__(self, path: str, words: bool):
+        self.tokenizer, self.words = load_tokenizer(path), words
+        self.merge = self.tokenizer.model.tokenize
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = Memo(self.merged)
+        self.chunks = Memo(self.of_chunk)
+        self.spaced = self.chunks if words else Memo(lambda chunk: self.of_chunk(" " + chunk))
+
+    def of_ids(self, ids: list[int]):
+        return array("I", ids).tobytes()
+
+    def joined(self, found):
+        return b"".join(found)
+
+    def pre_tokens(self, chunk: str) -> list[str] | None:
+        """Pre-tokens of a plain chunk; None if the library has to see it whole."""
+        if not _PLAIN.fullmatch(chunk) or ("<" in chunk and any(s in chunk for s in self.specials)):
+            return None
+        return _WORD_PARTS.findall(chunk.lower()) if self.words else _SPACE_PARTS.findall(chunk)
+
+    def merged(self, part: str):
+        """One pre-token, by the merges of the library's model."""
+        if part.isascii() and part.isalnum():
+            letters = part
+        elif part[0] == " " and part[1:].isascii() and part[1:].isalnum():
+            letters = _SPACE_LETTER + part[1:]
+        else:
+            letters = byte_letters(part)
+        return self.of_ids([t.id for t in self.merge(letters)])
+
+    def by_library(self, text: str):
+        return self.of_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def of_chunk(self, chunk: str):
+        # Short ways for what is most frequent: a word, and a word with a stop or comma.
+        bare = chunk[1:] if chunk[0] == " " else chunk
+        word = bare[:-1] if bare[-1:] in _STOPS else bare
+        if word.isalpha() and max(word) <= _LAST_LETTER and _DOTTED_I not in word:
+            whole = chunk.lower() if self.words else chunk
+            if word is bare:
+                return self.parts[whole]
+            return self.joined((self.parts[whole[:-1]], self.parts[whole[-1]]))
+        cut = self.pre_tokens(chunk)
+        if cut is None:
+            return self.by_library(chunk)
+        return self.parts[cut[0]] if len(cut) == 1 else self.joined([self.parts[x] for x in cut])
+
+    def of_text(self, text: str | None):
+        """The joined result of a text; a null text is an empty one."""
+        if not text:
+            return self.joined(())
+        if self.words:
+            if _SEPARATORS.search(text):
+                return self.by_library(text)
+            return self.joined(map(self.chunks.__getitem__, text.split()))
+        if _LOOSE_SPACE.search(text):
+            return self.by_library(text)
+        first, *rest = text.split(" ")
+        return self.joined([self.chunks[first], *map(self.spaced.__getitem__, rest)])
+
+    def of(self, texts: list[str | None]) -> list:
+        for memo in (self.chunks, self.spaced, self.parts):
+            memo.trim()
+        return [self.of_text(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, words: bool) -> Encoder:
-    """The worker's encoder; kept between tasks so that its memo is used again."""
-    return Encoder(path, word_chunks if words else space_chunks)
+    """The worker's encoder of ids as little-endian unsigned 32-bit bytes; its memos stay between tasks."""
+    return Encoder(path, words)
 
 
 def small_slices(batch, rows: int = 256):

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardloom.llm import token_counts, token_files
+from hazardloom.llm import (
+    decontaminate,
+    html_text,
+    packing,
+    pii,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    suffix_tree_lm,
+    token_counts,
+    token_files,
+)
 from hazardloom.session import scratch_path
 
 
@@ -20,12 +31,57 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
+    "op2_best_fit_packing": (op2_best_fit_packing, None),
+    "op3_personal_data": (op3_personal_data, None),
+    "op4_quality_rules": (op4_quality_rules, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, None),
+    "op6_suffix_tree_lm": (op6_suffix_tree_lm, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_decontamination": (op8_decontamination, decontaminate.ORACLE_SQL),
+    "op9_html_text": (op9_html_text, None),
+    "op10_simhash": (op10_simhash, None),
 }

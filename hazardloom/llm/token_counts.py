@@ -7,66 +7,47 @@ rest goes through the merges of the library.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardloom.llm.chunks import Memo, load_tokenizer, small_slices, word_chunks
-
-# Latin letters and digits on which every Unicode version agrees; the other words go to the library whole.
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
-_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PLAIN = re.compile(f"[!-~\xa1-\xac\xae-įı-ɏ]+")
-# The contractions that the vocabulary's pre-tokenizer splits off.
-_PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+from hazardloom.llm.chunks import BYTE_LETTERS, Encoder, load_tokenizer, small_slices
 
 
 def whole_tokens(path: str) -> frozenset[str]:
-    """Lower-case strings that are one pre-token and encode alone as one token."""
+    """Strings of the vocabulary that are one pre-token and encode alone as one token."""
     tokenizer = load_tokenizer(path)
     suffix = tokenizer.model.end_of_word_suffix or ""
-    ends = [i for s, i in tokenizer.get_vocab(with_added_tokens=False).items() if s.endswith(suffix)]
-    strings = [s.strip() for s in tokenizer.decode_batch([[i] for i in ends])]
-    strings = [s for s in strings if s and _PLAIN.fullmatch(s) and _PRE_TOKEN.fullmatch(s) and s == s.lower()]
+    bytes_of = {chr(letter): byte for byte, letter in BYTE_LETTERS.items()}
+    strings = []
+    for token in tokenizer.get_vocab(with_added_tokens=False):
+        letters = token.removesuffix(suffix) if suffix else token
+        if letters and token.endswith(suffix) and all(x in bytes_of for x in letters):
+            strings.append(bytes(bytes_of[x] for x in letters).decode("utf-8", "replace"))
+    coder = Encoder(path, words=True)
+    strings = sorted({s for s in strings if coder.pre_tokens(s) == [s]})
     proofs = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
     return frozenset(s for s, proof in zip(strings, proofs, strict=True) if len(proof.ids) == 1)
 
 
-class Counter:
-    """Numbers of tokens of words."""
+class Counter(Encoder):
+    """Numbers of tokens; proven pre-tokens count one without a merge."""
 
     def __init__(self, path: str, whole: frozenset[str]):
-        self.tokenizer, self.whole = load_tokenizer(path), whole
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._count)
-
-    def _count(self, words: list[str]) -> list[int]:
-        whole, counts, rest = self.whole, [], []
-        for at, word in enumerate(words):
-            if not _PLAIN.fullmatch(word) or ("<|" in word and any(s in word for s in self.specials)):
-                counts.append(0)
-                rest.append((at, word))
-                continue
-            n = 0
-            for part in _PRE_TOKEN.findall(word.lower()):
-                if part in whole:
-                    n += 1
-                else:
-                    rest.append((at, part))
-            counts.append(n)
-        merged = self.tokenizer.encode_batch_fast([x for _, x in rest], add_special_tokens=False)
-        for (at, _), encoded in zip(rest, merged, strict=True):
-            counts[at] += len(encoded.ids)
-        return counts
-
-    def totals(self, texts: list[str | None]) -> list[int]:
-        lists = [word_chunks(t) if t else [] for t in texts]
-        known = self.memo.of(lists)
-        return [sum([known[w] for w in words]) for words in lists]
+        super().__init__(path, words=True)
+        self.whole = whole
+
+    def of_ids(self, ids: list[int]) -> int:
+        return len(ids)
+
+    def joined(self, found) -> int:
+        return sum(found)
+
+    def merged(self, part: str) -> int:
+        return 1 if part in self.whole else super().merged(part)
 
 
+# The workers' counters by vocabulary file; their memos stay between tasks.
 _COUNTERS: dict[str, Counter] = {}
 
 
@@ -82,11 +63,12 @@ def token_counts(
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def count(batches):
-        counter = _COUNTERS.setdefault(path, None) or Counter(path, whole.value)
-        _COUNTERS[path] = counter
+        if path not in _COUNTERS:
+            _COUNTERS[path] = Counter(path, whole.value)
+        counter = _COUNTERS[path]
         for batch in batches:
             for part in small_slices(batch, 1024):
-                totals = counter.totals(part.column(2).to_pylist())
+                totals = counter.of(part.column(2).to_pylist())
                 columns = [part.column(0), part.column(1), pa.array(totals, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_tokens"])
 
@@ -97,5 +79,5 @@ def token_counts(
     )
     id_type = source.schema["id"].dataType.simpleString()
     counted = source.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long")
-    over: Column = F.col("n_tokens") > F.lit(limit)
+    over = F.col("n_tokens") > F.lit(limit)
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", over.alias("over_limit"))

@@ -162,7 +162,7 @@ def write_token_files(
         for batch in batches:
             for part in small_slices(batch):
                 out = []
-                texts = coder.ids(part.column(1).to_pylist())
+                texts = coder.of(part.column(1).to_pylist())
                 for doc_id, data in zip(part.column(0).to_pylist(), texts, strict=True):
                     ids = np.append(np.frombuffer(data, "<u4"), np.uint32(end_id))
                     out += writer.add(doc_id, ids)
