@@ -21,6 +21,7 @@ counted by 128-bit hashes with map-side sums, wherever they lie.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -285,11 +286,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         cut, "bucket long, large boolean, row long, first long, windows long, before long, bytes binary"
     )
     contexts = write_and_read(contexts, "dedup-contexts")
-    fine = _bucket_spans(contexts.where("not large"))
-    spans = alike.union(copies).union(fine)
+    # Each part is a table of its own, so that Spark can split the hot keys of its join.
+    parts = [alike, copies, _bucket_spans(contexts.where("not large"))]
     if not large.isEmpty():
-        spans = spans.union(_window_spans(contexts.where("large")))
-    return spans
+        parts.append(_window_spans(contexts.where("large")))
+    return reduce(DataFrame.union, [write_and_read(part, "dedup-spans") for part in parts])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -123,8 +123,9 @@ class FileReader:
         return unpack(self.data[at : at + block_bytes(count, self.width)], count, self.width)
 
     def ids(self, start: int, count: int) -> np.ndarray:
-        """Ids ``start .. start + count`` of the file, from the blocks that hold them."""
-        if not count:
+        """Ids ``start .. start + count`` of the file, as far as it goes, from the blocks that hold them."""
+        count = min(count, self.n_ids - start)
+        if count <= 0:
             return np.zeros(0, "<u4")
         first, last = start // self.block_ids, (start + count - 1) // self.block_ids
         joined = np.concatenate([self.block(k) for k in range(first, last + 1)])
@@ -132,7 +133,7 @@ class FileReader:
 
     def documents(self):
         """Ids of every document in order; each block is unpacked once."""
-        k, held, n_held = 0, [], 0
+        k, held, n_held = 0, [np.zeros(0, "<u4")], 0
         for count in self.counts.tolist():
             while n_held < count:
                 held.append(self.block(k))
@@ -140,7 +141,7 @@ class FileReader:
                 k += 1
             joined = np.concatenate(held) if len(held) != 1 else held[0]
             yield joined[:count]
-            held, n_held = ([joined[count:]], n_held - count) if n_held > count else ([], 0)
+            held, n_held = [joined[count:]], n_held - count
 
 
 def write_token_files(
