@@ -32,14 +32,15 @@ def t(name):
 def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "orders-csv")
     cols = [c.split()[0] for c in ORDER_COLS.split(", ")]
-    files.sink_csv(inp.table(spark, sf, "orders").select(*cols), path)
+    # Unwanted columns first and the wanted ones in another order: they are found by name.
+    files.sink_csv(inp.table(spark, sf, "orders").select("o_orderdate", F.lit("x").alias("note"), *cols[::-1]), path)
     return files.scan_csv(spark, path, ORDER_COLS)
 
 
 def scan_csv_semicolon(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "documents-csv")
-    files.sink_csv(inp.table(spark, sf, "documents").select("doc_id", "text", "source"), path, sep=";")
-    return files.scan_csv_semicolon(spark, path, DOC_COLS)
+    files.sink_csv(inp.table(spark, sf, "documents").select("lang", "text", "source", "doc_id"), path, sep=";")
+    return files.scan_csv_semicolon(spark, path, DOC_COLS, multi_line=True)
 
 
 def sink_csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -500,12 +501,12 @@ QUERIES: dict = {
     ),
     "build_master": (
         build_master,
-        sql(f"WITH m0 AS (SELECT b.key, (hits > 0)::INT AS tox_binary, hits AS assay_hits, tested AS assay_tested, {_assay_names}, "
+        sql(f"WITH m0 AS (SELECT b.key, {nkey('b.smiles')} AS {clean.TEXT}, (hits > 0)::INT AS tox_binary, hits AS assay_hits, tested AS assay_tested, {_assay_names}, "
             f"coalesce(s.p, {_estimate.format(h='hits')}) AS p, s.m AS ic FROM base_hits b LEFT JOIN measured_stats s USING (key)), "
             "m1 AS (SELECT m0.*, l.logP, l.qed, l.\"SAS\" AS sas FROM m0 LEFT JOIN lib l USING (key) UNION ALL "
-            "SELECT key, 0, 0, 0, " + ", ".join("0e0" for _ in clean.ASSAYS)
+            f"SELECT key, {nkey('smiles')}, 0, 0, 0, " + ", ".join("0e0" for _ in clean.ASSAYS)
             + ', 4e0, NULL, logP, qed, "SAS" FROM lib WHERE key NOT IN (SELECT key FROM base)) '
-            f"SELECT key AS {KEY}, tox_binary, assay_hits, assay_tested, " + ", ".join(f'coalesce("{a}", 0e0) AS "{a}"' for a in clean.ASSAYS)
+            f"SELECT key AS {KEY}, {clean.TEXT}, tox_binary, assay_hits, assay_tested, " + ", ".join(f'coalesce("{a}", 0e0) AS "{a}"' for a in clean.ASSAYS)
             + ', round(p, 6) AS "pIC50", round(coalesce(ic, 0e0), 6) AS "IC50_nM", '
             'round(coalesce(logP, (SELECT median(logP) FROM m1)), 6) AS "logP", round(coalesce(qed, (SELECT median(qed) FROM m1)), 6) AS qed, '
             'round(coalesce(sas, (SELECT median(sas) FROM m1)), 6) AS "SAS", '

@@ -306,7 +306,7 @@ def _batch_sql(body: str) -> str:
         f"CASE mode WHEN 'Mixture' THEN {_mean_conf} WHEN 'Single' THEN confs[1] ELSE 0e0 END AS \"Confidence\", "
         "CASE mode WHEN 'Mixture' THEN f.kind ELSE 'N/A' END AS \"Interaction\", len(b.chosen)::INT AS \"N_Components\", "
         "CASE mode WHEN 'Mixture' THEN f.danger WHEN 'Single' THEN least(10, trunc(f.max_p * 10e0)::INT + f.alert_rows) ELSE 0 END::INT AS \"Danger_Level\", "
-        "coalesce(d.diseases, '') AS \"Diseases\", CASE mode WHEN 'Mixture' THEN substr(f.most_dangerous, 1, 30) ELSE '' END AS \"Most_Dangerous\" "
+        "coalesce(d.diseases, '') AS \"Diseases\", CASE mode WHEN 'Mixture' THEN f.most_dangerous ELSE '' END AS \"Most_Dangerous\" "
         "FROM b_rows b LEFT JOIN mix_final f ON f.mix = b.o_orderkey LEFT JOIN comps c ON c.mix = b.o_orderkey AND c.pos = 1 LEFT JOIN mix_top_diseases d ON d.mix = b.o_orderkey"
     )
     return "WITH " + ",\n".join(f"{n} AS ({c})" for n, c in head.items()) + "\n" + body
@@ -401,7 +401,7 @@ QUERIES: dict = {
         single_report_row,
         sql("SELECT s.entity, s.key AS \"SMILES\", " + label("p") + ' AS "Toxicity Label", ' + pyround("p", 4) + ' AS "Toxicity Probability", '
             + confidence("p", "n_alerts", "n_available", "1067") + ' AS "Confidence", ' + pyround("4e0 + p * 5e0", 2)
-            + ' AS "pIC50 Estimate", length(s.key)::DOUBLE AS "Molecular Weight", n_alerts::INT AS "Structural Alerts", e.explanation AS "Explanation", coalesce(t, \'\') AS "Diseases" FROM '
+            + ' AS "pIC50 Estimate", length(s.key)::DOUBLE AS "Text Length", n_alerts::INT AS "Structural Alerts", e.explanation AS "Explanation", coalesce(t, \'\') AS "Diseases" FROM '
             f"(SELECT p.entity, p.text AS key, r.n_alerts, a.n_available, {boosted('c.base', 'r.boosts', 'r.override_probability')} AS p "
             "FROM parts p JOIN class_score c USING (entity) JOIN report r USING (entity) JOIN available a USING (entity)) s "
             f"LEFT JOIN (SELECT entity, {_diseases_text} AS t FROM disease_ranked GROUP BY entity) d USING (entity) JOIN ({_explanation}) e USING (entity)"),

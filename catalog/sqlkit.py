@@ -297,7 +297,7 @@ CTES: dict[str, str] = {
     "cells": "SELECT vec_id, cls, (i - 1)::INT AS feature, embedding[i]::DOUBLE AS x FROM vecs, range(1, 65) r(i)",
     "weights_lin": "SELECT feature, round(covar_pop(cls, x) / var_pop(x), 6) AS weight, round(avg(x), 6) AS mean FROM cells GROUP BY feature",
     "contrib": "SELECT c.*, w.weight * (c.x - w.mean) AS c FROM cells c JOIN weights_lin w USING (feature)",
-    "vsample": "SELECT vec_id FROM vecs ORDER BY md5('42:' || vec_id) LIMIT 500",
+    "vsample": "SELECT vec_id FROM vecs ORDER BY md5('42:' || vec_id)",
     "importance": "SELECT feature, avg(abs(c)) AS importance FROM contrib JOIN vsample USING (vec_id) GROUP BY feature",
 }
 

@@ -51,7 +51,7 @@ def finite_or(x: Column, replacement: float | None) -> Column:
     return kept if replacement is None else F.coalesce(kept, F.lit(replacement))
 
 
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def coerce_numeric(text: Column) -> Column:
@@ -59,7 +59,7 @@ def coerce_numeric(text: Column) -> Column:
 
     The pattern keeps out what a cast would also accept, such as ``12d`` or ``0x1p3``.
     """
-    trimmed = F.trim(text)
+    trimmed = F.regexp_replace(text, r"^\s+|\s+\z", "")
     return finite_or(F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double")), None)
 
 
@@ -72,16 +72,19 @@ def row_nonnull_count(columns: list[Column]) -> Column:
     return sum((c.isNotNull().cast("int") for c in columns[1:]), columns[0].isNotNull().cast("int"))
 
 
-def order_bucket(x: Column, per_octave: int = 1024) -> Column:
-    """Monotone bucket number of a double: equal-ratio buckets, mirrored for negatives.
+def order_buckets(x: Column, per_octave: int = 1024, slices: int = 1 << 20) -> tuple[Column, Column]:
+    """Two monotone bucket numbers of a double: an equal-ratio bucket and a slice of it.
 
-    A pure function of the value, so it needs no statistics pass and always agrees
-    between two uses of it.  It cuts a large ordered group into many smaller ones.
+    Pure functions of the value, so they need no statistics pass and always agree between
+    two uses.  An octave holds 2**52 doubles, so a slice of a bucket holds about 2**22
+    distinct values at most, however narrow the range of the data is.
     """
     offset = per_octave * 1100  # keeps the exponent part positive down to subnormals
-
-    def magnitude(v: Column) -> Column:
-        return F.floor(F.log2(v) * per_octave) + F.lit(offset)
-
-    bucket = F.when(x > 0, magnitude(x)).when(x < 0, -magnitude(-x))
-    return F.coalesce(bucket, F.lit(0)).cast("long")
+    size = F.abs(x)
+    number = F.floor(F.log2(size) * per_octave)
+    low, high = F.pow(F.lit(2.0), number / per_octave), F.pow(F.lit(2.0), (number + 1) / per_octave)
+    place = F.floor((size - low) * F.try_divide(F.lit(float(slices)), high - low))
+    inside = F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(slices - 1))
+    sign = F.when(x > 0, 1).when(x < 0, -1)
+    bucket = F.coalesce(sign * (number + offset), F.lit(0)).cast("long")
+    return bucket, F.coalesce(sign * inside, F.lit(0)).cast("long")

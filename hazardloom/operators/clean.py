@@ -15,7 +15,6 @@ from hazardloom.functions.numbers import (
 )
 from hazardloom.functions.text import is_usable_key, normalize_key
 from hazardloom.operators.ordered import column_medians, grouped_median
-from hazardloom.session import small_side
 
 # --- fixed values: the assay columns, the property columns, the background potency -----
 ASSAYS = [
@@ -25,17 +24,21 @@ ASSAYS = [
 PROPERTIES = ["logP", "qed", "SAS"]
 BACKGROUND_POTENCY = 4.0
 KEY = "canonical_smiles"
+TEXT = "canonical_text"
 
 
 def with_key(df: DataFrame, text: str, key: str = KEY, digest: bool = False) -> DataFrame:
     """Add the normalised key and drop rows without one.
 
     With ``digest`` the key is the SHA-256 of the normalised text, so joins and
-    deduplication of long texts shuffle 64 characters instead of the text.
+    deduplication of long texts compare 64 characters; the text stays beside it in
+    ``canonical_text``.
     """
     normal = normalize_key(F.col(text))
     usable = df.where(is_usable_key(F.col(text)))
-    return usable.withColumn(key, F.sha2(normal, 256) if digest else normal)
+    if not digest:
+        return usable.withColumn(key, normal)
+    return usable.withColumn(TEXT, normal).withColumn(key, F.sha2(TEXT, 256))
 
 
 def keep_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -147,9 +150,15 @@ def profile(df: DataFrame, value: str, flag: Column) -> DataFrame:
 
 
 def balanced_class_weights(df: DataFrame, cls: str, into: str = "weight") -> DataFrame:
-    """Add n / (k * n_c) per row; a hot class is not shuffled while the classes are few."""
-    counts = df.groupBy(cls).agg(F.count("*").alias("_nc"))
+    """Add n / (k * n_c) per row; rows without a class are dropped.
+
+    The weights, one per class, are one map value of the plan, so a hot class isn't shuffled.
+    """
+    classed = df.where(F.col(cls).isNotNull())
+    counts = classed.groupBy(cls).agg(F.count("*").alias("_nc"))
     everything = Window.partitionBy()  # one row per class
     n, k = F.sum("_nc").over(everything), F.count("*").over(everything)
     weights = counts.select(cls, (n.cast("double") / (k.cast("double") * F.col("_nc"))).alias(into))
-    return df.join(small_side(weights, "weights"), cls)
+    entries = F.map_from_entries(F.collect_list(F.struct(cls, into)))
+    attached = classed.withColumn("_weights", weights.agg(entries).scalar())
+    return attached.withColumn(into, F.try_element_at("_weights", F.col(cls))).drop("_weights")

@@ -90,9 +90,9 @@ def attribution_text(attribution: Column, cls: Column) -> Column:
     )
 
 
-def global_importance(df: DataFrame, key: str, sample: int = 500) -> DataFrame:
-    """Mean absolute contribution per feature over a reproducible sample of rows."""
-    chosen = sample_exact(df, key, sample)
+def global_importance(df: DataFrame, key: str, sample: int | None = None) -> DataFrame:
+    """Mean absolute contribution per feature over all rows, or a reproducible sample of them."""
+    chosen = df if sample is None else sample_exact(df, key, sample)
     return (
         chosen.select(F.posexplode("contribution").alias("feature", "c"))
         .groupBy("feature")
@@ -104,10 +104,11 @@ def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-def dependence_points(df: DataFrame, key: str, features: str, importance: DataFrame, k: int = 5, sample: int = 500) -> DataFrame:
-    """(feature, value, contribution) of the sampled rows for the ``k`` leading features."""
+def dependence_points(df: DataFrame, key: str, features: str, importance: DataFrame, k: int = 5, sample: int | None = None) -> DataFrame:
+    """(feature, value, contribution) of all rows, or a sample, for the ``k`` leading features."""
     leading = F.broadcast(top_features(importance, k).select("feature"))  # k rows
-    points = sample_exact(df, key, sample).select(
+    chosen = df if sample is None else sample_exact(df, key, sample)
+    points = chosen.select(
         key, F.posexplode(F.arrays_zip(F.col(features).alias("x"), F.col("contribution").alias("c"))).alias("feature", "point")
     )
     return points.join(leading, "feature", "left_semi").select(

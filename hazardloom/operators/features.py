@@ -154,7 +154,7 @@ def matrix_median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     long = clean.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]))
     )
-    medians = grouped_median(long, ["feature"], "value", max_groups=len(columns))
+    medians = grouped_median(long, ["feature"], "value")
     packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median")))).scalar()
     missing = F.lit(True)
     for c in columns:

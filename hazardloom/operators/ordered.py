@@ -1,8 +1,10 @@
 """Exact order statistics and running totals over groups of any size.
 
-A window over one large group is a single task.  Here every group is cut into ordered
-buckets that are a pure function of the value; bucket totals (few rows, combined before
-the shuffle) give the offset of each bucket, and only the inside of a bucket is sorted.
+A window over one large group is a single task.  Here equal values are summed first and
+every group is cut into ordered buckets, and each bucket into slices, that are pure
+functions of the value (see :func:`order_buckets`).  Bucket and slice totals, combined
+before the shuffle, give the offset of each slice, and only the inside of a slice is
+sorted.  All plans are lazy.
 """
 
 from __future__ import annotations
@@ -10,10 +12,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardloom.functions.numbers import order_bucket
-from hazardloom.session import BROADCAST_ROWS, small_side
+from hazardloom.functions.numbers import order_buckets
 
-LIMIT_ROWS = 10_000  # up to here an ordered limit; beyond it the digest threshold
+
+def _with_buckets(df: DataFrame, order: str, descending: bool = False) -> DataFrame:
+    bucket, inside = order_buckets(F.col(order))
+    sign = -1 if descending else 1
+    return df.withColumn("_b", bucket * sign).withColumn("_s", inside * sign)
+
+
+def _offsets(df: DataFrame, groups: list[str], measures: list[str]) -> DataFrame:
+    """Per (group, bucket, slice): the measures before it, its own sums, and the group's totals."""
+    sums = [F.sum(m).alias(m) for m in measures]
+    slices = df.groupBy(*groups, "_b", "_s").agg(*sums)
+    buckets = slices.groupBy(*groups, "_b").agg(*sums)
+    whole = Window.partitionBy(*groups)
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(
+        *groups,
+        "_b",
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_bucket_{m}") for m in measures],
+        *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
+    )
+    inside = Window.partitionBy(*groups, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        *groups, "_b", "_s", *measures, *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_slice_{m}") for m in measures]
+    )
+    return slices.join(buckets, [*groups, "_b"]).select(
+        *groups,
+        "_b",
+        "_s",
+        *[F.col(m).alias(f"_own_{m}") for m in measures],
+        *[(F.col(f"_bucket_{m}") + F.col(f"_slice_{m}")).alias(f"_before_{m}") for m in measures],
+        *[f"total_{m}" for m in measures],
+    )
 
 
 def running_totals(
@@ -24,25 +56,11 @@ def running_totals(
     Ties are summed first.  Adds ``cum_<m>`` (including the row's own value) and
     ``total_<m>`` for every measure.
     """
-    tied = df.groupBy(*groups, order).agg(*[F.sum(m).alias(m) for m in measures])
-    bucket = order_bucket(F.col(order))
-    tied = tied.withColumn("_b", -bucket if descending else bucket)
-    by_bucket = Window.partitionBy(*groups).orderBy("_b")
-    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tied.groupBy(*groups, "_b")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .select(
-            *groups,
-            "_b",
-            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_before_{m}") for m in measures],
-            *[F.sum(m).over(Window.partitionBy(*groups)).alias(f"total_{m}") for m in measures],
-        )
-    )
+    tied = _with_buckets(df.groupBy(*groups, order).agg(*[F.sum(m).alias(m) for m in measures]), order, descending)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    inside = Window.partitionBy(*groups, "_b").orderBy(direction)
+    inside = Window.partitionBy(*groups, "_b", "_s").orderBy(direction)
     running = tied.select("*", *[F.sum(m).over(inside).alias(f"_run_{m}") for m in measures])
-    return running.join(offsets, [*groups, "_b"]).select(
+    return running.join(_offsets(tied, groups, measures), [*groups, "_b", "_s"]).select(
         *groups,
         order,
         *measures,
@@ -52,55 +70,41 @@ def running_totals(
 
 
 def grouped_median(
-    df: DataFrame, groups: list[str], value: str, into: str = "median", *, max_groups: int | None = None,
-    mean_of: str | None = None, count_into: str | None = None,
+    df: DataFrame, groups: list[str], value: str, into: str = "median", *, mean_of: str | None = None,
+    count_into: str | None = None,
 ) -> DataFrame:
     """Exact median per group, missing values skipped; (a + b) / 2 for an even count.
 
-    Bucket counts locate the bucket of the middle ranks; only that bucket's rows are
-    sorted, so a group of any size is spread over many tasks.  ``max_groups`` is a proven
-    bound on the number of groups (they are columns or features): the middle buckets, at
-    most two rows per group, are then broadcast and rows of other buckets never leave
-    their task.  ``mean_of`` adds the group mean of another column and ``count_into`` the
-    number of its values, from the same bucket rows.
+    Equal values are counted first, map-side, so a hot group with few values is a few
+    rows; the counts locate the slice of the middle ranks, and only that slice is sorted.
+    ``mean_of`` adds the group mean of another column and ``count_into`` the number of its
+    values, from the same counted rows.
     """
-    other = [F.col(mean_of)] if mean_of else []
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *groups, F.col(value), *other, order_bucket(F.col(value)).alias("_b")
+    extra = [F.sum(mean_of).alias("_s_of"), F.count(mean_of).alias("_n_of")] if mean_of else []
+    present = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    # -0.0 and 0.0 are one value.
+    valued = present.withColumn(value, F.col(value) + F.lit(0.0)).groupBy(*groups, value).agg(
+        F.count(F.lit(1)).alias("_n"), *extra
     )
-    sums = [F.sum(mean_of).alias("_s"), F.count(mean_of).alias("_m")] if mean_of else []
-    counts = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_n"), *sums)
-    whole = Window.partitionBy(*groups)
-    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    carried: list[Column] = []
-    names = ["_before", "_lo", "_hi"]
-    if mean_of:
-        total = F.sum("_m").over(whole)
-        carried = [(F.sum("_s").over(whole) / F.nullif(total, F.lit(0))).alias("_mean"), total.alias("_count")]
-        names += ["_mean", "_count"]
-    middle = (
-        counts.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(whole).alias("_all"), *carried)
-        .withColumn("_before", F.col("_upto") - F.col("_n"))
-        .withColumn("_lo", F.expr("(_all - 1) div 2"))
-        .withColumn("_hi", F.expr("_all div 2"))
-        .where((F.col("_before") <= F.col("_hi")) & (F.col("_upto") > F.col("_lo")))
-        .select(*groups, "_b", *names)
-    )
-    if max_groups is not None and 2 * max_groups <= BROADCAST_ROWS:
-        middle = F.broadcast(middle)
-    inside = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _with_buckets(valued, value)
+    lo, hi = F.expr("(total__n - 1) div 2"), F.expr("total__n div 2")
+    offsets = _offsets(rows, groups, ["_n"])
+    middle = offsets.where((F.col("_before__n") <= hi) & (F.col("_before__n") + F.col("_own__n") > lo))
+    inside = Window.partitionBy(*groups, "_b", "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     candidates = (
-        rows.select(*groups, value, "_b")
-        .join(middle, [*groups, "_b"])
-        .groupBy(*groups, "_b", value)
-        .agg(F.count("*").alias("_n"), *[F.first(n).alias(n) for n in names])
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-        .where((F.col("_upto") - F.col("_n") <= F.col("_hi")) & (F.col("_upto") > F.col("_lo")))
+        rows.select(*groups, value, "_b", "_s", "_n")
+        .join(middle, [*groups, "_b", "_s"])
+        .withColumn("_upto", F.col("_before__n") + F.sum("_n").over(inside))
+        .where((F.col("_upto") - F.col("_n") <= hi) & (F.col("_upto") > lo))
     )
-    extra = [F.first("_mean").alias(mean_of)] if mean_of else []
-    if mean_of and count_into:
-        extra.append(F.first("_count").alias(count_into))
-    return candidates.groupBy(*groups).agg(((F.min(value) + F.max(value)) / 2.0).alias(into), *extra)
+    medians = candidates.groupBy(*groups).agg(((F.min(value) + F.max(value)) / 2.0).alias(into))
+    if not mean_of:
+        return medians
+    means = valued.groupBy(*groups).agg(
+        (F.sum("_s_of") / F.nullif(F.sum("_n_of"), F.lit(0))).alias(mean_of), F.sum("_n_of").alias(count_into or "_n_of")
+    )
+    joined = medians.join(means, groups)
+    return joined if count_into else joined.drop("_n_of")
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,7 +112,7 @@ def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
     )
-    return grouped_median(long, ["column"], "v", max_groups=len(columns))
+    return grouped_median(long, ["column"], "v")
 
 
 def digest(seed: int, key: Column) -> Column:
@@ -120,45 +124,60 @@ def digest_thresholds(df: DataFrame, groups: list[str], hashed: str, wanted: Col
     """Per group the ``wanted``-th smallest digest, where ``wanted`` may use the group size ``n``.
 
     Rows up to the threshold are then an exact sample.  Only the one bucket per group
-    that holds the threshold is sorted.  Digests must be unique within a group.
+    that holds the threshold is sorted.  A digest that repeats at the threshold raises,
+    because no threshold would then give the wanted number of rows.
     """
-    rows = df.select(*groups, F.col(hashed), F.substring(hashed, 1, 4).alias("_b"))
+    rows = df.select(*groups, F.col(hashed), F.substring(hashed, 1, 6).alias("_b"))
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*groups, F.substring("_b", 1, 3).alias("_a"), "_b").agg(F.count(F.lit(1)).alias("_c"))
+    coarse = counts.groupBy(*groups, "_a").agg(F.sum("_c").alias("_ac"))
+    coarse = (
+        coarse.withColumn("_aupto", F.sum("_ac").over(whole.orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("n", F.sum("_ac").over(whole))
+        .withColumn("_k", wanted.cast("long"))
+        .where((F.col("_aupto") >= F.col("_k")) & (F.col("_aupto") - F.col("_ac") < F.col("_k")))
+        .select(*groups, "_a", "_k", (F.col("_k") - F.col("_aupto") + F.col("_ac")).alias("_left"))
+    )
     boundary = (
-        rows.groupBy(*groups, "_b")
-        .agg(F.count("*").alias("_c"))
+        counts.join(coarse, [*groups, "_a"])
         .withColumn("_upto", F.sum("_c").over(upto))
-        .withColumn("n", F.sum("_c").over(whole))
-        .withColumn("_k", wanted.cast("long"))
-        .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
-        .select(*groups, "_b", "n", "_k", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_need"))
+        .where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_c") < F.col("_left")))
+        .select(*groups, "_b", (F.col("_left") - F.col("_upto") + F.col("_c")).alias("_need"))
+    )
+    inside = rows.groupBy(*groups, "_b", hashed).agg(F.count(F.lit(1)).alias("_times"))
+    rank = F.sum("_times").over(Window.partitionBy(*groups, "_b").orderBy(hashed))
+    exact = F.when(F.col("_rank") == F.col("_need"), F.col(hashed)).otherwise(
+        F.raise_error(F.lit("keys repeat: no exact sample")).cast("string")
     )
-    rank = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(hashed))
     return (
-        rows.join(small_side(boundary, "boundary"), [*groups, "_b"])
+        inside.join(boundary, [*groups, "_b"])
         .withColumn("_rank", rank)
-        .where(F.col("_rank") == F.col("_need"))
-        .select(*groups, F.col(hashed).alias("threshold"))
+        .where((F.col("_rank") >= F.col("_need")) & (F.col("_rank") - F.col("_times") < F.col("_need")))
+        .select(*groups, exact.alias("threshold"))
     )
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) in a reproducible random choice of unique keys."""
     hashed = df.withColumn("_digest", digest(seed, F.col(key)))
-    if n <= LIMIT_ROWS:
-        return hashed.orderBy("_digest").limit(n).drop("_digest")
     wanted = F.least(F.lit(n), F.col("n"))
     threshold = digest_thresholds(hashed, [], "_digest", wanted).select("threshold").scalar()
     return hashed.where(F.col("_digest") <= threshold).drop("_digest")
 
 
 def stratified_split(df: DataFrame, key: str, cls: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test``: round(share * size) rows of every class, reproducibly chosen."""
+    """Add ``is_test``: round(share * size) rows of every class, reproducibly chosen.
+
+    The thresholds, one per class, are one map value of the plan, so rows aren't shuffled
+    to get theirs; rows without a class are training rows.
+    """
     hashed = df.withColumn("_digest", digest(seed, F.col(key)))
     wanted = F.floor(F.col("n") * test_share + 0.5)
-    thresholds = digest_thresholds(hashed, [cls], "_digest", wanted)
-    joined = hashed.join(small_side(thresholds, "thresholds"), cls, "left")
-    return joined.withColumn(
-        "is_test", F.coalesce(F.col("_digest") <= F.col("threshold"), F.lit(False))
-    ).drop("_digest", "threshold")
+    thresholds = digest_thresholds(hashed.where(F.col(cls).isNotNull()), [cls], "_digest", wanted)
+    entries = F.map_from_entries(F.collect_list(F.struct(cls, "threshold")))
+    attached = hashed.withColumn("_thresholds", thresholds.agg(entries).scalar())
+    threshold = F.try_element_at("_thresholds", F.col(cls))
+    return attached.withColumn("is_test", F.coalesce(F.col("_digest") <= threshold, F.lit(False))).drop(
+        "_digest", "_thresholds"
+    )

@@ -10,6 +10,7 @@ from hazardloom.operators.clean import (
     BACKGROUND_POTENCY,
     KEY,
     PROPERTIES,
+    TEXT,
     assay_counts,
     clean_measurements,
     fill_constants,
@@ -22,9 +23,7 @@ from hazardloom.operators.clean import (
     with_key,
 )
 from hazardloom.operators.ordered import sample_exact
-from hazardloom.session import write_and_read
 
-LIBRARY_SAMPLE = 5000
 COUNTS = ["tox_binary", "assay_hits", "assay_tested"]
 
 
@@ -34,12 +33,12 @@ def clean_base(assays: DataFrame, text: str, order: list[Column], digest: bool =
 
 
 def clean_library(
-    library: DataFrame, text: str, row_id: str, order: list[Column], sample: int | None = LIBRARY_SAMPLE,
+    library: DataFrame, text: str, row_id: str, order: list[Column], sample: int | None = None,
     seed: int = 42, digest: bool = False,
 ) -> DataFrame:
-    """Library rows of unique usable key, sampled to ``sample`` rows.
+    """Library rows of unique usable key, all of them or a sample of ``sample`` rows.
 
-    Twice the sample is drawn by row id before the costly key normalisation and
+    For a sample, twice the sample is drawn by row id before the costly key normalisation and
     deduplication, then trimmed to the sample by key.
     """
     drawn = sample_exact(library, row_id, 2 * sample, seed) if sample else library
@@ -55,10 +54,14 @@ def build_master(base: DataFrame, measurements: DataFrame, library: DataFrame) -
     Every library row appears in it exactly once and the base has no properties of its
     own, so the property medians of the result are those of the library.
     """
+    text = [TEXT] if TEXT in base.columns else []
     enriched = fill_potency(
-        left_enrich(base.select(KEY, *COUNTS, *[f"`{a}`" for a in ASSAYS]), measurements)
+        left_enrich(base.select(KEY, *text, *COUNTS, *[f"`{a}`" for a in ASSAYS]), measurements)
     )
-    merged = enriched.join(library.select(KEY, *PROPERTIES), KEY, "full_outer")
+    named = [F.col(t).alias(f"_lib_{t}") for t in text]
+    merged = enriched.join(library.select(KEY, *named, *PROPERTIES), KEY, "full_outer")
+    for t in text:
+        merged = merged.withColumn(t, F.coalesce(t, f"_lib_{t}")).drop(f"_lib_{t}")
     stacked = merged.withColumns(
         {
             **{c: F.coalesce(c, F.lit(0)) for c in COUNTS},
@@ -73,16 +76,16 @@ def master_from_sources(
     assay_text: str = "smiles", assay_order: list[Column], measured_text: str = "Smiles",
     measured_type: str = "Standard Type", measured_value: str = "Standard Value", wanted: str = "IC50",
     library_text: str = "smiles", library_id: str, library_order: list[Column],
-    sample: int | None = LIBRARY_SAMPLE, digest: bool = False,
+    sample: int | None = None, digest: bool = False,
 ) -> DataFrame:
     """The whole preparation.
 
-    The cleaned library is used by the join and by both passes of the medians, so it is
-    written once; the rest is one lazy plan partitioned on the key throughout.
+    One lazy plan, partitioned on the key throughout.  With ``digest`` the joins compare
+    digests, and the normalised text stays beside the key for the feature tables.
     """
     base = clean_base(assays, assay_text, assay_order, digest)
     summary = measurement_summary(
         clean_measurements(measurements, measured_text, measured_type, measured_value, wanted, digest=digest)
     )
     pool = clean_library(library, library_text, library_id, library_order, sample, digest=digest)
-    return build_master(base, summary, write_and_read(pool.select(KEY, *PROPERTIES), "library"))
+    return build_master(base, summary, pool)

@@ -112,7 +112,7 @@ def report_rows(scored: DataFrame, keep: list[str]) -> DataFrame:
         F.col("probability").alias("Toxicity Probability"),
         F.col("confidence").alias("Confidence"),
         F.col("potency_estimate").alias("pIC50 Estimate"),
-        F.col("size_estimate").alias("Molecular Weight"),
+        F.col("size_estimate").alias("Text Length"),
         F.size("matches").alias("Structural Alerts"),
         F.col("report.explanation").alias("Explanation"),
         disease_names(F.col("diseases")).alias("Diseases"),
@@ -131,11 +131,10 @@ def score_mixture_rows(
     The only shuffle is on the mixture key, besides a large dimension's join.
     """
     if match_table is None:
-        rows = truncate_components(df, mixture, order)
-        rows = match_dimension(rows, text, rules)
+        # Matching is row work: numbers go through the shuffle, not texts.
+        rows = truncate_components(match_dimension(df, text, rules).drop(text), mixture, order)
     else:
-        joined = df.join(match_table, match_key, "left")
-        rows = truncate_components(joined, mixture, order)
+        rows = truncate_components(df, mixture, order).join(match_table, match_key, "left")
     rows = rows.withColumn("p", boosted_probability(base, F.col("boost"), F.col("override")))
     fields = [
         F.col("key").alias("key"),
@@ -311,7 +310,7 @@ def batch_route(
             F.col("danger_level"), danger_level(first["probability"], F.size("all_matches")), F.lit(0)
         ).alias("Danger_Level"),
         pick(disease_names(F.col("diseases")), disease_names(F.col("diseases")), F.lit("")).alias("Diseases"),
-        pick(F.substring("most_dangerous", 1, 30), F.lit(""), F.lit("")).alias("Most_Dangerous"),
+        pick(F.col("most_dangerous"), F.lit(""), F.lit("")).alias("Most_Dangerous"),
     )
 
 

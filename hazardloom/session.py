@@ -1,16 +1,14 @@
-"""Session helpers: the shared folder for written state and size-checked broadcasts."""
+"""Session helpers: the shared folder for written state, and plan shaping."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a look-up side that may be broadcast; look-up rows are narrow (names, weights).
-BROADCAST_ROWS = 100_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
@@ -20,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="hazardloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -54,14 +52,6 @@ def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*columns))))
 
 
-def small_side(df: DataFrame, name: str) -> DataFrame:
-    """A small derived table for a join: computed once into the shared folder, then checked.
-
-    Without the write, the size check and every use would compute it again.
-    """
-    return broadcast_if_small(write_and_read(df, name))
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the session's cores where the scan has fewer splits than that.
 
@@ -72,10 +62,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the row count; otherwise leave the join to Spark."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

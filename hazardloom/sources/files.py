@@ -17,20 +17,33 @@ MEASUREMENT_SCHEMA = "Smiles string, `Standard Type` string, `Standard Value` st
 LIBRARY_SCHEMA = ", ".join(["smiles string", *[f"{p} double" for p in PROPERTIES]])
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
-    """CSV with a header row; columns are matched by position to the declared schema.
-
-    Quoted fields may hold line breaks.
+def scan_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header row; the columns of ``schema`` are taken by name, others are left out.
+
+    A wanted column that is missing raises; a cell that isn't of the wanted type is NULL.
+    Files of a folder must have the same header.  Without a schema all columns come with
+    inferred types.  ``multi_line`` allows line breaks in quoted fields, but then a file
+    can't be split between tasks.
     """
-    return (
-        spark.read.schema(schema)
-        .options(header=True, sep=sep, multiLine=True, quote='"', escape='"')
-        .csv(path)
+    reader = spark.read.options(
+        header=True, sep=sep, multiLine=multi_line, quote='"', escape='"', enforceSchema=False, inferSchema=schema is None
     )
-
-
-def scan_csv_semicolon(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return scan_csv(spark, path, schema, sep=";")
+    raw = reader.csv(path)
+    if schema is None:
+        return raw
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    missing = [f.name for f in wanted.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}; it has {', '.join(raw.columns)}")
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
+def scan_csv_semicolon(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    return scan_csv(spark, path, schema, sep=";", multi_line=multi_line)
 
 
 def sink_csv(df: DataFrame, path: str, sep: str = ",") -> None:

@@ -1,11 +1,12 @@
 """Master table, file sources and sinks, training run."""
 
+import hashlib
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from hazardloom.operators.clean import ASSAYS, KEY, PROPERTIES
+from hazardloom.operators.clean import ASSAYS, KEY, PROPERTIES, TEXT
 from hazardloom.plans import master, training
 from hazardloom.rules import RuleBook
 from hazardloom.session import scratch_path, shared_dir, write_and_read
@@ -71,8 +72,9 @@ def test_master_sample_and_digest(spark, sources):
     sampled = build(sources, sample=2).collect()
     background = [r for r in sampled if r[KEY] in ("E", "F")]
     assert len(background) <= 2
-    digest = {r[KEY] for r in build(sources, sample=None, digest=True).collect()}
-    assert len(digest) == 6 and all(len(k) == 64 for k in digest)
+    digest = {r[KEY]: r[TEXT] for r in build(sources, sample=None, digest=True).collect()}
+    assert len(digest) == 6
+    assert all(k == hashlib.sha256(t.encode()).hexdigest() for k, t in digest.items())
 
 
 def test_csv_round_trip(spark):
@@ -81,7 +83,17 @@ def test_csv_round_trip(spark):
     for sep in (",", ";"):
         path = scratch_path(spark, "csv")
         files.sink_csv(df, path, sep)
-        assert sorted(map(tuple, files.scan_csv(spark, path, df.schema, sep).collect())) == rows
+        assert sorted(map(tuple, files.scan_csv(spark, path, df.schema, sep, multi_line=True).collect())) == rows
+
+
+def test_csv_columns_by_name(spark):
+    path = scratch_path(spark, "csv")
+    files.sink_csv(spark.createDataFrame([("M1", "CCO", "x", 0.5), ("M2", "C", "1.5", 0.1)], "mol_id string, smiles string, logP string, SAS double"), path)
+    wanted = "SAS double, smiles string, logP double"
+    assert sorted(map(tuple, files.scan_csv(spark, path, wanted).collect())) == [(0.1, "C", 1.5), (0.5, "CCO", None)]
+    with pytest.raises(ValueError, match="qed"):
+        files.scan_csv(spark, path, "smiles string, qed double")
+    assert dict(files.scan_csv(spark, path).dtypes)["SAS"] == "double"
 
 
 def test_missing_files(spark):

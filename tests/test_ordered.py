@@ -68,14 +68,42 @@ def test_running_totals(spark):
         assert got == sorted(expected)
 
 
+def test_narrow_ranges_are_spread_over_slices(spark):
+    """A million scores just below one: no slice, so no task, holds more than a small share."""
+    from hazardloom.functions.numbers import order_buckets
+
+    scores = spark.range(1_000_000).select((F.lit(0.9994) + F.col("id") * 5e-10).alias("s"))
+    bucket, inside = order_buckets(F.col("s"))
+    sizes = scores.groupBy(bucket, inside).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 10_000
+    totals = ordered.running_totals(scores.withColumn("m", F.lit(1)), [], "s", ["m"], descending=False)
+    assert totals.agg(F.max("cum_m"), F.count("*")).first()[:] == (1_000_000, 1_000_000)
+    assert ordered.grouped_median(scores.withColumn("g", F.lit(1)), ["g"], "s").first()["median"] == pytest.approx(0.99965, abs=1e-9)
+
+
+def test_repeated_keys_at_the_threshold_raise(spark):
+    df = spark.createDataFrame([(1,)] * 50, "k int")
+    with pytest.raises(Exception, match="keys repeat"):
+        ordered.sample_exact(df, "k", 20).collect()
+
+
+def test_no_job_before_an_action(spark):
+    """Splits, weights and the master table are lazy plans."""
+    df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).alias("c"))
+    spark.sparkContext.setJobGroup("lazy", "planning")
+    ordered.stratified_split(df, "k", "c")
+    clean.balanced_class_weights(df, "c")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)
+
+
 def order_of(keys, seed=42):
     return sorted(keys, key=lambda k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest())
 
 
 @pytest.mark.parametrize("n", [0, 1, 57, 1000, 5000])
-@pytest.mark.parametrize("limit_rows", [10_000, 0])
-def test_sample_exact_both_ways(spark, monkeypatch, n, limit_rows):
-    monkeypatch.setattr(ordered, "LIMIT_ROWS", limit_rows)
+def test_sample_exact(spark, n):
     df = spark.range(1000).withColumnRenamed("id", "k")
     got = {r["k"] for r in ordered.sample_exact(df, "k", n).collect()}
     assert got == set(order_of(range(1000))[:n])
