@@ -230,8 +230,8 @@ def background_rows(spark: SparkSession, sf: str) -> DataFrame:
     return clean.background_rows(lib(spark, sf), base(spark, sf))
 
 
-def build_master(spark: SparkSession, sf: str) -> DataFrame:
-    built = master.master_from_sources(
+def built_master(spark: SparkSession, sf: str) -> DataFrame:
+    return master.master_from_sources(
         inp.assays(spark, sf),
         inp.measurements(spark, sf),
         inp.library(spark, sf),
@@ -244,6 +244,10 @@ def build_master(spark: SparkSession, sf: str) -> DataFrame:
         sample=None,
         digest=True,
     )
+
+
+def build_master(spark: SparkSession, sf: str) -> DataFrame:
+    built = built_master(spark, sf)
     rounded = {c: F.round(c, 6) for c in ("pIC50", "IC50_nM", *clean.PROPERTIES)}
     return built.withColumns(rounded)
 

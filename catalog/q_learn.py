@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs as inp
 from catalog.inputs import WORD_RULES
 from catalog.sqlkit import COUNTS_SQL, pyround, sql, text_literal
-from hazardloom.functions.text import COUNT_FEATURES, count_features, hashed_ngram_bits
+from hazardloom.functions.text import COUNT_FEATURES, count_features, hashed_ngram_bits, split_parts
 from hazardloom.operators import explain, features, metrics
+from hazardloom.operators.clean import KEY, TEXT
 from hazardloom.operators.match import match_rules
-from hazardloom.plans import training
+from hazardloom.plans import scoring, training
 from hazardloom.plans.evaluation import evaluation_tables
 from hazardloom.session import computed_once, scratch_path, spread, write_and_read
 from hazardloom.sources import files
 
 K = 5
-# Settings small enough for the check runs; the library defaults are the full ones.
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 5}
-SMALL_BOOSTED = {"maxIter": 3, "maxDepth": 3}
 
 
 # --- metrics over orders ----------------------------------------------------------------
@@ -182,38 +180,88 @@ def matrix_impute(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- training ---------------------------------------------------------------------------
-def model_rows(name: str):
-    """Fit one candidate on the split of the vectors and score its test part."""
+# Where a session's fits and runs are stored, by application, data folder and name: every
+# candidate is fitted once, with the full settings, and the queries below look at the same fits.
+_STORED: dict[tuple[str, str, str], str] = {}
 
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        train, test = training.split_parts(training.training_rows(inp.vectors(spark, sf), "vec_id", "cls", "embedding"))
-        estimator = training.candidates(SMALL_FOREST, SMALL_BOOSTED)[name]
-        model = Pipeline(stages=[estimator]).fit(train)
-        return training.predict_proba(model, test, ["vec_id"]).select(
-            "vec_id", "yhat", F.round(F.array_max("scores"), 6).alias("top_score")
+
+def stored(spark: SparkSession, sf: str, name: str, make) -> str:
+    """The folder of a fit or run, which ``make(folder)`` fills the first time."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        folder = scratch_path(spark, "models")
+        make(folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
+def vector_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return training.split_parts(training.training_rows(inp.vectors(spark, sf), "vec_id", "cls", "embedding"))
+
+
+def fitted(spark: SparkSession, sf: str, name: str) -> PipelineModel:
+    """One candidate, fitted on the split of the vectors and read back."""
+
+    def make(folder: str) -> None:
+        train, _ = vector_split(spark, sf)
+        files.save_model(Pipeline(stages=[training.candidates()[name]]).fit(train), folder)
+
+    return files.load_model(stored(spark, sf, name, make))
+
+
+def training_run(spark: SparkSession, sf: str) -> training.StoredRun:
+    """The comparison of all candidates on the vectors, stored and read back."""
+
+    def make(folder: str) -> None:
+        models = {name: fitted(spark, sf, name) for name in training.candidates()}
+        training.train_and_evaluate(
+            inp.vectors(spark, sf), "vec_id", "cls", "embedding", None, K, folder, fitted=models
         )
 
-    return run
+    return training.load_run(spark, stored(spark, sf, "run", make))
+
+
+def labelled_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return inp.parts(spark, sf).select("entity", "text", F.pmod("p_size", F.lit(5)).cast("int").alias("cls"))
+
 
+def text_run(spark: SparkSession, sf: str) -> training.StoredRun:
+    """A forest on the text features of the parts, stored and read back."""
 
-def predict_proba(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks the predictions: five probabilities that add up to 1 per test row."""
-    train, test = training.split_parts(training.training_rows(inp.vectors(spark, sf), "vec_id", "cls", "embedding"))
-    model = Pipeline(stages=[training.boosted(**SMALL_BOOSTED)]).fit(train)
+    def make(folder: str) -> None:
+        table = training.text_training_table(labelled_parts(spark, sf), "entity", "text", "cls", WORD_RULES)
+        training.train_and_evaluate(
+            write_and_read(table, "features"), "entity", "cls", "features", {"RandomForest": training.forest()}, K, folder,
+            features.feature_names(WORD_RULES),
+        )
+
+    return training.load_run(spark, stored(spark, sf, "text run", make))
+
+
+def checked_predictions(df: DataFrame, key: str) -> DataFrame:
+    """Five probabilities that add up to 1, and the first highest as the prediction."""
     total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
-    return training.predict_proba(model, test, ["vec_id"]).select(
-        "vec_id",
-        F.size("scores").alias("n_classes"),
-        F.round(total, 9).alias("total"),
-        (F.array_max("scores") == F.element_at("scores", F.col("yhat") + 1)).alias("is_top"),
+    top = F.array_position("scores", F.array_max("scores")) - 1
+    return df.select(
+        key, F.size("scores").alias("n_classes"), F.round(total, 9).alias("total"), (top == F.col("yhat")).alias("is_top")
     )
 
 
+def model_rows(name: str):
+    """The test part as one fitted candidate predicts it."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        _, test = vector_split(spark, sf)
+        return checked_predictions(training.predict_proba(fitted(spark, sf, name), test, ["vec_id"]), "vec_id")
+
+    return run
+
+
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
     """A stored and reloaded model predicts the same; a missing one loads as None."""
     folder = scratch_path(spark, "models")
-    train, test = training.split_parts(training.training_rows(inp.vectors(spark, sf), "vec_id", "cls", "embedding"))
-    model = Pipeline(stages=[training.forest(**SMALL_FOREST)]).fit(train)
+    _, test = vector_split(spark, sf)
+    model = fitted(spark, sf, "RandomForest")
     files.save_model(model, f"{folder}/forest")
     loaded, missing = files.load_model(f"{folder}/forest"), files.load_model(f"{folder}/none")
     before = training.predict_proba(model, test, ["vec_id"]).select("vec_id", F.col("yhat").alias("a"))
@@ -223,34 +271,125 @@ def model_store(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def training_run(spark: SparkSession, sf: str, store: bool = False) -> training.TrainingRun:
-    return training.train_and_evaluate(
-        inp.vectors(spark, sf), "vec_id", "cls", "embedding",
-        training.candidates(SMALL_FOREST, SMALL_BOOSTED), K, scratch_path(spark, "models") if store else None,
+def recomputed(predictions: DataFrame) -> DataFrame:
+    """Accuracy and weighted F1 per model, straight from predicted rows."""
+    rows = predictions.select("model", "y", "yhat")
+    hits = rows.groupBy("model", F.explode(F.array(F.struct(F.col("y").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p")),
+                                                   F.struct(F.col("yhat").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("e"),
+                        (F.col("y") == F.col("yhat")).alias("hit")).count()
+    per_class = hits.groupBy("model", "e.c").agg(
+        F.sum(F.col("count") * F.col("e.t")).alias("support"),
+        F.sum(F.col("count") * F.col("e.p")).alias("predicted"),
+        F.sum(F.when(F.col("hit"), F.col("count") * F.col("e.t")).otherwise(0)).alias("right"),
+    )
+    f1 = F.when(F.col("right") > 0, 2.0 * F.col("right") / (F.col("support") + F.col("predicted"))).otherwise(0.0)
+    return per_class.groupBy("model").agg(
+        (F.sum("right") / F.sum("support")).alias("accuracy"), (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1")
+    )
+
+
+def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """The comparison's metrics agree with the stored predictions, which cover the hold-out."""
+    run = training_run(spark, sf)
+    metrics_rows = training.model_metrics(run.predictions, K)
+    sizes = run.predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n_test"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.00006
+    again = recomputed(run.predictions).select("model", F.col("accuracy").alias("a"), F.col("f1").alias("f"))
+    return metrics_rows.join(again, "model").join(sizes, "model").select(
+        "model", "n_test", near("accuracy", "a").alias("accuracy_ok"), near("recall", "a").alias("recall_ok"),
+        near("f1_score", "f").alias("f1_ok"), F.col("roc_auc").between(0, 1).alias("auc_ok"),
+    )
+
+
+def train_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored metadata says, against the stored hold-out and predictions."""
+    run = training_run(spark, sf)
+    rows = files.metrics_rows(run.metadata, "results", ["best_model", "best_f1", "n_features", "n_train", "n_test"])
+    again = recomputed(run.predictions).select(F.col("model").alias("Model"), F.col("accuracy").alias("a"), F.col("f1").alias("f"))
+    best = again.agg(F.max("f")).scalar()
+    holdout = run.holdout.agg(F.count(F.lit(1))).scalar()
+    return rows.join(again, "Model").select(
+        "Model", "n_features", "n_train", "n_test", (holdout == F.col("n_test")).alias("holdout_ok"),
+        (F.abs(F.col("Accuracy") - F.col("a")) <= 0.00006).alias("accuracy_ok"),
+        (F.abs(F.col("best_f1") - best) <= 1e-9).alias("best_ok"),
+    )
+
+
+def evaluated_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation tables of a run read back from its folder: points per model and class."""
+    tables = evaluation_tables(training_run(spark, sf).predictions.select("model", "y", "yhat", "scores"), K)
+    return tables["areas"].select(
+        "model", F.col("class").cast("int").alias("cls"), F.col("auc").between(0, 1).alias("auc_ok"),
+        F.col("average_precision").between(0, 1).alias("ap_ok"),
     )
 
 
 def score_with_model(spark: SparkSession, sf: str) -> DataFrame:
-    """A forest trained on the text features of the parts scores all parts."""
-    labelled = inp.parts(spark, sf).select("entity", "text", F.pmod("p_size", F.lit(5)).cast("int").alias("cls"))
-    table = write_and_read(training.text_training_table(labelled, "entity", "text", "cls", WORD_RULES), "features")
-    run = training.train_and_evaluate(
-        table, "entity", "cls", "features", {"RandomForest": training.forest(numTrees=5, maxDepth=4)}, K
+    """A forest trained on the text features of the parts scores all parts, alike after a reload."""
+    run = text_run(spark, sf)
+    again = training.load_run(spark, stored(spark, sf, "text run", None))
+    rows = labelled_parts(spark, sf).select("entity", "text")
+    fields = ["predicted_class", "raw_probability", "probability", "label", "confidence"]
+    one, two = (
+        training.score_with_model(rows, "text", WORD_RULES, r.model, r.scaler).select("entity", F.struct(*fields).alias(n))
+        for r, n in ((run, "a"), (again, "b"))
     )
-    scored = training.score_with_model(
-        labelled.select("entity", "text"), "text", WORD_RULES, run.models[run.best], run.scaler
+    return one.join(two, "entity").select(
+        "entity", (F.col("a") == F.col("b")).alias("same"), F.col("a.probability").between(0, 1).alias("in_range")
     )
-    return scored.select("entity", "predicted_class", "raw_probability", "probability", "label", "confidence")
 
 
-def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return training_run(spark, sf).metrics
+def entity_scores(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
+    """Every distinct text scored on its own with the trained model."""
+    run = text_run(spark, sf)
+    scored = training.score_with_model(texts.select("key").distinct(), "key", WORD_RULES, run.model, run.scaler, health=False)
+    return scored.select("key", F.col("probability").alias("alone"))
 
 
-def train_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    run = training_run(spark, sf, store=True)
-    stored = files.scan_json_metrics(spark, run.paths["metadata"])
-    return files.metrics_rows(stored, "results", ["best_model", "n_features", "n_train", "n_test"])
+def add_bases(spark: SparkSession, sf: str, keys: list[str]):
+    run = text_run(spark, sf)
+    return training.add_model_bases(keys, WORD_RULES, run.model, run.scaler)
+
+
+def score_mixtures_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Mixtures scored with the trained model: each component as it is scored alone."""
+    uploads = inp.uploads(spark, sf).select("o_orderkey", "mixture")
+    scored = scoring.score_mixture_texts(uploads, "mixture", WORD_RULES, add_bases=add_bases(spark, sf, ["o_orderkey"]))
+    scored = write_and_read(scored.select("o_orderkey", "n_given", "n_used", "components"), "mixtures")
+    parts = scored.select("o_orderkey", F.inline("components")).select("o_orderkey", "key", "probability")
+    same = parts.join(entity_scores(spark, sf, parts), "key").groupBy("o_orderkey").agg(
+        F.count(F.lit(1)).alias("n_same"), F.every(F.col("probability") == F.col("alone")).alias("same")
+    )
+    return scored.join(same, "o_orderkey").select("o_orderkey", "n_given", "n_used", (F.col("n_same") == F.col("n_used")).alias("complete"), "same")
+
+
+def batch_route_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch scored with the trained model; a single entity's probability is its own."""
+    routed = scoring.batch_route(
+        inp.uploads(spark, sf), WORD_RULES, ["o_orderkey"], add_bases=add_bases(spark, sf, ["o_orderkey"])
+    )
+    routed = write_and_read(routed.select("o_orderkey", "Mode", "Input", "Probability", "N_Components"), "batch")
+    singles = routed.where("Mode = 'Single'").select("o_orderkey", F.get(split_parts(F.col("Input"), WORD_RULES.names), F.lit(0)).alias("key"))
+    alone = singles.join(entity_scores(spark, sf, singles), "key").select("o_orderkey", "alone")
+    return routed.join(alone, "o_orderkey", "left").select(
+        "o_orderkey", "Mode", "N_Components",
+        F.when(F.col("Mode") == "Single", F.col("Probability") == F.col("alone")).otherwise(F.col("Probability").between(0, 1)).alias("ok"),
+    )
+
+
+def master_to_training(spark: SparkSession, sf: str) -> DataFrame:
+    """Master table -> feature table -> a stored run that is read back."""
+    from catalog.q_clean import built_master
+
+    def make(folder: str) -> None:
+        table = training.text_training_table(built_master(spark, sf), KEY, TEXT, "toxicity_class", WORD_RULES)
+        training.train_and_evaluate(
+            write_and_read(table, "features"), KEY, "toxicity_class", "features", {"RandomForest": training.forest()}, K, folder,
+            features.feature_names(WORD_RULES),
+        )
+
+    run = training.load_run(spark, stored(spark, sf, "master run", make))
+    return run.metadata.select("best_model", "n_features", (F.col("n_train") + F.col("n_test")).alias("n_rows"))
 
 
 # --- explanation --------------------------------------------------------------------------
@@ -356,10 +495,13 @@ _attr_text = (
 
 # The test part of the stratified split; the properties checked hold for each of its rows.
 _test_rows = sql(
-    "SELECT {} FROM (SELECT vec_id, row_number() OVER (PARTITION BY cls ORDER BY md5('42:' || vec_id)) "
+    "SELECT {} FROM (SELECT vec_id, cls, row_number() OVER (PARTITION BY cls ORDER BY md5('42:' || vec_id)) "
     "<= floor(count(*) OVER (PARTITION BY cls) * 0.2e0 + 0.5e0) AS is_test FROM vecs) WHERE is_test"
 )
 
+_predicted = _test_rows.format("vec_id, 5 AS n_classes, 1e0 AS total, true AS is_top")
+_candidates = "(VALUES ('BoostedTrees'), ('RandomForest'), ('BalancedBoostedTrees')) c(model)"
+
 QUERIES: dict = {
     "scan_json_metrics": (
         scan_json,
@@ -452,16 +594,42 @@ QUERIES: dict = {
         "SELECT l_orderkey, l_partkey, l_linenumber, f0 IS NULL AND f1 IS NULL AND f2 IS NULL AS all_missing, "
         + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM x)), 6) AS {c}" for c in ("f0", "f1", "f2")) + ", 0e0 AS f3 FROM x",
     ),
-    "train_forest": (model_rows("RandomForest"), None),
-    "train_boosted": (model_rows("BoostedTrees"), None),
-    "train_boosted_balanced": (model_rows("BalancedBoostedTrees"), None),
-    "predict_proba": (
-        predict_proba, _test_rows.format("vec_id, 5 AS n_classes, 1e0 AS total, true AS is_top")
-    ),
+    "train_forest": (model_rows("RandomForest"), _predicted),
+    "train_boosted": (model_rows("BoostedTrees"), _predicted),
+    "train_boosted_balanced": (model_rows("BalancedBoostedTrees"), _predicted),
+    "predict_proba": (model_rows("BoostedTrees"), _predicted),
     "model_store": (model_store, _test_rows.format("vec_id, true AS same, true AS missing_is_none")),
-    "score_with_model": (score_with_model, None),
-    "model_comparison": (model_comparison, None),
-    "train_evaluate": (train_evaluate, None),
+    "model_comparison": (
+        model_comparison,
+        f"SELECT model, (SELECT count(*) FROM ({_test_rows.format('vec_id')})) AS n_test, true AS accuracy_ok, true AS recall_ok, "
+        f"true AS f1_ok, true AS auc_ok FROM {_candidates}",
+    ),
+    "train_evaluate": (
+        train_evaluate,
+        "SELECT model AS \"Model\", 64 AS n_features, (SELECT count(*) FROM embeddings) - n_test AS n_train, n_test, true AS holdout_ok, true AS accuracy_ok, "
+        f"true AS best_ok FROM {_candidates}, (SELECT count(*) AS n_test FROM ({_test_rows.format('vec_id')}))",
+    ),
+    "evaluate_stored_run": (
+        evaluated_run,
+        f"SELECT model, cls, true AS auc_ok, true AS ap_ok FROM {_candidates}, (SELECT DISTINCT cls FROM ({_test_rows.format('cls')}))",
+    ),
+    "score_with_model": (score_with_model, sql("SELECT entity, true AS same, true AS in_range FROM parts")),
+    "score_mixtures_model": (
+        score_mixtures_model,
+        sql("SELECT o_orderkey, len(mix_parts)::INT AS n_given, len(mix_parts[1:10])::INT AS n_used, true AS complete, true AS same "
+            "FROM upload_parts WHERE len(mix_parts) >= 2"),
+    ),
+    "batch_route_model": (
+        batch_route_model,
+        sql("SELECT o_orderkey, CASE WHEN len(mix_parts) >= 2 THEN 'Mixture' WHEN len(one_parts) >= 1 THEN 'Single' ELSE 'Error' END AS \"Mode\", "
+            "CASE WHEN len(mix_parts) >= 2 THEN len(mix_parts[1:10]) WHEN len(one_parts) >= 1 THEN 1 ELSE 0 END::INT AS \"N_Components\", true AS ok "
+            "FROM upload_parts"),
+    ),
+    "master_to_training": (
+        master_to_training,
+        sql(f"SELECT 'RandomForest' AS best_model, {_n + 1024 + len(WORD_RULES.alerts)} AS n_features, count(*) AS n_rows "
+            "FROM (SELECT key FROM base UNION SELECT key FROM lib)"),
+    ),
     "row_attribution_topk": (row_attribution, sql(_attr_rows)),
     "attribution_text": (
         lambda s, d: attributed(s, d).select("vec_id", explain.attribution_text(F.col("attribution"), F.col("cls")).alias("text")),

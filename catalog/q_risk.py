@@ -269,7 +269,7 @@ _mix_score = (
 
 # Batch: the chosen component lists become mixtures of their own and go through the same steps.
 _BATCH = {
-    "b_rows": "SELECT o_orderkey, smiles, mixture, CASE WHEN len(mix_parts[1:10]) >= 2 THEN 'Mixture' WHEN len(one_parts) >= 1 THEN 'Single' ELSE 'Error' END AS mode, "
+    "b_rows": "SELECT o_orderkey, smiles, mixture, mix_parts AS given, CASE WHEN len(mix_parts[1:10]) >= 2 THEN 'Mixture' WHEN len(one_parts) >= 1 THEN 'Single' ELSE 'Error' END AS mode, "
     "CASE WHEN len(mix_parts[1:10]) >= 2 THEN mix_parts[1:10] WHEN len(one_parts) >= 1 THEN one_parts[1:1] ELSE [] END AS chosen FROM upload_parts",
     "b_comps0": "SELECT o_orderkey AS mix, i::INT AS pos, chosen[i] AS text, ((length(chosen[i]) * 7) % 20) / 20e0 AS base FROM b_rows, range(1, len(chosen) + 1) r(i)",
     "b_texts": "SELECT DISTINCT text FROM b_comps0",
@@ -305,6 +305,7 @@ def _batch_sql(body: str) -> str:
         "CASE mode WHEN 'Mixture' THEN f.final_p WHEN 'Single' THEN f.max_p ELSE 0e0 END AS \"Probability\", "
         f"CASE mode WHEN 'Mixture' THEN {_mean_conf} WHEN 'Single' THEN confs[1] ELSE 0e0 END AS \"Confidence\", "
         "CASE mode WHEN 'Mixture' THEN f.kind ELSE 'N/A' END AS \"Interaction\", len(b.chosen)::INT AS \"N_Components\", "
+        "CASE mode WHEN 'Mixture' THEN len(b.given) ELSE len(b.chosen) END::INT AS \"N_Given\", "
         "CASE mode WHEN 'Mixture' THEN f.danger WHEN 'Single' THEN least(10, trunc(f.max_p * 10e0)::INT + f.alert_rows) ELSE 0 END::INT AS \"Danger_Level\", "
         "coalesce(d.diseases, '') AS \"Diseases\", CASE mode WHEN 'Mixture' THEN f.most_dangerous ELSE '' END AS \"Most_Dangerous\" "
         "FROM b_rows b LEFT JOIN mix_final f ON f.mix = b.o_orderkey LEFT JOIN comps c ON c.mix = b.o_orderkey AND c.pos = 1 LEFT JOIN mix_top_diseases d ON d.mix = b.o_orderkey"

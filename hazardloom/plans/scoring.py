@@ -169,14 +169,24 @@ def match_dimension(df: DataFrame, text: str, rules: RuleBook) -> DataFrame:
 
 
 def score_part_arrays(
-    df: DataFrame, parts: str, rules: RuleBook, base: Callable[[Column], Column] | None = None
+    df: DataFrame, parts: str, rules: RuleBook, base: Callable[[Column], Column] | None = None,
+    bases: str | None = None,
 ) -> DataFrame:
-    """Turn an array of at most ten component texts into scored ``components``, within the row."""
-    base = base or (lambda key: F.lit(NO_MODEL_SCORE))
+    """Turn an array of component texts into scored ``components``, within the row.
+
+    ``base`` gives the base score of a text, or ``bases`` names an array with the base score
+    of every component; with neither, the score without a model is used.
+    """
+
+    def score(key: Column, i: Column) -> Column:
+        if bases is not None:
+            return F.get(F.col(bases), i)
+        return base(key) if base is not None else F.lit(NO_MODEL_SCORE)
+
     stage_1 = F.transform(
         parts,
         lambda key, i: F.struct(
-            (i + 1).alias("pos"), key.alias("key"), base(key).alias("base"), match_rules(key, rules).alias("matches")
+            (i + 1).alias("pos"), key.alias("key"), score(key, i).alias("base"), match_rules(key, rules).alias("matches")
         ),
     )
     stage_2 = F.transform(
@@ -214,26 +224,37 @@ def score_part_arrays(
     )
 
 
+# Adds an array of base scores, under the second name, beside an array of component texts.
+AddBases = Callable[[DataFrame, str, str], DataFrame]
+
+
 def score_mixture_texts(
-    df: DataFrame, text: str, rules: RuleBook, base: Callable[[Column], Column] | None = None
+    df: DataFrame, text: str, rules: RuleBook, base: Callable[[Column], Column] | None = None,
+    add_bases: AddBases | None = None, max_components: int = MAX_COMPONENTS,
 ) -> DataFrame:
     """Score free mixture texts (lines pooled); texts with fewer than two components give no row."""
     listed = df.withColumn("_parts", split_lines(F.col(text), rules.names))
-    return score_mixture_lists(listed, "_parts", rules, base).drop("_parts")
+    return score_mixture_lists(listed, "_parts", rules, base, add_bases, max_components).drop("_parts")
 
 
 def score_mixture_lists(
-    df: DataFrame, parts: str, rules: RuleBook, base: Callable[[Column], Column] | None = None
+    df: DataFrame, parts: str, rules: RuleBook, base: Callable[[Column], Column] | None = None,
+    add_bases: AddBases | None = None, max_components: int = MAX_COMPONENTS,
 ) -> DataFrame:
     """Score mixtures given as an array of component texts.
 
-    The first ten count; unusable ones among them drop out, and fewer than two usable
-    ones give no row.
+    The first ``max_components`` count; unusable ones among them drop out, and fewer than two
+    usable ones give no row.  ``n_given`` and ``n_used`` tell how many there were and count.
     """
-    first = F.transform(F.slice(F.col(parts), 1, MAX_COMPONENTS), normalize_key)
-    listed = df.withColumn("_usable", F.array_compact(first))
-    mixtures = listed.where(F.size("_usable") >= MIN_COMPONENTS)
-    return score_components(score_part_arrays(mixtures, "_usable", rules, base).drop("_usable"), rules)
+    first = F.transform(F.slice(F.col(parts), 1, max_components), normalize_key)
+    listed = df.withColumn("n_given", F.size(parts)).withColumn("_usable", F.array_compact(first))
+    mixtures = listed.where(F.size("_usable") >= MIN_COMPONENTS).withColumn("n_used", F.size("_usable"))
+    bases = None
+    if add_bases is not None:
+        bases = "_bases"
+        mixtures = add_bases(mixtures, "_usable", bases)
+    scored = score_part_arrays(mixtures, "_usable", rules, base, bases).drop("_usable", "_bases")
+    return score_components(scored, rules)
 
 
 def mixture_report(scored: DataFrame, mixture: str) -> DataFrame:
@@ -269,19 +290,23 @@ def detect_columns(columns: list[str]) -> tuple[str | None, str | None]:
 
 
 def batch_route(
-    df: DataFrame, rules: RuleBook, keep: list[str], base: Callable[[Column], Column] | None = None
+    df: DataFrame, rules: RuleBook, keep: list[str], base: Callable[[Column], Column] | None = None,
+    add_bases: AddBases | None = None, max_components: int = MAX_COMPONENTS,
 ) -> DataFrame:
     """Score an upload table row by row: mixture, else single, else error.
 
     A mixture text with fewer than two components falls through to the single column.
     Every row chooses its component list first and is then scored once, in one map stage.
+    Of a mixture the first ``max_components`` count; ``N_Given`` tells how many there were.
     """
     single, mixture = detect_columns(df.columns)
     null = F.lit(None).cast("string")
     single_col = F.col(single).cast("string") if single else null
     mixture_col = F.col(mixture).cast("string") if mixture else null
-    listed = df.withColumn("_mix", F.slice(split_parts(mixture_col, rules.names), 1, MAX_COMPONENTS)).withColumn(
-        "_one", F.slice(split_parts(single_col, rules.names), 1, 1)
+    listed = (
+        df.withColumn("_given", split_parts(mixture_col, rules.names))
+        .withColumn("_mix", F.slice("_given", 1, max_components))
+        .withColumn("_one", F.slice(split_parts(single_col, rules.names), 1, 1))
     )
     routed = listed.withColumn(
         "Mode",
@@ -290,7 +315,11 @@ def batch_route(
         "_parts",
         F.when(F.col("Mode") == "Mixture", F.col("_mix")).otherwise(F.col("_one")),
     )
-    scored = score_components(score_part_arrays(routed, "_parts", rules, base), rules)
+    bases = None
+    if add_bases is not None:
+        bases = "_bases"
+        routed = add_bases(routed, "_parts", bases)
+    scored = score_components(score_part_arrays(routed, "_parts", rules, base, bases), rules)
     first = F.get("components", F.lit(0))
     is_mixture, is_single = F.col("Mode") == "Mixture", F.col("Mode") == "Single"
 
@@ -306,6 +335,7 @@ def batch_route(
         pick(F.col("combined_confidence"), first["confidence"], F.lit(0.0)).alias("Confidence"),
         pick(F.col("interaction.type"), F.lit("N/A"), F.lit("N/A")).alias("Interaction"),
         pick(F.size("components"), F.lit(1), F.lit(0)).alias("N_Components"),
+        pick(F.size("_given"), F.lit(1), F.lit(0)).alias("N_Given"),
         pick(
             F.col("danger_level"), danger_level(first["probability"], F.size("all_matches")), F.lit(0)
         ).alias("Danger_Level"),

@@ -13,9 +13,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardloom.functions.scores import weighted_class_score
 from hazardloom.functions.text import is_usable_key
 from hazardloom.operators.clean import balanced_class_weights
 from hazardloom.operators.features import (
@@ -36,10 +37,10 @@ from hazardloom.operators.metrics import (
     weighted_metrics,
 )
 from hazardloom.operators.ordered import stratified_split
-from hazardloom.plans.scoring import score_entities
+from hazardloom.plans.scoring import AddBases, score_entities
 from hazardloom.rules import RuleBook
 from hazardloom.session import computed_once, write_and_read
-from hazardloom.sources.files import save_model, sink_json_metrics
+from hazardloom.sources.files import load_model, persist_holdout, save_model, scan_json_metrics, sink_json_metrics
 
 # --- fixed values: the candidates' settings --------------------------------
 SEED = 42
@@ -96,7 +97,8 @@ def training_rows(df: DataFrame, key: str, cls: str, features: str, scaler: Data
 
 def split_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Train part with class weights and test part, each written once and read back."""
-    stored = write_and_read(rows, "split").withColumn("vector", array_to_vector("scaled"))
+    # Files of an even size: a small table trains in few partitions, a large one in many.
+    stored = write_and_read(rows.hint("rebalance"), "split").withColumn("vector", array_to_vector("scaled"))
     train = balanced_class_weights(stored.where(~F.col("is_test")), "label")
     return train, stored.where("is_test")
 
@@ -152,17 +154,20 @@ class TrainingRun:
 def train_and_evaluate(
     df: DataFrame, key: str, cls: str, features: str, estimators: dict[str, Estimator] | None = None,
     k: int = N_CLASSES, store: str | None = None, names: list[str] | None = None,
+    fitted: dict[str, PipelineModel] | None = None,
 ) -> TrainingRun:
     """Split, fit every candidate on the same train part, score the test part, pick the best.
 
     Scaler and test predictions are written once; all metrics come from that table.  With
-    ``store`` the scaler, the feature names, every model, the best model and the run
-    metadata are saved under it.
+    ``store`` the scaler, the feature names, the hold-out, the predictions, every model, the
+    best model and the run metadata are saved under it, for :func:`load_run`.  ``fitted``
+    are models that were fitted on the same split before.
     """
     estimators = estimators or candidates()
     scaler = write_and_read(scaler_stats(df, features), "scaler")
     train, test = split_parts(training_rows(df, key, cls, features, scaler))
-    models = {name: Pipeline(stages=[estimator]).fit(train) for name, estimator in estimators.items()}
+    known = fitted or {}
+    models = {n: known[n] if n in known else Pipeline(stages=[e]).fit(train) for n, e in estimators.items()}
     scored = [
         predict_proba(model, test, [key, "label"]).select(
             F.lit(name).alias("model"), F.lit(i).alias("ord"), key, F.col("label").cast("int").alias("y"), "yhat", "scores"
@@ -177,6 +182,8 @@ def train_and_evaluate(
     sizes = {"n_train": train.count(), "n_test": test.count(), "n_features": len(test.select("scaled").first()[0])}
     run = TrainingRun(models, scaler, predictions, model_metrics(predictions, k), best, best_f1, sizes)
     if store is not None:
+        run.paths["holdout"] = f"{store}/holdout"
+        persist_holdout(test.drop("vector"), run.paths["holdout"])
         _store(run, store, k, names or [f"f{i}" for i in range(sizes["n_features"])])
     return run
 
@@ -221,9 +228,75 @@ def score_with_model(
     return score_entities(predicted, text, rules, probabilities=F.col("scores"), health=health)
 
 
+def add_model_bases(keys: list[str], rules: RuleBook, model: PipelineModel, scaler: DataFrame) -> AddBases:
+    """For mixtures and batches: base scores of component texts from a trained model.
+
+    Every distinct text is featurised and scored once; the scores go back to the rows, told
+    apart by ``keys``, through the texts' digests.
+    """
+
+    def add(df: DataFrame, parts: str, into: str) -> DataFrame:
+        parted = df.select(*keys, F.posexplode(parts).alias("_pos", "_text"))
+        parted = parted.withColumn("_digest", F.sha2("_text", 256))
+        distinct = parted.groupBy("_digest").agg(F.min("_text").alias("_text"))
+        sparse = sparse_features(distinct, "_text", rules, ["_digest"])
+        dense = computed_once(sparse.select("_digest", assemble_vector(rules).alias("_features")), ["_features"])
+        scaled = apply_scaler(dense, "_features", scaler, "_scaled").withColumn("vector", array_to_vector("_scaled"))
+        scored = predict_proba(model, scaled, ["_digest"])
+        scored = scored.select("_digest", weighted_class_score(F.col("scores")).alias("_base"))
+        each = F.array_sort(F.collect_list(F.struct("_pos", "_base")))
+        bases = parted.select(*keys, "_pos", "_digest").join(scored, "_digest").groupBy(*keys).agg(
+            F.transform(each, lambda e: e["_base"]).alias(into)
+        )
+        return df.join(bases, keys, "left")
+
+    return add
+
+
+def feature_importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
+    """Importance of every feature in a fitted forest or boosted model; of one-vs-rest models the mean."""
+    fitted = model.stages[-1]
+    parts = fitted.models if hasattr(fitted, "models") else [fitted]
+    arrays = [p.featureImportances.toArray() for p in parts]
+    return [(name, float(sum(a[i] for a in arrays) / len(arrays))) for i, name in enumerate(names)]
+
+
+@dataclass
+class StoredRun:
+    """A run read back from its folder."""
+
+    best: str
+    model: PipelineModel
+    scaler: DataFrame
+    names: list[str]
+    holdout: DataFrame
+    predictions: DataFrame
+    metadata: DataFrame
+
+
+def load_run(spark: SparkSession, folder: str) -> StoredRun | None:
+    """Everything that later jobs need of a stored run; None if there is none."""
+    metadata = scan_json_metrics(spark, f"{folder}/training_meta")
+    head = metadata.select("best_model").first()
+    if head is None:
+        return None
+    names = spark.read.parquet(f"{folder}/feature_names").orderBy("feature").select("name").collect()  # one per feature
+    return StoredRun(
+        head["best_model"],
+        load_model(f"{folder}/best_model"),
+        spark.read.parquet(f"{folder}/scaler"),
+        [r["name"] for r in names],
+        spark.read.parquet(f"{folder}/holdout"),
+        spark.read.parquet(f"{folder}/predictions"),
+        metadata,
+    )
+
+
 def _store(run: TrainingRun, folder: str, k: int, names: list[str]) -> None:
     run.paths["scaler"] = f"{folder}/scaler"
     run.scaler.write.parquet(run.paths["scaler"])
+    run.paths["predictions"] = f"{folder}/predictions"
+    run.predictions.write.parquet(run.paths["predictions"])
     run.paths["feature_names"] = f"{folder}/feature_names"
     spark = run.scaler.sparkSession
     spark.createDataFrame(list(enumerate(names)), "feature int, name string").write.parquet(run.paths["feature_names"])
