@@ -365,7 +365,7 @@ def test_rare_words_are_joined(spark, documents, monkeypatch):
 
 def test_tree_probabilities():
     """Next-symbol distributions add up to one, and longer retained contexts sharpen them."""
-    rows = [(0, 0, 97, 60, 100, 2), (0, 0, 98, 40, 100, 2), (1, 97, 98, 30, 30, 1), (2, (97 << 8) | 97, 97, 10, 10, 1)]
+    rows = np.array([(0, 0, 97, 60, 100, 2), (0, 0, 98, 40, 100, 2), (1, 97, 98, 30, 30, 1), (2, (97 << 8) | 97, 97, 10, 10, 1)])
     tree = suffix_tree_lm.SuffixTree(rows)
 
     def after(word, symbol):
