@@ -8,8 +8,6 @@ so matching and reporting are a single map stage: no join and no shuffle at any
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,20 +52,19 @@ def matches_long(df: DataFrame, keys: list[str], matches: str = "matches") -> Da
 def match_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame) -> DataFrame:
     """Match against a rule table kept in Spark: one row per entity and matched rule.
 
-    A table of at most ``MAX_RULES`` rows becomes one array value that every task scans
-    per text.  A larger one is cut into hash batches of about that size, one map-only
-    branch each, so no batch and no group grows with the table.
+    The table becomes arrays of about ``MAX_RULES`` rules, as values of the plan, which every
+    task goes through per text: the texts are read once however many rules there are, and
+    nothing is shuffled.
     """
     columns = ["ord", "alert", "pattern", "severity", "boost"]
     rules = rules.select(*columns)
-    n = rules.limit(MAX_RULES + 1).count()
-    batches = 1 if n <= MAX_RULES else -(-2 * rules.count() // MAX_RULES)
+    batches = max(1, -(-rules.count() // MAX_RULES))
+    number = F.pmod(F.xxhash64("ord", "alert"), F.lit(batches))
 
-    def branch(part: DataFrame) -> DataFrame:
-        packed = part.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
-        found = F.filter(
+    def found(batch: str) -> Column:
+        return F.filter(
             F.transform(
-                F.col("_rules"),
+                F.col(batch),
                 lambda r: F.struct(
                     r["ord"].alias("ord"),
                     r["alert"].alias("alert"),
@@ -78,13 +75,14 @@ def match_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame
             ),
             lambda m: m["n"] > 0,
         )
-        return df.select(*keys, text).withColumn("_rules", packed).select(*keys, F.inline(found))
 
-    parts = (
-        rules if batches == 1 else rules.where(F.pmod(F.xxhash64("ord", "alert"), F.lit(batches)) == i)
-        for i in range(batches)
-    )
-    return reduce(DataFrame.unionByName, [branch(part) for part in parts])
+    def packed(i: int) -> Column:
+        part = rules.where(number == i) if batches > 1 else rules
+        return part.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
+
+    names = [f"_rules_{i}" for i in range(batches)]
+    attached = df.select(*keys, text, *[packed(i).alias(n) for i, n in enumerate(names)])
+    return attached.select(*keys, F.inline(F.concat(*[found(n) for n in names])))
 
 
 # --- aggregates over the matches of one entity ---------------------------------------
@@ -108,6 +106,7 @@ def override_floor(matches: Column) -> Column:
     """Probability floor set by severe matches; NULL when no condition holds."""
     critical = F.size(F.filter(matches, lambda m: m["severity"] >= CRITICAL_SEVERITY))
     high = F.size(F.filter(matches, lambda m: m["severity"] >= HIGH_SEVERITY))
+    # --- fixed values: the floors ---
     return (
         F.when(critical >= 2, 0.95)
         .when(critical >= 1, 0.80)

@@ -33,6 +33,15 @@ RESULT_COLUMNS = [
 MAX_COMPONENTS = 10
 MIN_COMPONENTS = 2
 
+# --- fixed values: when components contrast or are moderate, and the bounds of the escalation ---
+CONTRAST_LOW, CONTRAST_HIGH = 0.2, 0.6
+MODERATE_LOW, MODERATE_HIGH = 0.3, 0.6
+MODERATE_MODIFIER, MANY_ALERTS, MANY_ALERTS_MODIFIER = 1.1, 5, 1.2
+ESCALATION_RISE, ESCALATION_CAP = 0.15, 0.95
+WEIGHT_SHARE, WEIGHT_RISE = 0.5, 0.25
+CO_BOOST_EACH, CO_BOOST_MOST = 0.03, 0.10
+MULTI_BOOST_TWO, MULTI_BOOST_MORE = 0.06, 0.10
+
 
 def truncate_components(df: DataFrame, mixture: str, order: list[Column], pos: str = "pos") -> DataFrame:
     """Number the components of each mixture and keep the first ten.
@@ -146,8 +155,8 @@ def _mean(values: Column) -> Column:
 def interaction(best: Column, probabilities: Column, n_alert_rows: Column) -> Column:
     """Interaction type, modifier and explanation.  Without a fired rule: contrasting
     probabilities, then several moderate ones, then many alerts."""
-    contrast = (F.array_min(probabilities) < 0.2) & (F.array_max(probabilities) > 0.6)
-    moderate = F.size(F.filter(probabilities, lambda p: (p > 0.3) & (p < 0.6))) >= 2
+    contrast = (F.array_min(probabilities) < CONTRAST_LOW) & (F.array_max(probabilities) > CONTRAST_HIGH)
+    moderate = F.size(F.filter(probabilities, lambda p: (p > MODERATE_LOW) & (p < MODERATE_HIGH))) >= 2
 
     def result(kind: str, modifier: Column, explanation: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), modifier.alias("modifier"), explanation.alias("explanation"))
@@ -155,8 +164,8 @@ def interaction(best: Column, probabilities: Column, n_alert_rows: Column) -> Co
     return (
         F.when(best.isNotNull(), result("SYNERGISTIC", best["modifier"], best["explanation"]))
         .when(contrast, result("ADDITIVE", F.lit(1.0), F.lit(CONTRAST_INTERACTION)))
-        .when(moderate, result("ADDITIVE", F.lit(1.1), F.lit(MODERATE_INTERACTION)))
-        .when(n_alert_rows >= 5, result("SYNERGISTIC", F.lit(1.2), F.lit(MANY_ALERTS_INTERACTION)))
+        .when(moderate, result("ADDITIVE", F.lit(MODERATE_MODIFIER), F.lit(MODERATE_INTERACTION)))
+        .when(n_alert_rows >= MANY_ALERTS, result("SYNERGISTIC", F.lit(MANY_ALERTS_MODIFIER), F.lit(MANY_ALERTS_INTERACTION)))
         .otherwise(result("INDEPENDENT", F.lit(1.0), F.lit(NO_INTERACTION)))
     )
 
@@ -200,10 +209,10 @@ def with_escalation(df: DataFrame, stats: str = "stats", probabilities: str = "p
     normalized = weight / F.greatest(F.size(probabilities), F.lit(1))
     highest, cap, base = F.col("_max"), F.col("_cap"), F.col("_base")
     co_boost = F.when(
-        distinct >= 2, (cap - base) * F.least(F.lit(0.10), F.lit(0.03) * distinct)
+        distinct >= 2, (cap - base) * F.least(F.lit(CO_BOOST_MOST), F.lit(CO_BOOST_EACH) * distinct)
     ).otherwise(F.lit(0.0))
     multi_boost = F.when(
-        toxic >= 2, (cap - F.col("_co")) * F.when(toxic == 2, 0.06).otherwise(0.10)
+        toxic >= 2, (cap - F.col("_co")) * F.when(toxic == 2, MULTI_BOOST_TWO).otherwise(MULTI_BOOST_MORE)
     ).otherwise(F.lit(0.0))
 
     def part(name: str, value: Column) -> Column:
@@ -219,10 +228,10 @@ def with_escalation(df: DataFrame, stats: str = "stats", probabilities: str = "p
     raised = (
         df.withColumn("_max", F.array_max(probabilities))
         .withColumn("_norm", normalized)
-        .withColumn("_cap", F.least(highest + 0.15, F.lit(0.95)))
+        .withColumn("_cap", F.least(highest + ESCALATION_RISE, F.lit(ESCALATION_CAP)))
         .withColumn(
             "_base",
-            F.least(highest * (F.lit(1.0) + F.least(F.col("_norm") * 0.5, F.lit(0.25))), cap),
+            F.least(highest * (F.lit(1.0) + F.least(F.col("_norm") * WEIGHT_SHARE, F.lit(WEIGHT_RISE))), cap),
         )
         .withColumn("_co_boost", co_boost)
         .withColumn("_co", F.least(base + F.col("_co_boost"), cap))
