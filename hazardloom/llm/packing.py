@@ -28,6 +28,7 @@ from hazardloom.session import write_and_read
 CAPACITY = 4_096
 GROUP_PIECES = 4_096
 ISLANDS = 4
+ISLANDS_PER_TASK = 16
 EPOCHS = 2
 CHILDREN = 8
 POPULATION = 4
@@ -147,7 +148,7 @@ def _as_bins(data: bytes) -> list[list[int]]:
     return [b for b in bins if b]
 
 
-def _evolved(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
+def _evolved(state: DataFrame, capacity: int, epoch: int, groups: int) -> DataFrame:
     """One epoch on every island: ``group, island, lengths, solution, n_bins, bound``."""
 
     def run(batches):
@@ -179,7 +180,8 @@ def _evolved(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
             ("bound", pa.int32()),
         ]
     )
-    spread = state.repartition("group", "island")
+    # Few bytes but much work: the number of tasks follows the islands, not the size.
+    spread = state.repartition(math.ceil(groups * ISLANDS / ISLANDS_PER_TASK), "group", "island")
     return spread.mapInArrow(
         run, "group long, island int, lengths array<int>, solution binary, n_bins int, bound int"
     )
@@ -202,7 +204,7 @@ def _pack_round(open_pieces: DataFrame, count: int, capacity: int, number: int,
         F.lit(None).cast("binary").alias("migrant"),
     )
     for epoch in range(EPOCHS):
-        evolved = write_and_read(_evolved(state, capacity, epoch), "packing-islands")
+        evolved = write_and_read(_evolved(state, capacity, epoch, groups), "packing-islands")
         # Elites move on to the next island of their group; groups at their bound rest.
         elites = evolved.select(
             "group", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("solution").alias("migrant")
