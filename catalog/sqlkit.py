@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from catalog.inputs import WORD_RULES, WORDS
-from hazardloom.functions.text import COUNT_FEATURES, WHITESPACE
+from hazardloom.functions.text import COUNT_FEATURES, GRAM_BASE, GRAM_FACTOR, GRAM_PRIME, WHITESPACE
 from hazardloom.operators.clean import ASSAYS
 
 
@@ -151,12 +151,16 @@ COUNTS_SQL = [f"({_count_sql(n, *spec)})::DOUBLE" for n, spec in COUNT_FEATURES.
 
 
 def grams(n: int) -> str:
-    return f"list_transform(range(1, length(text) - {n - 2}), lambda i: substr(text, i, {n}))"
+    """Numbers of the n-grams: code points plus one as digits."""
+    value = "(unicode(substr(text, i, 1))::BIGINT + 1)"
+    for k in range(1, n):
+        value = f"({value} * {GRAM_BASE} + unicode(substr(text, i + {k}, 1)) + 1)"
+    return f"list_transform(range(1, length(text) - {n - 2}), lambda i: {value})"
 
 
 BITS_SQL = (
     f"list_sort(list_distinct(list_transform(list_concat(list_concat({grams(1)}, {grams(2)}), {grams(3)}), "
-    "lambda g: (('0x' || substr(md5(g), 1, 8))::BIGINT % 1024)::INT)))"
+    f"lambda g: (((g % {GRAM_PRIME}) * {GRAM_FACTOR}) % {GRAM_PRIME} % 1024)::INT)))"
 )
 
 _k = "o_orderkey % 10"

@@ -145,15 +145,37 @@ def n_present_counts(text: Column) -> Column:
 NGRAM_BITS = 1024
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """All overlapping character n-grams, found in one pass over the whole text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+# A gram's number has its code points as digits of GRAM_BASE; one step of a multiplicative
+# generator spreads the numbers over the bits.
+GRAM_BASE, GRAM_PRIME, GRAM_FACTOR = 1_000_003, 2_147_483_647, 48_271
+
+
+def ngram_numbers(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Numbers of all overlapping character n-grams, arithmetic on code points; no gram becomes a text."""
+
+    def numbers(points: Column, n: int) -> Column:
+        def number(at: Column) -> Column:
+            value = F.get(points, at)
+            for k in range(1, n):
+                value = value * GRAM_BASE + F.get(points, at + k)
+            return value
+
+        starts = F.when(F.size(points) >= n, F.sequence(F.lit(0), F.size(points) - n)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, number)
+
+    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long") + 1)
+    # The points pass through a one-element array, so that they are computed once.
+    return F.get(
+        F.transform(F.array(points), lambda p: F.flatten(F.array(*[numbers(p, n) for n in sizes]))), F.lit(0)
+    )
 
 
 def hashed_ngram_bits(text: Column, sizes: tuple[int, ...] = (1, 2, 3), bits: int = NGRAM_BITS) -> Column:
     """Sorted distinct bit numbers set by the n-grams of a text; NULL text gives NULL."""
-    grams = F.array_distinct(F.concat(*[ngrams(text, n) for n in sizes]))
-    numbers = F.transform(
-        grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"), F.lit(bits)).cast("int")
+    present = F.when(text == "", F.array().cast("array<bigint>")).otherwise(ngram_numbers(text, sizes))
+    spread = F.transform(
+        present, lambda v: F.pmod(F.pmod(F.pmod(v, F.lit(GRAM_PRIME)) * GRAM_FACTOR, F.lit(GRAM_PRIME)), F.lit(bits)).cast("int")
     )
-    return F.array_sort(F.array_distinct(numbers))
+    return F.when(text.isNotNull(), F.array_sort(F.array_distinct(spread)))
