@@ -35,6 +35,10 @@ HEADLINE = [
     "classification_report",
     "standard_scale",
     "token_count_features",
+    "scan_csv",
+    "feature_table",
+    "evaluation_tables",
+    "train_forest",
 ]
 
 
