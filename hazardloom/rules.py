@@ -130,23 +130,60 @@ Isocyanate | Hypersensitivity Pneumonitis | 0.40 | HIGH | IgG-mediated lung infl
 """
 
 # --- fixed values: organ scores per alert, and the tracked organs in their order ----
+# alert | organ | score
 ORGANS_TEXT = """
-Benzene Ring | Blood 70, Bone Marrow 75, Liver 30, Immune System 40
-Nitro Group | Blood 60, Liver 65, Skin 35, Kidneys 30
-Aromatic Amine (Primary) | Bladder 75, Blood 55, Liver 60
-Aromatic Amine (Secondary) | Bladder 60, Blood 45, Liver 50
-Aldehyde | Lungs 55, Skin 50, Eyes 45
-Formaldehyde-like | Lungs 75, Nasal Cavity 70, Blood 40
-Halogenated Alkyl | Liver 70, Brain 65, Kidneys 50, Heart 40
-Polyaromatic Hydrocarbon (3+ fused rings) | Lungs 70, Skin 60, Bladder 45
-Reactive α,β-Unsaturated Carbonyl | Skin 55, Liver 45, GI Tract 35
-Epoxide | DNA/Genome 80, Liver 50, Skin 45, Lungs 40
-Quinone | Blood 60, Liver 55, Kidneys 45
-Hydrazine | Liver 75, Immune System 45, Blood 35
-Acyl Halide | Skin 80, Lungs 75, Eyes 70, GI Tract 60
-Nitroso Group | Liver 70, GI Tract 55
-Azide | Heart 65, Brain 60, Mitochondria 70
-Isocyanate | Lungs 75, Skin 50, Immune System 55
+Benzene Ring | Blood | 70
+Benzene Ring | Bone Marrow | 75
+Benzene Ring | Liver | 30
+Benzene Ring | Immune System | 40
+Nitro Group | Blood | 60
+Nitro Group | Liver | 65
+Nitro Group | Skin | 35
+Nitro Group | Kidneys | 30
+Aromatic Amine (Primary) | Bladder | 75
+Aromatic Amine (Primary) | Blood | 55
+Aromatic Amine (Primary) | Liver | 60
+Aromatic Amine (Secondary) | Bladder | 60
+Aromatic Amine (Secondary) | Blood | 45
+Aromatic Amine (Secondary) | Liver | 50
+Aldehyde | Lungs | 55
+Aldehyde | Skin | 50
+Aldehyde | Eyes | 45
+Formaldehyde-like | Lungs | 75
+Formaldehyde-like | Nasal Cavity | 70
+Formaldehyde-like | Blood | 40
+Halogenated Alkyl | Liver | 70
+Halogenated Alkyl | Brain | 65
+Halogenated Alkyl | Kidneys | 50
+Halogenated Alkyl | Heart | 40
+Polyaromatic Hydrocarbon (3+ fused rings) | Lungs | 70
+Polyaromatic Hydrocarbon (3+ fused rings) | Skin | 60
+Polyaromatic Hydrocarbon (3+ fused rings) | Bladder | 45
+Reactive α,β-Unsaturated Carbonyl | Skin | 55
+Reactive α,β-Unsaturated Carbonyl | Liver | 45
+Reactive α,β-Unsaturated Carbonyl | GI Tract | 35
+Epoxide | DNA/Genome | 80
+Epoxide | Liver | 50
+Epoxide | Skin | 45
+Epoxide | Lungs | 40
+Quinone | Blood | 60
+Quinone | Liver | 55
+Quinone | Kidneys | 45
+Hydrazine | Liver | 75
+Hydrazine | Immune System | 45
+Hydrazine | Blood | 35
+Acyl Halide | Skin | 80
+Acyl Halide | Lungs | 75
+Acyl Halide | Eyes | 70
+Acyl Halide | GI Tract | 60
+Nitroso Group | Liver | 70
+Nitroso Group | GI Tract | 55
+Azide | Heart | 65
+Azide | Brain | 60
+Azide | Mitochondria | 70
+Isocyanate | Lungs | 75
+Isocyanate | Skin | 50
+Isocyanate | Immune System | 55
 """
 TRACKED_ORGANS = [
     "Liver", "Kidneys", "Heart", "Brain", "Lungs", "Blood", "Skin", "GI Tract", "Bladder",
@@ -263,10 +300,7 @@ def _default_diseases() -> list[tuple]:
 
 
 def _default_organs() -> list[tuple]:
-    pairs = [
-        (alert, *entry.rsplit(" ", 1)) for alert, scores in _rows(ORGANS_TEXT) for entry in scores.split(", ")
-    ]
-    return [(i + 1, alert, organ, float(score)) for i, (alert, organ, score) in enumerate(pairs)]
+    return [(i + 1, alert, organ, float(score)) for i, (alert, organ, score) in enumerate(_rows(ORGANS_TEXT))]
 
 
 def _default_pair_rules() -> list[tuple]:
