@@ -15,7 +15,7 @@ from array import array
 from functools import lru_cache
 
 # Chunks, and pre-tokens, that one worker remembers; about 200 bytes each.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 300_000
 
 # Two white-space characters side by side, or one at an end.
 _LOOSE_SPACE = re.compile(r"\s\s|^\s|\s$")
