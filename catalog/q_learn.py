@@ -273,10 +273,13 @@ def model_store(spark: SparkSession, sf: str) -> DataFrame:
 
 def recomputed(predictions: DataFrame) -> DataFrame:
     """Accuracy and weighted F1 per model, straight from predicted rows."""
-    rows = predictions.select("model", "y", "yhat")
-    hits = rows.groupBy("model", F.explode(F.array(F.struct(F.col("y").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p")),
-                                                   F.struct(F.col("yhat").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("e"),
-                        (F.col("y") == F.col("yhat")).alias("hit")).count()
+    # A row counts as true for its class and as predicted for its prediction.
+    sides = F.array(
+        F.struct(F.col("y").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p")),
+        F.struct(F.col("yhat").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p")),
+    )
+    hits = predictions.select("model", (F.col("y") == F.col("yhat")).alias("hit"), F.explode(sides).alias("e"))
+    hits = hits.groupBy("model", "e", "hit").count()
     per_class = hits.groupBy("model", "e.c").agg(
         F.sum(F.col("count") * F.col("e.t")).alias("support"),
         F.sum(F.col("count") * F.col("e.p")).alias("predicted"),
