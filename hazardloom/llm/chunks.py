@@ -14,11 +14,9 @@ import re
 from array import array
 from functools import lru_cache
 
-# Chunks, and pre-tokens, that one worker remembers; about 200 bytes each.
-MEMO_ENTRIES = 300_000
+# Chunks, and pre-tokens, of a generation that one worker remembers; about 200 bytes each.
+MEMO_ENTRIES = 200_000
 
-# Two white-space characters side by side, or one at an end.
-_LOOSE_SPACE = re.compile(r"\s\s|^\s|\s$")
 # Characters str.split() takes for white space and the word tokenizer doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 # Latin letters, numbers and signs on which every Unicode version agrees.
@@ -60,17 +58,25 @@ def load_tokenizer(path: str):
 
 
 class Memo(dict):
-    """A bounded dict that computes what it lacks."""
+    """A bounded dict that computes what it lacks.
+
+    When it is full, its entries become the old generation; those that are asked for again
+    return from there, so frequent ones are computed once.
+    """
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > MEMO_ENTRIES:
+            self.old = dict(self)
             self.clear()
 
 
@@ -86,8 +92,8 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts = Memo(self.merged)
-        self.chunks = Memo(self.of_chunk)
-        self.spaced = self.chunks if words else Memo(lambda chunk: self.of_chunk(" " + chunk))
+        self.chunks = Memo(self.of_chunk if words else self.of_first)
+        self.spaced = self.chunks if words else Memo(self.of_spaced)
 
     def of_ids(self, ids: list[int]):
         return array("I", ids).tobytes()
@@ -128,6 +134,14 @@ class Encoder:
             return self.by_library(chunk)
         return self.parts[cut[0]] if len(cut) == 1 else self.joined([self.parts[x] for x in cut])
 
+    def of_first(self, chunk: str):
+        """The chunk before the first space; None if the text can't be cut at its spaces."""
+        # Only a space between two other characters surely begins a pre-token.
+        return None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.of_chunk(chunk)
+
+    def of_spaced(self, chunk: str):
+        return None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.of_chunk(" " + chunk)
+
     def of_text(self, text: str | None):
         """The joined result of a text; a null text is an empty one."""
         if not text:
@@ -136,10 +150,12 @@ class Encoder:
             if _SEPARATORS.search(text):
                 return self.by_library(text)
             return self.joined(map(self.chunks.__getitem__, text.split()))
-        if _LOOSE_SPACE.search(text):
-            return self.by_library(text)
         first, *rest = text.split(" ")
-        return self.joined([self.chunks[first], *map(self.spaced.__getitem__, rest)])
+        found = [self.chunks[first], *map(self.spaced.__getitem__, rest)]
+        try:
+            return self.joined(found)
+        except TypeError:  # a None among them
+            return self.by_library(text)
 
     def of(self, texts: list[str | None]) -> list:
         for memo in (self.chunks, self.spaced, self.parts):

@@ -20,7 +20,6 @@ counted by 128-bit hashes with map-side sums, wherever they lie.
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -336,20 +335,3 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The registered result."""
     return found.select(f"`{id_col}`", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Maximal removed spans by counting every window; for tests."""
-    times: dict[bytes, int] = {}
-    for t in texts:
-        for p in range(len(t) - length + 1):
-            key = hashlib.blake2b(t[p : p + length], digest_size=16).digest()
-            times[key] = times.get(key, 0) + 1
-    out = []
-    for t in texts:
-        covered = np.zeros(len(t), bool)
-        for p in range(len(t) - length + 1):
-            if times[hashlib.blake2b(t[p : p + length], digest_size=16).digest()] > 1:
-                covered[p : p + length] = True
-        out.append(_stretches(covered))
-    return out

@@ -156,6 +156,7 @@ def write_token_files(
     """
     from hazardloom.llm.chunks import load_tokenizer
 
+    end = np.uint32(end_id).astype("<u4").tobytes()
     width = width_of(max(load_tokenizer(path).get_vocab_size(), end_id + 1))
 
     def records(batches):
@@ -165,8 +166,7 @@ def write_token_files(
                 out = []
                 texts = coder.of(part.column(1).to_pylist())
                 for doc_id, data in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids = np.append(np.frombuffer(data, "<u4"), np.uint32(end_id))
-                    out += writer.add(doc_id, ids)
+                    out += writer.add(doc_id, np.frombuffer(data + end, "<u4"))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
         if writer.docs:

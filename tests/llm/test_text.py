@@ -221,6 +221,9 @@ def test_personal_data(spark, awkward):
     found = [(r["doc_id"], [tuple(s) for s in r["base"]]) for r in got]
     assert sorted(found, key=repr) == sorted(((d, plain_spans(t)) for d, t, _ in rows), key=repr)
     assert pii.digest(pii.personal_data(docs.limit(0))).count() == 0
+    whole = pii.personal_data(awkward)
+    assert whole.columns == awkward.columns and whole.count() == len(AWKWARD)
+    assert sum(len(r["base"]) for r in whole.collect()) == sum(len(plain_spans(t)) for _, t, _ in AWKWARD)
 
 
 def test_added_spans_and_redaction(spark):
@@ -286,6 +289,23 @@ def test_given_pages_keep_their_article(spark):
 
 
 # --- suffix deduplication --------------------------------------------------------------
+def brute_force(texts, length=suffix_dedup.LENGTH):
+    """Maximal removed spans by counting every window."""
+    times = {}
+    for t in texts:
+        for p in range(len(t) - length + 1):
+            key = hashlib.blake2b(t[p : p + length], digest_size=16).digest()
+            times[key] = times.get(key, 0) + 1
+    out = []
+    for t in texts:
+        covered = np.zeros(len(t), bool)
+        for p in range(len(t) - length + 1):
+            if times[hashlib.blake2b(t[p : p + length], digest_size=16).digest()] > 1:
+                covered[p : p + length] = True
+        out.append(suffix_dedup._stretches(covered))
+    return out
+
+
 def removed(rows):
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows), key=repr)
 
@@ -293,7 +313,7 @@ def removed(rows):
 def plain_removed(rows):
     data = [(t or "").encode() for _, t, _ in rows]
     out = []
-    for (doc_id, _, _), text, spans in zip(rows, data, suffix_dedup.brute_force(data), strict=True):
+    for (doc_id, _, _), text, spans in zip(rows, data, brute_force(data), strict=True):
         kept, at = b"", 0
         for a, b in spans:
             kept, at = kept + text[at:a], b
