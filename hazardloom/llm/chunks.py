@@ -124,7 +124,7 @@ class Encoder:
         # Short ways for what is most frequent: a word, and a word with a stop or comma.
         bare = chunk[1:] if chunk[0] == " " else chunk
         word = bare[:-1] if bare[-1:] in _STOPS else bare
-        if word.isalpha() and max(word) <= _LAST_LETTER and _DOTTED_I not in word:
+        if word.isalpha() and (word.isascii() or (max(word) <= _LAST_LETTER and _DOTTED_I not in word)):
             whole = chunk.lower() if self.words else chunk
             if word is bare:
                 return self.parts[whole]
