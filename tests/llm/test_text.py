@@ -401,3 +401,15 @@ def test_tree_probabilities():
     p = tree.root.copy()
     p = (np.where(symbols == 98, 30, 0) + 1 * p) / 31
     assert p.sum() == pytest.approx(1)
+
+
+def test_every_context_that_passes_is_used(spark):
+    """More contexts than a fixed model of 20,000 states would hold: each raises the score of its own texts."""
+    n = 24_000
+    rows = spark.range(n * 6).selectExpr("id as doc_id", f"concat('a', id % {n}, ' b', id % {n}) as text")
+    got = suffix_tree_lm.scores(rows).where("not held_out").withColumn("pair", F.col("doc_id") % n)
+    # A text is scored by its context a.. -> b.., so a pair that was left out would stay at its base score.
+    pairs = got.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("score") - F.col("base_score")).alias("more"))
+    pairs = pairs.where(F.col("n") >= suffix_tree_lm.LEAST_COUNT).toPandas()
+    assert len(pairs) > 21_000
+    assert pairs["more"].min() > 1
