@@ -413,3 +413,63 @@ def test_every_context_that_passes_is_used(spark):
     pairs = pairs.where(F.col("n") >= suffix_tree_lm.LEAST_COUNT).toPandas()
     assert len(pairs) > 21_000
     assert pairs["more"].min() > 1
+
+
+def plain_tree_scores(rows, penalty, least):
+    """Score of every (id, text) with contexts of any length, in plain loops, and the retained contexts."""
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    texts = [(d, [*words(lower(t)), None]) for d, t in rows]
+    counts = {}
+    for d, ws in texts:
+        if not held(d):
+            for at, w in enumerate(ws):
+                for k in range(at + 1):
+                    counts.setdefault(tuple(ws[at - k : at]), Counter())[w] += 1
+    root = counts[()]
+    total, kept = sum(root.values()), {}
+    for context, after in counts.items():
+        n = sum(after.values())
+        if context and n >= least:
+            shorter = counts[context[1:]]
+            gain = sum(c * math.log(c / n / (shorter[w] / sum(shorter.values()))) for w, c in after.items())
+            if gain >= penalty * len(after):
+                kept[context] = after, n
+    out = []
+    for d, ws in texts:
+        score = 0.0
+        for at, w in enumerate(ws):
+            p = (root[w] + 1) / (total + len(root) + 1)
+            for k in range(1, at + 1):
+                if found := kept.get(tuple(ws[at - k : at])):
+                    p = (found[0][w] + len(found[0]) * p) / (found[1] + len(found[0]))
+            score += math.log10(p)
+        out.append((d, score))
+    return sorted(out, key=repr), kept
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 64])
+def test_contexts_run_over_the_text(spark, monkeypatch, bits):
+    """Any depth, long words, other scripts, and the end: as plain loops say, also with a full table of bits."""
+    monkeypatch.setattr(suffix_tree_lm, "MOST_BITS", bits)
+    rng = np.random.default_rng(3)
+    pool = ["the", "old", "Extraordinarily", "中文字", "ß", "sea", "was", "x" * 40]
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, " ".join(rng.choice(pool, int(rng.integers(0, 30))))) for i in range(120)]
+    # What follows a line is told by the word before it, twelve words back.
+    rows += [(200 + i, f"{('left', 'right')[i % 2]} {line} {('red', 'blue')[i % 2]}") for i in range(60)]
+    rows += [(300, "a b " * 40), (301, None), (302, ""), (None, "the old sea")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected, kept = plain_tree_scores(rows, suffix_tree_lm.PENALTY, suffix_tree_lm.LEAST_COUNT)
+    assert max(map(len, kept)) == 13
+    got = sorted(((r["doc_id"], r["score"]) for r in suffix_tree_lm.scores(docs).collect()), key=repr)
+    assert [d for d, _ in got] == [d for d, _ in expected]
+    assert [s for _, s in got] == pytest.approx([s for _, s in expected])
+
+
+def test_word_order_counts(spark):
+    text = "the cat sat on the mat and the dog lay by the door"
+    # 3 is not held out, 5 and 9 have the same words.
+    rows = [(3 + 1000 * i, text) for i in range(40)] + [(5, text), (9, " ".join(reversed(text.split())))]
+    got = {r["doc_id"]: r for r in suffix_tree_lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5]["base_score"] == pytest.approx(got[9]["base_score"])
+    assert got[5]["score"] > got[9]["score"] + 1
