@@ -24,9 +24,6 @@ from hazardloom.session import write_and_read
 
 ALPHA = 0.10
 DELTA = 0.05
-# Strata with cutoffs of their own: the values with most labelled rows; all others share the pooled stratum.
-MAX_STRATA = 64
-POOLED = "(pooled)"
 # Cutoffs in percent, loosest first.
 GRID = [300, 250, 200, 150, 100, 90, 80, 70, 60, 50, 40, 35, 30, 25, 20, 15, 12, 10, 8, 6, 5]
 RULES = {
@@ -35,6 +32,7 @@ RULES = {
     "stutter": "100 * n_stutter / n_words",
     "dup_lines": "100 * n_dup_lines / n_lines",
 }
+CUTOFFS = [f"__cutoff_{r}" for r in RULES]
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_stutter", "n_lines"]
 # Fixed values of the definition: white space and symbols.
@@ -108,9 +106,14 @@ def log_binomial_tail(k: int, n: int, p: float) -> float:
     return min(0.0, top + math.log(sum(math.exp(t - top) for t in term)))
 
 
-def certify(counts: dict[tuple[str, str, int], tuple[int, int]], good: dict[str, int]) -> dict[tuple[str, str], int]:
-    """Cutoff per (stratum, rule) from (good, bad) rows at or above each cutoff and good rows per stratum."""
-    level = math.log(DELTA / (len(RULES) * max(1, len(good))))
+def certify(
+    counts: dict[tuple[str, str, int], tuple[int, int]], good: dict[str, int], strata: int
+) -> dict[tuple[str, str], int]:
+    """Cutoff per (stratum, rule) from (good, bad) rows at or above each cutoff and good rows per stratum.
+
+    ``strata`` is the number of all strata with good rows, which share the level.
+    """
+    level = math.log(DELTA / (len(RULES) * max(1, strata)))
     allowed, chosen = ALPHA / len(RULES), {}
     for stratum, n in good.items():
         for rule in RULES:
@@ -132,8 +135,8 @@ def _base_failed():
     return F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, id_col: str) -> dict[tuple[str, str], int]:
-    """Certified cutoffs; only counts reach the driver, at most MAX_STRATA x rules x cutoffs.
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, id_col: str) -> DataFrame:
+    """``__stratum`` and a column per rule with its certified cutoff, a row for every stratum with good rows.
 
     ``labels`` has the id and ``quality`` (0 bad, 1 good).  Several labels of an id: good wins;
     null labels and null ids are no evidence.  Rows that fail the base rules are no evidence either.
@@ -153,34 +156,30 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, id_col: str) -
         for q in (1, 0)
     ]
     own = held.groupBy("__stratum").agg(F.count_if(F.col("__quality") == 1).alias("good"), *per_cutoff)
-    own = write_and_read(own, "cutoff-counts")
-    top = own.orderBy(F.desc("good"), "__stratum").limit(MAX_STRATA - 1).collect()
-    names = [r["__stratum"] for r in top]
-    sums = [F.sum(f"`{c}`").alias(c) for c in own.columns if c != "__stratum"]
-    pooled = own.where(~F.col("__stratum").isin(names)).agg(*sums).collect()[0]
-    counts, good = {}, {}
-    for name, row in [*zip(names, top, strict=True), (POOLED, pooled)]:
-        if not row["good"]:
-            continue
-        good[name] = row["good"]
-        for r in RULES:
-            for c in GRID:
-                counts[name, r, c] = (row[f"{r}|{c}|1"], row[f"{r}|{c}|0"])
-    return {**certify(counts, good), **{(n, ""): 0 for n in names}}
-
-
-def verdicts(measured: DataFrame, found: dict[tuple[str, str], int], stratum: str = "lang") -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``; the cutoffs stand in the plan, so nothing is shuffled."""
-    names = sorted({s for s, rule in found if not rule})
-    key = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
+    own = write_and_read(own.where("good > 0"), "cutoff-counts")
+    strata = own.count()
+
+    def decide(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = row["__stratum"]
+                counts = {(name, r, c): (row[f"{r}|{c}|1"], row[f"{r}|{c}|0"]) for r in RULES for c in GRID}
+                found = certify(counts, {name: row["good"]}, strata)
+                columns = [pa.array([name], pa.string()), *[pa.array([found.get((name, r))], pa.int32()) for r in RULES]]
+                yield pa.RecordBatch.from_arrays(columns, names=["__stratum", *CUTOFFS])
+
+    return write_and_read(own.mapInArrow(decide, f"__stratum string, {', '.join(f'{c} int' for c in CUTOFFS)}"), "cutoffs")
+
+
+def verdicts(measured: DataFrame, found: DataFrame, stratum: str = "lang") -> DataFrame:
+    """``measured`` with ``base_failed`` and ``kept``; a stratum that ``found`` lacks rejects by the base rules only."""
     rejected = F.lit(False)
-    for rule in RULES:
-        cutoff = F.lit(found.get((POOLED, rule)))
-        for name in names:
-            cutoff = F.when(key == F.lit(name), F.lit(found.get((name, rule)))).otherwise(cutoff)
-        rejected = rejected | F.coalesce(_rule(rule) >= cutoff, F.lit(False))
+    for rule, cutoff in zip(RULES, CUTOFFS, strict=True):
+        rejected = rejected | F.coalesce(_rule(rule) >= F.col(cutoff), F.lit(False))
+    keyed = measured.withColumn("__stratum", F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")))
+    judged = keyed.join(found, "__stratum", "left")
     failed = _base_failed()
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected)
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected).drop("__stratum", *CUTOFFS)
 
 
 def quality_rules(

@@ -78,6 +78,18 @@ def test_quality_rules_on_awkward_rows(spark, awkward):
     assert quality_rules.quality_rules(awkward.limit(0), labels.limit(0)).count() == 0
 
 
+def test_every_stratum_has_its_own_cutoffs(spark):
+    """More strata than 64: each is certified by itself, and one without labels rejects nothing."""
+    good, junk = "plain words that say one thing after another without any noise at all number {}", "bad$$$ words### full*** of%%% signs&&& one$$$ two### three*** four%%% five&&& {}"
+    rows = [(i, (junk if i % 8 == 0 else good).format(i), f"s{i // 500}") for i in range(80 * 500)]
+    rows += [(100_000 + i, junk.format(i), "none") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.range(80 * 500).selectExpr("id as doc_id", "int(id % 8 != 0) as quality")
+    judged = quality_rules.quality_rules(docs, labels)
+    assert judged.where("lang = 'none' and not kept").count() == 0
+    assert judged.where("lang != 'none' and kept != (doc_id % 8 != 0)").count() == 0
+
+
 # --- SimHash ---------------------------------------------------------------------------
 def plain_fingerprint(text):
     w = words(lower(text))
