@@ -258,6 +258,39 @@ def test_added_spans_and_redaction(spark):
     assert texts[9001] == rows[-1][1]
 
 
+LOOSE_FORMS = {
+    "email": ["joe(AT)mail3.example.com", "joe.doe{at}mail3.example.com", "joe at host dot com", "joe [At] host [DOT] com", "joe @ host.com"],
+    "ip": ["10[.]2.33[.]4", "10(.)2(.)33(.)4", "10 dot 2 dot 33 dot 4", "10[.]2[.]33[.]4"],
+    "phone": ["0049 30 1234567", "(030) 1234567", "030/1234567", "01 23 45 67 89", "(988) 555-2485", "555-2485"],
+}
+
+
+def test_other_formats_are_proposed(spark):
+    rows = [(kind, form, f"bitte {form}, danke") for kind, forms in LOOSE_FORMS.items() for form in forms]
+    docs = spark.createDataFrame(rows, "kind string, form string, text string")
+    for r in docs.withColumn("found", pii.candidates(F.col("text"))).collect():
+        assert (pii.KINDS.index(r["kind"]), r["form"]) in {(s["kind"], s["found"]) for s in r["found"]}
+
+
+def test_other_formats_are_judged(spark):
+    rows = []
+    for i in range(2400):
+        card = f"40418949746{i:04d}"
+        check = next(c for c in "0123456789" if plain_spans(card + c))
+        phone = f"+1 ({200 + i % 700}) 555-{1000 + i}" if i % 2 else f"+49 {30 + i % 60} {1000000 + 37 * i}"
+        rows.append((i, f"words about it, mail u{i}.x@host{i % 9}.example.com, from 10.{i % 250}.3.{i % 99} card {card}{check} call {phone} soon"))
+    right = [
+        "mail joe.doe(AT)mail3.example.com now", "mail joe.doe at mail3 dot example dot com now", "from 10[.]2.33.4 now",
+        "from 10 dot 2 dot 33 dot 4 now", "call 0049 30 1234567 now", "call (030) 1234567 now",
+    ]
+    wrong = ["on 2024-03-15 it", "from 1950-1999 it", "steps 1. 2. 3. 4 of it", "look at home.The rest", "about 12.3456789 of it"]
+    rows += [(9000 + k, t) for k, t in enumerate([*right, *wrong])]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 9000").collect()
+    got = {r["doc_id"] - 9000: [s["kind"] for s in r["spans"]] for r in found}
+    assert [got[k] for k in range(len(right))] == [[0], [0], [1], [1], [3], [3]]
+    assert not any(got[k] for k in range(len(right), len(got)))
+
+
 # --- page text -------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a < b) "</p>"</script></head><body>
 <header><h1>Site name</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/x>X</a></ul></nav>
