@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hazardloom.llm import (
     decontaminate,
@@ -16,8 +17,9 @@ from hazardloom.llm import (
     suffix_tree_lm,
     token_counts,
     token_files,
+    word_runs,
 )
-from hazardloom.session import scratch_path
+from hazardloom.session import computed_once, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The query's texts: where a tenth of the ids says so, the words from one on repeat a few times."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("__words")
+    a = g % F.nullif(n, F.lit(0))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    rows = computed_once(docs.select("doc_id", "text", words.alias("__words")), ["__words"])
+    block = F.slice("__words", (a + 1).cast("int"), p.cast("int"))
+    repeated = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    changed = F.array_join(F.concat(F.slice("__words", F.lit(1), a.cast("int")), repeated), " ")
+    return rows.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents"))
+    return word_runs.digest(word_runs.periodic_runs(docs, ["doc_id"]))
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -84,4 +105,5 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, decontaminate.ORACLE_SQL),
     "op9_html_text": (op9_html_text, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_word_runs": (op11_word_runs, None),
 }
