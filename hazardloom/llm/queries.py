@@ -17,6 +17,7 @@ from hazardloom.llm import (
     suffix_tree_lm,
     token_counts,
     token_files,
+    whitening,
     word_runs,
 )
 from hazardloom.session import computed_once, scratch_path
@@ -94,6 +95,10 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digest(word_runs.periodic_runs(docs, ["doc_id"]))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -106,4 +111,5 @@ QUERIES = {
     "op9_html_text": (op9_html_text, None),
     "op10_simhash": (op10_simhash, None),
     "op11_word_runs": (op11_word_runs, None),
+    "op13_whitening": (op13_whitening, None),
 }
