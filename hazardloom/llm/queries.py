@@ -11,6 +11,7 @@ from hazardloom.llm import (
     html_text,
     packing,
     pii,
+    quality_classifier,
     quality_rules,
     simhash,
     suffix_dedup,
@@ -95,6 +96,11 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digest(word_runs.periodic_runs(docs, ["doc_id"]))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.quality_scores(docs, labels)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -111,5 +117,6 @@ QUERIES = {
     "op9_html_text": (op9_html_text, None),
     "op10_simhash": (op10_simhash, None),
     "op11_word_runs": (op11_word_runs, None),
+    "op12_quality_classifier": (op12_quality_classifier, None),
     "op13_whitening": (op13_whitening, None),
 }
