@@ -111,7 +111,7 @@ def test_awkward_rows(spark, awkward):
 
 def test_sample_is_bounded_by_rows(spark):
     """One id may hold most rows; the fit still reads its bound."""
-    docs = spark.range(2000).selectExpr("if(id < 1500, 1, id) AS doc_id", "concat('text ', id) AS text")
-    labels = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    docs = spark.range(2000).selectExpr("if(id < 1500, id % 9, id) AS doc_id", "concat('text ', id) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality").distinct()
     taken = qc.sample(docs, labels, "doc_id", "text", "quality", rows=300)
     assert taken.count() == 300 and taken.rdd.getNumPartitions() == 1
