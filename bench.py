@@ -39,6 +39,8 @@ HEADLINE = [
     "feature_table",
     "evaluation_tables",
     "train_forest",
+    "train_boosted",
+    "train_boosted_balanced",
 ]
 
 

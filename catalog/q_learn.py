@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs as inp
 from catalog.inputs import WORD_RULES
 from catalog.sqlkit import COUNTS_SQL, pyround, sql, text_literal
+from catalog.tree_sql import comparison_sql, test_scores_sql
 from hazardloom.functions.text import COUNT_FEATURES, count_features, hashed_ngram_bits, split_parts
 from hazardloom.operators import explain, features, metrics
 from hazardloom.operators.clean import KEY, TEXT
 from hazardloom.operators.match import match_rules
 from hazardloom.plans import scoring, training
+from hazardloom.plans.boosting import TreeModel, load_model
 from hazardloom.plans.evaluation import evaluation_tables
 from hazardloom.session import computed_once, scratch_path, spread, write_and_read
 from hazardloom.sources import files
@@ -180,13 +181,30 @@ def matrix_impute(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- training ---------------------------------------------------------------------------
-# Where a session's fits and runs are stored, by application, data folder and name: every
-# candidate is fitted once, with the full settings, and the queries below look at the same fits.
+# The vectors' run: scaler, split, fits and predictions are parts of one resumable run, which the queries
+# below, and other sessions, share.
+def vector_run(spark: SparkSession, sf: str):
+    rows = inp.vectors(spark, sf)
+    return rows, training.open_run(rows, "vec_id", "cls", "embedding", K)
+
+
+def vector_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows, run = vector_run(spark, sf)
+    return training.split_parts(run, rows, "vec_id", "cls", "embedding")
+
+
+def fitted(spark: SparkSession, sf: str, name: str) -> TreeModel:
+    """One candidate, fitted with the full settings on the split of the vectors, or read back."""
+    rows, run = vector_run(spark, sf)
+    return training.fit(training.candidates()[name], run, rows, "vec_id", "cls", "embedding", K)
+
+
+# Stored runs by application, data folder and name.
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf: str, name: str, make) -> str:
-    """The folder of a fit or run, which ``make(folder)`` fills the first time."""
+    """The folder of a stored run, which ``make(folder)`` fills the first time."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
         folder = scratch_path(spark, "models")
@@ -195,28 +213,11 @@ def stored(spark: SparkSession, sf: str, name: str, make) -> str:
     return _STORED[key]
 
 
-def vector_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return training.split_parts(training.training_rows(inp.vectors(spark, sf), "vec_id", "cls", "embedding"))
-
-
-def fitted(spark: SparkSession, sf: str, name: str) -> PipelineModel:
-    """One candidate, fitted on the split of the vectors and read back."""
-
-    def make(folder: str) -> None:
-        train, _ = vector_split(spark, sf)
-        files.save_model(Pipeline(stages=[training.candidates()[name]]).fit(train), folder)
-
-    return files.load_model(stored(spark, sf, name, make))
-
-
 def training_run(spark: SparkSession, sf: str) -> training.StoredRun:
     """The comparison of all candidates on the vectors, stored and read back."""
 
     def make(folder: str) -> None:
-        models = {name: fitted(spark, sf, name) for name in training.candidates()}
-        training.train_and_evaluate(
-            inp.vectors(spark, sf), "vec_id", "cls", "embedding", None, K, folder, fitted=models
-        )
+        training.train_and_evaluate(inp.vectors(spark, sf), "vec_id", "cls", "embedding", None, K, folder)
 
     return training.load_run(spark, stored(spark, sf, "run", make))
 
@@ -238,37 +239,51 @@ def text_run(spark: SparkSession, sf: str) -> training.StoredRun:
     return training.load_run(spark, stored(spark, sf, "text run", make))
 
 
-def checked_predictions(df: DataFrame, key: str) -> DataFrame:
-    """Five probabilities that add up to 1, and the first highest as the prediction."""
-    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
-    top = F.array_position("scores", F.array_max("scores")) - 1
-    return df.select(
-        key, F.size("scores").alias("n_classes"), F.round(total, 9).alias("total"), (top == F.col("yhat")).alias("is_top")
-    )
+def first_scores(model: TreeModel, rows: DataFrame, rounds: int) -> DataFrame:
+    """Class scores of the model's first rounds, a row per class."""
+    early = model.predict(rows, "scaled", ["vec_id"], rounds)
+    return early.select("vec_id", F.posexplode("scores").alias("cls", "score")).withColumn("score", F.round("score", 9))
+
 
+def with_sizes(df: DataFrame, model: TreeModel) -> DataFrame:
+    """Beside the rounds, or trees, that the whole model has, and the rows in the roots of each of its classes."""
+    roots = model.nodes.where("node = 1").agg(F.countDistinct("round").alias("rounds")).scalar()
+    return df.withColumn("rounds", roots)
 
-def model_rows(name: str):
-    """The test part as one fitted candidate predicts it."""
+
+def model_rows(name: str, rounds: int):
+    """The test part as the first rounds of a fitted candidate score it."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         _, test = vector_split(spark, sf)
-        return checked_predictions(training.predict_proba(fitted(spark, sf, name), test, ["vec_id"]), "vec_id")
+        model = fitted(spark, sf, name)
+        return with_sizes(first_scores(model, test, rounds), model)
 
     return run
 
 
+def predicted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The test part as the fitted model predicts it, beside what its first two rounds say."""
+    _, test = vector_split(spark, sf)
+    model = fitted(spark, sf, "BoostedTrees")
+    predicted = training.predict_proba(model, test, ["vec_id"])
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    top = F.array_position("scores", F.array_max("scores")) - 1
+    whole = predicted.select("vec_id", F.round(total, 9).alias("total"), (top == F.col("yhat")).alias("is_top"))
+    return first_scores(model, test, 2).join(whole, "vec_id")
+
+
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
     """A stored and reloaded model predicts the same; a missing one loads as None."""
     folder = scratch_path(spark, "models")
     _, test = vector_split(spark, sf)
     model = fitted(spark, sf, "RandomForest")
-    files.save_model(model, f"{folder}/forest")
-    loaded, missing = files.load_model(f"{folder}/forest"), files.load_model(f"{folder}/none")
-    before = training.predict_proba(model, test, ["vec_id"]).select("vec_id", F.col("yhat").alias("a"))
-    after = training.predict_proba(loaded, test, ["vec_id"]).select("vec_id", F.col("yhat").alias("b"))
-    return before.join(after, "vec_id").select(
-        "vec_id", (F.col("a") == F.col("b")).alias("same"), F.lit(missing is None).alias("missing_is_none")
-    )
+    model.save(f"{folder}/forest")
+    loaded, missing = load_model(spark, f"{folder}/forest"), load_model(spark, f"{folder}/none")
+    before = training.predict_proba(model, test, ["vec_id"]).select("vec_id", F.col("scores").alias("a"))
+    after = training.predict_proba(loaded, test, ["vec_id"]).select("vec_id", F.col("scores").alias("b"))
+    same = before.join(after, "vec_id").select("vec_id", (F.col("a") == F.col("b")).alias("same"), F.lit(missing is None).alias("missing_is_none"))
+    return first_scores(loaded, test, 2).join(same, "vec_id")
 
 
 def recomputed(predictions: DataFrame) -> DataFrame:
@@ -298,9 +313,22 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     sizes = run.predictions.groupBy("model").agg(F.count(F.lit(1)).alias("n_test"))
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.00006
     again = recomputed(run.predictions).select("model", F.col("accuracy").alias("a"), F.col("f1").alias("f"))
+    _, test = vector_split(spark, sf)
+    early = None  # the comparison after the first round of each, which SQL knows
+    for name in training.candidates():
+        first = fitted(spark, sf, name).predict(test, "scaled", ["label"], 1)
+        # Rounded, because tied scores decide areas.
+        rows = first.select(F.lit(name).alias("model"), F.col("label").cast("int").alias("y"), F.transform("scores", lambda x: F.round(x, 12)).alias("scores"))
+        rows = rows.withColumn("yhat", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
+        early = rows if early is None else early.unionByName(rows)
+    early = training.model_metrics(early, K, digits=None).select(
+        "model", *[F.round(c, 9).alias(f"first_{c}") for c in ("accuracy", "precision", "recall", "f1_score", "roc_auc")]
+    )
+    metrics_rows = metrics_rows.join(early, "model")
     return metrics_rows.join(again, "model").join(sizes, "model").select(
         "model", "n_test", near("accuracy", "a").alias("accuracy_ok"), near("recall", "a").alias("recall_ok"),
-        near("f1_score", "f").alias("f1_ok"), F.col("roc_auc").between(0, 1).alias("auc_ok"),
+        near("f1_score", "f").alias("f1_ok"), F.col("roc_auc").between(0, 1).alias("auc_ok"), "first_accuracy",
+        "first_precision", "first_recall", "first_f1_score", "first_roc_auc",
     )
 
 
@@ -502,7 +530,29 @@ _test_rows = sql(
     "<= floor(count(*) OVER (PARTITION BY cls) * 0.2e0 + 0.5e0) AS is_test FROM vecs) WHERE is_test"
 )
 
-_predicted = _test_rows.format("vec_id, 5 AS n_classes, 1e0 AS total, true AS is_top")
+_specs = training.candidates()
+
+
+def _weighted_metrics_sql(scores: str) -> str:
+    """Metric columns of predicted rows (vec_id, cls, score) joined to ``part`` (vec_id, cls = truth)."""
+    return (
+        f"SELECT model, max(n) AS n_test, round(sum(hit * 1e0) / max(n), 9) AS first_accuracy, "
+        f"round(sum(support * coalesce(hit / nullif(predicted, 0)::DOUBLE, 0)) / max(n), 9) AS first_precision, "
+        f"round(sum(hit * 1e0) / max(n), 9) AS first_recall, "
+        f"round(sum(support * CASE WHEN hit > 0 THEN 2e0 * hit / (support + predicted) ELSE 0 END) / max(n), 9) AS first_f1_score, "
+        f"round(sum(support * auc) / sum(support) FILTER (WHERE auc IS NOT NULL), 9) AS first_roc_auc FROM ("
+        f"SELECT o.model, o.c, (SELECT count(*) FROM part WHERE is_test) AS n, o.support, o.predicted, o.hit, a.auc FROM ("
+        f"SELECT s.model, r.c, sum((p.cls = r.c)::INT) AS support, sum((s.yhat = r.c)::INT) AS predicted, sum((p.cls = r.c AND s.yhat = r.c)::INT) AS hit "
+        f"FROM (SELECT model, vec_id, arg_max(cls, (score, -cls)) AS yhat FROM ({scores}) GROUP BY model, vec_id) s "
+        f"JOIN part p USING (vec_id), range({K}) r(c) WHERE p.is_test GROUP BY s.model, r.c) o "
+        f"LEFT JOIN (SELECT model, cls, sum(CASE WHEN y THEN 0e0 + below + ties / 2e0 END) / (sum(y::INT) * sum((NOT y)::INT)) AS auc FROM ("
+        f"SELECT model, cls, y, sum((NOT y)::INT) OVER (PARTITION BY model, cls ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+        f"- sum((NOT y)::INT) OVER (PARTITION BY model, cls, score) AS below, sum((NOT y)::INT) OVER (PARTITION BY model, cls, score) AS ties "
+        f"FROM (SELECT model, s.cls, score, p.cls = s.cls AS y FROM ({scores}) s JOIN part p USING (vec_id) WHERE p.is_test)) "
+        f"GROUP BY model, cls HAVING sum(y::INT) > 0) a ON a.model = o.model AND a.cls = o.c) GROUP BY model"
+    )
+
+
 _candidates = "(VALUES ('BoostedTrees'), ('RandomForest'), ('BalancedBoostedTrees')) c(model)"
 
 QUERIES: dict = {
@@ -597,16 +647,14 @@ QUERIES: dict = {
         "SELECT l_orderkey, l_partkey, l_linenumber, f0 IS NULL AND f1 IS NULL AND f2 IS NULL AS all_missing, "
         + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM x)), 6) AS {c}" for c in ("f0", "f1", "f2")) + ", 0e0 AS f3 FROM x",
     ),
-    "train_forest": (model_rows("RandomForest"), _predicted),
-    "train_boosted": (model_rows("BoostedTrees"), _predicted),
-    "train_boosted_balanced": (model_rows("BalancedBoostedTrees"), _predicted),
-    "predict_proba": (model_rows("BoostedTrees"), _predicted),
-    "model_store": (model_store, _test_rows.format("vec_id, true AS same, true AS missing_is_none")),
-    "model_comparison": (
-        model_comparison,
-        f"SELECT model, (SELECT count(*) FROM ({_test_rows.format('vec_id')})) AS n_test, true AS accuracy_ok, true AS recall_ok, "
-        f"true AS f1_ok, true AS auc_ok FROM {_candidates}",
+    "train_forest": (model_rows("RandomForest", 3), test_scores_sql(_specs["RandomForest"], 3, ", 300::BIGINT AS rounds")),
+    "train_boosted": (model_rows("BoostedTrees", 1), test_scores_sql(_specs["BoostedTrees"], 1, ", 300::BIGINT AS rounds")),
+    "train_boosted_balanced": (
+        model_rows("BalancedBoostedTrees", 1), test_scores_sql(_specs["BalancedBoostedTrees"], 1, ", 300::BIGINT AS rounds")
     ),
+    "predict_proba": (predicted_rows, test_scores_sql(_specs["BoostedTrees"], 2, ", 1e0 AS total, true AS is_top")),
+    "model_store": (model_store, test_scores_sql(_specs["RandomForest"], 2, ", true AS same, true AS missing_is_none")),
+    "model_comparison": (model_comparison, comparison_sql(_specs, _weighted_metrics_sql)),
     "train_evaluate": (
         train_evaluate,
         "SELECT model AS \"Model\", 64 AS n_features, (SELECT count(*) FROM embeddings) - n_test AS n_train, n_test, true AS holdout_ok, true AS accuracy_ok, "

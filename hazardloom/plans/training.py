@@ -1,18 +1,16 @@
-"""Training, comparing and storing classifiers with Spark ML.
+"""Training, comparing and storing tree classifiers.
 
-Trees train on partitions of the stored training part; the driver only sees models and
-one metric row per model.
+Scaler, split, trees and predictions are parts of a resumable run (:mod:`hazardloom.sources.runs`),
+found again by the digest of data and settings.  The driver sees nodes, and one
+metric row per model.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,49 +35,34 @@ from hazardloom.operators.metrics import (
     weighted_metrics,
 )
 from hazardloom.operators.ordered import stratified_split
+from hazardloom.operators.trees import TreeSpec
+from hazardloom.plans.boosting import TreeModel, fit_trees, load_model
 from hazardloom.plans.scoring import AddBases, score_entities
 from hazardloom.rules import RuleBook
-from hazardloom.session import computed_once, write_and_read
-from hazardloom.sources.files import load_model, persist_holdout, save_model, scan_json_metrics, sink_json_metrics
+from hazardloom.session import computed_once
+from hazardloom.sources.files import persist_holdout, scan_json_metrics, sink_json_metrics
+from hazardloom.sources.runs import RunStore, settings_digest, table_digest
 
 # --- fixed values: the candidates' settings --------------------------------
 SEED = 42
 TEST_SHARE = 0.2
 N_CLASSES = 5
-FOREST = {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2}
-BOOSTED = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1}
-BOOSTED_BALANCED = {"maxIter": 300, "maxDepth": 5, "stepSize": 0.1}  # 2**5 leaves stand for 31
+FOREST = TreeSpec("forest", 300, max_depth=20, min_rows=2, min_split_rows=5, balanced=True, seed=SEED)
+BOOSTED = TreeSpec("boosted", 300, rate=0.1, max_depth=6, min_hessian=1.0, l2=1.0, seed=SEED)
+BOOSTED_BALANCED = TreeSpec("boosted", 300, rate=0.1, max_leaves=31, min_rows=20, min_hessian=1e-3, balanced=True, seed=SEED)
 
 
-def forest(**settings) -> Estimator:
+def forest(**settings) -> TreeSpec:
     """Random forest on balanced class weights."""
-    return RandomForestClassifier(
-        featuresCol="vector", labelCol="label", weightCol="weight", seed=SEED, **{**FOREST, **settings}
-    )
-
-
-def boosted(**settings) -> Estimator:
-    """Boosted trees, one binary model per class."""
-    binary = GBTClassifier(featuresCol="vector", labelCol="label", seed=SEED, **{**BOOSTED, **settings})
-    return OneVsRest(classifier=binary, featuresCol="vector", labelCol="label", parallelism=4)
+    return replace(FOREST, **settings)
 
 
-def boosted_balanced(**settings) -> Estimator:
-    """Boosted trees on balanced class weights."""
-    binary = GBTClassifier(
-        featuresCol="vector", labelCol="label", weightCol="weight", seed=SEED, **{**BOOSTED_BALANCED, **settings}
-    )
-    return OneVsRest(
-        classifier=binary, featuresCol="vector", labelCol="label", weightCol="weight", parallelism=4
-    )
-
-
-def candidates(forest_settings: dict | None = None, boosted_settings: dict | None = None) -> dict[str, Estimator]:
+def candidates(forest_settings: dict | None = None, boosted_settings: dict | None = None) -> dict[str, TreeSpec]:
     """The three candidate models by name, in comparison order."""
     return {
-        "BoostedTrees": boosted(**(boosted_settings or {})),
+        "BoostedTrees": replace(BOOSTED, **(boosted_settings or {})),
         "RandomForest": forest(**(forest_settings or {})),
-        "BalancedBoostedTrees": boosted_balanced(**(boosted_settings or {})),
+        "BalancedBoostedTrees": replace(BOOSTED_BALANCED, **(boosted_settings or {})),
     }
 
 
@@ -95,36 +78,37 @@ def training_rows(df: DataFrame, key: str, cls: str, features: str, scaler: Data
     return stratified_split(rows, key, "label", TEST_SHARE, SEED)
 
 
-def split_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Train part with class weights and test part, each written once and read back."""
-    # Files of an even size: a small table trains in few partitions, a large one in many.
-    stored = write_and_read(rows.hint("rebalance"), "split").withColumn("vector", array_to_vector("scaled"))
-    train = balanced_class_weights(stored.where(~F.col("is_test")), "label")
-    return train, stored.where("is_test")
+def open_run(df: DataFrame, key: str, cls: str, features: str, k: int = N_CLASSES, root: str | None = None) -> RunStore:
+    """The run of a table: the same rows and split settings give the same folder in every session."""
+    digest = settings_digest(table_digest(df, [key, cls, features]), key, cls, features, k, SEED, TEST_SHARE)
+    return RunStore(df.sparkSession, "run", digest, root)
 
 
-def class_probabilities(raw: str = "rawPrediction", probability: str | None = None) -> Column:
-    """Class probability array of a prediction row.
+def run_scaler(run: RunStore, df: DataFrame, features: str) -> DataFrame:
+    return run.part("scaler", lambda: scaler_stats(df, features))
 
-    One-vs-rest models give margins only: each becomes its binary probability and the
-    row is divided by its sum.
-    """
-    if probability is not None:
-        return vector_to_array(probability)
-    each = F.transform(vector_to_array(raw), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(m * -2.0)))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(each, lambda p: p / total)
-
-
-def predict_proba(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Predicted class and class probabilities of every row."""
-    predicted = model.transform(rows)
-    probability = "probability" if "probability" in predicted.columns else None
-    return predicted.select(
-        *keep,
-        F.col("prediction").cast("int").alias("yhat"),
-        class_probabilities("rawPrediction", probability).alias("scores"),
-    )
+
+def split_parts(run: RunStore, df: DataFrame, key: str, cls: str, features: str) -> tuple[DataFrame, DataFrame]:
+    """Train part with class weights and test part, written once per run."""
+
+    def make() -> DataFrame:
+        # Files of an even size: a small table trains in few partitions, a large one in many.
+        return training_rows(df, key, cls, features, run_scaler(run, df, features)).hint("rebalance")
+
+    stored = run.part("split", make)
+    return balanced_class_weights(stored.where(~F.col("is_test")), "label"), stored.where("is_test")
+
+
+def fit(spec: TreeSpec, run: RunStore, df: DataFrame, key: str, cls: str, features: str, k: int = N_CLASSES) -> TreeModel:
+    """A model on the run's train part; read back if the run has it, gone on with if it was cut off."""
+    train, _ = split_parts(run, df, key, cls, features)
+    weighted = train if spec.balanced else train.withColumn("weight", F.lit(1.0))
+    return fit_trees(spec, weighted, key, "label", "weight", "scaled", k, run)
+
+
+def predict_proba(model: TreeModel, rows: DataFrame, keep: list[str], features: str = "scaled") -> DataFrame:
+    """Predicted class and class probabilities of every row of scaled features."""
+    return model.predict(rows, features, keep)
 
 
 def model_metrics(predictions: DataFrame, k: int = N_CLASSES, digits: int | None = 4) -> DataFrame:
@@ -141,7 +125,7 @@ def model_metrics(predictions: DataFrame, k: int = N_CLASSES, digits: int | None
 class TrainingRun:
     """What a training run leaves behind."""
 
-    models: dict[str, PipelineModel]
+    models: dict[str, TreeModel]
     scaler: DataFrame
     predictions: DataFrame
     metrics: DataFrame
@@ -152,40 +136,45 @@ class TrainingRun:
 
 
 def train_and_evaluate(
-    df: DataFrame, key: str, cls: str, features: str, estimators: dict[str, Estimator] | None = None,
-    k: int = N_CLASSES, store: str | None = None, names: list[str] | None = None,
-    fitted: dict[str, PipelineModel] | None = None,
+    df: DataFrame, key: str, cls: str, features: str, specs: dict[str, TreeSpec] | None = None,
+    k: int = N_CLASSES, store: str | None = None, names: list[str] | None = None, root: str | None = None,
 ) -> TrainingRun:
     """Split, fit every candidate on the same train part, score the test part, pick the best.
 
-    Scaler and test predictions are written once; all metrics come from that table.  With
-    ``store`` the scaler, the feature names, the hold-out, the predictions, every model, the
-    best model and the run metadata are saved under it, for :func:`load_run`.  ``fitted``
-    are models that were fitted on the same split before.
+    Scaler, split, models and test predictions are parts of the run, so a second call, also in another session,
+    reads them, and a call after one that was cut off goes on.  With ``store`` the scaler, the
+    feature names, the hold-out, the predictions, every model, the best model and the run metadata
+    are saved under it, for :func:`load_run`.
     """
-    estimators = estimators or candidates()
-    scaler = write_and_read(scaler_stats(df, features), "scaler")
-    train, test = split_parts(training_rows(df, key, cls, features, scaler))
-    known = fitted or {}
-    models = {n: known[n] if n in known else Pipeline(stages=[e]).fit(train) for n, e in estimators.items()}
-    scored = [
-        predict_proba(model, test, [key, "label"]).select(
-            F.lit(name).alias("model"), F.lit(i).alias("ord"), key, F.col("label").cast("int").alias("y"), "yhat", "scores"
-        )
-        for i, (name, model) in enumerate(models.items())
-    ]
-    predictions = write_and_read(reduce(DataFrame.unionByName, scored), "predictions")
+    specs = specs or candidates()
+    run = open_run(df, key, cls, features, k, root)
+    scaler = run_scaler(run, df, features)
+    train, test = split_parts(run, df, key, cls, features)
+    with ThreadPoolExecutor(len(specs)) as pool:  # a small table's fits are a task each
+        fits = {n: pool.submit(fit, spec, run, df, key, cls, features, k) for n, spec in specs.items()}
+    models = {n: f.result() for n, f in fits.items()}
+
+    def make() -> DataFrame:
+        scored = [
+            predict_proba(model, test, [key, "label"]).select(
+                F.lit(name).alias("model"), F.lit(i).alias("ord"), key, F.col("label").cast("int").alias("y"), "yhat", "scores"
+            )
+            for i, (name, model) in enumerate(models.items())
+        ]
+        return reduce(DataFrame.unionByName, scored)
+
+    predictions = run.part(f"predictions-{settings_digest([(n, asdict(s)) for n, s in specs.items()])}", make)
     exact = model_metrics(predictions, k, digits=None)
     order = {name: i for i, name in enumerate(models)}
     rows = [(r["model"], r["f1_score"]) for r in exact.select("model", "f1_score").collect()]  # one per model
     best, best_f1 = max(rows, key=lambda r: (r[1], -order[r[0]]))
     sizes = {"n_train": train.count(), "n_test": test.count(), "n_features": len(test.select("scaled").first()[0])}
-    run = TrainingRun(models, scaler, predictions, model_metrics(predictions, k), best, best_f1, sizes)
+    done = TrainingRun(models, scaler, predictions, model_metrics(predictions, k), best, best_f1, sizes)
     if store is not None:
-        run.paths["holdout"] = f"{store}/holdout"
-        persist_holdout(test.drop("vector"), run.paths["holdout"])
-        _store(run, store, k, names or [f"f{i}" for i in range(sizes["n_features"])])
-    return run
+        done.paths["holdout"] = f"{store}/holdout"
+        persist_holdout(test, done.paths["holdout"])
+        _store(done, store, k, names or [f"f{i}" for i in range(sizes["n_features"])])
+    return done
 
 
 def run_metadata(run_rows: DataFrame, head: dict[str, Column]) -> DataFrame:
@@ -216,19 +205,18 @@ def detailed_metrics(predictions: DataFrame, k: int = N_CLASSES) -> DataFrame:
 
 
 def score_with_model(
-    df: DataFrame, text: str, rules: RuleBook, model: PipelineModel, scaler: DataFrame, health: bool = True
+    df: DataFrame, text: str, rules: RuleBook, model: TreeModel, scaler: DataFrame, health: bool = True
 ) -> DataFrame:
     """Score usable texts with a trained model: features, scaling, class probabilities, then
     :func:`hazardloom.plans.scoring.score_entities`.  No shuffle and no join."""
     keep = df.columns
     sparse = sparse_features(df.where(is_usable_key(F.col(text))), text, rules, keep)
     dense = computed_once(sparse.select(*keep, assemble_vector(rules).alias("_features")), ["_features"])
-    scaled = apply_scaler(dense, "_features", scaler, "_scaled").withColumn("vector", array_to_vector("_scaled"))
-    predicted = predict_proba(model, scaled, keep)
+    predicted = predict_proba(model, apply_scaler(dense, "_features", scaler, "_scaled"), keep, "_scaled")
     return score_entities(predicted, text, rules, probabilities=F.col("scores"), health=health)
 
 
-def add_model_bases(keys: list[str], rules: RuleBook, model: PipelineModel, scaler: DataFrame) -> AddBases:
+def add_model_bases(keys: list[str], rules: RuleBook, model: TreeModel, scaler: DataFrame) -> AddBases:
     """For mixtures and batches: base scores of component texts from a trained model.
 
     Every distinct text is featurised and scored once; the scores go back to the rows, told
@@ -241,8 +229,7 @@ def add_model_bases(keys: list[str], rules: RuleBook, model: PipelineModel, scal
         distinct = parted.groupBy("_digest").agg(F.min("_text").alias("_text"))
         sparse = sparse_features(distinct, "_text", rules, ["_digest"])
         dense = computed_once(sparse.select("_digest", assemble_vector(rules).alias("_features")), ["_features"])
-        scaled = apply_scaler(dense, "_features", scaler, "_scaled").withColumn("vector", array_to_vector("_scaled"))
-        scored = predict_proba(model, scaled, ["_digest"])
+        scored = predict_proba(model, apply_scaler(dense, "_features", scaler, "_scaled"), ["_digest"], "_scaled")
         scored = scored.select("_digest", weighted_class_score(F.col("scores")).alias("_base"))
         each = F.array_sort(F.collect_list(F.struct("_pos", "_base")))
         bases = parted.select(*keys, "_pos", "_digest").join(scored, "_digest").groupBy(*keys).agg(
@@ -253,12 +240,13 @@ def add_model_bases(keys: list[str], rules: RuleBook, model: PipelineModel, scal
     return add
 
 
-def feature_importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
-    """Importance of every feature in a fitted forest or boosted model; of one-vs-rest models the mean."""
-    fitted = model.stages[-1]
-    parts = fitted.models if hasattr(fitted, "models") else [fitted]
-    arrays = [p.featureImportances.toArray() for p in parts]
-    return [(name, float(sum(a[i] for a in arrays) / len(arrays))) for i, name in enumerate(names)]
+def feature_importance(model: TreeModel, names: list[str]) -> DataFrame:
+    """``feature, name, importance``: each feature's share of all gains, a row per feature."""
+    gains = model.nodes.where("feature is not null").groupBy("feature").agg(F.sum("gain").alias("gain"))
+    named = model.nodes.sparkSession.createDataFrame(list(enumerate(names)), "feature int, name string")
+    total = gains.agg(F.sum("gain")).scalar()
+    share = F.coalesce(F.col("gain") / total, F.lit(0.0))
+    return named.join(gains, "feature", "left").select("feature", "name", share.alias("importance"))
 
 
 @dataclass
@@ -266,7 +254,7 @@ class StoredRun:
     """A run read back from its folder."""
 
     best: str
-    model: PipelineModel
+    model: TreeModel
     scaler: DataFrame
     names: list[str]
     holdout: DataFrame
@@ -283,7 +271,7 @@ def load_run(spark: SparkSession, folder: str) -> StoredRun | None:
     names = spark.read.parquet(f"{folder}/feature_names").orderBy("feature").select("name").collect()  # one per feature
     return StoredRun(
         head["best_model"],
-        load_model(f"{folder}/best_model"),
+        load_model(spark, f"{folder}/best_model"),
         spark.read.parquet(f"{folder}/scaler"),
         [r["name"] for r in names],
         spark.read.parquet(f"{folder}/holdout"),
@@ -294,17 +282,19 @@ def load_run(spark: SparkSession, folder: str) -> StoredRun | None:
 
 def _store(run: TrainingRun, folder: str, k: int, names: list[str]) -> None:
     run.paths["scaler"] = f"{folder}/scaler"
-    run.scaler.write.parquet(run.paths["scaler"])
+    run.scaler.write.mode("overwrite").parquet(run.paths["scaler"])
     run.paths["predictions"] = f"{folder}/predictions"
-    run.predictions.write.parquet(run.paths["predictions"])
+    run.predictions.write.mode("overwrite").parquet(run.paths["predictions"])
     run.paths["feature_names"] = f"{folder}/feature_names"
     spark = run.scaler.sparkSession
-    spark.createDataFrame(list(enumerate(names)), "feature int, name string").write.parquet(run.paths["feature_names"])
+    spark.createDataFrame(list(enumerate(names)), "feature int, name string").write.mode("overwrite").parquet(
+        run.paths["feature_names"]
+    )
     for name, model in run.models.items():
         run.paths[name] = f"{folder}/{name}_model"
-        save_model(model, run.paths[name])
+        model.save(run.paths[name])
     run.paths["best"] = f"{folder}/best_model"
-    save_model(run.models[run.best], run.paths["best"])
+    run.models[run.best].save(run.paths["best"])
     head = {
         "best_model": F.lit(run.best),
         "best_f1": F.lit(run.best_f1),

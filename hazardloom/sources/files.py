@@ -1,9 +1,8 @@
-"""CSV, JSON, Parquet and model files."""
+"""CSV, JSON and Parquet files."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +72,7 @@ def scan_json_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sink_json_metrics(run: DataFrame, path: str) -> None:
-    run.write.json(path)
+    run.write.mode("overwrite").json(path)
 
 
 def json_metrics_rows(df: DataFrame, document: str, keep: list[str], missing_auc: float = 0.0) -> DataFrame:
@@ -101,22 +100,6 @@ def persist_holdout(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel | None:
-    """A saved model, or None when there is none at the path."""
-    spark = SparkSession.active()
-    try:
-        spark.read.text(f"{path}/metadata").limit(1).count()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return PipelineModel.load(path)
-
-
 def preview(df: DataFrame, order: list, n: int = 5) -> tuple[int, int, DataFrame]:
     """Row count, column count and the first rows in an explicit order."""
     return df.count(), len(df.columns), df.orderBy(*order).limit(n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.operators.clean import ASSAYS, KEY, PROPERTIES, TEXT
 from hazardloom.plans import master, training
+from hazardloom.plans.boosting import load_model
 from hazardloom.rules import RuleBook
 from hazardloom.session import scratch_path, shared_dir, write_and_read
 from hazardloom.sources import files
@@ -98,7 +99,7 @@ def test_csv_columns_by_name(spark):
 
 def test_missing_files(spark):
     assert files.scan_json_metrics(spark, scratch_path(spark, "none")).count() == 0
-    assert files.load_model(scratch_path(spark, "none")) is None
+    assert load_model(spark, scratch_path(spark, "none")) is None
 
 
 def test_json_rows_default_the_missing_auc(spark):
@@ -123,7 +124,7 @@ def test_training_run_end_to_end(spark):
     """Two separable classes of vectors: models beat chance, are stored, and read back."""
     rows = [(i, [float(i % 2) * 3 + (i * 7 % 11) / 11, (i * 5 % 13) / 13], i % 2) for i in range(120)]
     df = spark.createDataFrame(rows, "k int, f array<double>, c int")
-    small = training.candidates({"numTrees": 5, "maxDepth": 3}, {"maxIter": 2, "maxDepth": 2})
+    small = training.candidates({"rounds": 5, "max_depth": 3}, {"rounds": 2, "max_depth": 2})
     folder = scratch_path(spark, "store")
     run = training.train_and_evaluate(df, "k", "c", "f", small, k=2, store=folder)
     assert run.sizes == {"n_train": 96, "n_test": 24, "n_features": 2}
@@ -133,7 +134,8 @@ def test_training_run_end_to_end(spark):
     assert run.best == "BoostedTrees"  # first on ties
     for row in run.predictions.collect():
         assert sum(row["scores"]) == pytest.approx(1.0) and len(row["scores"]) == 2
-    assert files.load_model(run.paths["best"]) is not None
+    assert load_model(spark, run.paths["best"]).nodes.count() == run.models[run.best].nodes.count()
+    assert load_model(spark, folder + "/none") is None
     assert spark.read.parquet(run.paths["feature_names"]).count() == 2
     assert len(spark.read.parquet(run.paths["scaler"]).first()["mean"]) == 2
     stored = files.scan_json_metrics(spark, run.paths["metadata"]).first()
@@ -151,7 +153,7 @@ def test_scoring_with_a_trained_model(spark):
     df = spark.createDataFrame(rows, "k int, t string, c int")
     table = write_and_read(training.text_training_table(df, "k", "t", "c", rules), "features")
     run = training.train_and_evaluate(
-        table, "k", "c", "features", {"RandomForest": training.forest(numTrees=10, maxDepth=4)}
+        table, "k", "c", "features", {"RandomForest": training.forest(rounds=10, max_depth=4)}
     )
     extra = spark.createDataFrame([(900, " ", 0), (901, None, 0)], df.schema)
     scored = training.score_with_model(df.union(extra), "t", rules, run.models["RandomForest"], run.scaler).collect()
