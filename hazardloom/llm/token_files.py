@@ -20,7 +20,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardloom.llm.chunks import encoder, small_slices
@@ -185,6 +185,11 @@ def write_token_files(
     sink.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).text(folder)
 
 
+def file_number(file: Column) -> Column:
+    """The number of a part file.  Spark pads it to five digits, so names stop being in order at 100,000."""
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+
+
 def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document of a folder.
 
@@ -212,7 +217,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
     tail = F.expr(f"substring(content, -{TAIL.size + PAD}, 8)")
     totals = files.select("file", F.conv(F.hex(tail), 16, 10).cast("long").alias("n_ids"))
     # One row per file, so one task can add them up.
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number(F.col("file")), "file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
     return found.withColumn("crc", F.crc32("ids")).join(offsets, "file").select(
         F.col("id").alias(id_col),

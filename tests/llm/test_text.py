@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -317,6 +318,46 @@ def test_page_text():
     assert html_text.main_text("<article><p>" + "long words, here " * 20_000 + "</p></article>").endswith("here")
 
 
+PARAGRAPHS = [f"Paragraph {i} of the article, with some words, and more words to fill it up nicely." for i in range(4)]
+LAYOUTS = [
+    '<div class="content-sidebar-wrap"><article>%s</article></div>', '<div id="content" class="has-sidebar">%s</div>',
+    '<main class="has-comments">%s</main>', '<article class="post comments-open">%s</article>', '<div class="social-science">%s</div>',
+    '<form id="aspnetForm" method="post"><input type="hidden" value="x"><label>Search</label> <button>Go</button>%s</form>',
+    '<div class="widget-area sidebar"><main>%s</main></div>', "<div>%s</div>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_articles_in_misleading_containers(layout):
+    article = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    comment = "<p>A comment, which is rather long, with commas, and many more words than one would like.</p>"
+    around = '<html><body class="no-sidebar cookie-notice-shown"><nav><a href="/">Home</a></nav>%s{}<footer>foot</footer></body></html>'
+    for name in ("comments", "comment-list", "post-comments"):
+        page = around.format(f'<div class="{name}">{comment * 2}</div>') % (layout % article)
+        assert html_text.main_text(page) == " ".join(["Title", *PARAGRAPHS])
+
+
+def test_labels_and_buttons_amid_a_sentence():
+    page = "<article><p>Press the <button>OK</button> key, then <label>tick</label> it, to go on.</p><div><button>Share</button></div></article>"
+    assert html_text.main_text(page) == "Press the OK key, then tick it, to go on."
+
+
+@pytest.mark.parametrize("nothing", ['<div class="cookie-notice"><p>We use cookies.</p></div>', '<form><label>Name</label><button>Send</button></form>'])
+def test_pages_without_an_article(nothing):
+    assert html_text.main_text(f"<html><body>{nothing}</body></html>") == ""
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>a", "<blockquote>a", "<p><b>", "</x>", "<li>a", "<form><label>a"])
+def test_deep_pages_take_linear_time(piece):
+    def seconds(n):
+        start = time.perf_counter()
+        html_text.main_text(piece * n)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.02)
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>é, x</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))

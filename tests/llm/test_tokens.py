@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hazardloom.llm import packing, token_counts, token_files
@@ -129,3 +130,12 @@ def test_genetic_packing_beats_a_bad_start():
     child = work.cross(start, best)
     assert sorted(i for b in child for i in b) == list(range(len(lengths)))
     assert packing._as_bins(packing._as_bytes(best, len(lengths))) == [sorted(b) for b in best]
+
+
+def test_files_are_ordered_by_number(spark):
+    """Names of 100,000 files and more aren't in order as text."""
+    numbers = [0, 7, 99_999, 100_000, 100_001, 1_234_567]
+    names = spark.createDataFrame([(n, f"part-{n:05d}-a1b2-c000.txt") for n in numbers], "n long, file string")
+    ordered = names.orderBy(token_files.file_number(F.col("file")), "file").collect()
+    assert [r["n"] for r in ordered] == numbers
+    assert sorted(r["file"] for r in ordered) != [r["file"] for r in ordered]
