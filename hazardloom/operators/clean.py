@@ -15,6 +15,7 @@ from hazardloom.functions.numbers import (
 )
 from hazardloom.functions.text import is_usable_key, normalize_key
 from hazardloom.operators.ordered import column_medians, grouped_median
+from hazardloom.session import computed_once
 
 # --- fixed values: the assay columns, the property columns, the background potency -----
 ASSAYS = [
@@ -121,7 +122,7 @@ def median_impute(
     """
     medians = column_medians(df if source is None else source, columns)
     packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "median")))).scalar()
-    attached = df.withColumn("_medians", packed)
+    attached = computed_once(df.withColumn("_medians", packed), ["_medians"])
     return attached.withColumns(
         {c: F.coalesce(F.col(c), F.try_element_at("_medians", F.lit(c))) for c in columns}
     ).drop("_medians")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hazardloom.functions.numbers import finite_or
 from hazardloom.functions.text import COUNT_FEATURES, NGRAM_BITS, count_features, hashed_ngram_bits, normalize_key
 from hazardloom.operators.match import match_rules
-from hazardloom.operators.ordered import grouped_median
+from hazardloom.operators.ordered import column_medians
 from hazardloom.rules import RuleBook
 from hazardloom.session import computed_once
 
@@ -151,17 +151,13 @@ def matrix_median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     Also adds ``all_missing`` for rows without any finite cell.
     """
     clean = df.withColumns({c: finite_or(F.col(c).cast("double"), None) for c in columns})
-    long = clean.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]))
-    )
-    medians = grouped_median(long, ["feature"], "value")
-    packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median")))).scalar()
+    medians = column_medians(clean, columns)
+    packed = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "median")))).scalar()
     missing = F.lit(True)
     for c in columns:
         missing = missing & F.col(c).isNull()
     return (
-        clean.withColumn("all_missing", missing)
-        .withColumn("_medians", packed)
+        computed_once(clean.withColumn("all_missing", missing).withColumn("_medians", packed), ["_medians"])
         .withColumns(
             {c: F.coalesce(F.col(c), F.try_element_at("_medians", F.lit(c)), F.lit(0.0)) for c in columns}
         )

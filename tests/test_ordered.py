@@ -134,3 +134,44 @@ def test_balanced_class_weights(spark):
     df = spark.createDataFrame([(i, 0 if i < 6 else 1) for i in range(8)], "k int, c int")
     got = {r["c"]: r["weight"] for r in clean.balanced_class_weights(df, "c").collect()}
     assert got == {0: 8 / (2 * 6), 1: 8 / (2 * 2)}
+
+
+def test_column_medians_of_any_shape(spark):
+    """Ties, narrow and wide ranges, infinities, missing values and one-value columns, against the standard library."""
+    rng = random.Random(17)
+    rows = [
+        (
+            rng.gauss(0, 1),
+            0.9994 + rng.random() * 1e-12,  # many values in one equal-ratio bin
+            rng.choice([1e-300, -1e300, 0.0, -0.0, 5e-324, 3.5]),
+            7.25 if rng.random() < 0.7 else None,
+            float(rng.randint(0, 3)) if rng.random() < 0.5 else float("nan"),
+            rng.choice([float("inf"), -float("inf"), 1.0]),
+            None,
+        )
+        for _ in range(1001)
+    ]
+    names = list("abcdefg")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    for table, size in ((df, 1001), (df.limit(500), 500), (df.limit(1), 1)):
+        data = table.collect()
+        expected = {}
+        for c in names:
+            present = sorted(r[c] for r in data if r[c] is not None and r[c] == r[c])
+            if present:
+                expected[c] = (present[(len(present) - 1) // 2] + present[len(present) // 2]) / 2
+        kept = spark.createDataFrame(data, df.schema).repartition(4)
+        found = {r["column"]: r["median"] for r in ordered.column_medians(kept, names).collect()}
+        assert len(data) == size and {k: str(v) for k, v in found.items()} == {k: str(v + 0.0) for k, v in expected.items()}
+    assert ordered.column_medians(df.limit(0), names).collect() == []
+
+
+def test_column_medians_shuffle_bins_not_rows(spark):
+    """The rows that go through the shuffles don't grow with the table."""
+    sizes = []
+    for n in (20_000, 200_000):
+        df = spark.range(0, n, 1, 4).select((F.pmod(F.col("id") * 7919, F.lit(10_007)) / 10_007.0).alias("x"))
+        bins = df.groupBy(ordered.order_buckets(F.col("x"))[0]).count().count()
+        sizes.append(bins)
+        assert ordered.column_medians(df, ["x"]).first()["median"] == pytest.approx(0.5, abs=1e-3)
+    assert sizes[0] == sizes[1]
