@@ -92,7 +92,7 @@ def attribution_text(attribution: Column, cls: Column) -> Column:
 
 def global_importance(df: DataFrame, key: str, sample: int | None = None) -> DataFrame:
     """Mean absolute contribution per feature over all rows, or a reproducible sample of them."""
-    chosen = df if sample is None else sample_exact(df, key, sample)
+    chosen = df if sample is None else sample_exact(df, key, sample, unique=True)
     return (
         chosen.select(F.posexplode("contribution").alias("feature", "c"))
         .groupBy("feature")
@@ -107,7 +107,7 @@ def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
 def dependence_points(df: DataFrame, key: str, features: str, importance: DataFrame, k: int = 5, sample: int | None = None) -> DataFrame:
     """(feature, value, contribution) of all rows, or a sample, for the ``k`` leading features."""
     leading = F.broadcast(top_features(importance, k).select("feature"))  # k rows
-    chosen = df if sample is None else sample_exact(df, key, sample)
+    chosen = df if sample is None else sample_exact(df, key, sample, unique=True)
     points = chosen.select(
         key, F.posexplode(F.arrays_zip(F.col(features).alias("x"), F.col("contribution").alias("c"))).alias("feature", "point")
     )

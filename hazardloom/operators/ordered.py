@@ -162,9 +162,8 @@ def digest(seed: int, key: Column) -> Column:
 def digest_thresholds(df: DataFrame, groups: list[str], hashed: str, wanted: Column) -> DataFrame:
     """Per group the ``wanted``-th smallest digest, where ``wanted`` may use the group size ``n``.
 
-    Rows up to the threshold are then an exact sample.  Only the one bucket per group
-    that holds the threshold is sorted.  A digest that repeats at the threshold raises,
-    because no threshold would then give the wanted number of rows.
+    Only the one bucket per group that holds the threshold is sorted.  ``taken`` of the ``times`` rows with
+    the threshold's digest belong to the sample; fewer than all only where digests repeat.
     """
     rows = df.select(*groups, F.col(hashed), F.substring(hashed, 1, 6).alias("_b"))
     whole = Window.partitionBy(*groups)
@@ -186,37 +185,68 @@ def digest_thresholds(df: DataFrame, groups: list[str], hashed: str, wanted: Col
     )
     inside = rows.groupBy(*groups, "_b", hashed).agg(F.count(F.lit(1)).alias("_times"))
     rank = F.sum("_times").over(Window.partitionBy(*groups, "_b").orderBy(hashed))
-    exact = F.when(F.col("_rank") == F.col("_need"), F.col(hashed)).otherwise(
-        F.raise_error(F.lit("keys repeat: no exact sample")).cast("string")
-    )
     return (
         inside.join(boundary, [*groups, "_b"])
         .withColumn("_rank", rank)
         .where((F.col("_rank") >= F.col("_need")) & (F.col("_rank") - F.col("_times") < F.col("_need")))
-        .select(*groups, exact.alias("threshold"))
+        .select(
+            *groups,
+            F.col(hashed).alias("threshold"),
+            (F.col("_need") - F.col("_rank") + F.col("_times")).alias("taken"),
+            F.col("_times").alias("times"),
+        )
     )
 
 
-def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer) in a reproducible random choice of unique keys."""
-    hashed = df.withColumn("_digest", digest(seed, F.col(key)))
-    wanted = F.least(F.lit(n), F.col("n"))
-    threshold = digest_thresholds(hashed, [], "_digest", wanted).select("threshold").scalar()
-    return hashed.where(F.col("_digest") <= threshold).drop("_digest")
+# Copies of one row that a task makes at a time.
+COPIES = 1 << 16
 
 
-def stratified_split(df: DataFrame, key: str, cls: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test``: round(share * size) rows of every class, reproducibly chosen.
+def drawn(df: DataFrame, key: str, group: str | None, wanted: Column, into: str, seed: int = 42, unique: bool = False) -> DataFrame:
+    """Add ``into``: whether a row is among the first ``wanted`` of its group, in a reproducible random order of the keys.
+
+    Rows with one key are ordered by a hash of all their columns, so only wholly equal rows are
+    alike; of these the wanted number is drawn too: they are counted and made anew, so a key that
+    holds half the rows is neither sorted nor sent to one task.  Rows without a group aren't drawn.
+    With ``unique`` the caller vouches for unique keys: one scan less, and repeated keys at the threshold raise.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    place = digest(seed, F.col(f"`{key}`"))
+    if not unique:
+        place = F.concat(F.coalesce(place, F.lit("")), F.lpad(F.hex(F.xxhash64(F.struct(*columns))), 16, "0"))
+    hashed = df.withColumn("_place", place)
+    groups = [group] if group else []
+    found = digest_thresholds(hashed.where(F.col(f"`{group}`").isNotNull()) if group else hashed, groups, "_place", wanted)
+    packed = F.struct("threshold", "taken", "times")
+    if group:
+        by_group = found.agg(F.map_from_entries(F.collect_list(F.struct(group, packed)))).scalar()
+        attached = hashed.withColumn("_by_group", by_group).withColumn("_limit", F.try_element_at("_by_group", F.col(f"`{group}`"))).drop("_by_group")
+    else:
+        attached = hashed.withColumn("_limit", found.select(packed).scalar())
+    below = F.coalesce(F.col("_place") < F.col("_limit.threshold"), F.lit(False))
+    at = F.coalesce(F.col("_place") == F.col("_limit.threshold"), F.lit(False))
+    in_part = at & (F.col("_limit.taken") < F.col("_limit.times"))
+    if unique:
+        refused = F.raise_error(F.lit("keys repeat: no exact sample")).cast("boolean")
+        return attached.withColumn(into, F.when(in_part, refused).otherwise(below | at)).drop("_place", "_limit")
+    whole = attached.where(~in_part).withColumn(into, below | at).drop("_place", "_limit")
+    equal = attached.where(in_part).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), F.max("_limit.taken").alias("_taken"))
+    some = equal.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))).alias("_part")).repartition("_part")
+    last = F.least(F.col("_n"), (F.col("_part") + 1) * COPIES) - 1
+    copies = some.select("*", F.explode(F.sequence(F.col("_part") * COPIES, last)).alias("_i"))
+    copies = copies.withColumn(into, F.col("_i") < F.col("_taken")).select(*columns, into)
+    return whole.unionByName(copies)
+
+
+def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42, unique: bool = False) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer) in a reproducible random choice of keys; see :func:`drawn`."""
+    return drawn(df, key, None, F.least(F.lit(n), F.col("n")), "_drawn", seed, unique).where("_drawn").drop("_drawn")
+
+
+def stratified_split(df: DataFrame, key: str, cls: str, test_share: float = 0.2, seed: int = 42, unique: bool = False) -> DataFrame:
+    """Add ``is_test``: round(share * size) rows of every class, reproducibly chosen; see :func:`drawn`.
 
     The thresholds, one per class, are one map value of the plan, so rows aren't shuffled
     to get theirs; rows without a class are training rows.
     """
-    hashed = df.withColumn("_digest", digest(seed, F.col(key)))
-    wanted = F.floor(F.col("n") * test_share + 0.5)
-    thresholds = digest_thresholds(hashed.where(F.col(cls).isNotNull()), [cls], "_digest", wanted)
-    entries = F.map_from_entries(F.collect_list(F.struct(cls, "threshold")))
-    attached = hashed.withColumn("_thresholds", thresholds.agg(entries).scalar())
-    threshold = F.try_element_at("_thresholds", F.col(cls))
-    return attached.withColumn("is_test", F.coalesce(F.col("_digest") <= threshold, F.lit(False))).drop(
-        "_digest", "_thresholds"
-    )
+    return drawn(df, key, cls, F.floor(F.col("n") * test_share + 0.5), "is_test", seed, unique)

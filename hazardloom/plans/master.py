@@ -41,9 +41,9 @@ def clean_library(
     For a sample, twice the sample is drawn by row id before the costly key normalisation and
     deduplication, then trimmed to the sample by key.
     """
-    drawn = sample_exact(library, row_id, 2 * sample, seed) if sample else library
+    drawn = sample_exact(library, row_id, 2 * sample, seed, unique=True) if sample else library
     unique = keep_first(with_key(drawn, text, digest=digest), KEY, order)
-    return sample_exact(unique, KEY, sample, seed) if sample else unique
+    return sample_exact(unique, KEY, sample, seed, unique=True) if sample else unique
 
 
 def build_master(base: DataFrame, measurements: DataFrame, library: DataFrame) -> DataFrame:

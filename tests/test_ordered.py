@@ -81,10 +81,40 @@ def test_narrow_ranges_are_spread_over_slices(spark):
     assert ordered.grouped_median(scores.withColumn("g", F.lit(1)), ["g"], "s").first()["median"] == pytest.approx(0.99965, abs=1e-9)
 
 
-def test_repeated_keys_at_the_threshold_raise(spark):
+def test_repeated_keys_that_should_be_unique_raise(spark):
     df = spark.createDataFrame([(1,)] * 50, "k int")
     with pytest.raises(Exception, match="keys repeat"):
-        ordered.sample_exact(df, "k", 20).collect()
+        ordered.sample_exact(df, "k", 20, unique=True).collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 20, 49, 50, 70])
+def test_equal_rows_are_drawn_in_part(spark, n):
+    df = spark.createDataFrame([(1, None)] * 50, "k int, x string").repartition(7)
+    assert ordered.sample_exact(df, "k", n).count() == min(n, 50)
+
+
+def test_repeated_keys_give_exact_samples(spark):
+    """A key holds half the rows, some of them wholly equal; sizes are exact and choices don't depend on partitions."""
+    rows = [(7, i % 40 if i % 2 else 0, "a") for i in range(1000)] + [(k, 0, "a" if k % 3 else "b") for k in range(100, 1100)]
+    rows += [(None, 1, "b"), (None, 1, "b"), (5, 2, None)]
+    df = spark.createDataFrame(rows, "k int, x int, c string").repartition(5)
+    for n in (1, 100, 900, 1500, 2003):
+        one = Counter(map(tuple, ordered.sample_exact(df, "k", n).collect()))
+        assert sum(one.values()) == n and not one - Counter(rows)
+        assert one == Counter(map(tuple, ordered.sample_exact(df.repartition(3, "x"), "k", n).collect()))
+    for share in (0.2, 0.37, 0.5, 0.8):
+        out = Counter(map(tuple, ordered.stratified_split(df, "k", "c", share).collect()))
+        assert Counter({r: sum(n for o, n in out.items() if o[:3] == r) for r in set(rows)}) == Counter(rows)
+        for c, size in Counter(r[2] for r in rows).items():
+            tests = sum(n for o, n in out.items() if o[2] == c and o[3])
+            assert tests == (int(size * share + 0.5) if c else 0)
+
+
+def test_many_equal_rows_are_made_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "COPIES", 64)
+    df = spark.range(0, 1000, 1, 4).select(F.lit(3).alias("k"), F.lit("x").alias("c"))
+    split = ordered.stratified_split(df, "k", "c", 0.35)
+    assert {(r["is_test"], r["count"]) for r in split.groupBy("is_test").count().collect()} == {(True, 350), (False, 650)}
 
 
 def test_no_job_before_an_action(spark):
