@@ -150,22 +150,17 @@ def rule_bits(spark: SparkSession, sf: str) -> DataFrame:
 
 def holed_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Parts whose text is missing for one size."""
-    return inp.parts(spark, sf).select("entity", F.when(F.col("p_size") != 7, F.col("text")).alias("text"))
-
-
-def set_entries(df: DataFrame, keep: list[str]) -> DataFrame:
-    rows = df.select(*keep, F.posexplode("features").alias("feature", "value"))
-    return rows.where(F.col("value") != 0)
+    return spread(inp.parts(spark, sf).select("entity", F.when(F.col("p_size") != 7, F.col("text")).alias("text")), "entity")
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return set_entries(features.feature_table(holed_parts(spark, sf), "entity", "text", WORD_RULES), ["entity", "imputed"])
+    return features.set_cells(features.feature_table(holed_parts(spark, sf), "entity", "text", WORD_RULES), "features", "entity", "imputed")
 
 
 def assemble_vector(spark: SparkSession, sf: str) -> DataFrame:
-    sparse = features.sparse_features(inp.parts(spark, sf), "text", WORD_RULES, ["entity"])
-    dense = sparse.select("entity", features.assemble_vector(WORD_RULES).alias("features"))
-    return set_entries(computed_once(dense, ["features"]), ["entity"])
+    sparse = features.sparse_features(spread(inp.parts(spark, sf), "entity"), "text", WORD_RULES, ["entity"])
+    vectors = sparse.select("entity", features.assemble_vector(WORD_RULES).alias("features"))
+    return features.set_cells(computed_once(vectors, ["features"]), "features", "entity")
 
 
 def matrix_impute(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,7 +227,7 @@ def text_run(spark: SparkSession, sf: str) -> training.StoredRun:
     def make(folder: str) -> None:
         table = training.text_training_table(labelled_parts(spark, sf), "entity", "text", "cls", WORD_RULES)
         training.train_and_evaluate(
-            write_and_read(table, "features"), "entity", "cls", "features", {"RandomForest": training.forest()}, K, folder,
+            write_and_read(table, "training"), "entity", "cls", "features", {"RandomForest": training.forest()}, K, folder,
             features.feature_names(WORD_RULES),
         )
 
@@ -362,7 +357,7 @@ def score_with_model(spark: SparkSession, sf: str) -> DataFrame:
     rows = labelled_parts(spark, sf).select("entity", "text")
     fields = ["predicted_class", "raw_probability", "probability", "label", "confidence"]
     one, two = (
-        training.score_with_model(rows, "text", WORD_RULES, r.model, r.scaler).select("entity", F.struct(*fields).alias(n))
+        training.score_with_model(rows, "text", WORD_RULES, r.model).select("entity", F.struct(*fields).alias(n))
         for r, n in ((run, "a"), (again, "b"))
     )
     return one.join(two, "entity").select(
@@ -373,13 +368,13 @@ def score_with_model(spark: SparkSession, sf: str) -> DataFrame:
 def entity_scores(spark: SparkSession, sf: str, texts: DataFrame) -> DataFrame:
     """Every distinct text scored on its own with the trained model."""
     run = text_run(spark, sf)
-    scored = training.score_with_model(texts.select("key").distinct(), "key", WORD_RULES, run.model, run.scaler, health=False)
+    scored = training.score_with_model(texts.select("key").distinct(), "key", WORD_RULES, run.model, health=False)
     return scored.select("key", F.col("probability").alias("alone"))
 
 
 def add_bases(spark: SparkSession, sf: str, keys: list[str]):
     run = text_run(spark, sf)
-    return training.add_model_bases(keys, WORD_RULES, run.model, run.scaler)
+    return training.add_model_bases(keys, WORD_RULES, run.model)
 
 
 def score_mixtures_model(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Feature tables from texts: counts, hashed n-gram bits and rule presence.
 
-Rows stay sparse (sorted bit numbers) until a dense vector is asked for.  Medians of
-the sparse part come from the set cells and the row count, never from all cells.
+Vectors stay sparse (numbers and values of the set cells) up to the task that trains or scores;
+:func:`to_dense` is for others.  Medians and deviations come from the set cells and the
+row count, never from all cells.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from hazardloom.functions.text import COUNT_FEATURES, NGRAM_BITS, count_features
 from hazardloom.operators.match import match_rules
 from hazardloom.operators.ordered import column_medians
 from hazardloom.rules import RuleBook
-from hazardloom.session import computed_once
+from hazardloom.session import computed_once, write_and_read
 
 
 def feature_names(rules: RuleBook) -> list[str]:
@@ -57,92 +58,84 @@ def sparse_features(df: DataFrame, text: str, rules: RuleBook, keep: list[str])
     return computed_once(grouped, ["counts", "bits", "matches"])
 
 
-def set_cells(df: DataFrame, key: str) -> DataFrame:
-    """Long form (key, feature, value) of the cells that are not zero, feature numbers from 0."""
+# A feature vector by its set cells: ascending feature numbers from 0 and their values.
+SPARSE = "struct<size:int,indices:array<int>,values:array<double>>"
+
+
+def assemble_vector(rules: RuleBook) -> Column:
+    """Sparse vector of the three feature groups in the order of :func:`feature_names`; NULL without counts."""
     n_counts = len(COUNT_FEATURES)
-    counts = F.transform("counts", lambda v, i: F.struct(i.alias("feature"), v.alias("value")))
-    bits = F.transform(
-        "bits", lambda b: F.struct((b + n_counts).alias("feature"), F.lit(1.0).alias("value"))
-    )
-    present = F.transform(
-        "matches",
-        lambda m: F.struct((m["ord"] - 1 + n_counts + NGRAM_BITS).alias("feature"), F.lit(1.0).alias("value")),
+    set_counts = F.filter(F.sequence(F.lit(0), F.lit(n_counts - 1)), lambda i: F.get("counts", i) != 0)
+    bits = F.transform("bits", lambda b: b + n_counts)
+    present = F.transform("matches", lambda m: (m["ord"] - 1 + n_counts + NGRAM_BITS).cast("int"))
+    ones = F.array_repeat(F.lit(1.0), F.size("bits") + F.size("matches"))
+    vector = F.struct(
+        F.lit(n_features(rules)).alias("size"),
+        F.concat(set_counts, bits, present).alias("indices"),
+        F.concat(F.filter("counts", lambda v: v != 0), ones).alias("values"),
     )
-    cells = F.filter(F.concat(counts, bits, present), lambda c: c["value"] != 0)
-    return df.where(F.col("counts").isNotNull()).select(key, F.inline(cells))
+    return F.when(F.col("counts").isNotNull(), vector).cast(SPARSE)
 
 
-def assemble_vector(rules: RuleBook) -> Column:
-    """Dense vector of the three feature groups in the order of :func:`feature_names`."""
+def is_sparse(df: DataFrame, features: str) -> bool:
+    return df.schema[features].dataType.typeName() == "struct"
+
 
-    def dense(positions: Column, size: int) -> Column:
-        # Runs of zeros between the ascending positions; linear in the vector's length.
-        def run(p: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(positions, i - 1), F.lit(-1))
-            return F.concat(F.array_repeat(F.lit(0.0), p - before - 1), F.array(F.lit(1.0)))
+def set_cells(df: DataFrame, features: str, *keep: str) -> DataFrame:
+    """Long form (keep, feature, value) of the cells of a sparse vector; a zero never becomes a row."""
+    cells = F.arrays_zip(F.col(f"{features}.indices").alias("feature"), F.col(f"{features}.values").alias("value"))
+    return df.select(*keep, F.inline(cells))
 
-        last = F.coalesce(F.get(positions, F.size(positions) - 1), F.lit(-1))
-        return F.concat(F.flatten(F.transform(positions, run)), F.array_repeat(F.lit(0.0), F.lit(size - 1) - last))
 
-    present = F.transform("matches", lambda m: m["ord"] - 1)
-    return F.concat(F.col("counts"), dense(F.col("bits"), NGRAM_BITS), dense(present, len(rules.alerts)))
+def to_dense(features: str) -> Column:
+    """All cells of a sparse vector, for consumers that need them; linear in the vector's length."""
+    indices, values, size = (F.col(f"{features}.{f}") for f in ("indices", "values", "size"))
 
+    def run(i: Column, k: Column) -> Column:
+        # The zeros since the last set cell, and the cell.
+        before = F.coalesce(F.get(indices, k - 1), F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0.0), i - before - 1), F.array(F.get(values, k)))
 
-def sparse_medians(cells: DataFrame, n_rows: DataFrame) -> DataFrame:
-    """Exact median per feature that is set in at least half the rows; others have median 0.
+    last = F.coalesce(F.get(indices, F.size(indices) - 1), F.lit(-1))
+    return F.concat(F.flatten(F.transform(indices, run)), F.array_repeat(F.lit(0.0), size - 1 - last))
 
-    The broadcast list holds feature numbers, so at most the length of the vector.
 
-    ``cells`` holds the positive cells only; ``n_rows`` is a one-row count of usable rows.
-    A zero cell never becomes a row: zeros only shift the rank looked for.
+def group_medians(sparse: DataFrame, rules: RuleBook) -> DataFrame:
+    """``feature, median`` of the columns whose median isn't 0, over the rows with a usable key.
+
+    Counts are narrowed like any numeric columns; of a 0/1 column the number of set cells says it all.
     """
-    total = n_rows.scalar()
-    per_feature = cells.groupBy("feature").agg(F.count("*").alias("_set"))
-    frequent = per_feature.withColumn("_rows", total).where(F.col("_set") * 2 >= F.col("_rows"))
-    values = cells.join(F.broadcast(frequent.select("feature")), "feature")
-    distinct = values.groupBy("feature", "value").agg(F.count("*").alias("_n"))
-    zeros = frequent.select(
-        "feature", F.lit(0.0).alias("value"), (F.col("_rows") - F.col("_set")).alias("_n")
-    ).where(F.col("_n") > 0)
-    return weighted_median(distinct.unionByName(zeros), "feature", "value", "_n")
-
-
-def weighted_median(df: DataFrame, group: str, value: str, weight: str) -> DataFrame:
-    """Median per group of values given with their counts."""
-    from hazardloom.operators.ordered import running_totals
-
-    ranked = running_totals(df, [group], value, [weight], descending=False)
-    lo = F.expr(f"(total_{weight} - 1) div 2")
-    hi = F.expr(f"total_{weight} div 2")
-    middle = ranked.where(
-        (F.col(f"cum_{weight}") - F.col(weight) <= hi) & (F.col(f"cum_{weight}") > lo)
-    )
-    return middle.groupBy(group).agg(((F.min(value) + F.max(value)) / 2.0).alias("median"))
+    usable = sparse.where(F.col("counts").isNotNull())
+    names = list(COUNT_FEATURES)
+    counts = column_medians(usable.select(*[F.get("counts", F.lit(i)).alias(n) for i, n in enumerate(names)]), names)
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("column")).cast("int") - 1
+    flags = F.concat(F.transform("bits", lambda b: b + len(names)), F.transform("matches", lambda m: (m["ord"] - 1 + len(names) + NGRAM_BITS).cast("int")))
+    set_in = usable.select(F.explode(flags).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    rows = usable.agg(F.count(F.lit(1))).scalar()
+    often = set_in.withColumn("_rows", rows).where(F.col("n") * 2 >= F.col("_rows"))
+    half = often.select("feature", F.when(F.col("n") * 2 == F.col("_rows"), 0.5).otherwise(1.0).alias("median"))
+    return counts.select(number.alias("feature"), "median").where("median <> 0").unionByName(half)
 
 
 def feature_table(
     df: DataFrame, key: str, text: str, rules: RuleBook, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Dense feature vector per row; rows without a usable key get the column medians.
+    """Sparse feature vector per row; rows without a usable key get the column medians.
 
-    Also marks such rows in ``imputed``.
+    Also marks such rows in ``imputed``.  The feature groups are written once, as both the medians and the
+    vectors come from them.
     """
-    sparse = sparse_features(df, text, rules, [key, *keep])
-    usable = sparse.where(F.col("counts").isNotNull()).agg(F.count("*"))
-    medians = sparse_medians(set_cells(sparse, key), usable)
-    by_feature = F.map_from_entries(F.collect_list(F.struct("feature", "median")))
-    fallback = medians.agg(by_feature.alias("m")).select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n_features(rules) - 1)),
-            lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)),
-        )
+    sparse = write_and_read(sparse_features(df, text, rules, [key, *keep]), "features")
+    entries = F.sort_array(F.collect_list(F.struct("feature", "median")))
+    medians = group_medians(sparse, rules).agg(entries.alias("m")).select(
+        F.struct(
+            F.lit(n_features(rules)).alias("size"),
+            F.transform("m", lambda e: e["feature"]).alias("indices"),
+            F.transform("m", lambda e: e["median"]).alias("values"),
+        ).cast(SPARSE)
     )
-    filled = (
-        sparse.withColumn("imputed", F.col("counts").isNull())
-        .withColumn("_medians", fallback.scalar())
-        .select(key, *keep, "imputed", F.coalesce(assemble_vector(rules), F.col("_medians")).alias("features"))
-    )
-    return computed_once(filled, ["features"])
+    vectors = sparse.withColumn("features", F.coalesce(assemble_vector(rules), medians.scalar()))
+    return computed_once(vectors.select(key, *keep, F.col("counts").isNull().alias("imputed"), "features"), ["features"])
 
 
 def matrix_median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -166,10 +159,13 @@ def matrix_median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scaler_stats(df: DataFrame, features: str) -> DataFrame:
-    """One row with the arrays of means and population deviations of a feature array.
+    """One row with the arrays of means and population deviations of a feature array or sparse vector.
 
-    The summarizer keeps one state of the vector's length per task; no cell becomes a row.
+    The summarizer keeps one state of the vector's length per task.  Of a sparse vector only the set
+    cells are summed; the zeros enter by their number.
     """
+    if is_sparse(df, features):
+        return _sparse_stats(df, features)
     vector = array_to_vector(F.col(features).cast("array<double>"))
     stats = df.select(Summarizer.metrics("mean", "variance", "count").summary(vector).alias("s"))
     share = (F.col("s.count") - 1) / F.col("s.count")
@@ -181,6 +177,25 @@ def scaler_stats(df: DataFrame, features: str) -> DataFrame:
     )
 
 
+def _sparse_stats(df: DataFrame, features: str) -> DataFrame:
+    cells = set_cells(df, features).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("k"), F.avg("value").alias("own"), F.var_pop("value").alias("var")
+    )
+    size = df.agg(F.count(F.col(features)).alias("n"), F.max(f"{features}.size").alias("size"))
+    # Two groups, the set cells and the zeros, put together.
+    k, n, own = F.col("k"), F.col("_n.n"), F.col("own")
+    spread = F.sqrt((F.col("var") * k + own * own * k * (n - k) / n) / n)
+    packed = cells.withColumn("_n", size.select(F.struct("n", "size")).scalar()).select("feature", (own * k / n).alias("mean"), spread.alias("std"))
+    by_feature = packed.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("m"))
+    whole = by_feature.withColumn("_size", size.select("size").scalar())
+    each = F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.try_element_at("m", i))
+    listed = whole.select(F.when(F.col("_size") > 0, each).otherwise(F.array().cast("array<struct<mean:double,std:double>>")).alias("e"))
+    return listed.select(
+        F.transform("e", lambda x: F.coalesce(x["mean"], F.lit(0.0))).alias("mean"),
+        F.transform("e", lambda x: F.coalesce(x["std"], F.lit(0.0))).alias("std"),
+    )
+
+
 def standard_scale(df: DataFrame, features: str, into: str = "scaled") -> DataFrame:
     """(x - mean) / std per feature with the population deviation; a zero deviation divides by 1."""
     stats = scaler_stats(df, features)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardloom.operators import trees as T
+from hazardloom.operators.features import is_sparse, set_cells
 from hazardloom.operators.trees import Forest, Growing, TreeSpec
 from hazardloom.sources.runs import RunStore, settings_digest
 
@@ -49,7 +50,13 @@ _NODE_TYPES = pa.schema(
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an array column of equal lengths; missing entries become NaN."""
+    """Rows of an array column of equal lengths, or of sparse vectors; missing entries become NaN."""
+    if pa.types.is_struct(column.type):
+        size, indices, values = (column.field(i) for i in range(3))
+        out = np.zeros((len(column), size[0].as_py() if len(column) else 0))
+        lengths = np.diff(indices.offsets.to_numpy())
+        out[np.repeat(np.arange(len(column)), lengths), indices.flatten().to_numpy()] = values.flatten().to_numpy(zero_copy_only=False)
+        return out
     size = len(column[0]) if len(column) else 0
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
@@ -75,19 +82,37 @@ class Binning:
         return self.bins[np.arange(self.size), T.cells(x, self.low, self.high)]
 
 
-def bin_table(rows: DataFrame, features: str) -> DataFrame:
-    """``feature, low, high, counts`` (rows per cell) of a feature array: two passes, sums before the shuffle."""
+def _slices(batch):
+    """Parts of a batch small enough to be made dense."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
+def _ranges(rows: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest value of every feature; a missing one counts as 0."""
+    if is_sparse(rows, features):
+        n, size = rows.agg(F.count(features), F.max(f"{features}.size")).first()
+        low, high = np.zeros(size), np.zeros(size)
+        cells = set_cells(rows, features).groupBy("feature").agg(F.min("value"), F.max("value"), F.count(F.lit(1)))
+        for f, a, b, k in cells.collect():  # one per feature
+            low[f], high[f] = (a, b) if k == n else (min(a, 0.0), max(b, 0.0))
+        return low, high
     vector = array_to_vector(F.transform(features, lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0))))
     found = rows.select(Summarizer.metrics("min", "max").summary(vector).alias("s"))
     found = found.select(vector_to_array("s.min").alias("low"), vector_to_array("s.max").alias("high")).first()
-    low, high = np.array(found["low"]), np.array(found["high"])
+    return np.array(found["low"]), np.array(found["high"])
+
+
+def bin_table(rows: DataFrame, features: str) -> DataFrame:
+    """``feature, low, high, counts`` (rows per cell) of a feature array: two passes, sums before the shuffle."""
+    low, high = _ranges(rows, features)
     d = len(low)
 
     def count(batches):
         total = np.zeros((d, T.CELLS), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                at = T.cells(_matrix(batch.column(0)), low, high).astype(np.int64) + np.arange(d) * T.CELLS
+            for part in _slices(batch):
+                at = T.cells(_matrix(part.column(0)), low, high).astype(np.int64) + np.arange(d) * T.CELLS
                 total += np.bincount(at.ravel(), minlength=d * T.CELLS).reshape(d, T.CELLS)
         f, c = np.nonzero(total)
         arrays = [pa.array(f, pa.int32()), pa.array(low[f]), pa.array(high[f]), pa.array(c, pa.int32()), pa.array(total[f, c])]
@@ -112,12 +137,11 @@ def binned_rows(rows: DataFrame, key: str, label: str, weight: str, features: st
 
     def cut(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = binning.apply(_matrix(batch.column(3)))
-            numbers = T.row_numbers(batch.column(0).to_pylist(), seed)
-            arrays = [batch.column(1), batch.column(2), pa.array(numbers), pa.array([r.tobytes() for r in bins], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["y", "weight", "number", "bins"])
+            for part in _slices(batch):
+                bins = binning.apply(_matrix(part.column(3)))
+                numbers = T.row_numbers(part.column(0).to_pylist(), seed)
+                arrays = [part.column(1), part.column(2), pa.array(numbers), pa.array([r.tobytes() for r in bins], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["y", "weight", "number", "bins"])
 
     source = rows.select(F.col(key).cast("string"), F.col(label).cast("int"), F.col(weight).cast("double"), F.col(features))
     return source.mapInArrow(cut, "y int, weight double, number long, bins binary")
@@ -417,14 +441,13 @@ def load_model(spark: SparkSession, folder: str) -> TreeModel | None:
 
 def _by_slices(rows: DataFrame, features: str, keep: list[str], work, added: str, also: str | None = None) -> DataFrame:
     source = rows.select(*[F.col(f"`{c}`") for c in keep], *([F.col(f"`{also}`").cast("int").alias("__also")] if also else []),
-                         F.col(f"`{features}`").cast("array<double>").alias("__x"))
+                         (F.col(features) if is_sparse(rows, features) else F.col(f"`{features}`").cast("array<double>")).alias("__x"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
     names = [*keep, *[c.split()[0] for c in added.split(", ")]]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in _slices(batch):
                 more = [part.column("__also").to_numpy(zero_copy_only=False)] if also else []
                 results = work(_matrix(part.column("__x")), *more)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *results], names=names)

@@ -21,6 +21,7 @@ from hazardloom.operators.features import (
     apply_scaler,
     assemble_vector,
     feature_table,
+    is_sparse,
     scaler_stats,
     sparse_features,
 )
@@ -72,8 +73,14 @@ def text_training_table(df: DataFrame, key: str, text: str, cls: str, rules: Rul
 
 
 def training_rows(df: DataFrame, key: str, cls: str, features: str, scaler: DataFrame | None = None) -> DataFrame:
-    """Scaled vectors with label and ``is_test``; the scaler is fitted on all rows."""
-    scaled = apply_scaler(df, features, scaler if scaler is not None else scaler_stats(df, features))
+    """Scaled vectors with label and ``is_test``; the scaler is fitted on all rows.
+
+    Sparse vectors stay as they are: the trees cut at ranks, which scaling leaves alone, and scaled zeros aren't zeros.
+    """
+    if is_sparse(df, features):
+        scaled = df.withColumn("scaled", F.col(features))
+    else:
+        scaled = apply_scaler(df, features, scaler if scaler is not None else scaler_stats(df, features))
     rows = scaled.select(key, F.col(cls).cast("double").alias("label"), F.col("scaled"))
     return stratified_split(rows, key, "label", TEST_SHARE, SEED)
 
@@ -168,7 +175,7 @@ def train_and_evaluate(
     order = {name: i for i, name in enumerate(models)}
     rows = [(r["model"], r["f1_score"]) for r in exact.select("model", "f1_score").collect()]  # one per model
     best, best_f1 = max(rows, key=lambda r: (r[1], -order[r[0]]))
-    sizes = {"n_train": train.count(), "n_test": test.count(), "n_features": len(test.select("scaled").first()[0])}
+    sizes = {"n_train": train.count(), "n_test": test.count(), "n_features": _length(test)}
     done = TrainingRun(models, scaler, predictions, model_metrics(predictions, k), best, best_f1, sizes)
     if store is not None:
         done.paths["holdout"] = f"{store}/holdout"
@@ -177,6 +184,11 @@ def train_and_evaluate(
     return done
 
 
+def _length(rows: DataFrame) -> int:
+    first = rows.select("scaled").first()[0]
+    return first["size"] if is_sparse(rows, "scaled") else len(first)
+
+
 def run_metadata(run_rows: DataFrame, head: dict[str, Column]) -> DataFrame:
     """One nested row: the head columns and a map from model to its metrics."""
     names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "confusion_matrix", "classification_report"]
@@ -205,18 +217,18 @@ def detailed_metrics(predictions: DataFrame, k: int = N_CLASSES) -> DataFrame:
 
 
 def score_with_model(
-    df: DataFrame, text: str, rules: RuleBook, model: TreeModel, scaler: DataFrame, health: bool = True
+    df: DataFrame, text: str, rules: RuleBook, model: TreeModel, health: bool = True
 ) -> DataFrame:
-    """Score usable texts with a trained model: features, scaling, class probabilities, then
+    """Score usable texts with a trained model: sparse features, class probabilities, then
     :func:`hazardloom.plans.scoring.score_entities`.  No shuffle and no join."""
     keep = df.columns
     sparse = sparse_features(df.where(is_usable_key(F.col(text))), text, rules, keep)
-    dense = computed_once(sparse.select(*keep, assemble_vector(rules).alias("_features")), ["_features"])
-    predicted = predict_proba(model, apply_scaler(dense, "_features", scaler, "_scaled"), keep, "_scaled")
+    vectors = computed_once(sparse.select(*keep, assemble_vector(rules).alias("_features")), ["_features"])
+    predicted = predict_proba(model, vectors, keep, "_features")
     return score_entities(predicted, text, rules, probabilities=F.col("scores"), health=health)
 
 
-def add_model_bases(keys: list[str], rules: RuleBook, model: TreeModel, scaler: DataFrame) -> AddBases:
+def add_model_bases(keys: list[str], rules: RuleBook, model: TreeModel) -> AddBases:
     """For mixtures and batches: base scores of component texts from a trained model.
 
     Every distinct text is featurised and scored once; the scores go back to the rows, told
@@ -228,8 +240,8 @@ def add_model_bases(keys: list[str], rules: RuleBook, model: TreeModel, scaler:
         parted = parted.withColumn("_digest", F.sha2("_text", 256))
         distinct = parted.groupBy("_digest").agg(F.min("_text").alias("_text"))
         sparse = sparse_features(distinct, "_text", rules, ["_digest"])
-        dense = computed_once(sparse.select("_digest", assemble_vector(rules).alias("_features")), ["_features"])
-        scored = predict_proba(model, apply_scaler(dense, "_features", scaler, "_scaled"), ["_digest"], "_scaled")
+        vectors = computed_once(sparse.select("_digest", assemble_vector(rules).alias("_features")), ["_features"])
+        scored = predict_proba(model, vectors, ["_digest"], "_features")
         scored = scored.select("_digest", weighted_class_score(F.col("scores")).alias("_base"))
         each = F.array_sort(F.collect_list(F.struct("_pos", "_base")))
         bases = parted.select(*keys, "_pos", "_digest").join(scored, "_digest").groupBy(*keys).agg(

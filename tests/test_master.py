@@ -156,7 +156,7 @@ def test_scoring_with_a_trained_model(spark):
         table, "k", "c", "features", {"RandomForest": training.forest(rounds=10, max_depth=4)}
     )
     extra = spark.createDataFrame([(900, " ", 0), (901, None, 0)], df.schema)
-    scored = training.score_with_model(df.union(extra), "t", rules, run.models["RandomForest"], run.scaler).collect()
+    scored = training.score_with_model(df.union(extra), "t", rules, run.models["RandomForest"]).collect()
     assert len(scored) == len(rows)
     for r in scored:
         assert r["predicted_class"] == r["c"]

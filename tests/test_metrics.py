@@ -122,7 +122,9 @@ def test_matrix_median_impute_edges(spark):
 def test_feature_table_imputes_unusable_rows(spark):
     rules = RuleBook.default()
     df = spark.createDataFrame([(1, "c1ccccc1"), (2, "c1ccccc1"), (3, "CCO"), (4, "  "), (5, None)], "k int, t string")
-    out = {r["k"]: r for r in features.feature_table(df, "k", "t", rules).collect()}
+    table = features.feature_table(df, "k", "t", rules)
+    assert {r["k"]: len(r["features"]["indices"]) for r in table.collect()}[3] < 20
+    out = {r["k"]: r for r in table.withColumn("features", features.to_dense("features")).collect()}
     names = features.feature_names(rules)
     assert all(len(r["features"]) == len(names) == features.n_features(rules) for r in out.values())
     assert [out[k]["imputed"] for k in range(1, 6)] == [False, False, False, True, True]
@@ -131,6 +133,18 @@ def test_feature_table_imputes_unusable_rows(spark):
     assert out[3]["features"][names.index("n_chars")] == 3.0
 
 
+def test_sparse_statistics_are_those_of_the_dense_rows(spark):
+    """Zeros that are never stored count in means, deviations and medians."""
+    rng = random.Random(6)
+    dense = [[rng.choice([0.0, 0.0, 1.0, 2.5, -4.0]) if j % 3 else float(j == 3) for j in range(9)] for _ in range(200)]
+    rows = [(i, (9, [j for j, v in enumerate(d) if v], [v for v in d if v]), d) for i, d in enumerate(dense)]
+    df = spark.createDataFrame(rows, f"k int, s {features.SPARSE}, d array<double>")
+    one, two = features.scaler_stats(df, "s").first(), features.scaler_stats(df, "d").first()
+    for c in ("mean", "std"):
+        assert one[c] == pytest.approx(two[c], abs=1e-12)
+    assert all(r["x"] == r["d"] for r in df.select(features.to_dense("s").alias("x"), "d").collect())
+
+
 def test_attribution_top_features_and_text(spark):
     rows = [(1, [float(i) for i in range(30)], 4), (2, [0.0] * 30, 0)]
     df = spark.createDataFrame(rows, "k int, f array<double>, c int")

@@ -214,3 +214,12 @@ def test_degenerate_tables(spark):
         assert len(scores) == 31 and all(s[0] == max(s) for s in scores)
     assert load_model(spark, scratch_path(spark, "none")) is None
     assert Forest.from_rows([]).margins(np.zeros((2, 3), int), 3).tolist() == [[0.0] * 3] * 2
+
+
+def test_sparse_vectors_train_and_score_like_dense_ones(spark, table):
+    sparse = table.withColumn("i", F.expr("filter(sequence(0, 11), j -> f[j] <> 0)"))
+    sparse = sparse.select("k", "y", "w", F.struct(F.lit(12).alias("size"), F.col("i").alias("indices"), F.expr("transform(i, j -> f[j])").alias("values")).alias("f"))
+    for spec in (LEVELS, TREES):
+        one, two = fitted(spark, table, spec), fitted(spark, sparse, spec)
+        assert node_set(one) == node_set(two)
+        assert sorted(one.predict(table, "f", ["k"]).collect()) == sorted(two.predict(sparse, "f", ["k"]).collect())
