@@ -469,26 +469,6 @@ def test_rare_words_are_joined(spark, documents, monkeypatch):
         assert r["base_score"] == pytest.approx(same["base_score"]) and r["score"] == pytest.approx(same["score"])
 
 
-def test_tree_probabilities():
-    """Next-symbol distributions add up to one, and longer retained contexts sharpen them."""
-    rows = np.array([(0, 0, 97, 60, 100, 2), (0, 0, 98, 40, 100, 2), (1, 97, 98, 30, 30, 1), (2, (97 << 8) | 97, 97, 10, 10, 1)])
-    tree = suffix_tree_lm.SuffixTree(rows)
-
-    def after(word, symbol):
-        return tree.log10([word + bytes([symbol])])[0] - tree.log10([word + b"\xff"])[0]
-
-    data = [bytes([97, s]) for s in range(256) if s not in (10, 32)]
-    first = [10 ** (tree.log10([d])[0] - tree.log10([b"a"])[0]) for d in data]
-    assert after(b"a", 98) > after(b"c", 98)
-    assert after(b"aa", 97) > after(b"ca", 97)
-    assert sum(first) > 0
-    symbols = np.arange(256)
-    assert tree.root.sum() == pytest.approx(1)
-    p = tree.root.copy()
-    p = (np.where(symbols == 98, 30, 0) + 1 * p) / 31
-    assert p.sum() == pytest.approx(1)
-
-
 def test_every_context_that_passes_is_used(spark):
     """More contexts than a fixed model of 20,000 states would hold: each raises the score of its own texts."""
     n = 24_000
