@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as inp
 from catalog.inputs import WORD_RULES
 from catalog.sqlkit import COUNTS_SQL, pyround, sql, text_literal
-from catalog.tree_sql import comparison_sql, test_scores_sql
+from catalog.tree_sql import comparison_sql, margins_sql, test_scores_sql
 from hazardloom.functions.text import COUNT_FEATURES, count_features, hashed_ngram_bits, split_parts
 from hazardloom.operators import explain, features, metrics
 from hazardloom.operators.clean import KEY, TEXT
@@ -268,6 +268,15 @@ def predicted_rows(spark: SparkSession, sf: str) -> DataFrame:
     return first_scores(model, test, 2).join(whole, "vec_id")
 
 
+def tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Path contributions to the margin of each row's true class after one round: base and contributions add up to it."""
+    _, test = vector_split(spark, sf)
+    first = fitted(spark, sf, "BoostedTrees").upto(1)
+    rows = first.contributions(test.withColumn("cls", F.col("label").cast("int")), "scaled", ["vec_id", "cls"], "cls")
+    total = F.aggregate("contribution", F.col("base"), lambda a, x: a + x)
+    return rows.select("vec_id", "cls", F.size("contribution").alias("features"), F.round(total, 9).alias("margin"))
+
+
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
     """A stored and reloaded model predicts the same; a missing one loads as None."""
     folder = scratch_path(spark, "models")
@@ -648,6 +657,7 @@ QUERIES: dict = {
         model_rows("BalancedBoostedTrees", 1), test_scores_sql(_specs["BalancedBoostedTrees"], 1, ", 300::BIGINT AS rounds")
     ),
     "predict_proba": (predicted_rows, test_scores_sql(_specs["BoostedTrees"], 2, ", 1e0 AS total, true AS is_top")),
+    "tree_attribution": (tree_attribution, margins_sql(_specs["BoostedTrees"])),
     "model_store": (model_store, test_scores_sql(_specs["RandomForest"], 2, ", true AS same, true AS missing_is_none")),
     "model_comparison": (model_comparison, comparison_sql(_specs, _weighted_metrics_sql)),
     "train_evaluate": (

@@ -131,3 +131,9 @@ def comparison_sql(specs: dict[str, TreeSpec], metrics) -> str:
     scores = " UNION ALL ".join(f"SELECT '{name}' AS model, vec_id, cls, round(score, 12) AS score FROM m{i}_scores" for i, name in enumerate(specs))
     oks = ", ".join(f"true AS {c}_ok" for c in ("accuracy", "recall", "f1", "auc"))
     return f"{_head(named)}, every_score AS MATERIALIZED ({scores}) SELECT *, {oks} FROM ({metrics('SELECT * FROM every_score')})"
+
+
+def margins_sql(spec: TreeSpec) -> str:
+    """Margin of the true class of every test row after the first round."""
+    body = "SELECT vec_id, cls, 64 AS features, round(z, 9) AS margin FROM m_z1 JOIN part p USING (vec_id) WHERE is_test AND t = cls"
+    return f"{_head({'m': (spec, 1)})} {body}"

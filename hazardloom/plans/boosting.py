@@ -393,10 +393,13 @@ class TreeModel:
         ranges = self.ranges.orderBy("feature").collect()
         return Forest.from_rows(rows), np.array([r["low"] for r in ranges]), np.array([r["high"] for r in ranges])
 
+    def upto(self, rounds: int) -> TreeModel:
+        """The model after its first rounds, or trees."""
+        return TreeModel(self.spec, self.k, self.nodes.where(F.col("round") < rounds), self.ranges)
+
     def predict(self, rows: DataFrame, features: str, keep: list[str], rounds: int | None = None) -> DataFrame:
         """``keep``, the class ``yhat`` and the class probabilities ``scores``, in one map stage; ``rounds`` stops early."""
-        model = self if rounds is None else TreeModel(self.spec, self.k, self.nodes.where(F.col("round") < rounds), self.ranges)
-        forest, low, high = model.arrays()
+        forest, low, high = (self if rounds is None else self.upto(rounds)).arrays()
         boosted, k = self.spec.kind == "boosted", self.k
 
         def walk(x: np.ndarray) -> list[pa.Array]:
