@@ -49,12 +49,60 @@ def matches_long(df: DataFrame, keys: list[str], matches: str = "matches") -> Da
     return df.select(*keys, F.inline(F.filter(matches, lambda m: m["n"] > 0)))
 
 
+# Length of the text pieces that rules are looked up by.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """Distinct pieces of ``GRAM`` characters."""
+    starts = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - (GRAM - 1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def required_factor(pattern: Column) -> Column:
+    """The longest run of letters, digits and spaces that every match of a pattern contains; NULL where none is sure.
+
+    Only plain sequences are read: a pattern with alternatives, groups, classes, counts or unusual
+    escapes has no sure factor.  A character that may be missing ends a run.
+    """
+    known = F.regexp_replace(pattern, r"\\[bBdDwWsS]|\\[^A-Za-z0-9]", "\n")
+    sure = ~known.rlike(r"[|(\[{\\]")
+    runs = F.split(F.regexp_replace(known, r".[?*]", "\n"), "[^A-Za-z0-9 ]+")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    return F.when(sure & (longest["n"] >= GRAM), longest["run"])
+
+
 def match_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame) -> DataFrame:
     """Match against a rule table kept in Spark: one row per entity and matched rule.
 
+    Rules are looked up by a piece of their required factor, of its pieces the one that is rarest in the
+    texts: a text meets a rule where it has that piece, and only then the expression runs.
+    The rule table is one side of a join on the piece, of any size.  Rules without a
+    sure factor are tried on every text (:func:`scan_rule_table`).  Equal to trying all.
+    """
+    columns = ["ord", "alert", "pattern", "severity", "boost"]
+    factored = rules.select(*columns, required_factor(F.col("pattern")).alias("_factor"))
+    scanned = scan_rule_table(df, keys, text, factored.where("_factor is null").select(*columns))
+    pieces = df.select(*keys, F.col(text).alias("_text"), F.explode(grams(F.col(text))).alias("_gram"))
+    offered = factored.where("_factor is not null").select("*", F.explode(grams(F.col("_factor"))).alias("_gram"))
+    frequency = pieces.join(offered.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_times"))
+    # A rule with a piece that no text has loses it here; the others it has decide nothing, so it goes.
+    rule = [F.col(c) for c in [*columns, "_factor"]]
+    seen = offered.join(frequency, "_gram", "left").groupBy(*rule).agg(
+        F.min_by("_gram", F.struct(F.coalesce("_times", F.lit(0)), F.col("_gram"))).alias("_gram"), F.min(F.coalesce("_times", F.lit(0))).alias("_times")
+    )
+    near = pieces.join(seen.where("_times > 0"), "_gram").where(F.col("_text").contains(F.col("_factor")))
+    count = F.coalesce(F.size(F.regexp_extract_all(F.col("_text"), F.col("pattern"), F.lit(0))), F.lit(0))
+    found = near.select(*keys, "ord", "alert", "severity", "boost", count.alias("n")).where("n > 0")
+    return scanned.unionByName(found)
+
+
+def scan_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame) -> DataFrame:
+    """Every text against every rule of a table: one row per entity and matched rule.
+
     The table becomes arrays of about ``MAX_RULES`` rules, as values of the plan, which every
     task goes through per text: the texts are read once however many rules there are, and
-    nothing is shuffled.
+    nothing is shuffled.  For few rules.
     """
     columns = ["ord", "alert", "pattern", "severity", "boost"]
     rules = rules.select(*columns)
