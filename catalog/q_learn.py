@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as inp
 from catalog.inputs import WORD_RULES
 from catalog.sqlkit import COUNTS_SQL, pyround, sql, text_literal
-from catalog.tree_sql import comparison_sql, margins_sql, test_scores_sql
+from catalog.tree_sql import comparison_sql, first_scores_sql, margins_sql, test_scores_sql, text_scores_sql
 from hazardloom.functions.text import COUNT_FEATURES, count_features, hashed_ngram_bits, split_parts
 from hazardloom.operators import explain, features, metrics
 from hazardloom.operators.clean import KEY, TEXT
@@ -208,13 +209,21 @@ def stored(spark: SparkSession, sf: str, name: str, make) -> str:
     return _STORED[key]
 
 
-def training_run(spark: SparkSession, sf: str) -> training.StoredRun:
-    """The comparison of all candidates on the vectors, stored and read back."""
+def run_folder(spark: SparkSession, sf: str, rounds: int | None = None) -> str:
+    """The folder of the comparison of all candidates on the vectors, with their own or fewer rounds."""
 
     def make(folder: str) -> None:
-        training.train_and_evaluate(inp.vectors(spark, sf), "vec_id", "cls", "embedding", None, K, folder)
+        specs = training.candidates()
+        if rounds is not None:
+            specs = {n: replace(s, rounds=rounds) for n, s in specs.items()}
+        training.train_and_evaluate(inp.vectors(spark, sf), "vec_id", "cls", "embedding", specs, K, folder)
 
-    return training.load_run(spark, stored(spark, sf, "run", make))
+    return stored(spark, sf, f"run {rounds}", make)
+
+
+def training_run(spark: SparkSession, sf: str, rounds: int | None = None) -> training.StoredRun:
+    """The comparison of all candidates, stored and read back."""
+    return training.load_run(spark, run_folder(spark, sf, rounds))
 
 
 def labelled_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -337,30 +346,55 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """What the stored metadata says, against the stored hold-out and predictions."""
+    """What the stored metadata says, against the stored hold-out and predictions.
+
+    Beside it the metadata of a run of one round, whose every number SQL computes.
+    """
     run = training_run(spark, sf)
     rows = files.metrics_rows(run.metadata, "results", ["best_model", "best_f1", "n_features", "n_train", "n_test"])
     again = recomputed(run.predictions).select(F.col("model").alias("Model"), F.col("accuracy").alias("a"), F.col("f1").alias("f"))
     best = again.agg(F.max("f")).scalar()
     holdout = run.holdout.agg(F.count(F.lit(1))).scalar()
-    return rows.join(again, "Model").select(
+    first = training_run(spark, sf, 1).metadata.select("best_model", "best_f1", F.explode("results").alias("Model", "m"))
+    lines = F.transform("m.confusion_matrix", lambda line: F.array_join(line, ","))
+    first = first.select(
+        "Model", F.col("best_model").alias("first_best"), F.round("best_f1", 9).alias("first_best_f1"),
+        *[F.col(f"m.{c}").alias(f"first_{c}") for c in ("accuracy", "precision", "recall", "f1_score")],
+        F.array_join(lines, ";").alias("first_matrix"),
+    )
+    return rows.join(again, "Model").join(first, "Model").select(
         "Model", "n_features", "n_train", "n_test", (holdout == F.col("n_test")).alias("holdout_ok"),
         (F.abs(F.col("Accuracy") - F.col("a")) <= 0.00006).alias("accuracy_ok"),
-        (F.abs(F.col("best_f1") - best) <= 1e-9).alias("best_ok"),
+        (F.abs(F.col("best_f1") - best) <= 1e-9).alias("best_ok"), *[c for c in first.columns if c != "Model"],
     )
 
 
+def areas(predictions: DataFrame) -> DataFrame:
+    found = evaluation_tables(predictions, K)["areas"]
+    return found.select("model", F.col("class").cast("int").alias("cls"), "auc", F.col("average_precision").alias("ap"))
+
+
 def evaluated_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation tables of a run read back from its folder: points per model and class."""
-    tables = evaluation_tables(training_run(spark, sf).predictions.select("model", "y", "yhat", "scores"), K)
-    return tables["areas"].select(
-        "model", F.col("class").cast("int").alias("cls"), F.col("auc").between(0, 1).alias("auc_ok"),
-        F.col("average_precision").between(0, 1).alias("ap_ok"),
+    """Every stored model evaluated from its files: whole, as when it was fitted, and cut to its first round."""
+    folder = run_folder(spark, sf)
+    early = training.predict_stored(spark, folder, 1)
+    # Rounded, because tied scores decide areas.
+    early = areas(early.withColumn("scores", F.transform("scores", lambda x: F.round(x, 12))))
+    whole = areas(training.predict_stored(spark, folder)).withColumnsRenamed({"auc": "whole_auc", "ap": "whole_ap"})
+    before = areas(training.load_run(spark, folder).predictions.select("model", "y", "yhat", "scores"))
+    before = before.withColumnsRenamed({"auc": "auc_before", "ap": "ap_before"})
+    same = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9
+    return early.join(whole, ["model", "cls"]).join(before, ["model", "cls"]).select(
+        "model", "cls", F.round("auc", 9).alias("first_auc"), F.round("ap", 9).alias("first_ap"),
+        same("whole_auc", "auc_before").alias("auc_ok"), same("whole_ap", "ap_before").alias("ap_ok"),
     )
 
 
 def score_with_model(spark: SparkSession, sf: str) -> DataFrame:
-    """A forest trained on the text features of the parts scores all parts, alike after a reload."""
+    """A forest trained on the text features of the parts scores all parts, alike after a reload.
+
+    Beside it, what the first two trees say.
+    """
     run = text_run(spark, sf)
     again = training.load_run(spark, stored(spark, sf, "text run", None))
     rows = labelled_parts(spark, sf).select("entity", "text")
@@ -369,8 +403,12 @@ def score_with_model(spark: SparkSession, sf: str) -> DataFrame:
         training.score_with_model(rows, "text", WORD_RULES, r.model).select("entity", F.struct(*fields).alias(n))
         for r, n in ((run, "a"), (again, "b"))
     )
-    return one.join(two, "entity").select(
-        "entity", (F.col("a") == F.col("b")).alias("same"), F.col("a.probability").between(0, 1).alias("in_range")
+    early = training.score_with_model(rows, "text", WORD_RULES, run.model.upto(2), health=False)
+    shares = [F.round(F.col("scores")[c], 9).alias(f"first_{c}") for c in range(K)]
+    early = early.select("entity", *shares, F.col("predicted_class").alias("first_class"))
+    return one.join(two, "entity").join(early, "entity").select(
+        "entity", (F.col("a") == F.col("b")).alias("same"), F.col("a.probability").between(0, 1).alias("in_range"),
+        *early.columns[1:],
     )
 
 
@@ -528,36 +566,58 @@ _attr_text = (
     f"LEFT JOIN (SELECT vec_id, string_agg('**' || feature || '**', ', ' ORDER BY rank) AS t FROM ({_attr_rows}) WHERE side = 'protective' AND rank <= 3 GROUP BY vec_id) p USING (vec_id)"
 )
 
-# The test part of the stratified split; the properties checked hold for each of its rows.
-_test_rows = sql(
-    "SELECT {} FROM (SELECT vec_id, cls, row_number() OVER (PARTITION BY cls ORDER BY md5('42:' || vec_id)) "
-    "<= floor(count(*) OVER (PARTITION BY cls) * 0.2e0 + 0.5e0) AS is_test FROM vecs) WHERE is_test"
-)
-
 _specs = training.candidates()
 
 
 def _weighted_metrics_sql(scores: str) -> str:
-    """Metric columns of predicted rows (vec_id, cls, score) joined to ``part`` (vec_id, cls = truth)."""
+    """Metric columns of predicted rows (vec_id, cls, score) joined to ``dealt`` (vec_id, cls = truth)."""
     return (
         f"SELECT model, max(n) AS n_test, round(sum(hit * 1e0) / max(n), 9) AS first_accuracy, "
         f"round(sum(support * coalesce(hit / nullif(predicted, 0)::DOUBLE, 0)) / max(n), 9) AS first_precision, "
         f"round(sum(hit * 1e0) / max(n), 9) AS first_recall, "
         f"round(sum(support * CASE WHEN hit > 0 THEN 2e0 * hit / (support + predicted) ELSE 0 END) / max(n), 9) AS first_f1_score, "
         f"round(sum(support * auc) / sum(support) FILTER (WHERE auc IS NOT NULL), 9) AS first_roc_auc FROM ("
-        f"SELECT o.model, o.c, (SELECT count(*) FROM part WHERE is_test) AS n, o.support, o.predicted, o.hit, a.auc FROM ("
+        f"SELECT o.model, o.c, (SELECT count(*) FROM dealt WHERE is_test) AS n, o.support, o.predicted, o.hit, a.auc FROM ("
         f"SELECT s.model, r.c, sum((p.cls = r.c)::INT) AS support, sum((s.yhat = r.c)::INT) AS predicted, sum((p.cls = r.c AND s.yhat = r.c)::INT) AS hit "
         f"FROM (SELECT model, vec_id, arg_max(cls, (score, -cls)) AS yhat FROM ({scores}) GROUP BY model, vec_id) s "
-        f"JOIN part p USING (vec_id), range({K}) r(c) WHERE p.is_test GROUP BY s.model, r.c) o "
+        f"JOIN dealt p USING (vec_id), range({K}) r(c) WHERE p.is_test GROUP BY s.model, r.c) o "
         f"LEFT JOIN (SELECT model, cls, sum(CASE WHEN y THEN 0e0 + below + ties / 2e0 END) / (sum(y::INT) * sum((NOT y)::INT)) AS auc FROM ("
         f"SELECT model, cls, y, sum((NOT y)::INT) OVER (PARTITION BY model, cls ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
         f"- sum((NOT y)::INT) OVER (PARTITION BY model, cls, score) AS below, sum((NOT y)::INT) OVER (PARTITION BY model, cls, score) AS ties "
-        f"FROM (SELECT model, s.cls, score, p.cls = s.cls AS y FROM ({scores}) s JOIN part p USING (vec_id) WHERE p.is_test)) "
+        f"FROM (SELECT model, s.cls, score, p.cls = s.cls AS y FROM ({scores}) s JOIN dealt p USING (vec_id) WHERE p.is_test)) "
         f"GROUP BY model, cls HAVING sum(y::INT) > 0) a ON a.model = o.model AND a.cls = o.c) GROUP BY model"
     )
 
 
-_candidates = "(VALUES ('BoostedTrees'), ('RandomForest'), ('BalancedBoostedTrees')) c(model)"
+_matrix = (
+    "SELECT model, string_agg(line, ';' ORDER BY y) AS first_matrix FROM (SELECT model, y, string_agg(n::VARCHAR, ',' ORDER BY c) AS line FROM ("
+    "SELECT m.model, a.y, b.c, count(s.vec_id) AS n FROM (SELECT DISTINCT model FROM every_score) m, "
+    f"range({K}) a(y), range({K}) b(c) LEFT JOIN (SELECT model, vec_id, p.cls AS y, arg_max(s.cls, (score, -s.cls)) AS c "
+    "FROM every_score s JOIN dealt p USING (vec_id) WHERE is_test GROUP BY ALL) s ON s.model = m.model AND s.y = a.y AND s.c = b.c "
+    "GROUP BY ALL) GROUP BY ALL) GROUP BY model"
+)
+_train_evaluate = (
+    f"SELECT w.model AS \"Model\", 64 AS n_features, (SELECT count(*) FROM dealt WHERE NOT is_test) AS n_train, n_test, true AS holdout_ok, true AS accuracy_ok, "
+    f"true AS best_ok, arg_max(w.model, (first_f1_score, -o)) OVER () AS first_best, max(first_f1_score) OVER () AS first_best_f1, "
+    + ", ".join(f"{pyround(f'first_{c}', 4)} AS first_{c}" for c in ("accuracy", "precision", "recall", "f1_score"))
+    + f", first_matrix FROM ({_weighted_metrics_sql('SELECT * FROM every_score')}) w JOIN ({_matrix}) x ON x.model = w.model "
+    f"JOIN (VALUES {', '.join(f'({text_literal(n)}, {i})' for i, n in enumerate(_specs))}) c(model, o) ON c.model = w.model"
+)
+_first_areas = (
+    f"SELECT model, class AS cls, round({_auc}, 9) AS first_auc, round({_ap}, 9) AS first_ap, true AS auc_ok, true AS ap_ok FROM ("
+    "SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model, class) AS P, sum(neg) OVER (PARTITION BY model, class) AS N "
+    "FROM (SELECT model, s.cls AS class, score, sum((p.cls = s.cls)::INT) AS pos, sum((p.cls <> s.cls)::INT) AS neg FROM every_score s "
+    "JOIN dealt p USING (vec_id) WHERE is_test GROUP BY ALL) WINDOW w AS (PARTITION BY model, class ORDER BY score DESC)) GROUP BY model, class"
+)
+
+_text_head = sql("SELECT 1 FROM feat JOIN matches USING (entity)")
+_text_scores = text_scores_sql(
+    _text_head[len("WITH "):_text_head.rindex("\nSELECT 1")] + ", f0 AS (SELECT * FROM feat)",
+    "SELECT entity AS vec_id, (p_size % 5)::INT AS cls FROM parts", _set_cells, _n + 1024 + len(WORD_RULES.alerts), training.forest(), 2,
+    "SELECT vec_id AS entity, true AS same, true AS in_range, "
+    + ", ".join(f"round(max(score) FILTER (cls = {c}), 9) AS first_{c}" for c in range(K))
+    + ", arg_max(cls, (score, -cls)) AS first_class FROM t_scores GROUP BY vec_id",
+)
 
 QUERIES: dict = {
     "scan_json_metrics": (
@@ -660,16 +720,9 @@ QUERIES: dict = {
     "tree_attribution": (tree_attribution, margins_sql(_specs["BoostedTrees"])),
     "model_store": (model_store, test_scores_sql(_specs["RandomForest"], 2, ", true AS same, true AS missing_is_none")),
     "model_comparison": (model_comparison, comparison_sql(_specs, _weighted_metrics_sql)),
-    "train_evaluate": (
-        train_evaluate,
-        "SELECT model AS \"Model\", 64 AS n_features, (SELECT count(*) FROM embeddings) - n_test AS n_train, n_test, true AS holdout_ok, true AS accuracy_ok, "
-        f"true AS best_ok FROM {_candidates}, (SELECT count(*) AS n_test FROM ({_test_rows.format('vec_id')}))",
-    ),
-    "evaluate_stored_run": (
-        evaluated_run,
-        f"SELECT model, cls, true AS auc_ok, true AS ap_ok FROM {_candidates}, (SELECT DISTINCT cls FROM ({_test_rows.format('cls')}))",
-    ),
-    "score_with_model": (score_with_model, sql("SELECT entity, true AS same, true AS in_range FROM parts")),
+    "train_evaluate": (train_evaluate, first_scores_sql(_specs, _train_evaluate)),
+    "evaluate_stored_run": (evaluated_run, first_scores_sql(_specs, _first_areas)),
+    "score_with_model": (score_with_model, _text_scores),
     "score_mixtures_model": (
         score_mixtures_model,
         sql("SELECT o_orderkey, len(mix_parts)::INT AS n_given, len(mix_parts[1:10])::INT AS n_used, true AS complete, true AS same "

@@ -7,22 +7,26 @@ the fit grew the same trees.  The cap on leaves isn't reached at the compared sc
 
 from __future__ import annotations
 
+import math
+
 from hazardloom.operators.trees import BINS, CELLS, DRAWS, FIXED, LEAST_GAIN, PRIME, TreeSpec
 
 K = 5
+VECTORS = "SELECT vec_id, embedding, (label % 5)::INT AS cls FROM embeddings"
+VECTOR_CELLS = "SELECT vec_id, is_test, (i - 1)::INT AS f, embedding[i]::DOUBLE AS v FROM dealt, range(1, 65) r(i)"
 ROWS = (
-    "vecs AS (SELECT vec_id, embedding, (label % 5)::INT AS cls FROM embeddings), "
-    "part AS (SELECT vec_id, embedding, cls, row_number() OVER (PARTITION BY cls ORDER BY md5('42:' || vec_id)) "
+    "vecs AS ({vectors}), "
+    "dealt AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('42:' || vec_id)) "
     "<= floor(count(*) OVER (PARTITION BY cls) * 0.2e0 + 0.5e0) AS is_test FROM vecs), "
-    "raw AS (SELECT vec_id, is_test, (i - 1)::INT AS f, embedding[i]::DOUBLE AS v FROM part, range(1, 65) r(i)), "
+    "raw AS ({cells}), "
     "lims AS (SELECT f, min(v) AS lo, max(v) AS hi FROM raw WHERE NOT is_test GROUP BY f), "
     f"placed AS (SELECT vec_id, f, is_test, greatest(0, least({CELLS - 1}, CASE WHEN hi > lo THEN floor((v - lo) * {CELLS}e0 / (hi - lo)) ELSE 0 END))::INT AS cell "
     "FROM raw JOIN lims USING (f)), "
-    f"binned AS MATERIALIZED (SELECT p.vec_id, p.f, (before * {BINS} // (SELECT count(*) FROM part WHERE NOT is_test))::INT AS bin FROM placed p "
+    f"binned AS MATERIALIZED (SELECT p.vec_id, p.f, (before * {BINS} // (SELECT count(*) FROM dealt WHERE NOT is_test))::INT AS bin FROM placed p "
     "JOIN (SELECT f, cell, sum(sum((NOT is_test)::INT)) OVER (PARTITION BY f ORDER BY cell) - sum((NOT is_test)::INT) AS before FROM placed GROUP BY f, cell) c "
     "ON c.f = p.f AND c.cell = p.cell), "
-    "sizes AS (SELECT cls, count(*) AS nc FROM part WHERE NOT is_test GROUP BY cls), "
-    "trained AS MATERIALIZED (SELECT p.*, {weight} AS balanced FROM part p LEFT JOIN sizes s ON s.cls = p.cls)"
+    "sizes AS (SELECT cls, count(*) AS nc FROM dealt WHERE NOT is_test GROUP BY cls), "
+    "trained AS MATERIALIZED (SELECT p.*, {weight} AS balanced FROM dealt p LEFT JOIN sizes s ON s.cls = p.cls)"
 )
 BALANCED = "(SELECT sum(nc) FROM sizes)::DOUBLE / ((SELECT count(*) FROM sizes)::DOUBLE * nc)"
 
@@ -45,7 +49,7 @@ def _grown(name: str, spec: TreeSpec, measures: str, trees: int, measured: str,
         least = round(spec.min_hessian * FIXED)
         allowed += f" AND lm1 >= {least} AND rm1 >= {least}"
     return (
-        f"{name} AS (SELECT 0 AS l, t, vec_id, 1::BIGINT AS node FROM part, range({trees}) r(t) UNION ALL SELECT * FROM ("
+        f"{name} AS (SELECT 0 AS l, t, vec_id, 1::BIGINT AS node FROM dealt, range({trees}) r(t) UNION ALL SELECT * FROM ("
         f"WITH here AS (SELECT DISTINCT t, node FROM {name}), pick AS ({picked}), "
         f"h AS (SELECT w.t, w.node, b.f, b.bin, {sums} FROM {name} w JOIN {measured} g ON g.t = w.t AND g.vec_id = w.vec_id "
         f"JOIN pick k ON k.t = w.t AND k.node = w.node JOIN binned b ON b.vec_id = w.vec_id AND b.f = k.f GROUP BY w.t, w.node, b.f, b.bin), "
@@ -60,7 +64,7 @@ def _grown(name: str, spec: TreeSpec, measures: str, trees: int, measured: str,
 
 def boosted_scores(spec: TreeSpec, rounds: int, name: str = "b") -> str:
     """CTEs up to ``{name}_scores`` (vec_id, cls, score): probabilities of all rows after the first rounds."""
-    ctes = [f"{name}_z0 AS (SELECT t, vec_id, 0e0 AS z FROM part, range({K}) r(t))"]
+    ctes = [f"{name}_z0 AS (SELECT t, vec_id, 0e0 AS z FROM dealt, range({K}) r(t))"]
     f, w = f"{FIXED}e0", "balanced" if spec.balanced else "one"
 
     def worth(m):
@@ -83,8 +87,8 @@ def boosted_scores(spec: TreeSpec, rounds: int, name: str = "b") -> str:
     return ", ".join(ctes)
 
 
-def forest_scores(spec: TreeSpec, trees: int, name: str = "f") -> str:
-    """CTEs up to ``{name}_scores``: mean class shares of the first trees' leaves."""
+def forest_scores(spec: TreeSpec, trees: int, name: str = "f", d: int = 64) -> str:
+    """CTEs up to ``{name}_scores``: mean class shares of the first trees' leaves, over ``d`` features."""
     seed, w = spec.seed, "balanced" if spec.balanced else "one"
     times = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in DRAWS.tolist())
     measures = ", ".join(f"(CASE WHEN cls = {c} THEN round({w} * {FIXED}e0)::BIGINT * k ELSE 0 END)::BIGINT AS m{c}" for c in range(K))
@@ -94,12 +98,12 @@ def forest_scores(spec: TreeSpec, trees: int, name: str = "f") -> str:
         return f"({squares}) / ({' + '.join(f'{c}::DOUBLE' for c in m[:-1])})"
 
     draw = f"(({_hex(key := f'''('{seed}:tree:' || t)''', 1)} % {PRIME - 1} + 1) * ({_hex(f'''('{seed}:row:' || vec_id)''', 1)} % {PRIME}) + {_hex(key, 9)} % {PRIME}) % {PRIME}"
-    # Features of a node: the eight with the smallest numbers.
+    # Features of a node: the square root of them, with the smallest numbers.
     node = f"('{seed}:tree:' || t || ':node:' || node)"
     numbers = f"SELECT t, node, {_hex(node, 1)} % {PRIME - 1} + 1 AS a, {_hex(node, 9)} % {PRIME} AS b FROM here"
     picked = (
         f"SELECT t, node, f FROM (SELECT t, node, f, row_number() OVER (PARTITION BY t, node ORDER BY (a * (f + 1) + b) % {PRIME}, f) AS place "
-        f"FROM ({numbers}), range(64) q(f)) WHERE place <= 8"
+        f"FROM ({numbers}), range({d}) q(f)) WHERE place <= {math.isqrt(d)}"
     )
     ctes = [
         f"{name}_g AS MATERIALIZED (SELECT t, vec_id, {measures}, 1::BIGINT AS m{K} FROM (SELECT t, vec_id, cls, {w}, {times} AS k FROM "
@@ -112,28 +116,50 @@ def forest_scores(spec: TreeSpec, trees: int, name: str = "f") -> str:
     return ", ".join(ctes)
 
 
+def _rows(vectors: str, cells: str) -> str:
+    return ROWS.replace("{weight}", f"1e0 AS one, {BALANCED}").replace("{vectors}", vectors).replace("{cells}", cells)
+
+
+def text_scores_sql(head: str, labelled: str, set_cells: str, d: int, spec: TreeSpec, trees: int, body: str) -> str:
+    """``body`` over ``t_scores`` (vec_id, cls, score): a forest's first trees on sparse features.
+
+    ``head`` has the expressions that the others use, ``labelled`` gives vec_id and cls, ``set_cells`` entity, feature
+    and value.
+    """
+    cells = (
+        f"SELECT x.vec_id, is_test, x.f::INT AS f, coalesce(s.value, 0e0) AS v FROM (SELECT vec_id, is_test, f FROM dealt, range({d}) q(f)) x "
+        f"LEFT JOIN ({set_cells}) s ON s.entity = x.vec_id AND s.feature = x.f"
+    )
+    return f"WITH RECURSIVE {head}, {_rows(labelled, cells)}, {forest_scores(spec, trees, 't', d)} {body}"
+
+
 def _head(specs: dict[str, tuple[TreeSpec, int]]) -> str:
     """``WITH RECURSIVE`` with the scores of each named model after its first rounds."""
-    rows = ROWS.replace("{weight}", f"1e0 AS one, {BALANCED}")
+    rows = _rows(VECTORS, VECTOR_CELLS)
     parts = [(boosted_scores if s.kind == "boosted" else forest_scores)(s, n, name) for name, (s, n) in specs.items()]
     return f"WITH RECURSIVE {rows}, " + ", ".join(parts)
 
 
 def test_scores_sql(spec: TreeSpec, rounds: int, extra: str = "") -> str:
     """Scores of the test part after the first rounds, a row per class."""
-    body = f"SELECT vec_id, m_scores.cls, round(score, 9) AS score{extra} FROM m_scores JOIN part p USING (vec_id) WHERE is_test"
+    body = f"SELECT vec_id, m_scores.cls, round(score, 9) AS score{extra} FROM m_scores JOIN dealt p USING (vec_id) WHERE is_test"
     return f"{_head({'m': (spec, rounds)})} {body}"
 
 
-def comparison_sql(specs: dict[str, TreeSpec], metrics) -> str:
-    """Metrics of every candidate's first round on the test part."""
+def first_scores_sql(specs: dict[str, TreeSpec], body: str) -> str:
+    """``body`` over ``every_score`` (model, vec_id, cls, score), what each candidate's first round says of all rows."""
     named = {f"m{i}": (s, 1) for i, s in enumerate(specs.values())}
     scores = " UNION ALL ".join(f"SELECT '{name}' AS model, vec_id, cls, round(score, 12) AS score FROM m{i}_scores" for i, name in enumerate(specs))
+    return f"{_head(named)}, every_score AS MATERIALIZED ({scores}) {body}"
+
+
+def comparison_sql(specs: dict[str, TreeSpec], metrics) -> str:
+    """Metrics of every candidate's first round on the test part."""
     oks = ", ".join(f"true AS {c}_ok" for c in ("accuracy", "recall", "f1", "auc"))
-    return f"{_head(named)}, every_score AS MATERIALIZED ({scores}) SELECT *, {oks} FROM ({metrics('SELECT * FROM every_score')})"
+    return first_scores_sql(specs, f"SELECT *, {oks} FROM ({metrics('SELECT * FROM every_score')})")
 
 
 def margins_sql(spec: TreeSpec) -> str:
     """Margin of the true class of every test row after the first round."""
-    body = "SELECT vec_id, cls, 64 AS features, round(z, 9) AS margin FROM m_z1 JOIN part p USING (vec_id) WHERE is_test AND t = cls"
+    body = "SELECT vec_id, cls, 64 AS features, round(z, 9) AS margin FROM m_z1 JOIN dealt p USING (vec_id) WHERE is_test AND t = cls"
     return f"{_head({'m': (spec, 1)})} {body}"

@@ -292,6 +292,30 @@ def load_run(spark: SparkSession, folder: str) -> StoredRun | None:
     )
 
 
+def load_models(spark: SparkSession, folder: str) -> dict[str, TreeModel]:
+    """Every stored model of a run by name; none where there is no run."""
+    names = scan_json_metrics(spark, f"{folder}/training_meta").select(F.explode(F.map_keys("results")).alias("name"))
+    return {r["name"]: load_model(spark, f"{folder}/{r['name']}_model") for r in names.collect()}  # one per model
+
+
+def predict_stored(spark: SparkSession, folder: str, rounds: int | None = None) -> DataFrame:
+    """``model, y, yhat, scores`` of the stored hold-out by every stored model, for evaluation in a later session.
+
+    With ``rounds`` the models are cut to their first rounds.
+    """
+    models = load_models(spark, folder)
+    if not models:
+        raise ValueError(f"no stored run in {folder}")
+    holdout = spark.read.parquet(f"{folder}/holdout")
+    scored = [
+        predict_proba(model if rounds is None else model.upto(rounds), holdout, ["label"]).select(
+            F.lit(name).alias("model"), F.col("label").cast("int").alias("y"), "yhat", "scores"
+        )
+        for name, model in sorted(models.items())
+    ]
+    return reduce(DataFrame.unionByName, scored)
+
+
 def _store(run: TrainingRun, folder: str, k: int, names: list[str]) -> None:
     run.paths["scaler"] = f"{folder}/scaler"
     run.scaler.write.mode("overwrite").parquet(run.paths["scaler"])

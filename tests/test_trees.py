@@ -223,3 +223,22 @@ def test_sparse_vectors_train_and_score_like_dense_ones(spark, table):
         one, two = fitted(spark, table, spec), fitted(spark, sparse, spec)
         assert node_set(one) == node_set(two)
         assert sorted(one.predict(table, "f", ["k"]).collect()) == sorted(two.predict(sparse, "f", ["k"]).collect())
+
+
+def test_every_stored_model_is_evaluated_from_its_files(spark, table):
+    """Models loaded by name predict the stored hold-out as when they were fitted; a cut one as its first round did."""
+    folder, specs = scratch_path(spark, "stored"), {"Levels": LEVELS, "Leaves": LEAVES, "Forest": TREES}
+    run = training.train_and_evaluate(table, "k", "y", "f", specs, 3, folder, root=scratch_path(spark, "runs"))
+    assert set(training.load_models(spark, folder)) == set(specs)
+    fields = ["model", "y", "yhat", "scores"]
+    again = training.predict_stored(spark, folder)
+    assert sorted(again.select(fields).collect()) == sorted(run.predictions.select(fields).collect())
+    first = training.predict_stored(spark, folder, 1).select(fields).collect()
+    holdout = spark.read.parquet(f"{folder}/holdout")
+    for name, model in run.models.items():
+        expected = model.predict(holdout, "scaled", ["label"], 1).collect()
+        assert sorted(r.scores for r in first if r.model == name) == sorted(r.scores for r in expected)
+    assert training.load_run(spark, scratch_path(spark, "none")) is None
+    assert training.load_models(spark, scratch_path(spark, "none")) == {}
+    with pytest.raises(ValueError):
+        training.predict_stored(spark, scratch_path(spark, "none"))
