@@ -5,9 +5,10 @@ blocks, so a linked pair has three whole blocks in common: each distinct fingerp
 to the 20 keys of three blocks, rows with one key meet, and the Hamming distance is checked.
 A group of a key gives the edges of a spanning forest of its links, never all pairs.
 
-Members of a group beyond ``GROUP_LIMIT`` go on to a second cut: the 32 or so free bits of
-the key in eight blocks, of which five must agree.  At most 13 bits stay free there, so such
-a group has 8,192 distinct fingerprints at most.  Both cuts lose no link.
+Groups are counted first.  Members of one beyond ``GROUP_LIMIT`` are never brought together by
+that key; they meet in a second cut, of its 32 or so free bits in eight blocks, of which five must
+agree.  At most 13 bits stay free there, so such a group has 8,192 distinct fingerprints at most.
+Both cuts lose no link.
 """
 
 from __future__ import annotations
@@ -102,18 +103,11 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _meet(keyed: DataFrame, limit: int | None) -> DataFrame:
-    """Forest edges of every (mask, key) group, read in key order one group at a time.
-
-    Members of a group beyond ``limit`` come out as they are, with ``root`` null.
-    """
+def _meet(keyed: DataFrame) -> DataFrame:
+    """Forest edges ``fp, root`` of every (mask, key) group, read in key order one group at a time."""
 
     def walk(batches):
-        held, group, over = [], None, False
-
-        def close():
-            return [(f, r, None) for f, r in forest(np.array(held, np.int64))] if not over and len(held) > 1 else []
-
+        held, group = [], None
         for batch in batches:
             masks, keys, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(fps):
@@ -124,26 +118,19 @@ def _meet(keyed: DataFrame, limit: int | None) -> DataFrame:
             for a, b in zip(starts, ends, strict=True):
                 name = (masks[a], keys[a])
                 if name != group:
-                    out += close()
-                    held, group, over = [], name, False
-                if over:
-                    out += [(int(f), None, int(name[0])) for f in fps[a:b]]
-                    continue
+                    out += forest(np.array(held, np.int64))
+                    held, group = [], name
                 held.extend(fps[a:b].tolist())
-                if limit is not None and len(held) > limit:
-                    out += [(f, None, int(name[0])) for f in held]
-                    held, over = [], True
             yield _edge_batch(out)
-        yield _edge_batch(close())
+        yield _edge_batch(forest(np.array(held, np.int64)))
 
-    dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-    return dealt.mapInArrow(walk, "fp long, root long, mask int")
+    dealt = keyed.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+    return dealt.mapInArrow(walk, "fp long, root long")
 
 
-def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
-    fps, roots, masks = zip(*rows, strict=True) if rows else ((), (), ())
-    columns = [pa.array(fps, pa.int64()), pa.array(roots, pa.int64()), pa.array(masks, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=["fp", "root", "mask"])
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    fps, roots = zip(*edges, strict=True) if edges else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(roots, pa.int64())], names=["fp", "root"])
 
 
 def _keyed(mask: int, masks: list[int]) -> Column:
@@ -158,17 +145,19 @@ def links(nodes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
 
     ``nodes`` has the distinct fingerprints in ``fp``.
     """
-    first = nodes.select("fp", F.inline(_keyed(0, FIRST))).select("mask", "key", "fp")
-    met = write_and_read(_meet(first, limit), "simhash-links")
-    edges = met.where("root is not null").select("fp", "root")
+    first = nodes.select("fp", F.inline(_keyed(0, FIRST)))
+    # Large groups are told by their counts, so their members go to the second cut from where they are.
+    over = first.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    large = write_and_read(over.select("mask", "key"), "simhash-large")
+    edges = _meet(first.join(large, ["mask", "key"], "left_anti"))
     # A literal table of 20 x 56 masks; the rest of the key is the mask's number.
     table = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks]) for masks in SECOND])
-    wide = met.where("root is null").select("fp", "mask", F.posexplode(F.get(table, F.col("mask"))).alias("k", "bits"))
+    wide = first.join(large, ["mask", "key"], "left_semi")
+    wide = wide.select("fp", "mask", F.posexplode(F.get(table, F.col("mask"))).alias("k", "bits"))
     second = wide.select(
         (F.col("mask") * 64 + F.col("k")).alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp"
     )
-    return edges.union(_meet(second, None).select("fp", "root")).distinct()
-
+    return edges.union(_meet(second)).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
