@@ -79,18 +79,20 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def stats(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` beside the statistics of every whole text, in one map stage."""
+    """``columns`` of ``docs``, which may hold the text, beside the statistics of every whole text, in one map stage."""
+    names = columns if text_col in columns else [*columns, text_col]
+    at, own = names.index(text_col), len(columns)
 
     def measure(batches):
         for batch in batches:
             for part in small_slices(batch, 512):
-                found = list(zip(*map(text_stats, part.column(part.num_columns - 1).to_pylist()), strict=True))
+                found = list(zip(*map(text_stats, part.column(at).to_pylist()), strict=True))
                 numbers = [pa.array(x, pa.int64()) for x in found] or [pa.array([], pa.int64())] * len(STATS)
-                arrays = [*part.columns[:-1], *numbers]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:-1], *STATS])
+                arrays = [*part.columns[:own], *numbers]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *STATS])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source = docs.select(*[F.col(f"`{c}`") for c in names])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:own])
     return source.mapInArrow(measure, f"{kept}, {', '.join(f'{s} long' for s in STATS)}")
 
 
