@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.functions.numbers import round_exact_once
 from hazardloom.rules import MAX_RULES, RuleBook
+from hazardloom.session import write_and_read
 
 # --- fixed values: probability floors, boost limits ---------------------------------
 CRITICAL_SEVERITY = 5
@@ -51,6 +52,8 @@ def matches_long(df: DataFrame, keys: list[str], matches: str = "matches") -> Da
 
 # Length of the text pieces that rules are looked up by.
 GRAM = 3
+# Up to this many rules of a table are sent to every task.
+FEW_RULES = 10_000
 
 
 def grams(text: Column) -> Column:
@@ -77,7 +80,9 @@ def match_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame
 
     Rules are looked up by a piece of their required factor, of its pieces the one that is rarest in the
     texts: a text meets a rule where it has that piece, and only then the expression runs.
-    The rule table is one side of a join on the piece, of any size.  Rules without a
+    The chosen pieces are written once, so that their number is known: up to ``FEW_RULES`` rules are broadcast, more
+    are joined by a shuffle.  The texts' pieces are never the broadcast side, though Spark may take them for
+    small, since it doesn't count what exploding adds.  Rules without a
     sure factor are tried on every text (:func:`scan_rule_table`).  Equal to trying all.
     """
     columns = ["ord", "alert", "pattern", "severity", "boost"]
@@ -91,7 +96,9 @@ def match_rule_table(df: DataFrame, keys: list[str], text: str, rules: DataFrame
     seen = offered.join(frequency, "_gram", "left").groupBy(*rule).agg(
         F.min_by("_gram", F.struct(F.coalesce("_times", F.lit(0)), F.col("_gram"))).alias("_gram"), F.min(F.coalesce("_times", F.lit(0))).alias("_times")
     )
-    near = pieces.join(seen.where("_times > 0"), "_gram").where(F.col("_text").contains(F.col("_factor")))
+    chosen = write_and_read(seen.where("_times > 0"), "rule-pieces")
+    chosen = F.broadcast(chosen) if chosen.count() <= FEW_RULES else chosen.hint("merge")
+    near = pieces.join(chosen, "_gram").where(F.col("_text").contains(F.col("_factor")))
     count = F.coalesce(F.size(F.regexp_extract_all(F.col("_text"), F.col("pattern"), F.lit(0))), F.lit(0))
     found = near.select(*keys, "ord", "alert", "severity", "boost", count.alias("n")).where("n > 0")
     return scanned.unionByName(found)

@@ -66,3 +66,16 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], KIND)
     assert match.match_rule_table(texts, ["k"], "t", none).collect() == []
     assert match.match_rule_table(texts.limit(0), ["k"], "t", spark.createDataFrame([(1, "r", "abc", 1, 0.1)], KIND)).collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_texts_are_never_broadcast(spark, tmp_path, monkeypatch, few):
+    """A compressed table looks small to Spark before its texts are cut to pieces."""
+    monkeypatch.setattr(match, "FEW_RULES", few, raising=False)
+    spark.range(4000).selectExpr("id", "concat('text with widget and gizmo ', id % 7) as text").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    rules = spark.createDataFrame([(1, "a", "widget", 1, 0.1), (2, "b", "gizmo [3-5]", 2, 0.2)], KIND)
+    found = match.match_rule_table(spark.read.parquet(f"{tmp_path}/texts"), ["id"], "text", rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
+    assert ("BuildRight" in plan.split("rule-pieces")[0]) == (few > 0)
+    assert rows_of(found.groupBy("ord").agg(F.count("*"), F.sum("n"))) == [(1, 4000, 4000), (2, 1713, 1713)]
