@@ -6,13 +6,14 @@ with common separators, cards in other groups or amid other digits, IP addresses
 separators.  Gradient-boosted trees judge each from its format and context; the raw score's cutoff per kind is calibrated on
 held-out rows for ``PRECISION``, and a kind without enough evidence adds nothing.
 
-The trees learn from a bounded sample of the documents' own base spans: rewritten in the
+The trees learn from all of the documents' own base spans: rewritten in the
 other formats they are positive, with their checks broken they are negative.  Finding and
 judging are one map stage: the fitted trees become an expression over each row's candidates.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import partial
 
@@ -25,9 +26,9 @@ from hazardloom.llm.textcols import found_spans
 from hazardloom.session import write_and_read
 
 KINDS = ["email", "ip", "card", "phone"]
-# Labelled rows for the trees: base spans per kind, each giving two rows.
-SAMPLE_SPANS = 2_000
 LEAST_SPANS = 20
+# Distinct rows of features that one task learns from.
+TASK_ROWS = 100_000
 PRECISION = 0.98
 CONTEXT = 24
 
@@ -280,8 +281,12 @@ def score(model, numbers: Column) -> Column:
     return total
 
 
-def fit(docs: DataFrame, text_col: str = "text"):
-    """Boosted trees and the score from which each kind is selected; None where evidence is short."""
+def learning_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, numbers, label, fold, weight`` from all distinct base spans of the texts.
+
+    Rows alike in all of it are one, weighted by their number: features are small whole numbers, so formats decide
+    how many there are, not the texts.
+    """
     text = F.col(f"`{text_col}`")
     spans = docs.where(text.rlike(f"{HINT['email']}|{HINT['phone']}|{HINT['ip']}|{HINT['card']}")).select(
         text.alias("text"), F.explode(base_spans(text)).alias("s")
@@ -294,26 +299,31 @@ def fit(docs: DataFrame, text_col: str = "text"):
         F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("after"),
     )
     spans = spans.withColumn("order", F.xxhash64("kind", "found", "before", "after")).distinct()
-    bounded = None
-    spans = write_and_read(spans, "pii-spans")
-    for at in range(len(KINDS)):
-        one = spans.where(F.col("kind") == at).orderBy("order", "found", "before", "after").limit(SAMPLE_SPANS)
-        bounded = one if bounded is None else bounded.union(one)
-    rows = training_rows(bounded.withColumn("h", F.pmod("order", F.lit(1000)).cast("int")))
-    rows = write_and_read(rows.withColumn("vector", array_to_vector("numbers")), "pii-rows")
+    rows = training_rows(spans.withColumn("h", F.pmod("order", F.lit(1000)).cast("int")))
+    return rows.groupBy("kind", "numbers", "label", "fold").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def fit(docs: DataFrame, text_col: str = "text"):
+    """Boosted trees and the score from which each kind is selected; None where evidence is short."""
+    rows = write_and_read(learning_rows(docs, text_col).withColumn("vector", array_to_vector("numbers")), "pii-rows")
+    held, taught = F.when(F.col("fold") == 0, F.col("weight")), F.when(F.col("fold") > 0, F.col("weight"))
     per_fold = rows.groupBy("kind").agg(
-        F.count_if(F.col("fold") == 0).alias("held"), F.count_if(F.col("fold") > 0).alias("taught")
+        F.coalesce(F.sum(held), F.lit(0.0)).alias("held"), F.coalesce(F.sum(taught), F.lit(0.0)).alias("taught"), F.count(F.lit(1)).alias("n")
     ).collect()
     usable = [r["kind"] for r in per_fold if min(r["held"], r["taught"]) >= LEAST_SPANS]
     if not usable:
         return None, {}
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=8, maxDepth=3, stepSize=0.3, seed=7)
-    model = trees.fit(rows.where("fold > 0").coalesce(1))
-    held = rows.where("fold = 0").select("kind", "label", F.round(score(model, F.col("numbers")), 3).alias("score"))
-    bins = held.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("rows"))
+    n = sum(r["n"] for r in per_fold)
+    # Spark looks for cuts in a sample of more than maxBins ** 2 rows.
+    bins = max(32, math.isqrt(n) + 1)
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=8, maxDepth=3, stepSize=0.3, seed=7, maxBins=bins)
+    dealt = rows.where("fold > 0").repartition(-(-n // TASK_ROWS), "numbers").sortWithinPartitions("kind", "numbers", "label", "fold")
+    model = trees.fit(dealt)
+    judged = rows.where("fold = 0").select("kind", "label", "weight", F.round(score(model, F.col("numbers")), 3).alias("score"))
+    bins = judged.groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("rows"))
     cutoffs: dict[int, float] = {}
     above: dict[int, list[float]] = {}
-    # At most 4 x 2,000 x 2 held-out rows.
+    # Scores have three digits, and eight trees of at most eight leaves few sums.
     for r in bins.orderBy("kind", F.desc("score")).collect():
         sums = above.setdefault(r["kind"], [0.0, 0.0])
         sums[0] += r["right"]

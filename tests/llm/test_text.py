@@ -539,3 +539,15 @@ def test_word_order_counts(spark):
     got = {r["doc_id"]: r for r in suffix_tree_lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[5]["base_score"] == pytest.approx(got[9]["base_score"])
     assert got[5]["score"] > got[9]["score"] + 1
+
+
+def test_pii_learns_from_every_span(spark):
+    """More spans of a kind than a bounded sample would hold all weigh in, once per distinct span."""
+    n = 2_600
+    docs = spark.range(n).selectExpr("concat('write to user', id, '@host', id % 50, '.example.org today') as text")
+    rows = pii.learning_rows(docs.union(docs.limit(500)), "text").groupBy("kind", "label").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    found = {(r["kind"], r["label"]): r for r in rows.collect()}
+    assert {k: r["w"] for k, r in found.items()} == {(0, 0.0): n, (0, 1.0): n}
+    assert all(r["n"] < n / 4 for r in found.values())  # equal features are one row
+    model, cutoffs = pii.fit(docs, "text")
+    assert model is not None and 0 in cutoffs
