@@ -242,3 +242,52 @@ def test_every_stored_model_is_evaluated_from_its_files(spark, table):
     assert training.load_models(spark, scratch_path(spark, "none")) == {}
     with pytest.raises(ValueError):
         training.predict_stored(spark, scratch_path(spark, "none"))
+
+
+@SPECS
+def test_a_large_model_is_applied_block_by_block(spark, table, spec, monkeypatch):
+    from hazardloom.plans import boosting
+
+    model = fitted(spark, table, spec)
+    wanted = ["k", "yhat", "scores"]
+    whole = sorted(map(str, model.predict(table, "f", ["k"]).select(wanted).collect()))
+    assert len(model.blocks()) == 1
+    seen = []
+    arrays = boosting.TreeModel.arrays
+
+    def watched(self):
+        found = arrays(self)
+        seen.append((len(found[0].feature), self.nodes.select("round").distinct().count()))
+        return found
+
+    monkeypatch.setattr(boosting, "NODE_BLOCK", 60)
+    monkeypatch.setattr(boosting.TreeModel, "arrays", watched)
+    parts = sorted(map(str, model.predict(table, "f", ["k"]).select(wanted).collect()))
+    assert parts == whole
+    assert len(seen) > 1 and all(n <= 60 or rounds == 1 for n, rounds in seen)
+
+
+@SPECS
+def test_columns_give_the_forest_of_rows(spark, table, spec):
+    model = fitted(spark, table, spec)
+    found, _, _ = model.arrays()
+    plain = Forest.from_rows([r.asDict() for r in model.nodes.collect()])
+    for name in ("roots", "of", "feature", "cell", "left", "right", "value", "n"):
+        assert np.array_equal(getattr(found, name), getattr(plain, name)), name
+
+
+def test_a_histogram_holds_a_slice_of_the_rows(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 256, (100_000, 64)).astype(np.uint8)
+    measures = rng.integers(-(2**20), 2**20, (100_000, 3))
+    tracemalloc.start()
+    found = T.histogram(bins, measures)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    plain = np.zeros((3, 256), np.int64)
+    for m in range(3):
+        np.add.at(plain[m], bins[:, 5], measures[:, m])
+    assert np.array_equal(found[:, 5], plain)
