@@ -174,8 +174,17 @@ def ngram_numbers(text: Column, sizes: tuple[int, ...]) -> Column:
 
 def hashed_ngram_bits(text: Column, sizes: tuple[int, ...] = (1, 2, 3), bits: int = NGRAM_BITS) -> Column:
     """Sorted distinct bit numbers set by the n-grams of a text; NULL text gives NULL."""
+    return F.sort_array(_distinct_bits(text, sizes, bits))
+
+
+def n_ngram_bits(text: Column, sizes: tuple[int, ...] = (1, 2, 3), bits: int = NGRAM_BITS) -> Column:
+    """How many bits :func:`hashed_ngram_bits` sets, without sorting them."""
+    return F.size(_distinct_bits(text, sizes, bits))
+
+
+def _distinct_bits(text: Column, sizes: tuple[int, ...], bits: int) -> Column:
     present = F.when(text == "", F.array().cast("array<bigint>")).otherwise(ngram_numbers(text, sizes))
     spread = F.transform(
         present, lambda v: F.pmod(F.pmod(F.pmod(v, F.lit(GRAM_PRIME)) * GRAM_FACTOR, F.lit(GRAM_PRIME)), F.lit(bits)).cast("int")
     )
-    return F.when(text.isNotNull(), F.array_sort(F.array_distinct(spread)))
+    return F.when(text.isNotNull(), F.array_distinct(spread))

@@ -118,7 +118,7 @@ def disease_risks(matches: Column, rules: RuleBook) -> Column:
         )
 
     return F.transform(
-        F.array_sort(_bind(disease_hits(matches, rules), fold)),
+        F.sort_array(_bind(disease_hits(matches, rules), fold)),
         lambda d: F.struct(
             F.get(disease_of_row, d["rows"][0]).alias("disease"),
             (-d["minus_p"]).alias("probability"),
@@ -150,7 +150,7 @@ def organ_risks(matches: Column, rules: RuleBook) -> Column:
 
     folded = _bind(organ_hits(matches, rules), fold)
     return F.transform(
-        F.array_sort(F.filter(folded, lambda o: o["minus_score"] < 0)),
+        F.sort_array(F.filter(folded, lambda o: o["minus_score"] < 0)),
         lambda o: F.struct(
             F.get(organs, o["o"]).alias("organ"),
             (-o["minus_score"]).alias("score"),

@@ -176,7 +176,7 @@ def discounted_boost(matches: Column) -> Column:
 
     NULL without matches.
     """
-    ranked = F.array_sort(F.transform(matches, lambda m: F.struct((-m["boost"]).alias("b"), m["ord"].alias("o"))))
+    ranked = F.sort_array(F.transform(matches, lambda m: F.struct((-m["boost"]).alias("b"), m["ord"].alias("o"))))
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("i"))
 
     def add(acc: Column, m: Column) -> Column:

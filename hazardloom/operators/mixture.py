@@ -60,7 +60,7 @@ def collect_components(df: DataFrame, mixture: str, usable: Column, fields: list
     inputs or fewer than two usable components give no row.
     """
     packed = F.when(usable, F.struct(F.col("pos").alias("pos"), *fields))
-    grouped = df.groupBy(mixture).agg(F.array_sort(F.collect_list(packed)).alias("components"))
+    grouped = df.groupBy(mixture).agg(F.sort_array(F.collect_list(packed)).alias("components"))
     return grouped.where(F.size("components") >= MIN_COMPONENTS)
 
 

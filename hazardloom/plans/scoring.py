@@ -18,8 +18,8 @@ from hazardloom.functions.scores import (
     weighted_class_score,
 )
 from hazardloom.functions.text import (
-    hashed_ngram_bits,
     is_usable_key,
+    n_ngram_bits,
     n_present_counts,
     normalize_key,
     split_lines,
@@ -48,7 +48,7 @@ from hazardloom.session import computed_once
 
 def available_features(key: Column, matches: Column) -> Column:
     """Number of non-zero features of a text without building the dense vector."""
-    return n_present_counts(key) + F.size(hashed_ngram_bits(key)) + F.size(matches)
+    return n_present_counts(key) + n_ngram_bits(key) + F.size(matches)
 
 
 def with_boosted(df: DataFrame, text: str, base: Column, rules: RuleBook) -> DataFrame:
