@@ -291,3 +291,19 @@ def test_a_histogram_holds_a_slice_of_the_rows(monkeypatch):
     for m in range(3):
         np.add.at(plain[m], bins[:, 5], measures[:, m])
     assert np.array_equal(found[:, 5], plain)
+
+
+def test_earlier_rounds_are_walked_by_slices_of_rows(monkeypatch):
+    """A block of rounds holds the places of a slice of the rows in the earlier trees, not of all rows."""
+    import hazardloom.plans.boosting as boosting
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    block = boosting.Block(rng.integers(0, 3, n).astype(float), np.ones(n), np.arange(n), rng.integers(0, 256, (n, 4)).astype(np.uint8))
+    cells = np.repeat(np.arange(256), 16)[None].repeat(4, 0).astype(np.uint8)
+    first = boosting.boosted_rounds(LEVELS, block, 3, cells, [], 0, 2)
+    seen, real = [], Forest.leaves
+    monkeypatch.setattr(Forest, "leaves", lambda self, x: seen.append(len(x)) or real(self, x))
+    later = boosting.boosted_rounds(LEVELS, block, 3, cells, first, 2, 1)
+    assert sum(seen) == n and max(seen) <= T.WALK_ROWS < n
+    assert first + later == boosting.boosted_rounds(LEVELS, block, 3, cells, [], 0, 3)
