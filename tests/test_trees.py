@@ -293,6 +293,26 @@ def test_a_histogram_holds_a_slice_of_the_rows(monkeypatch):
     assert np.array_equal(found[:, 5], plain)
 
 
+@pytest.mark.parametrize("rows", [120, 900])
+def test_a_forests_nodes_are_split_together_as_each_alone(rows):
+    """Two-valued and other features, nodes with more and with fewer rows than bins."""
+    rng = np.random.default_rng(rows)
+    bins = rng.integers(0, 2, (rows, 30)).astype(np.uint8) * 9
+    bins[:, ::3], bins[:, 4] = rng.integers(0, 60, (rows, 10)), 7
+    measures = np.column_stack([*(rng.integers(0, 3, (3, rows)) * 2**24 + 1), np.ones(rows, int)])
+    grown = T.LocalTree(TREES, np.ascontiguousarray(bins.T), measures, 3)
+    nodes = sorted(grown.tree.known)
+    found = grown._forest_splits(nodes)
+    assert len(nodes) > 3 and any(s.gain > 0 for s in found.values())
+    for node in nodes:
+        at, chosen = grown.rows(node), T.node_features(TREES.seed, 3, node, 30)
+        alone = T.best_split(TREES, T.histogram(bins[at[:, None], chosen], measures[at]), chosen)
+        assert (found[node].gain, found[node].total) == (alone.gain, alone.total)
+        if alone.gain:
+            assert found[node] == alone
+    assert T.LocalTree(TREES, bins[:0].T, measures[:0]).tree.leaves == {1}
+
+
 def test_earlier_rounds_are_walked_by_slices_of_rows(monkeypatch):
     """A block of rounds holds the places of a slice of the rows in the earlier trees, not of all rows."""
     import hazardloom.plans.boosting as boosting
@@ -307,3 +327,15 @@ def test_earlier_rounds_are_walked_by_slices_of_rows(monkeypatch):
     later = boosting.boosted_rounds(LEVELS, block, 3, cells, first, 2, 1)
     assert sum(seen) == n and max(seen) <= T.WALK_ROWS < n
     assert first + later == boosting.boosted_rounds(LEVELS, block, 3, cells, [], 0, 3)
+
+
+def test_binned_rows_are_read_without_a_copy():
+    import hazardloom.plans.boosting as boosting
+    import pyarrow as pa
+
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array([bytes([i, i + 1, 7]) for i in range(9)], kind)
+        assert boosting._bytes_matrix(column.slice(2, 3)).tolist() == [[2, 3, 7], [3, 4, 7], [4, 5, 7]]
+        assert boosting._bytes_matrix(column.slice(2, 0)).shape[0] == 0
+        matrix = boosting._bytes_matrix(column)
+        assert matrix.__array_interface__["data"][0] == column.buffers()[2].address
