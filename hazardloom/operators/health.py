@@ -14,7 +14,7 @@ from hazardloom.functions.labels import SEVERITY_RANK, score_level, severity_of_
 from hazardloom.functions.numbers import round_exact_once
 from hazardloom.operators.match import percent_text
 from hazardloom.rules import RuleBook, constant
-from hazardloom.session import computed_once
+from hazardloom.session import computed_if_read
 
 HIGHEST_DISEASE_PROBABILITY = 0.95
 HIGHEST_ORGAN_SCORE = 100.0
@@ -216,6 +216,6 @@ def with_health(df: DataFrame, rules: RuleBook, matches: str = "matches") -> Dat
     """Add ``diseases``, ``organ_risks`` and ``summary``: the full health report."""
     m = F.col(matches)
     reported = df.withColumns({"diseases": disease_risks(m, rules), "organ_risks": organ_risks(m, rules)})
-    return computed_once(reported, ["diseases", "organ_risks"]).withColumn(
+    return computed_if_read(reported, ["diseases", "organ_risks"]).withColumn(
         "summary", health_summary(F.col("diseases"), F.col("organ_risks"))
     )

@@ -15,7 +15,7 @@ from hazardloom.functions.labels import probability_label
 from hazardloom.functions.numbers import round_exact, round_exact_once
 from hazardloom.functions.scores import danger_level
 from hazardloom.operators.health import with_health
-from hazardloom.session import computed_once
+from hazardloom.session import computed_if_read
 from hazardloom.rules import (
     CONTRAST_INTERACTION,
     MANY_ALERTS_INTERACTION,
@@ -297,5 +297,5 @@ def score_components(df: DataFrame, rules: RuleBook, health: bool = True) -> Dat
         .withColumn("most_dangerous", most_dangerous(c))
         .withColumn("danger_level", danger_level(F.col("final_probability"), F.size("all_matches"), lowest=1))
     )
-    final = computed_once(final.drop("_confidences"), RESULT_COLUMNS)
+    final = computed_if_read(final.drop("_confidences"), RESULT_COLUMNS)
     return with_health(final, rules, "all_matches") if health else final

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazardloom.operators import health, match, mixture
 from hazardloom.plans import scoring
 from hazardloom.rules import RuleBook
+from hazardloom.session import computed_if_read
 
 RULES = RuleBook.default()
 MATCH_TYPE = "array<struct<ord: int, alert: string, severity: int, boost: double, n: int>>"
@@ -364,3 +365,26 @@ def test_rule_book_sizes_and_checks():
         RuleBook(names={str(i): "C" for i in range(2000)})
     with pytest.raises(ValueError):
         RuleBook(alerts=RULES.alerts[1:])
+
+
+def test_results_that_nothing_reads_are_not_computed(spark):
+    """An unread column is dropped with all it needs; a read one is computed once, also below a filter on it."""
+    source = spark.range(4).select("id", F.when(F.col("id") != 2, F.col("id")).alias("x"))
+    total = F.aggregate(F.array("x", "x"), F.lit(1).cast("long"), lambda a, x: a + x)
+    made = computed_if_read(source.withColumns({"a": total, "b": F.raise_error(F.concat(F.lit("read"), "x")).cast("string")}), ["a", "b"])
+    assert [tuple(r) for r in made.select("id", "a").orderBy("id").collect()] == [(0, 1), (1, 3), (2, None), (3, 7)]
+    kept = made.where("a > 2").select("id", (F.col("a") * F.col("a")).alias("square"))
+    assert sorted(map(tuple, kept.collect())) == [(1, 9), (3, 49)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_a_batch_summary_needs_no_health_report(spark):
+    upload = spark.createDataFrame([(1, "CCO", None), (2, None, "c1ccccc1, CCO")], "i long, smiles string, mixture string").localCheckpoint()
+    batch = scoring.batch_route(upload, RULES, ["i"])
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "AS diseases" in plan(batch) and "AS organ_risks" not in plan(batch)
+    assert "AS diseases" not in plan(scoring.batch_summary(batch)) and "AS explanation" not in plan(scoring.batch_summary(batch))
+    assert scoring.batch_summary(batch).first()["total"] == 2
