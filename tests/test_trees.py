@@ -2,6 +2,7 @@
 
 import dataclasses
 import math
+import pathlib
 
 import duckdb
 import numpy as np
@@ -183,6 +184,28 @@ def test_a_run_that_was_cut_off_goes_on(spark, table, monkeypatch):
     assert made == [0, 2, "stopped", 4, 6] and node_set(again) == node_set(whole)
 
 
+def test_a_block_goes_on_from_the_margins_before(spark, table, monkeypatch):
+    """Blocks leave the margins of all rows, also of repeated ones, so that later blocks walk no earlier trees."""
+    import hazardloom.plans.boosting as boosting
+
+    monkeypatch.setattr(boosting, "MARGIN_ROWS", 100)
+    rows, root = table.union(table.limit(90)), scratch_path(spark, "runs")
+    model = fit_trees(LEVELS, rows, "k", "y", "w", "f", 3, RunStore(spark, "trees", "t", root), block=2)
+    (store,) = [p.parent for p in pathlib.Path(root).rglob("rounds-0-2")]
+    parts = spark.read.parquet(f"{store}/rounds-0-2").where("margins is not null").orderBy("part").collect()
+    assert [r["part"] for r in parts] == list(range(8))
+    margins = np.frombuffer(b"".join(r["margins"] for r in parts)).reshape(-1, 3)
+    scores = np.array([r["scores"] for r in model.predict(rows, "f", ["k"], 2).collect()])
+    assert np.allclose(np.sort(T.softmax(margins), axis=0), np.sort(scores, axis=0))
+    # A run whose first blocks keep no margins goes on to the same trees.
+    other = scratch_path(spark, "runs")
+    there = str(store).replace(root, other)
+    for name in ("rounds-0-2", "rounds-2-2"):
+        spark.read.parquet(f"{store}/{name}").where("node is not null").drop("part", "margins").write.parquet(f"{there}/{name}")
+    again = fit_trees(LEVELS, rows, "k", "y", "w", "f", 3, RunStore(spark, "trees", "t", other), block=2)
+    assert node_set(again) == node_set(model)
+
+
 def test_runs_are_found_by_data_and_settings(spark, table):
     first = training.open_run(table, "k", "y", "f", 3)
     assert training.open_run(table.repartition(7), "k", "y", "f", 3).folder == first.folder
