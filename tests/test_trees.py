@@ -362,3 +362,57 @@ def test_binned_rows_are_read_without_a_copy():
         assert boosting._bytes_matrix(column.slice(2, 0)).shape[0] == 0
         matrix = boosting._bytes_matrix(column)
         assert matrix.__array_interface__["data"][0] == column.buffers()[2].address
+
+
+@pytest.fixture(scope="module")
+def flags(spark):
+    """Mostly two-valued features, one of them constant, and repeated rows."""
+    rng = np.random.default_rng(11)
+    x = (rng.random((203, 40)) < rng.random(40)).astype(float)
+    x[:, 0], x[:, 1], x[:, 2] = rng.integers(0, 30, 203), rng.random(203), 4.0
+    x[150:] = x[:53]
+    y = (x[:, 3] + x[:, 4] > x[:, 5]).astype(int) + (x[:, 0] > 20)
+    return spark.createDataFrame([(int(i), x[i].tolist(), int(y[i]), 1.0 + int(y[i]) / 7) for i in range(203)], "k long, f array<double>, y int, w double")
+
+
+def test_a_forests_table_travels_packed(spark, flags, monkeypatch):
+    """Features with two bins take a bit a row, so a table beyond the limit at a byte a cell still grows in tasks, to the same trees."""
+    import hazardloom.plans.boosting as boosting
+
+    spec = dataclasses.replace(TREES, rounds=3, max_depth=4)
+    monkeypatch.setattr(boosting, "PACKED_ROWS", 13)
+    far = fitted(spark, flags, spec, local_bytes=0, block=3)
+
+    def never(self, first, count):
+        raise AssertionError("histograms were summed where the rows are")
+
+    monkeypatch.setattr(boosting.FarRows, "block", never)
+    near = fitted(spark, flags.repartition(3), spec, local_bytes=203 * 40 - 1)
+    assert node_set(near) == node_set(far)
+    assert near.nodes.where("feature is not null").count() > 5
+    with pytest.raises(AssertionError):
+        fitted(spark, flags, spec, local_bytes=203 * 22)
+
+
+def test_packed_columns_hold_the_bins():
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 2, (6, 21)).astype(np.uint8) * 7 + 3
+    bins[1], bins[4] = rng.integers(0, 200, 21), 9
+    columns = T.Columns.pack(bins)
+    assert columns.two.tolist() == [True, False, True, True, True, True]
+    lower = np.unpackbits(columns.bits, axis=1, count=21, bitorder="little")
+    for f in range(6):
+        held = columns.rest[columns.place[f]] if f == 1 else np.where(lower[columns.place[f]], bins[f].min(), bins[f].max())
+        assert np.array_equal(held, bins[f])
+
+
+def test_large_nodes_are_split_in_groups_of_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    bins, spec = rng.integers(0, 2, (25, 900)).astype(np.uint8), dataclasses.replace(TREES, rounds=1)
+    measures = np.column_stack([*(np.eye(3, dtype=int)[rng.integers(0, 3, 900)] * 2**24).T, np.ones(900, int)])
+    whole, seen = T.LocalTree(spec, bins, measures), []
+    real = T.LocalTree._splits_of
+    monkeypatch.setattr(T, "ROWS_AT_ONCE", 100)
+    monkeypatch.setattr(T.LocalTree, "_splits_of", lambda self, nodes: seen.append(sum(len(self.rows(n)) for n in nodes[:-1])) or real(self, nodes))
+    assert T.LocalTree(spec, bins, measures).tree.known == whole.tree.known
+    assert len(seen) > 5 and max(seen) <= 100
