@@ -416,3 +416,29 @@ def test_large_nodes_are_split_in_groups_of_rows(monkeypatch):
     monkeypatch.setattr(T.LocalTree, "_splits_of", lambda self, nodes: seen.append(sum(len(self.rows(n)) for n in nodes[:-1])) or real(self, nodes))
     assert T.LocalTree(spec, bins, measures).tree.known == whole.tree.known
     assert len(seen) > 5 and max(seen) <= 100
+
+
+@pytest.mark.parametrize("spec", [LEVELS, TREES], ids=["levels", "forest"])
+def test_far_histograms_are_sent_on_before_they_fill_the_memory(spark, flags, spec, monkeypatch):
+    """A task holds ``SUMS_BYTES`` of histograms and sends the cells that have rows; the trees stay the same."""
+    import hazardloom.plans.boosting as boosting
+
+    spec = dataclasses.replace(spec, rounds=2, max_depth=3)
+    near = fitted(spark, flags, spec)
+    monkeypatch.setattr(boosting, "SUMS_BYTES", 0)
+    far = fitted(spark, flags.repartition(3), spec, local_bytes=0, block=2)
+    assert node_set(near) == node_set(far)
+
+
+def test_rows_move_through_all_opened_nodes():
+    rng = np.random.default_rng(9)
+    bins = rng.integers(0, 9, (400, 5)).astype(np.uint8)
+    measures = np.column_stack([*(np.eye(3, dtype=int)[rng.integers(0, 3, 400)] * 2**24).T, np.ones(400, int)])
+    tree = T.LocalTree(dataclasses.replace(TREES, rounds=1), np.ascontiguousarray(bins.T), measures).tree
+    at = T.moved(np.ones(400, np.int64), bins, tree)
+    for row, node in enumerate(at.tolist()):
+        n = 1
+        while n in tree.opened:
+            n = 2 * n + int(bins[row, tree.known[n].feature] > tree.known[n].bin)
+        assert n == node
+    assert len(set(at.tolist())) > 8
